@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from factloom.llm import licenses
+from pyspark.sql import functions as F
+
+from factloom.llm import kdshards, licenses
 from factloom.llm.common import table
 
+SHARDS = 24
+
+
+def op2_kd_shards(spark, sf_dir):
+    out = kdshards.kd_shards(table(spark, sf_dir, "documents"), shards=SHARDS)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
 
 def op6_license_scan(spark, sf_dir):
     out = licenses.scan_licenses(table(spark, sf_dir, "documents"))
@@ -12,6 +21,7 @@ def op6_license_scan(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_kd_shards": op2_kd_shards,
     "op6_license_scan": op6_license_scan,
 }
 ORACLES: dict[str, str] = {}
