@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
-from factloom.llm import kdshards, licenses
+from factloom.llm import kdshards, licenses, pieces
 from factloom.llm.common import table
 
 SHARDS = 24
+#: Folder of the public tokenizers' vocabulary files.
+TOKENIZERS = os.environ.get("FACTLOOM_TOKENIZERS", "/opt/tokenizers")
 
 
 def op2_kd_shards(spark, sf_dir):
@@ -15,6 +19,10 @@ def op2_kd_shards(spark, sf_dir):
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_sentencepiece(spark, sf_dir):
+    return pieces.round_trip(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 def op6_license_scan(spark, sf_dir):
     out = licenses.scan_licenses(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -22,6 +30,7 @@ def op6_license_scan(spark, sf_dir):
 
 QUERIES = {
     "op2_kd_shards": op2_kd_shards,
+    "op4_sentencepiece": op4_sentencepiece,
     "op6_license_scan": op6_license_scan,
 }
 ORACLES: dict[str, str] = {}
