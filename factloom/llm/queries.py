@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from factloom.llm import kdshards, licenses, pieces
+from factloom.llm import ctw, kdshards, licenses, pieces
 from factloom.llm.common import table
 
 SHARDS = 24
@@ -28,9 +28,14 @@ def op6_license_scan(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op7_ctw(spark, sf_dir):
+    return ctw.lm_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_kd_shards": op2_kd_shards,
     "op4_sentencepiece": op4_sentencepiece,
     "op6_license_scan": op6_license_scan,
+    "op7_ctw": op7_ctw,
 }
 ORACLES: dict[str, str] = {}
