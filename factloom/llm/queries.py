@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from factloom.llm import ctw, kdshards, licenses, pieces
+from factloom.llm import ctw, kdshards, langid, licenses, pieces
 from factloom.llm.common import table
 
 SHARDS = 24
@@ -14,6 +14,10 @@ SHARDS = 24
 TOKENIZERS = os.environ.get("FACTLOOM_TOKENIZERS", "/opt/tokenizers")
 
 
+def op1_language_id(spark, sf_dir):
+    return langid.language_id(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op2_kd_shards(spark, sf_dir):
     out = kdshards.kd_shards(table(spark, sf_dir, "documents"), shards=SHARDS)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -33,6 +37,7 @@ def op7_ctw(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_kd_shards": op2_kd_shards,
     "op4_sentencepiece": op4_sentencepiece,
     "op6_license_scan": op6_license_scan,
