@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from factloom.llm import ctw, kdshards, langid, licenses, pieces
+from factloom.llm import ctw, kdshards, langid, licenses, pieces, pii
 from factloom.llm.common import table
 
 SHARDS = 24
@@ -36,11 +36,16 @@ def op7_ctw(spark, sf_dir):
     return ctw.lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark, sf_dir):
+    return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_kd_shards": op2_kd_shards,
     "op4_sentencepiece": op4_sentencepiece,
     "op6_license_scan": op6_license_scan,
     "op7_ctw": op7_ctw,
+    "op9_pii": op9_pii,
 }
 ORACLES: dict[str, str] = {}
