@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from factloom.llm import ctw, kdshards, langid, licenses, pieces, pii
+from factloom.llm import chosenpath, ctw, kdshards, langid, licenses, pieces, pii
 from factloom.llm.common import table
 
 SHARDS = 24
@@ -40,6 +40,10 @@ def op9_pii(spark, sf_dir):
     return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
 
 
+def op3_chosen_path(spark, sf_dir):
+    return chosenpath.jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "kept")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_kd_shards": op2_kd_shards,
@@ -47,5 +51,6 @@ QUERIES = {
     "op6_license_scan": op6_license_scan,
     "op7_ctw": op7_ctw,
     "op9_pii": op9_pii,
+    "op3_chosen_path": op3_chosen_path,
 }
 ORACLES: dict[str, str] = {}
