@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from factloom.llm import chosenpath, ctw, kdshards, langid, licenses, pieces, pii
+from factloom.llm import chosenpath, ctw, decontaminate, kdshards, langid, licenses, pieces, pii
 from factloom.llm.common import table
 
 SHARDS = 24
@@ -44,6 +44,10 @@ def op3_chosen_path(spark, sf_dir):
     return chosenpath.jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "kept")
 
 
+def op8_decontamination(spark, sf_dir):
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_kd_shards": op2_kd_shards,
@@ -52,5 +56,6 @@ QUERIES = {
     "op7_ctw": op7_ctw,
     "op9_pii": op9_pii,
     "op3_chosen_path": op3_chosen_path,
+    "op8_decontamination": op8_decontamination,
 }
 ORACLES: dict[str, str] = {}
