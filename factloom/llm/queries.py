@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from factloom.llm import chosenpath, ctw, decontaminate, kdshards, langid, licenses, pieces, pii
+from factloom.llm import chosenpath, ctw, decontaminate, kdshards, langid, licenses, multiindex, pieces, pii
 from factloom.llm.common import table
 
 SHARDS = 24
@@ -48,6 +48,10 @@ def op8_decontamination(spark, sf_dir):
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_multi_index(spark, sf_dir):
+    return multiindex.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_kd_shards": op2_kd_shards,
@@ -57,5 +61,6 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op3_chosen_path": op3_chosen_path,
     "op8_decontamination": op8_decontamination,
+    "op10_multi_index": op10_multi_index,
 }
 ORACLES: dict[str, str] = {}
