@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from factloom.llm import chosenpath, ctw, decontaminate, kdshards, langid, licenses, multiindex, pieces, pii
+from factloom.llm import chosenpath, ctw, decontaminate, kdshards, langid, licenses, multiindex, pieces, pii, weaklabels
 from factloom.llm.common import table
 
 SHARDS = 24
@@ -52,6 +52,10 @@ def op10_multi_index(spark, sf_dir):
     return multiindex.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op5_weak_labels(spark, sf_dir):
+    return weaklabels.classify(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_kd_shards": op2_kd_shards,
@@ -62,5 +66,6 @@ QUERIES = {
     "op3_chosen_path": op3_chosen_path,
     "op8_decontamination": op8_decontamination,
     "op10_multi_index": op10_multi_index,
+    "op5_weak_labels": op5_weak_labels,
 }
 ORACLES: dict[str, str] = {}
