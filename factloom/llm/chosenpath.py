@@ -280,3 +280,11 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     full = labelled.join(heads, "component").select(*key, "n_links", "head")
     out = rows.select("doc_id", "text_hash", "row_id", *key).join(full, key)
     return out.select("doc_id", "text_hash", F.col("head.doc_id").alias("class_id"), "n_links", ((F.col("doc_id") == F.col("head.doc_id")) & (F.col("text_hash") == F.col("head.text_hash"))).alias("kept"))
+
+
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row of docs, as it is, for each class of linked texts: that of the least doc_id."""
+    kept = jaccard_join(docs, threshold).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    hashed = docs.withColumn("_hash_here", F.xxhash64(F.coalesce("text", F.lit(""))))
+    joined = hashed.join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash_here") == F.col("_hash")))
+    return joined.dropDuplicates(["_id", "_hash"]).select(*[f"`{c}`" for c in docs.columns])

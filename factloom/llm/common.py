@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.session import checkpoint_dir, cut
 
-__all__ = ["checkpoint_dir", "crc_mod", "cut", "table", "utf8", "pick"]
+__all__ = ["checkpoint_dir", "crc_mod", "cut", "filter_texts", "pick", "table", "utf8"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,3 +35,17 @@ def utf8(text: str | None) -> bytes:
 
 def crc_of(value) -> int:
     return zlib.crc32(str(value).encode())
+
+
+def filter_texts(df: DataFrame, decide: Callable[[], Callable[[list[str | None]], list[bool]]], text_col: str = "text", block: int = 1024) -> DataFrame:
+    """The rows of df whose text is decided to stay, as they are, with no shuffle. decide() is called once a task and
+    gives the function that decides on a block of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = decide()
+        for batch in batches:
+            for at in range(0, batch.num_rows, block):
+                some = batch.slice(at, block)
+                yield some.filter(pa.array(keep(some.column(text_col).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import pick
+from factloom.llm.common import filter_texts, pick
 from factloom.llm.licenses import words_of
 
 SEED_WORDS = 4
@@ -200,3 +200,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
         found = texts.mapInPandas(run, schema)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], schema)
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, as they are, that hold no test item to that similarity."""
+    out, sc = docs, docs.sparkSession.sparkContext
+    for block in item_blocks(pick(benchmark, item_id="item_id", text="text")):
+        everything = Items(block)
+        df = seed_counts(pick(docs, text="text"), sc.broadcast(everything))
+        shared = sc.broadcast(everything.rare(df))
+
+        def decide(shared=shared):
+            items = shared.value
+            return lambda texts: [all(s < threshold for _, s, _, _ in align(items, items.numbers(t))) for t in texts]
+
+        out = filter_texts(out, decide)
+    return out

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import crc_mod, pick, utf8
+from factloom.llm.common import crc_mod, filter_texts, pick, utf8
 
 HIDDEN = 8
 WINDOW = 96
@@ -256,3 +256,15 @@ def language_id(docs: DataFrame) -> DataFrame:
     model = train(training_rows(pick(docs, doc_id="doc_id", text="text", lang="lang")))
     out = identify(docs, model)
     return out.withColumn("held_out", F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False)))
+
+
+def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
+    """The rows of docs, as they are, whose language is known with at least that probability; trains on docs itself."""
+    model = train(training_rows(pick(docs, doc_id="doc_id", text="text", lang="lang")))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def decide():
+        network = shared.value
+        return lambda texts: [lang != "und" and score >= least for lang, score, _ in predict_texts(network, texts)]
+
+    return filter_texts(docs, decide)

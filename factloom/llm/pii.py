@@ -44,6 +44,8 @@ ROUNDS = 3
 SMOOTH = 2.0
 MIN_SEEDS = 3
 MIN_SCORE = 0.5
+#: Patterns up to this many are listed in the plan when texts are redacted.
+MAX_INLINE = 1024
 
 SPAN = "array<struct<start:int,end:int,value:string,tail:string>>"
 
@@ -97,19 +99,26 @@ def _labels(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda x: F.concat_ws(":", F.lit(kind), x["start"], x["end"]))
 
 
-def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row_id, doc_id and a column of spans for each base kind, and one of candidates outside all of them."""
-    df = pick(docs, doc_id=id_col, text=text_col).withColumn("row_id", F.monotonically_increasing_id()).withColumn("text", F.coalesce("text", F.lit("")))
+def _with_spans(df: DataFrame) -> DataFrame:
+    """df, whose text has no nulls, with a column of spans for each base kind, and one of candidates outside all of
+    them with their patterns."""
     for kind, pattern in BASE.items():
         df = _with_matches(df, kind, pattern)
     for kind, ok in (("ip", _ip_ok), ("card", _card_ok), ("phone", _phone_ok)):
         df = df.withColumn(kind, F.filter(kind, ok))
     df = _with_matches(df, "candidate", CANDIDATE)
     taken = F.concat(*BASE)
-    df = df.withColumn("candidate", F.when(F.size("candidate") > 0, F.filter("candidate", lambda c: ~F.exists(taken, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))).otherwise(F.col("candidate")))
+    free = F.filter("candidate", lambda c: ~F.exists(taken, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    df = df.withColumn("candidate", F.when(F.size("candidate") > 0, free).otherwise(F.col("candidate")))
     bare = lambda kind: F.transform(kind, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
     candidate = F.transform("candidate", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("instance"), F.lower(F.regexp_extract(x["tail"], PATTERN, 1)).alias("pattern")))
-    return df.select("row_id", "doc_id", *[bare(k).alias(k) for k in BASE], candidate.alias("candidate"))
+    return df.withColumns({k: bare(k) for k in BASE} | {"candidate": candidate})
+
+
+def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """row_id, doc_id, spans of each base kind, and candidates of every row."""
+    df = pick(docs, doc_id=id_col, text=text_col).withColumn("row_id", F.monotonically_increasing_id()).withColumn("text", F.coalesce("text", F.lit("")))
+    return _with_spans(df).select("row_id", "doc_id", *BASE, "candidate")
 
 
 def score_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -135,12 +144,25 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return slim.drop("candidate").join(marked, "row_id", "left").withColumn("id", F.coalesce("id", F.array().cast("array<struct<start:int,end:int>>")))
 
 
-def redact(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs (with its row_id) with every span of found replaced by its kind in angle brackets. Overlapping spans of
-    different kinds become one, named after the first."""
-    spans = F.sort_array(F.concat(*[F.transform(k, lambda x, k=k: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(k).alias("kind"))) for k in [*BASE, "id"]]))
-    touched = found.select("row_id", spans.alias("_spans")).where(F.size("_spans") > 0)
-    text = F.col(f"`{text_col}`")
+def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with every span found in the text replaced by its kind in angle brackets; other columns and null texts as
+    they are. Overlapping spans become one, named after the first. One pass finds the patterns; a second applies them
+    where the text stands, so that texts are not shuffled."""
+    patterns = score_patterns(cut(base_spans(docs, "doc_id", text_col).where(F.size("candidate") > 0).select(F.explode("candidate").alias("c")).select("c.pattern", "c.instance")))
+    text = F.col("text")
+    work = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    work = _with_spans(work)
+    few = [r["pattern"] for r in patterns.select("pattern").orderBy("pattern").limit(MAX_INLINE + 1).collect()]
+    if len(few) <= MAX_INLINE:
+        led = F.filter("candidate", lambda c: c["pattern"].isin(few)) if few else F.array().cast("array<struct<start:int,end:int,instance:string,pattern:string>>")
+    else:  # too many to list in the plan: the rows' candidates are joined to them
+        work = work.withColumn("key", F.monotonically_increasing_id())
+        work = cut(work)
+        marked = work.select("key", F.explode("candidate").alias("c")).join(patterns.select("pattern"), F.col("c.pattern") == F.col("pattern")).groupBy("key").agg(F.collect_list("c").alias("led"))
+        work = work.join(marked, "key", "left")
+        led = F.coalesce("led", F.array().cast("array<struct<start:int,end:int,instance:string,pattern:string>>"))
+    kinds = {k: F.col(k) for k in BASE} | {"id": led}
+    spans = F.sort_array(F.concat(*[F.transform(c, lambda x, k=k: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(k).alias("kind"))) for k, c in kinds.items()]))
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def merge(acc, x):
@@ -148,8 +170,10 @@ def redact(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFra
         fresh = F.concat(acc["out"], F.array(gap, F.concat(F.lit("<"), x["kind"], F.lit(">"))))
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] < acc["at"], acc["out"]).otherwise(fresh).alias("out"))
 
-    clean = F.aggregate("_spans", begin, merge, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    return docs.join(touched, "row_id", "left").withColumn(text_col, F.when(F.col("_spans").isNotNull(), clean).otherwise(text)).drop("_spans")
+    clean = F.aggregate("spans", begin, merge, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    work = work.withColumn("spans", spans)
+    fresh = F.when(F.size("spans") > 0, clean).otherwise(F.col("row").getField(text_col))
+    return work.select(*[fresh.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def digest(found: DataFrame) -> DataFrame:
