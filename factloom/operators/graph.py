@@ -38,3 +38,193 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         ends = points.toDF("component", "to")
         labels = cut(labels.join(ends, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
     return labels
+
+
+def fixpoint(seed: DataFrame, step, key: list[str], max_rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(all rows, the rows cut off by max_rounds) of a semi-naive iteration: step(frontier) derives rows with the
+    seed's columns, and those whose key is new are the next frontier. Cycles end by the seen set."""
+    seen = cut(seed.dropDuplicates(key))
+    frontier, rounds = seen, 0
+    while not frontier.isEmpty():
+        fresh = step(frontier).dropDuplicates(key).join(seen.select(*key), key, "left_anti")
+        fresh = cut(fresh.select(*seen.columns))
+        if rounds == max_rounds:
+            return seen, fresh
+        seen = cut(seen.unionByName(fresh))
+        frontier, rounds = fresh, rounds + 1
+    return seen, frontier
+
+
+def _edges(edges: DataFrame, a: str, b: str) -> DataFrame:
+    return cut(edges.select(F.col(a).alias("e_from"), F.col(b).alias("e_to")).where("e_from IS NOT NULL AND e_to IS NOT NULL").distinct())
+
+
+def closure(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int | None = None) -> DataFrame:
+    """All pairs (a, b) with a path of one edge or more from a to b."""
+    live = _edges(edges, a, b)
+    seed = live.select(F.col("e_from").alias("a"), F.col("e_to").alias("b"))
+
+    def step(frontier):
+        return frontier.join(live, frontier["b"] == live["e_from"]).select("a", F.col("e_to").alias("b"))
+
+    return fixpoint(seed, step, ["a", "b"], max_rounds)[0].toDF(a, b)
+
+
+def reach(seeds: DataFrame, edges: DataFrame, source: str = "source", node: str = "node", a: str = "a", b: str = "b", late=None) -> DataFrame:
+    """(source, node) for every node that a source's seeds lead to, the seeds included. late(reached) may add seeds
+    that depend on what was reached, until it adds none."""
+    live = _edges(edges, a, b)
+
+    def step(frontier):
+        return frontier.join(live, frontier["node"] == live["e_from"]).select("source", F.col("e_to").alias("node"))
+
+    start = seeds.select(F.col(source).alias("source"), F.col(node).alias("node"))
+    reached, _ = fixpoint(start, step, ["source", "node"])
+    while late is not None:
+        more = cut(late(reached).select("source", "node").join(reached, ["source", "node"], "left_anti"))
+        if more.isEmpty():
+            break
+        reached, _ = fixpoint(reached.unionByName(more), step, ["source", "node"])
+    return reached.toDF(source, node)
+
+
+def label_bfs(seeds: DataFrame, edges: DataFrame, node: str = "node", label: str = "label", a: str = "a", b: str = "b") -> DataFrame:
+    """node, label (the least that reaches the node), hops (fewest with that label) and parent (the least predecessor
+    on such a path; null at seeds)."""
+    live = _edges(edges, a, b)
+    best = seeds.groupBy(F.col(node).alias("node")).agg(F.min(F.struct(F.col(label).alias("label"), F.lit(0).cast("long").alias("hops"), F.lit(None).cast(dict(seeds.dtypes)[node]).alias("parent"))).alias("s"))
+    best = cut(best)
+    frontier = best
+    while not frontier.isEmpty():
+        sent = frontier.join(live, frontier["node"] == live["e_from"]).groupBy(F.col("e_to").alias("node")).agg(F.min(F.struct(F.col("s.label").alias("label"), (F.col("s.hops") + 1).alias("hops"), frontier["node"].alias("parent"))).alias("t"))
+        both = cut(best.join(sent, "node", "full"))
+        better = F.col("s").isNull() | (F.struct("t.label", "t.hops") < F.struct("s.label", "s.hops"))
+        frontier = both.where(F.col("t").isNotNull() & better).select("node", F.col("t").alias("s"))
+        best = both.select("node", F.when(F.col("t").isNotNull() & better, F.col("t")).otherwise(F.col("s")).alias("s"))
+    return best.select(F.col("node").alias(node), F.col("s.label").alias(label), F.col("s.hops").alias("hops"), F.col("s.parent").alias("parent"))
+
+
+def chains(parents: DataFrame, node: str = "node", parent: str = "parent", most: int | None = None) -> DataFrame:
+    """node and chain (from the node by its parents to a root), at most `most` steps long."""
+    up = cut(parents.select(F.col(node).alias("p_node"), F.col(parent).alias("p_parent")))
+    live = up.select(F.col("p_node").alias("node"), F.col("p_parent").alias("next"), F.array("p_node").alias("chain"))
+    done, rounds = live.where("next IS NULL"), 1
+    live = cut(live.where("next IS NOT NULL"))
+    while not live.isEmpty():
+        if most is not None and rounds >= most:
+            return done.unionByName(live).select(F.col("node").alias(node), "chain")
+        moved = live.join(up, live["next"] == up["p_node"], "left")
+        moved = moved.select("node", F.when(F.array_contains("chain", F.col("p_parent")), None).otherwise(F.col("p_parent")).alias("on"), F.concat("chain", F.array("next")).alias("chain"))
+        moved = cut(moved.withColumnRenamed("on", "next"))
+        done = done.unionByName(moved.where("next IS NULL"))
+        live = moved.where("next IS NOT NULL")
+        rounds += 1
+    return done.select(F.col("node").alias(node), "chain")
+
+
+def lattice_fixpoint(levels: DataFrame, edges: DataFrame, node: str = "node", level: str = "level", a: str = "a", b: str = "b", ceiling=None) -> DataFrame:
+    """node and level, where a node's level is the greatest of its own and those that edges a -> b bring it, each at
+    most ceiling."""
+    live = _edges(edges, a, b)
+    state = cut(levels.groupBy(F.col(node).alias("node")).agg(F.max(level).alias("level")))
+    frontier = state
+    while not frontier.isEmpty():
+        sent = F.col("level") if ceiling is None else F.least(F.col("level"), F.lit(ceiling))
+        brought = frontier.join(live, frontier["node"] == live["e_from"]).groupBy(F.col("e_to").alias("node")).agg(F.max(sent).alias("brought"))
+        both = cut(state.join(brought, "node", "left"))
+        frontier = both.where("brought > level").select("node", F.col("brought").alias("level"))
+        state = both.select("node", F.greatest("level", F.coalesce("brought", "level")).alias("level"))
+    return state.toDF(node, level)
+
+
+def reduce_graph(edges: DataFrame, kept: DataFrame, a: str = "a", b: str = "b", node: str = "node") -> DataFrame:
+    """Edges between kept nodes, where a path through dropped nodes alone counts as an edge."""
+    live = _edges(edges, a, b)
+    keep = cut(kept.select(F.col(node).alias("k_node")).distinct())
+    start = live.join(keep, live["e_from"] == keep["k_node"], "left_semi").select(F.col("e_from").alias("a"), F.col("e_to").alias("b"))
+
+    def step(frontier):
+        through = frontier.join(keep, frontier["b"] == keep["k_node"], "left_anti")
+        return through.join(live, through["b"] == live["e_from"]).select("a", F.col("e_to").alias("b"))
+
+    paths, _ = fixpoint(start, step, ["a", "b"])
+    return paths.join(keep, paths["b"] == keep["k_node"], "left_semi").where("a <> b").toDF(a, b)
+
+
+def strong_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """node and component (its least node) of a directed graph's strongly connected components.
+
+    Colouring: the greatest id that reaches a node is its colour; a colour's root and what reaches it inside the
+    colour are one component. These leave, and the rest goes round again.
+    """
+    live = _edges(edges, a, b)
+    nodes = cut(live.select(F.col("e_from").alias("node")).union(live.select("e_to")).distinct())
+    done = None
+    while not nodes.isEmpty():
+        colour = lattice_fixpoint(nodes.select("node", F.col("node").alias("level")), live, a="e_from", b="e_to")
+        colour = cut(colour.toDF("node", "colour"))
+        left, right = colour.toDF("e_from", "c_from"), colour.toDF("e_to", "c_to")
+        inside = live.join(left, "e_from").join(right, "e_to").where("c_from = c_to")
+        back = inside.select(F.col("e_to").alias("x"), F.col("e_from").alias("y"))
+        roots = colour.where("node = colour").select(F.col("colour").alias("source"), "node")
+        members = cut(reach(roots, back, a="x", b="y"))
+        least = members.groupBy("source").agg(F.min("node").alias("component"))
+        found = members.join(least, "source").select("node", "component")
+        done = found if done is None else done.unionByName(found)
+        nodes = cut(nodes.join(members.select("node"), "node", "left_anti"))
+        live = cut(live.join(nodes, live["e_from"] == nodes["node"], "left_semi").join(nodes.withColumnRenamed("node", "n2"), F.col("e_to") == F.col("n2"), "left_semi"))
+    return done if done is not None else nodes.withColumn("component", F.col("node"))
+
+
+def guarded_walk(roots: DataFrame, edges: DataFrame, guarded: DataFrame, uses: DataFrame) -> DataFrame:
+    """Nodes reached from roots(node) over edges(a, b) and over guarded(a, b, key); a guarded edge opens once its key
+    is used by any reached node, as uses(node, key) lists."""
+    plain = _edges(edges, "a", "b")
+    gates = cut(guarded.select(F.col("a").alias("e_from"), F.col("b").alias("e_to"), F.col("key").alias("g_key")).distinct())
+    reached = cut(roots.select("node").distinct())
+    open_keys = cut(reached.join(uses, "node").select("key").distinct())
+    while True:
+        live = plain.unionByName(gates.join(open_keys, gates["g_key"] == open_keys["key"], "left_semi").select("e_from", "e_to"))
+        live = cut(live.distinct())
+
+        def step(frontier, live=live):
+            return frontier.join(live, frontier["node"] == live["e_from"]).select(F.col("e_to").alias("node"))
+
+        reached, _ = fixpoint(reached, step, ["node"])
+        fresh = cut(reached.join(uses, "node").select("key").distinct().join(open_keys, "key", "left_anti"))
+        if fresh.isEmpty():
+            return reached
+        open_keys = cut(open_keys.unionByName(fresh))
+
+
+def all_paths_owner(own: DataFrame, calls: DataFrame, node: str = "node", cls: str = "cls", caller: str = "a", callee: str = "b", order: tuple[str, ...] = ("algorithm", "package", "none"), inherits: str = "inherit") -> DataFrame:
+    """node and owner: on whose behalf a node runs, universally over its callers. A node whose own class is `inherits`
+    takes the last class in `order` that any of its callers has; others keep their own. Starts from the first class
+    everywhere (the greatest fixpoint), so cycles alone add nothing; a node without callers takes the last class."""
+    rank = F.create_map(*[x for k, c in enumerate(order) for x in (F.lit(c), F.lit(k))])
+    live = _edges(calls, caller, callee)
+    called = live.select(F.col("e_to").alias("node")).distinct().withColumn("called", F.lit(True))
+    state = own.select(F.col(node).alias("node"), F.col(cls).alias("cls")).join(called, "node", "left")
+    state = cut(state.select("node", (F.col("cls") == inherits).alias("open"), F.when(F.col("cls") != inherits, rank[F.col("cls")]).when(F.col("called"), 0).otherwise(len(order) - 1).alias("r")))
+    while True:
+        seen = state.select(F.col("node").alias("e_from"), F.col("r").alias("from_r"))
+        brought = live.join(seen, "e_from").groupBy(F.col("e_to").alias("node")).agg(F.max("from_r").alias("brought"))
+        new = cut(state.join(brought, "node", "left").select("node", "open", F.when(F.col("open"), F.greatest("r", F.coalesce("brought", "r"))).otherwise(F.col("r")).alias("r"), F.col("r").alias("was")))
+        state = new.select("node", "open", "r")
+        if new.where("r <> was").isEmpty():
+            names = F.array(*[F.lit(c) for c in order])
+            return state.select(F.col("node").alias(node), F.get(names, F.col("r").cast("int")).alias("owner"))
+
+
+def reaching_definitions(flow: DataFrame, gen: DataFrame, kill: DataFrame) -> DataFrame:
+    """(block, def) of definitions that reach a block's start: a forward may-analysis over flow(block, next),
+    gen(block, def) and kill(block, def), where out = (in - kill) + gen."""
+    step_to = cut(flow.select(F.col("block").alias("f_block"), F.col("next").alias("f_next")).distinct())
+    killed = cut(kill.select(F.col("block").alias("k_block"), F.col("def").alias("k_def")).distinct())
+    made = gen.join(step_to, gen["block"] == step_to["f_block"]).select(F.col("f_next").alias("block"), "def")
+
+    def step(frontier):
+        passed = frontier.join(killed, (frontier["block"] == killed["k_block"]) & (frontier["def"] == killed["k_def"]), "left_anti")
+        return passed.join(step_to, passed["block"] == step_to["f_block"]).select(F.col("f_next").alias("block"), "def")
+
+    return fixpoint(made, step, ["block", "def"])[0]
