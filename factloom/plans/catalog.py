@@ -1,11 +1,330 @@
-"""Registered queries over the driver's tables, each beside the SQL that checks it."""
+"""Registered queries over the driver's tables, each beside the SQL that checks it.
+
+Every query is a client of a domain-free operator; it runs over its whole tables.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factloom.functions import names, templates
+from factloom.operators import graph, joins, merges
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with the SQL that gives the same rows."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A literal rule table, as VALUES in the plan."""
+    names_, types = zip(*[c.strip().split(" ") for c in schema.split(",")], strict=True)
+    values = ", ".join("(" + ", ".join("NULL" if v is None else repr(v) if not isinstance(v, str) else "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in r) + ")" for r in rows)
+    return spark.sql(f"SELECT {', '.join(f'CAST({n} AS {t}) AS {n}' for n, t in zip(names_, types, strict=True))} FROM VALUES {values} AS t({', '.join(names_)})")
+
+
+PART_RULES = [(1, "PROMO", "plated", "(?i)plated"), (2, "PROMO", "any", "PROMO"), (3, "STANDARD", "polished", "(?i)polished|brass"), (4, "STANDARD", "any", "."), (5, "ECONOMY", "steel", "(?i)steel"), (6, "ECONOMY", "any", "."), (7, "MEDIUM", "any", "."), (8, "LARGE", "any", "."), (9, "SMALL", "any", ".")]
+
+
+@query("""
+SELECT p_partkey, ord, rule FROM (
+  SELECT p_partkey, ord, rule, row_number() OVER (PARTITION BY p_partkey ORDER BY ord) AS k
+  FROM (SELECT p_partkey, p_type, split_part(p_type, ' ', 1) AS family FROM part) p
+  JOIN (VALUES (1,'PROMO','plated','(?i)plated'),(2,'PROMO','any','PROMO'),(3,'STANDARD','polished','(?i)polished|brass'),(4,'STANDARD','any','.'),(5,'ECONOMY','steel','(?i)steel'),(6,'ECONOMY','any','.'),(7,'MEDIUM','any','.'),(8,'LARGE','any','.'),(9,'SMALL','any','.')) r(ord, family, rule, pattern)
+  ON p.family = r.family AND regexp_matches(p.p_type, r.pattern)) WHERE k = 1""")
+def theta_first_match(spark, sf_dir):
+    part = read(spark, sf_dir, "part").select("p_partkey", "p_type", F.substring_index("p_type", " ", 1).alias("p_family"))
+    rules = local(spark, PART_RULES, "ord int, family string, rule string, pattern string")
+    return joins.first_match(part, rules, ["p_partkey"], [("p_family", "family")], F.expr("p_type RLIKE pattern")).select("p_partkey", "ord", "rule")
+
+
+@query("""
+SELECT page_id, prefix, site FROM (
+  SELECT page_id, prefix, site, row_number() OVER (PARTITION BY page_id ORDER BY length(prefix) DESC) AS k
+  FROM pages LEFT JOIN (VALUES ('http:','plain'),('https:','secure'),('https://','secure-host'),('https://www.example.com','main'),('https://example.com','bare'),('http://example.com/a','deep')) r(prefix, site)
+  ON url = prefix OR starts_with(url, prefix || '/')) WHERE k = 1""")
+def longest_prefix(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    rules = local(spark, [("http:", "plain"), ("https:", "secure"), ("https://", "secure-host"), ("https://www.example.com", "main"), ("https://example.com", "bare"), ("http://example.com/a", "deep")], "prefix string, site string")
+    return joins.longest_prefix(pages, "url", rules, "prefix").select("page_id", "prefix", "site")
+
+
+@query("""
+SELECT o_orderkey, ord, reason FROM (
+  SELECT o_orderkey, ord, reason, row_number() OVER (PARTITION BY o_orderkey ORDER BY ord) AS k
+  FROM orders JOIN (VALUES (1,'F','1-URGENT','finished or urgent'),(2,'P','2-HIGH','pending or high'),(3,'O','5-LOW','open or low')) r(ord, status, priority, reason)
+  ON o_orderstatus = status OR o_orderpriority = priority) WHERE k = 1""")
+def disjunctive_join(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    rules = local(spark, [(1, "F", "1-URGENT", "finished or urgent"), (2, "P", "2-HIGH", "pending or high"), (3, "O", "5-LOW", "open or low")], "ord int, status string, priority string, reason string")
+    return joins.disjunctive_first(orders, rules, ["o_orderkey"], [[("o_orderstatus", "status")], [("o_orderpriority", "priority")]]).select("o_orderkey", "ord", "reason")
+
+
+@query("""
+SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_mktsegment = 'MACHINERY' THEN 'segment' WHEN c_nationkey < 5 THEN 'region' ELSE 'uncovered' END AS reason
+FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')""")
+def uncited_calls(spark, sf_dir):
+    cited = read(spark, sf_dir, "orders").where("o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    reasons = [("debt", F.col("c_acctbal") < 0), ("segment", F.col("c_mktsegment") == "MACHINERY"), ("region", F.col("c_nationkey") < 5)]
+    return joins.anti_with_reason(read(spark, sf_dir, "customer"), cited, ["c_custkey"], reasons).select("c_custkey", "reason")
+
+
+@query("""
+SELECT event_id, event_type FROM events e WHERE event_type <> 'purchase' AND NOT EXISTS (
+  SELECT 1 FROM events p WHERE p.event_type = 'purchase' AND p.user_id = e.user_id AND date_trunc('hour', p.ts) = date_trunc('hour', e.ts))""")
+def redundant_filter(spark, sf_dir):
+    events = read(spark, sf_dir, "events").select("event_id", "event_type", "user_id", F.date_trunc("hour", "ts").alias("hour"))
+    return joins.superseded(events.where("event_type <> 'purchase'"), events.where("event_type = 'purchase'"), ["user_id", "hour"]).select("event_id", "event_type")
+
+
+@query("""
+SELECT l_partkey, count(*) AS n_rows, max(l_quantity) AS l_quantity, min(l_shipdate) AS l_shipdate,
+  string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS flags, bool_and(l_discount < 0.1) AS all_small
+FROM lineitem GROUP BY l_partkey""")
+def evidence_merge(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity", "l_shipdate", F.col("l_returnflag").alias("flags"), (F.col("l_discount") < 0.1).alias("all_small"))
+    return merges.merge_evidence(rows, ["l_partkey"], greatest=["l_quantity"], least=["l_shipdate"], sets=["flags"], every=["all_small"])
+
+
+@query("""
+SELECT o_custkey, coalesce(string_agg(DISTINCT CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END, ',' ORDER BY CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END),
+  string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority)) AS priorities FROM orders GROUP BY o_custkey""")
+def prefer_reachable(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders")
+    return orders.groupBy("o_custkey").agg(merges.prefer(F.col("o_orderpriority"), F.col("o_orderstatus") == "F").alias("priorities"))
+
+
+@query("SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING bool_and(l_returnflag = 'R')")
+def all_quantifier(spark, sf_dir):
+    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("l_returnflag") == "R").alias("every"))
+    return lines.where("every").drop("every")
+
+
+@query("SELECT l_orderkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_suppkey) = 1")
+def unanimous(spark, sf_dir):
+    return joins.only_value(read(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_suppkey")
+
+
+@query("""
+SELECT o_custkey, coalesce(max(CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' THEN o_orderkey END), max(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END),
+  max(CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderkey END), max(o_orderkey)) AS chosen FROM orders GROUP BY o_custkey""")
+def priority_coalesce(spark, sf_dir):
+    done, urgent = F.col("o_orderstatus") == "F", F.col("o_orderpriority") == "1-URGENT"
+    pick = lambda c: F.max(F.when(c, F.col("o_orderkey")))
+    return read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.coalesce(pick(done & urgent), pick(done), pick(urgent), F.max("o_orderkey")).alias("chosen"))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN k = 1 THEN ref ELSE ref || ':' || k END AS ref_n
+FROM (SELECT p_partkey, ref, row_number() OVER (PARTITION BY ref ORDER BY p_partkey) AS k FROM (SELECT p_partkey, p_name || '|' || p_brand AS ref FROM part))""")
+def numbered_refs(spark, sf_dir):
+    parts = read(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit("|"), "p_brand").alias("ref"))
+    return merges.numbered_refs(parts, "ref", ["p_partkey"]).select("p_partkey", "ref_n")
+
+
+def halving(spark, sf_dir):
+    """The forest p_partkey -> p_partkey div 2 for keys above 0."""
+    return read(spark, sf_dir, "part").where("p_partkey > 0").selectExpr("p_partkey AS a", "p_partkey div 2 AS b")
+
+
+HALVING = "e AS (SELECT p_partkey AS a, p_partkey // 2 AS b FROM part WHERE p_partkey > 0)"
+
+
+@query(f"WITH RECURSIVE {HALVING}, c(a, b) AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT a, b FROM c")
+def closure(spark, sf_dir):
+    return graph.closure(halving(spark, sf_dir))
+
+
+@query("""
+WITH r AS (SELECT r_regionkey, n_nationkey FROM region JOIN nation ON n_regionkey = r_regionkey),
+p AS (SELECT DISTINCT r_regionkey, c_custkey, o_orderkey, l_partkey FROM r JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey)
+SELECT CAST(r_regionkey AS BIGINT) AS region, count(DISTINCT c_custkey) AS customers, count(DISTINCT o_orderkey) AS orders, count(DISTINCT l_partkey) AS parts FROM p GROUP BY r_regionkey""")
+def multi_source_reach(spark, sf_dir):
+    """What each region's nations lead to over four kinds of edges, as one seeded walk over tagged keys."""
+    nation, customer, orders, lines = (read(spark, sf_dir, t) for t in ("nation", "customer", "orders", "lineitem"))
+    tag = lambda t, c: F.struct(F.lit(t).alias("t"), F.col(c).cast("long").alias("k"))
+    edges = customer.select(tag("n", "c_nationkey").alias("a"), tag("c", "c_custkey").alias("b"))
+    edges = edges.union(orders.select(tag("c", "o_custkey"), tag("o", "o_orderkey"))).union(lines.select(tag("o", "l_orderkey"), tag("p", "l_partkey")).distinct())
+    seeds = nation.select(F.col("n_regionkey").cast("long").alias("source"), tag("n", "n_nationkey").alias("node"))
+    reached = graph.reach(seeds, edges)
+    kind = lambda t: F.count_if(F.col("node.t") == t)
+    return reached.groupBy(F.col("source").alias("region")).agg(kind("c").alias("customers"), kind("o").alias("orders"), kind("p").alias("parts"))
+
+
+@query(f"""
+WITH RECURSIVE {HALVING}, s AS (SELECT p_partkey AS node, p_size AS label FROM part WHERE p_partkey % 7 = 3),
+w(node, label, hops) AS (SELECT node, label, CAST(0 AS BIGINT) FROM s UNION SELECT e.b, w.label, w.hops + 1 FROM w JOIN e ON e.a = w.node),
+m AS (SELECT node, min((label, hops)) AS t FROM w GROUP BY node)
+SELECT node, t[1] AS label, t[2] AS hops FROM m""")
+def label_bfs(spark, sf_dir):
+    seeds = read(spark, sf_dir, "part").where("p_partkey % 7 = 3").select(F.col("p_partkey").alias("node"), F.col("p_size").alias("label"))
+    return graph.label_bfs(seeds, halving(spark, sf_dir)).select("node", "label", "hops")
+
+
+@query(f"""
+WITH RECURSIVE {HALVING}, l AS (SELECT p_partkey AS node, p_size AS level FROM part),
+w(node, level) AS (SELECT node, level FROM l UNION SELECT e.a, w.level FROM w JOIN e ON e.b = w.node)
+SELECT node, max(level) AS level FROM w GROUP BY node""")
+def lattice_fixpoint(spark, sf_dir):
+    levels = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_size").alias("level"))
+    return graph.lattice_fixpoint(levels, halving(spark, sf_dir).toDF("b", "a"))
+
+
+@query("""
+WITH RECURSIVE x AS (SELECT DISTINCT l_orderkey * 2 AS a, l_partkey * 2 + 1 AS b FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-02-01'),
+e AS (SELECT a, b FROM x UNION SELECT b, a FROM x),
+w(node, c) AS (SELECT a, a FROM e UNION SELECT e.b, w.c FROM w JOIN e ON e.a = w.node)
+SELECT node, min(c) AS component FROM w GROUP BY node""")
+def components(spark, sf_dir):
+    lines = read(spark, sf_dir, "lineitem").where("l_shipdate < TIMESTAMP '1995-02-01'")
+    return graph.connected_components(lines.selectExpr("l_orderkey * 2 AS a", "l_partkey * 2 + 1 AS b"))
+
+
+@query(f"""
+WITH RECURSIVE {HALVING}, w(a, b) AS (SELECT a, b FROM e WHERE a % 2 = 0 UNION SELECT w.a, e.b FROM w JOIN e ON e.a = w.b WHERE w.b % 2 = 1)
+SELECT a, b FROM w WHERE b % 2 = 0 AND a <> b""")
+def graph_reduction(spark, sf_dir):
+    return graph.reduce_graph(halving(spark, sf_dir), read(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("node")))
+
+
+@query(f"""
+WITH RECURSIVE {HALVING}, w(node, cur, n) AS (SELECT a, a, CAST(1 AS BIGINT) FROM e UNION ALL SELECT w.node, e.b, w.n + 1 FROM w JOIN e ON e.a = w.cur)
+SELECT node, max(n) AS hops, arg_max(cur, n) AS root FROM w GROUP BY node""")
+def chain_reconstruction(spark, sf_dir):
+    up = halving(spark, sf_dir).toDF("node", "parent")
+    roots = up.select("parent").distinct().join(up.select(F.col("node").alias("parent")), "parent", "left_anti").select(F.col("parent").alias("node"), F.lit(None).cast("long").alias("parent"))
+    walked = graph.chains(up.unionByName(roots)).join(roots.select("node"), "node", "left_anti")
+    return walked.select("node", F.size("chain").cast("long").alias("hops"), F.element_at("chain", -1).alias("root"))
+
+
+@query("""
+WITH RECURSIVE y AS (SELECT DISTINCT user_id % 300 AS a, event_id * 7919 % 300 AS b FROM events WHERE event_type = 'purchase'),
+w(a, b) AS (SELECT a, b FROM y UNION SELECT w.a, y.b FROM w JOIN y ON w.b = y.a), n AS (SELECT a AS node FROM y UNION SELECT b FROM y),
+c AS (SELECT w.a AS node, min(w.b) AS low FROM w JOIN w v ON v.a = w.b AND v.b = w.a GROUP BY w.a)
+SELECT node, least(node, coalesce(low, node)) AS component FROM n LEFT JOIN c USING (node)""")
+def strong_components(spark, sf_dir):
+    edges = read(spark, sf_dir, "events").where("event_type = 'purchase'").selectExpr("user_id % 300 AS a", "event_id * 7919 % 300 AS b")
+    return graph.strong_components(edges.distinct())
+
+
+@query("""
+WITH ranges AS (SELECT l_partkey, epoch(l_shipdate)::BIGINT // 86400 AS lo, epoch(l_shipdate)::BIGINT // 86400 + 30 AS hi FROM lineitem),
+m AS (SELECT *, max(hi) OVER (PARTITION BY l_partkey ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM ranges),
+g AS (SELECT *, sum(CASE WHEN b IS NULL OR lo > b THEN 1 ELSE 0 END) OVER (PARTITION BY l_partkey ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS run FROM m)
+SELECT l_partkey, min(lo) AS lo, max(hi) AS hi, count(*) AS n_ranges FROM g GROUP BY l_partkey, run""")
+def interval_cover(spark, sf_dir):
+    day = F.floor(F.unix_timestamp("l_shipdate") / 86400)
+    ranges = read(spark, sf_dir, "lineitem").select("l_partkey", day.alias("lo"), (day + 30).alias("hi"))
+    return merges.islands(ranges, ["l_partkey"], "lo", "hi")
+
+
+@query("""
+WITH s AS (SELECT l_orderkey, list_sort(list(DISTINCT p_brand)) AS got FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey),
+v AS (SELECT l_orderkey, got, CASE WHEN l_orderkey % 3 = 0 THEN ['Brand#11'] WHEN l_orderkey % 3 = 1 THEN ['Brand#12', 'Brand#13'] ELSE [] END AS must, ['Brand#21', 'Brand#22', 'Brand#23', 'Brand#24', 'Brand#25', 'Brand#31', 'Brand#32', 'Brand#33'] AS may FROM s)
+SELECT l_orderkey, CASE WHEN len(list_filter(got, lambda x: NOT list_contains(must, x) AND NOT list_contains(may, x))) > 0 THEN 'wrong'
+  WHEN len(must) > 0 AND NOT list_has_any(got, must) THEN 'wrong' WHEN NOT list_has_all(got, must) THEN 'miss' ELSE 'correct' END AS verdict FROM v""")
+def set_verdict(spark, sf_dir):
+    brands = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey").agg(F.collect_set("p_brand").alias("got"))
+    texts = lambda *xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
+    must = F.when(F.col("l_orderkey") % 3 == 0, texts("Brand#11")).when(F.col("l_orderkey") % 3 == 1, texts("Brand#12", "Brand#13")).otherwise(texts())
+    may = texts("Brand#21", "Brand#22", "Brand#23", "Brand#24", "Brand#25", "Brand#31", "Brand#32", "Brand#33")
+    return brands.select("l_orderkey", merges.set_verdict(must, may, F.col("got")).alias("verdict"))
+
+
+@query("""
+SELECT lang, count(*) FILTER (quality = 1 AND n_chars > 300) AS hits, count(*) FILTER (quality = 1) AS labelled, count(*) FILTER (n_chars > 300) AS reported,
+  round(count(*) FILTER (quality = 1 AND n_chars > 300) / nullif(count(*) FILTER (n_chars > 300), 0), 3) AS "precision",
+  round(count(*) FILTER (quality = 1 AND n_chars > 300) / nullif(count(*) FILTER (quality = 1), 0), 3) AS recall
+FROM documents JOIN labels USING (doc_id) GROUP BY lang""")
+def precision_recall(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(read(spark, sf_dir, "labels"), "doc_id")
+    return merges.precision_recall(rows, F.col("quality") == 1, F.col("n_chars") > 300, ["lang"])
+
+
+@query("""
+WITH d AS (SELECT CASE WHEN n_chars < 100 THEN 'miss' WHEN n_chars < 1000 THEN 'less-specific' ELSE 'correct' END AS verdict, lang, source FROM documents)
+SELECT verdict, lang, source, count(*) AS n, CAST(grouping(lang) AS INTEGER) AS all_lang, CAST(grouping(source) AS INTEGER) AS all_source
+FROM d GROUP BY GROUPING SETS ((verdict, lang), (verdict, source), (verdict))""")
+def grouped_rollup(spark, sf_dir):
+    verdict = F.when(F.col("n_chars") < 100, "miss").when(F.col("n_chars") < 1000, "less-specific").otherwise("correct")
+    return merges.rollup_counts(read(spark, sf_dir, "documents").select(verdict.alias("verdict"), "lang", "source"), "verdict", ["lang", "source"])
+
+
+@query("""
+WITH o AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-01-01' AND l_shipdate < TIMESTAMP '1995-02-01'),
+n AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-02-01' AND l_shipdate < TIMESTAMP '1995-03-01')
+SELECT l_partkey, '+' AS sign FROM (SELECT * FROM n EXCEPT SELECT * FROM o) UNION ALL SELECT l_partkey, '-' FROM (SELECT * FROM o EXCEPT SELECT * FROM n)""")
+def two_way_diff(spark, sf_dir):
+    month = lambda a, b: read(spark, sf_dir, "lineitem").where(f"l_shipdate >= TIMESTAMP '{a}' AND l_shipdate < TIMESTAMP '{b}'").select("l_partkey")
+    return merges.two_way_diff(month("1995-01-01", "1995-02-01"), month("1995-02-01", "1995-03-01"))
+
+
+@query("""
+SELECT event_type, key, count(*) AS n, sum(CAST(json_extract_string(props, '$."' || key || '"') AS BIGINT))::BIGINT AS total
+FROM (SELECT event_type, props, unnest(json_keys(props)) AS key FROM events) GROUP BY event_type, key""")
+def json_tree_leaves(spark, sf_dir):
+    leaves = read(spark, sf_dir, "events").select("event_type", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
+    return leaves.groupBy("event_type", "key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("long")).alias("total"))
+
+
+@query("""
+SELECT o_orderkey, concat_ws('; ', 'status ' || o_orderstatus, CASE WHEN o_orderpriority = '1-URGENT' THEN 'urgent' END, CASE WHEN o_totalprice > 100000 THEN 'large' END, 'customer ' || o_custkey) AS context FROM orders""")
+def context_text(spark, sf_dir):
+    part = names.context_text(F.concat(F.lit("status "), "o_orderstatus"), F.when(F.col("o_orderpriority") == "1-URGENT", "urgent"), F.when(F.col("o_totalprice") > 100000, "large"), F.concat(F.lit("customer "), F.col("o_custkey").cast("string")))
+    return read(spark, sf_dir, "orders").select("o_orderkey", part.alias("context"))
+
+
+@query("""
+SELECT p_partkey, p_brand || CASE WHEN p_size % 5 = 0 THEN CASE WHEN p_size = 10 THEN '-X' ELSE '' END ELSE '-' || p_size || '-X-' || p_size || '-' || p_type END AS name FROM part""")
+def template_fill(spark, sf_dir):
+    values = F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("type"), F.col("p_type"), F.lit("bits"), F.col("p_size").cast("string"))
+    values = F.when(F.col("p_size") % 5 > 0, F.map_concat(values, F.create_map(F.lit("size"), F.col("p_size").cast("string")))).otherwise(values)
+    usual = F.create_map(F.lit("bits"), F.lit("10"), F.lit("type"), F.col("p_type"))
+    return read(spark, sf_dir, "part").select("p_partkey", templates.fill_template(F.concat(F.col("p_brand"), F.lit("-{size}-X[-{bits}-{type}]")), values, usual).alias("name"))
+
+
+@query("""
+SELECT conv_id, turn, next_turn FROM (SELECT conv_id, turn, role, lead(role) OVER w AS next_role, lead(turn) OVER w AS next_turn FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+WHERE role = 'user' AND next_role = 'assistant'""")
+def lead_match(spark, sf_dir):
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    led = joins.next_row(turns.withColumn("s", F.struct("role", "turn")), ["conv_id"], ["turn"], "s", "next")
+    return led.where("role = 'user' AND next.role = 'assistant'").select("conv_id", "turn", F.col("next.turn").alias("next_turn"))
+
+
+@query("""
+SELECT s.name AS shift, count(*) AS tried, count(*) FILTER (l.l_orderkey IS NULL) AS rejected
+FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) c
+CROSS JOIN (VALUES ('line +1000000', 1000000, 0), ('line -1000000', -1000000, 0), ('column +100', 0, 100), ('column -100', 0, -100), ('none', 0, 0)) s(name, dl, dc)
+LEFT JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) l ON l.l_orderkey = c.l_orderkey + s.dl AND l.l_linenumber = c.l_linenumber + s.dc GROUP BY s.name""")
+def position_mutation(spark, sf_dir):
+    from factloom.operators import verify
+
+    cited = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    shifts = [("line +1000000", 1000000, 0), ("line -1000000", -1000000, 0), ("column +100", 0, 100), ("column -100", 0, -100), ("none", 0, 0)]
+    return verify.mutation_test(cited, cited, ["l_orderkey", "l_linenumber"], shifts)
 
 
-def flagship(spark, sf_dir):
-    """Smallest end-to-end plan."""
-    return spark.read.parquet(f"{sf_dir}/part.parquet").groupBy("p_type").count()
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pattern join, closure and grouped merge in one: each part family's evidence, over parts and their ancestors."""
+    matched = theta_first_match(spark, sf_dir).select(F.col("p_partkey").alias("a"), "rule")
+    pairs = closure(spark, sf_dir).unionByName(read(spark, sf_dir, "part").selectExpr("p_partkey AS a", "p_partkey AS b"))
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("b"), "l_returnflag", "l_quantity")
+    per_part = merges.merge_evidence(lines, ["b"], greatest=["l_quantity"], sets=["l_returnflag"])
+    joined = pairs.join(matched, "a").join(per_part, "b")
+    return joined.groupBy("rule").agg(F.count_distinct("a").alias("parts"), F.sum("n_rows").alias("occurrences"), F.max("l_quantity").alias("most")).orderBy("rule")
