@@ -169,7 +169,7 @@ def context_text(*parts: Column) -> Column:
 def renumbered(sentence: Column, n: Column) -> Column:
     """The sentence of a member of a set for a set of n members."""
     one_of = r"^algorithm one of \d+ (that .*)$"
-    lone_args = r"^algorithm one of \d+ that may reach the call: ((?:(?!, ).)*) in the arguments$"
+    lone_args = r"^algorithm one of \d+ that may reach the call: ((?:(?!, ).)* in the arguments)$"
     lone_far = r"^algorithm one of \d+ that may reach the call from other functions: ((?:(?!, ).)*)$"
     from_args = r"^algorithm from (.*) in the arguments$"
     from_far = r"^algorithm from (.*), reaching the call from another function$"

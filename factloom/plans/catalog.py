@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import names, templates
-from factloom.operators import graph, joins, merges
+from factloom.operators import graph, joins, merges, pointsto, trees, verify
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -313,13 +313,179 @@ FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) c
 CROSS JOIN (VALUES ('line +1000000', 1000000, 0), ('line -1000000', -1000000, 0), ('column +100', 0, 100), ('column -100', 0, -100), ('none', 0, 0)) s(name, dl, dc)
 LEFT JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) l ON l.l_orderkey = c.l_orderkey + s.dl AND l.l_linenumber = c.l_linenumber + s.dc GROUP BY s.name""")
 def position_mutation(spark, sf_dir):
-    from factloom.operators import verify
-
     cited = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
     shifts = [("line +1000000", 1000000, 0), ("line -1000000", -1000000, 0), ("column +100", 0, 100), ("column -100", 0, -100), ("none", 0, 0)]
     return verify.mutation_test(cited, cited, ["l_orderkey", "l_linenumber"], shifts)
 
 
+@query("""
+SELECT p_partkey, v >= '0.9' AND v < '0.b' AS covered FROM (
+  SELECT p_partkey, CASE WHEN p_size < 10 THEN '0.' || p_size WHEN p_size = 10 THEN '0.a' ELSE '0.b' END AS v FROM part)""")
+def version_cover(spark, sf_dir):
+    """Versions 0.<size>.<key>, every third a pre-release, in the range >=0.9, <0.11."""
+    version = F.concat(F.lit("0."), F.col("p_size").cast("string"), F.lit("."), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 3 == 0, "-rc.1").otherwise(""))
+    return read(spark, sf_dir, "part").select("p_partkey", templates.semver_covers(F.lit(">=0.9, <0.11"), version).alias("covered"))
+
+
+@query("SELECT p_partkey, upper(regexp_replace(p_name || '_' || p_brand, '[\\s_]', '', 'g')) AS label FROM part")
+def label_normalise(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", names.normal_label(F.concat("p_name", F.lit("_"), "p_brand")).alias("label"))
+
+
+@query("SELECT p_partkey, 'a::B::m' || p_partkey AS path, 'B::m' || p_partkey AS method FROM part")
+def strip_generics(spark, sf_dir):
+    key = F.col("p_partkey").cast("string")
+    path = F.concat(F.lit("a::B::<fn(C) -> D<E>>::m"), key)
+    impl = F.concat(F.lit("<B<X> as Tr<Y<Z>>>::m"), key)
+    return read(spark, sf_dir, "part").select("p_partkey", names.strip_generics(path).alias("path"), names.by_type(impl).alias("method"))
+
+
+@query("""
+SELECT doc_id, length(b) - length(replace(b, chr(10), '')) + 1 AS line, length(list_last(string_split(b, chr(10)))) AS col
+FROM (SELECT doc_id, left(text, instr(text, ' de ') - 1) AS b FROM documents WHERE instr(text, ' de ') > 0)""")
+def line_and_column(spark, sf_dir):
+    at = F.instr("text", " de ")
+    docs = read(spark, sf_dir, "documents").where(at > 0)
+    return docs.select("doc_id", names.line_of(F.col("text"), at - 1).alias("line"), names.column_of(F.col("text"), at - 1).alias("col"))
+
+
+@query("SELECT c_custkey, '/ws/seg-' || c_nationkey || '/src/lib' || c_custkey || '.rs' AS path FROM customer")
+def path_normalise(spark, sf_dir):
+    raw = F.concat(F.lit("/ws/./x/../seg-"), F.col("c_nationkey").cast("string"), F.lit("/a/b/../../src//lib"), F.col("c_custkey").cast("string"), F.lit(".rs"))
+    return read(spark, sf_dir, "customer").select("c_custkey", names.normal_path(raw).alias("path"))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_size > 1 THEN 'algorithm one of ' || p_size || ' that may reach the call: ' || p_type || ' in the arguments' ELSE 'algorithm from ' || p_type || ' in the arguments' END AS sentence FROM part""")
+def renumber(spark, sf_dir):
+    start = F.concat(F.lit("algorithm from "), F.col("p_type"), F.lit(" in the arguments"))
+    many = names.renumbered(start, F.lit(7))
+    return read(spark, sf_dir, "part").select("p_partkey", names.renumbered(many, F.col("p_size")).alias("sentence"))
+
+
+@query("""
+WITH a AS (SELECT DISTINCT p_type AS place, p_brand || CASE WHEN p_size % 3 > 0 THEN '-' || p_size % 3 ELSE '' END || CASE WHEN p_size % 3 = 2 THEN '-x' ELSE '' END AS name FROM part)
+SELECT a.place, a.name, coalesce((SELECT b.name FROM a b WHERE b.place = a.place AND starts_with(b.name, a.name || '-') ORDER BY length(b.name) DESC, b.name LIMIT 1), a.name) AS merged_into FROM a""")
+def merge_less_specific(spark, sf_dir):
+    tail = F.when(F.col("p_size") % 3 > 0, F.concat(F.lit("-"), (F.col("p_size") % 3).cast("string"))).otherwise("")
+    name = F.concat("p_brand", tail, F.when(F.col("p_size") % 3 == 2, "-x").otherwise(""))
+    rows = read(spark, sf_dir, "part").select(F.col("p_type").alias("place"), name.alias("name")).distinct()
+    return merges.merge_less_specific(rows, ["place"])
+
+
+@query("""
+SELECT l_suppkey, array_to_string(CASE WHEN len(s) > 5 THEN list_append(s[1:5], '...') ELSE s END, ',') AS parts
+FROM (SELECT l_suppkey, list_sort(list(DISTINCT CAST(l_partkey AS VARCHAR))) AS s FROM lineitem GROUP BY l_suppkey)""")
+def capped_values(spark, sf_dir):
+    capped = merges.capped_set(F.col("l_partkey").cast("string"), 5, "...")
+    return read(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.array_join(capped, ",").alias("parts"))
+
+
+@query("""
+SELECT DISTINCT o_orderkey, c_custkey FROM orders JOIN customer ON c_nationkey = o_custkey % 25
+AND (c_mktsegment = CASE o_orderstatus WHEN 'F' THEN 'BUILDING' WHEN 'O' THEN 'MACHINERY' ELSE 'FURNITURE' END OR c_mktsegment = 'HOUSEHOLD') AND c_acctbal > 9500""")
+def dispatch_join(spark, sf_dir):
+    sig = F.when(F.col("o_orderstatus") == "F", "BUILDING").when(F.col("o_orderstatus") == "O", "MACHINERY").otherwise("FURNITURE")
+    calls = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 25).cast("int").alias("trait"), sig.alias("sig"))
+    types = read(spark, sf_dir, "customer").where("c_acctbal > 9500").select(F.col("c_nationkey").alias("trait"), F.when(F.col("c_mktsegment") == "HOUSEHOLD", "*").otherwise(F.col("c_mktsegment")).alias("sig"), "c_custkey")
+    return joins.dispatch(calls, types).select("o_orderkey", "c_custkey").distinct()
+
+
+@query(f"""
+WITH RECURSIVE {HALVING}, s AS (SELECT p_partkey AS node FROM part WHERE p_partkey % 50 = 7),
+w(node, cur, n) AS (SELECT node, node, 0 FROM s UNION ALL SELECT w.node, e.b, w.n + 1 FROM w JOIN e ON e.a = w.cur WHERE w.n < 8 AND NOT EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = w.cur AND p.p_size < 10))
+SELECT node AS call, p_type AS entry, n AS hops FROM w JOIN part ON p_partkey = cur WHERE p_size < 10""")
+def constructor_chain(spark, sf_dir):
+    part = read(spark, sf_dir, "part")
+    starts = part.where("p_partkey % 50 = 7").select(F.col("p_partkey").alias("call"))
+    entries = part.where("p_size < 10").select(F.col("p_partkey").alias("call"), F.col("p_type").alias("entry"))
+    return joins.constructor_chain(starts, halving(spark, sf_dir).toDF("call", "receiver"), entries)
+
+
+@query("""
+WITH RECURSIVE f AS (SELECT DISTINCT user_id % 200 AS block, (user_id * 5 + 1) % 200 AS nxt FROM events UNION SELECT DISTINCT user_id % 200, event_id % 200 FROM events WHERE event_type = 'purchase'),
+g AS (SELECT DISTINCT user_id % 200 AS block, event_type AS def FROM events WHERE user_id % 11 = 0), k AS (SELECT DISTINCT user_id % 200 AS block, event_type AS def FROM events WHERE user_id % 4 = 0),
+w(block, def) AS (SELECT f.nxt, g.def FROM g JOIN f ON f.block = g.block UNION SELECT f.nxt, w.def FROM w JOIN f ON f.block = w.block WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.block = w.block AND k.def = w.def))
+SELECT block, def FROM w""")
+def reaching_definitions(spark, sf_dir):
+    events = read(spark, sf_dir, "events")
+    flow = events.selectExpr("user_id % 200 AS block", "(user_id * 5 + 1) % 200 AS next").union(events.where("event_type = 'purchase'").selectExpr("user_id % 200", "event_id % 200"))
+    pick = lambda c: events.where(c).selectExpr("user_id % 200 AS block", "event_type AS def")
+    return graph.reaching_definitions(flow, pick("user_id % 11 = 0"), pick("user_id % 4 = 0"))
+
+
+@query("""
+WITH RECURSIVE a AS (SELECT DISTINCT o_custkey AS v, o_orderstatus AS o FROM orders WHERE o_orderpriority = '1-URGENT'), c AS (SELECT c_custkey // 2 AS dst, c_custkey AS src FROM customer),
+w(v, o) AS (SELECT v, o FROM a UNION SELECT c.dst, w.o FROM w JOIN c ON c.src = w.v) SELECT v, o FROM w""")
+def points_to_copies(spark, sf_dir):
+    addr = read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("v"), F.col("o_orderstatus").alias("o"))
+    copies = read(spark, sf_dir, "customer").selectExpr("c_custkey div 2 AS dst", "c_custkey AS src")
+    # Objects and variables are texts here, as an object can be a variable of the solver.
+    text = lambda df: df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
+    none = spark.createDataFrame([], "dst string, src string, ptr string")
+    out = pointsto.inclusion(text(addr), text(copies), none.select("dst", "ptr"), none.select("ptr", "src"))
+    return out.select(F.col("v").cast("long").alias("v"), "o")
+
+
+@query("""
+SELECT date_trunc('hour', ts) AS start, CASE WHEN regexp_matches(event_type, '^pur') THEN 'buy' WHEN regexp_matches(event_type, 'c') THEN 'act' END AS match, count(*) AS n FROM events GROUP BY 1, 2""")
+def streaming_matches(spark, sf_dir):
+    """The matching operator over a stream: all files in one available-now run with a watermark, into a table."""
+    import uuid
+
+    from factloom.session import checkpoint_dir
+    from factloom.streaming.events import matched_counts
+
+    schema = read(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    folder = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    counted = matched_counts(stream, "event_type", [("buy", "^pur"), ("act", "c")], late="10000 days")
+    name = f"streamed_{uuid.uuid4().hex}"
+
+    def keep(batch, _):
+        batch.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+    counted.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/{name}").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query()
+def guarded_walk(spark, sf_dir):
+    """Doubling edges are open; tripling edges open once a reached part of size 1 has their type."""
+    part = read(spark, sf_dir, "part")
+    edges = part.where("p_partkey > 0").selectExpr("p_partkey AS a", "p_partkey * 2 AS b")
+    guarded = part.where("p_partkey > 0").selectExpr("p_partkey AS a", "p_partkey * 3 AS b", "p_type AS key")
+    uses = part.where("p_size = 1").selectExpr("p_partkey AS node", "p_type AS key")
+    return graph.guarded_walk(spark.range(1, 8, 2).toDF("node"), edges, guarded, uses)
+
+
+@query()
+def all_paths_owner(spark, sf_dir):
+    """Parts run on behalf of the strictest of their callers in the halving forest and its double."""
+    part = read(spark, sf_dir, "part")
+    cls = F.when(F.col("p_size") > 45, "algorithm").when(F.col("p_size") > 40, "package").when(F.col("p_size") < 5, "none").otherwise("inherit")
+    own = part.select(F.col("p_partkey").alias("node"), cls.alias("cls"))
+    calls = part.where("p_partkey > 0").selectExpr("p_partkey div 2 AS a", "p_partkey AS b").union(part.where("p_partkey > 0").selectExpr("p_partkey div 3", "p_partkey"))
+    return graph.all_paths_owner(own, calls)
+
+
+@query()
+def value_search(spark, sf_dir):
+    """Values of events: purchases name their descriptor, others pass on a parameter that the user's orders give."""
+    events = read(spark, sf_dir, "events").select("event_id", "event_type", "user_id")
+    data = F.concat(F.lit('{"Any":[{"Data":{"def":{"path":"'), "event_type", F.lit('","krate":{"name":"k"}}}},{"Param":{"index":0,"owner":"'), F.col("user_id").cast("string"), F.lit('"}}]}'))
+    call = F.concat(F.lit('{"Call":{"callee":"'), "event_type", F.lit('","krate":"k","args":[{"Param":{"index":0,"owner":"'), F.col("user_id").cast("string"), F.lit('"}}]}}'))
+    values = events.select(F.col("event_id").alias("root_id"), F.when(F.col("event_type") == "purchase", data).otherwise(call).alias("origin"))
+    orders = read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select((-1 - F.col("o_orderkey")).alias("root_id"), F.col("o_custkey").cast("string").alias("owner"), F.lit(0).cast("long").alias("ord"), F.concat(F.lit('{"Data":{"def":{"path":"'), "o_orderstatus", F.lit('","krate":{"name":"k"}}}}')).alias("origin"))
+    nodes = trees.flatten_origins(values.unionByName(orders.select("root_id", "origin")))
+    semantics = local(spark, [("click",), ("view",)], "callee string").withColumn("slots", F.array(F.lit(0).cast("long")))
+    none = spark.createDataFrame([], "name string, field long, root_id long, callee string")
+    found, gaps = trees.search_values(values.select(F.col("root_id").alias("start"), "root_id"), nodes, semantics, orders.select("owner", "ord", "root_id"), none.select("name", "field", "root_id"), none.select("callee", "root_id"))
+    told = found.groupBy("start").agg(merges.sorted_set("found").alias("found"))
+    lost = gaps.groupBy("start").agg(merges.sorted_set("reason", "; ").alias("gaps"))
+    return told.join(lost, "start", "full").select("start", F.coalesce("found", F.lit("")).alias("found"), F.coalesce("gaps", F.lit("")).alias("gaps"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pattern join, closure and grouped merge in one: each part family's evidence, over parts and their ancestors."""
     matched = theta_first_match(spark, sf_dir).select(F.col("p_partkey").alias("a"), "rule")

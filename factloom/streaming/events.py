@@ -14,19 +14,24 @@ def read_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> Dat
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+def timed(events: DataFrame, time: str, late: str) -> DataFrame:
+    """events with a watermark; event times without a zone are taken in the session's."""
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+
+
 def matched_counts(events: DataFrame, column: str, patterns: list[tuple[str, str]], time: str = "ts", window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts of the first pattern that matches, by tumbling window; rows later than `late` are left out."""
-    matched = first_literal_match(events.withWatermark(time, late), column, patterns)
+    matched = first_literal_match(timed(events, time, late), column, patterns)
     counted = matched.groupBy(F.window(time, window), "match").agg(F.count(F.lit(1)).alias("n"))
     return counted.select(F.col("window.start").alias("start"), "match", "n")
 
 
 def distinct_rows(events: DataFrame, key: list[str], time: str = "ts", late: str = "2 hours") -> DataFrame:
     """The first row of each key within the watermark."""
-    return events.withWatermark(time, late).dropDuplicatesWithinWatermark(key)
+    return timed(events, time, late).dropDuplicatesWithinWatermark(key)
 
 
 def sessions(events: DataFrame, key: str, time: str = "ts", gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
     """Session windows of each key with counts."""
-    grouped = events.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("s"), key)
+    grouped = timed(events, time, late).groupBy(F.session_window(time, gap).alias("s"), key)
     return grouped.agg(F.count(F.lit(1)).alias("n")).select(key, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
