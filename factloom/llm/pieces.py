@@ -31,8 +31,8 @@ from factloom.llm.common import pick
 
 MARK = "▁"
 MARK_BYTES = MARK.encode()
-CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-MEMO_CHUNKS = 1 << 18
+#: Chunks remembered by a worker, in each of two generations.
+MEMO_CHUNKS = 300_000
 MEMO_LENGTH = 64
 
 
@@ -114,7 +114,11 @@ class Unigram:
         for b, i in enumerate(by_byte):
             self.out[i] = bytes([b])
         self.bytes_of = frozenset(by_byte)
+        # Characters of no piece stand alone on every path, so they end chunks too.
+        alone = "".join(c for c in "\n\t\r" if not any(c.encode() in p for p in pieces))
+        self.chunk = re.compile(f"[{alone}]|{MARK}*[^{MARK}{alone}]+|{MARK}+" if alone else f"{MARK}*[^{MARK}]+|{MARK}+")
         self.memo: dict[str, tuple[tuple[int, ...], float, int]] = {}
+        self.older: dict[str, tuple[tuple[int, ...], float, int]] = {}
 
     def best(self, chunk: str) -> tuple[tuple[int, ...], float, int]:
         """(ids, log score, byte pieces) of the best path through a chunk."""
@@ -165,13 +169,14 @@ class Unigram:
                 n_bytes += 3
                 score += 3 * self.fallback
             marked = part.replace(" ", MARK) if k else MARK + part.replace(" ", MARK)
-            for chunk in CHUNK.findall(marked) if self.split else [marked]:
+            for chunk in self.chunk.findall(marked) if self.split else [marked]:
                 found = memo.get(chunk)
                 if found is None:
-                    found = self.best(chunk)
+                    found = self.older.get(chunk) or self.best(chunk)
                     if len(chunk) <= MEMO_LENGTH:
                         if len(memo) >= MEMO_CHUNKS:
-                            memo.clear()
+                            self.older = memo
+                            memo = self.memo = {}
                         memo[chunk] = found
                 ids += found[0]
                 score += found[1]
