@@ -82,7 +82,7 @@ def boundary_lines(covered: DataFrame) -> DataFrame:
 def summary_lines(grouped: DataFrame) -> DataFrame:
     """The sorted golden summary: a line an asset and one a place."""
     head = grouped.select(F.concat_ws(" ", F.lit("asset"), "asset_key", "usage", "uses").alias("line"))
-    places = grouped.select(F.concat_ws(" ", F.lit("occ"), "asset_key", F.explode(F.split("places", " "))).alias("line"))
+    places = grouped.select("asset_key", F.explode(F.split("places", " ")).alias("place")).select(F.concat_ws(" ", F.lit("occ"), "asset_key", "place").alias("line"))
     return head.unionByName(places).orderBy("line")
 
 
