@@ -37,6 +37,7 @@ SLICE_ROWS = 1 << 16
 HEAVY = 1 << 16
 HEAVY_LENGTH = 64
 FLUSH = 1 << 19
+KEY = ["key_id", "row_id"]
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -203,7 +204,8 @@ class Lookup:
 
 
 def model_scores(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """row_id and score, the model's log10 probability of the lower-cased text and its end."""
+    """key_id, row_id, score (the model's log10 probability of the lower-cased text and its end) and n_bytes of each
+    distinct key of docs; rows with one key have one text."""
     sc = docs.sparkSession.sparkContext
     model = cut(model)
     keys = model.select("depth", "context").orderBy("depth", "context").toPandas()  # 12 bytes for each row of the model
@@ -225,13 +227,13 @@ def model_scores(docs: DataFrame, model: DataFrame) -> DataFrame:
             for batch in batches:
                 texts = [utf8(t).lower() for t in batch["text"]]
                 for k in range(0, len(texts), 512):
-                    yield pd.DataFrame({"row_id": batch["row_id"][k : k + 512], "score": lookup.score(*codes_of(texts[k : k + 512])), "n_bytes": [len(t) + 1 for t in texts[k : k + 512]]})
+                    yield pd.DataFrame({"key_id": batch["key_id"][k : k + 512], "row_id": batch["row_id"][k : k + 512], "score": lookup.score(*codes_of(texts[k : k + 512])), "n_bytes": [len(t) + 1 for t in texts[k : k + 512]]})
 
-        part = docs.select("row_id", "text").mapInPandas(run, "row_id long, score double, n_bytes long")
+        part = docs.select("key_id", "row_id", "text").mapInPandas(run, "key_id long, row_id long, score double, n_bytes long")
         scored = part if scored is None else scored.unionByName(part)
-    if len(keys) > SLICE_ROWS:
-        scored = scored.groupBy("row_id").agg(F.sum("score").alias("score"), F.max("n_bytes").alias("n_bytes"))
-    return scored
+    slices = -(-len(keys) // SLICE_ROWS)
+    # A sum over slices, once for repeated rows.
+    return scored.groupBy(*KEY).agg((F.sum("score") * slices / F.count(F.lit(1))).alias("score"), F.max("n_bytes").alias("n_bytes"))
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
@@ -252,20 +254,21 @@ def count_tokens(docs: DataFrame) -> DataFrame:
 
 
 def base_scores(docs: DataFrame, tokens: DataFrame) -> DataFrame:
-    """row_id, n_tokens, n_known, train_tokens and base_score of every row of docs."""
+    """key_id, row_id, n_tokens, n_known, train_tokens and base_score of each distinct key of docs."""
     tokens = cut(tokens)
     whole = tokens.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_all, v_all = whole["n"] or 0, whole["v"]
     under = n_all + v_all + 1
-    heavy = {None if r["token"] is None else bytes(r["token"]): r["c"] for r in tokens.where((F.col("c") * HEAVY >= n_all) & (F.coalesce(F.octet_length("token"), F.lit(0)) <= HEAVY_LENGTH)).collect()}
+    heavy = {None if r["token"] is None else bytes(r["token"]): r["c"] for r in tokens.where(F.col("token").isNull() | ((F.col("c") * HEAVY >= n_all) & (F.octet_length("token") <= HEAVY_LENGTH))).collect()}
     shared = docs.sparkSession.sparkContext.broadcast({t: math.log10((c + 1) / under) for t, c in heavy.items()})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = shared.value
         for batch in batches:
-            ids, light, counts, totals, sums, hits = [], [], [], [], [], []
+            keys, ids, light, counts, totals, sums, hits = [], [], [], [], [], [], []
 
-            def put(i, token, n, total, value, hit, ids=ids, light=light, counts=counts, totals=totals, sums=sums, hits=hits):
+            def put(key, i, token, n, total, value, hit, keys=keys, ids=ids, light=light, counts=counts, totals=totals, sums=sums, hits=hits):
+                keys.append(key)
                 ids.append(i)
                 light.append(token)
                 counts.append(n)
@@ -273,7 +276,7 @@ def base_scores(docs: DataFrame, tokens: DataFrame) -> DataFrame:
                 sums.append(value)
                 hits.append(hit)
 
-            for i, text in zip(batch["row_id"], batch["text"], strict=True):
+            for key, i, text in zip(batch["key_id"], batch["row_id"], batch["text"], strict=True):
                 found = utf8(text).lower().split()
                 value, hit, rest = 0.0, 0, Counter()
                 for token, n in [*Counter(found).items(), (None, 1)]:
@@ -285,31 +288,35 @@ def base_scores(docs: DataFrame, tokens: DataFrame) -> DataFrame:
                         value += -math.log10(under)
                     else:
                         rest[token] = n
-                put(i, None, 0, len(found) + 1, value, hit)
+                put(key, i, None, 0, len(found) + 1, value, hit)
                 for token, n in rest.items():
-                    put(i, token, n, 0, 0.0, 0)
-            yield pd.DataFrame({"row_id": ids, "token": light, "k": counts, "n_tokens": totals, "value": sums, "hits": hits})
+                    put(key, i, token, n, 0, 0.0, 0)
+            yield pd.DataFrame({"key_id": keys, "row_id": ids, "token": light, "k": counts, "n_tokens": totals, "value": sums, "hits": hits})
 
-    parts = docs.select("row_id", "text").mapInPandas(run, "row_id long, token binary, k long, n_tokens long, value double, hits long")
+    parts = docs.select("key_id", "row_id", "text").mapInPandas(run, "key_id long, row_id long, token binary, k long, n_tokens long, value double, hits long")
     # Rows without a token are sums already; a random token keeps them out of one partition of the join.
     parts = parts.withColumn("own", F.col("token").isNull()).withColumn("token", F.coalesce("token", F.concat(F.lit("\n").cast("binary"), F.col("row_id").cast("string").cast("binary"))))
     joined = parts.join(tokens.where(F.col("token").isNotNull()), "token", "left")
     c = F.coalesce(F.col("c"), F.lit(0))
-    return joined.groupBy("row_id").agg(
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("hits") + F.when(c > 0, F.col("k")).otherwise(0)).alias("n_known"),
+    times = F.count_if("own")  # repeated rows
+    whole = lambda x: (F.sum(x) / times).cast("long")
+    return joined.groupBy(*KEY).agg(
+        whole(F.col("n_tokens")).alias("n_tokens"),
+        whole(F.col("hits") + F.when(c > 0, F.col("k")).otherwise(0)).alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
-        F.sum(F.col("value") + F.when(F.col("own"), 0.0).otherwise(F.col("k") * F.log10((c + 1) / under))).alias("base_score"),
+        (F.sum(F.col("value") + F.when(F.col("own"), 0.0).otherwise(F.col("k") * F.log10((c + 1) / under))) / times).alias("base_score"),
     )
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every row; learns
     from the rows whose crc32(id as text) mod folds is not held_fold."""
-    rows = pick(docs, doc_id=id_col, text=text_col).withColumn("row_id", F.monotonically_increasing_id())
+    rows = pick(docs, doc_id=id_col, text=text_col)
+    # The id and a hash of the text tell rows apart in every pass, in whatever order a pass reads them.
+    rows = rows.withColumns({"key_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "row_id": F.xxhash64(F.coalesce("text", F.lit("")))})
     held = crc_mod(F.col("doc_id"), folds) == held_fold
     train = rows.where(~F.coalesce(held, F.lit(False)))
     base = base_scores(rows, count_tokens(train))
     model = model_scores(rows, build_model(cut(count_codes(train))))
-    out = rows.select("row_id", "doc_id", F.coalesce(held, F.lit(False)).alias("held_out")).join(base, "row_id").join(model, "row_id")
-    return out.withColumn("bits_per_byte", -F.col("score") / math.log10(2) / F.col("n_bytes")).drop("row_id", "n_bytes")
+    out = rows.select(*KEY, "doc_id", F.coalesce(held, F.lit(False)).alias("held_out")).join(base.join(model, KEY), KEY)
+    return out.withColumn("bits_per_byte", -F.col("score") / math.log10(2) / F.col("n_bytes")).drop(*KEY, "n_bytes")
