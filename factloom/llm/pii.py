@@ -162,7 +162,11 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         work = work.join(marked, "key", "left")
         led = F.coalesce("led", F.array().cast("array<struct<start:int,end:int,instance:string,pattern:string>>"))
     kinds = {k: F.col(k) for k in BASE} | {"id": led}
-    spans = F.sort_array(F.concat(*[F.transform(c, lambda x, k=k: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(k).alias("kind"))) for k, c in kinds.items()]))
+
+    def named(kind: str):
+        return lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(kind).alias("kind"))
+
+    spans = F.sort_array(F.concat(*[F.transform(c, named(k)) for k, c in kinds.items()]))
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def merge(acc, x):
