@@ -4,8 +4,9 @@ Sets are the five-word shingles of lower-cased texts. A set's token at position
 comes first in the p-th of 128 hashed orders, so two sets share it with probability equal to their similarity. A run
 starts with one bucket of all sets; each bucket is split by CHOICES sampled positions (chosen by the bucket's path),
 a set going to one child a position, until buckets have at most BUCKET sets; those are compared by brute force on
-sketches. Runs are repeated until the bound on recall for pairs at the threshold reaches RECALL. A bucket still large
-after MAX_DEPTH splits is joined as a whole. All this only proposes groups: every pair of texts inside a proposed
+sketches. Runs are repeated until the bound on recall for pairs at the threshold reaches RECALL. A large bucket that a
+split leaves with CLUMP of its sets together holds near copies of one text, which no split will part; it is joined as a
+whole, as is one still large after MAX_DEPTH splits. So near copies do not multiply by paths. All this only proposes groups: every pair of texts inside a proposed
 group is then verified exactly on its shingle sets, in blocks, so no link is lost for the size of a bucket or group.
 
 Equal sets are one node, so copies are never paired. Large groups are verified in blocks of at most BLOCK sets and
@@ -36,6 +37,7 @@ SKETCH = 128
 CHOICES = 3
 BUCKET = 256
 MAX_DEPTH = 8
+CLUMP = 0.6
 RECALL = 0.9999
 #: Sketches agree in at least this share for a pair to be proposed; at similarity 0.8 fewer than one pair in 50,000 agrees in less.
 PROPOSE = 0.65
@@ -113,29 +115,27 @@ def chosen_paths(nodes: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFr
     small = large = None
     missed, run = 1.0, 0
     while missed > 1 - RECALL:
-        level = nodes.select("node", "sketch", F.lit(run).cast("long").alias("path"))
+        level = nodes.select("node", "sketch", F.lit(run).cast("long").alias("path"), F.lit(None).cast("long").alias("from"))
         for depth in range(1, MAX_DEPTH + 1):
-            choice = F.explode(F.sequence(F.lit(1), F.lit(CHOICES)))
-            split = level.withColumn("choice", choice)
+            split = level.withColumn("choice", F.explode(F.sequence(F.lit(1), F.lit(CHOICES))))
             place = F.pmod(F.xxhash64("path", "choice"), F.lit(SKETCH)).cast("int")
-            split = split.select("node", F.xxhash64("path", "choice", F.substring("sketch", place * 2 + 1, F.lit(2))).alias("path"))
-            split = cut(split.distinct() if depth > 1 else split)
-            sizes = split.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least")).where("size > 1")
-            sized = cut(split.join(sizes, "path"))
+            split = split.select("node", F.xxhash64("path", "choice", F.substring("sketch", place * 2 + 1, F.lit(2))).alias("path"), "from")
+            split = cut(split)
+            sizes = split.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least"), F.max("from").alias("from")).where("size > 1")
+            sized = cut(split.drop("from").join(sizes, "path"))
             leaves = sized.where(F.col("size") <= BUCKET).select("path", "node")
             small = leaves if small is None else small.unionByName(leaves)
-            rest = sized.where(F.col("size") > BUCKET)
-            if depth == MAX_DEPTH:
-                stuck = rest.select(F.col("node").alias("a"), F.col("least").alias("b"))
-                large = stuck if large is None else large.unionByName(stuck)
+            big = sized.where(F.col("size") > BUCKET)
+            clump = F.lit(True) if depth == MAX_DEPTH else F.coalesce(F.col("size") >= CLUMP * F.col("from"), F.lit(False))
+            stuck = big.where(clump).select(F.col("node").alias("a"), F.col("least").alias("b"))
+            large = stuck if large is None else large.unionByName(stuck)
+            rest = big.where(~clump)
             if rest.isEmpty():
                 break
-            level = rest.select("node", "path").join(nodes, "node")
+            level = rest.select("node", "path", F.col("size").alias("from")).join(nodes, "node")
         missed *= 1 - survival(threshold, depth)
         run += 1
-    if large is None:
-        large = nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    return small, large
+    return small, large.distinct()
 
 
 def spanning(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -264,9 +264,9 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     sized = groups.join(classes.select("node", "n", "copies", "first"), "node")
     sizes = sized.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("parts"))
     placed = sized.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    placed = cut(placed.select("component", "node", "copies", "parts", "part", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash")))
+    placed = cut(placed.select("component", "node", "copies", "parts", "part", F.col("first.doc_id").alias("p_id"), F.col("first.text_hash").alias("p_hash")))
     # One text of each set; then a part meets every part, itself included, in one block each.
-    whole = texts.join(placed, ["doc_id", "text_hash"]).dropDuplicates(["node"])
+    whole = texts.join(placed, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("text_hash") == F.col("p_hash"))).dropDuplicates(["node"])
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     whole = whole.withColumn("other", other)
     block = F.xxhash64("component", F.least("part", "other"), F.greatest("part", "other"))
@@ -279,12 +279,13 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     heads = labelled.groupBy("component").agg(F.min("first").alias("head"))
     full = labelled.join(heads, "component").select(*key, "n_links", "head")
     out = rows.select("doc_id", "text_hash", "row_id", *key).join(full, key)
-    return out.select("doc_id", "text_hash", F.col("head.doc_id").alias("class_id"), "n_links", ((F.col("doc_id") == F.col("head.doc_id")) & (F.col("text_hash") == F.col("head.text_hash"))).alias("kept"))
+    return out.select("doc_id", "text_hash", F.col("head.doc_id").alias("class_id"), "n_links", (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_hash") == F.col("head.text_hash"))).alias("kept"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row of docs, as it is, for each class of linked texts: that of the least doc_id."""
-    kept = jaccard_join(docs, threshold).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    hashed = docs.withColumn("_hash_here", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = hashed.join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash_here") == F.col("_hash")))
-    return joined.dropDuplicates(["_id", "_hash"]).select(*[f"`{c}`" for c in docs.columns])
+    kept = jaccard_join(docs, threshold).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
+    # Packed, so that no column of docs can clash with ours.
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own_hash"))
+    joined = packed.join(kept, F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_hash") == F.col("kept_hash")))
+    return joined.dropDuplicates(["kept_id", "kept_hash"]).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
