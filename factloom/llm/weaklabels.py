@@ -29,6 +29,8 @@ from factloom.llm.common import cut, pick, utf8
 FEATURES = 1024
 TRAIN_ROWS = 1024
 EM_ROUNDS = 60
+#: Labellers are built to object rarely to good texts: this rate is believed with TRUST times the weight of the data.
+FALSE_ALARM, TRUST = 0.01, 4.0
 EPOCHS = 300
 MEMO = 1 << 17
 
@@ -69,7 +71,7 @@ def votes(text: str | None) -> tuple[tuple[int, ...], bool]:
     ), not kinds.isdisjoint(INSULTS)
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = EM_ROUNDS) -> tuple[dict[tuple[int, ...], float], np.ndarray]:
+def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = EM_ROUNDS, trust: float = TRUST) -> tuple[dict[tuple[int, ...], float], np.ndarray]:
     """(posterior of good by pattern, P(vote | class) as labellers x 2 classes x 3 votes) by expectation-maximisation.
     A labeller's silence is an outcome too, as some only ever object. It starts from texts without any objection."""
     if not patterns:
@@ -84,6 +86,10 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = EM_ROUND
             for v in range(3):
                 here = x[:, k] == v
                 table[k, :, v] = (n * (1 - good))[here].sum() + 1, (n * good)[here].sum() + 1
+            kept = table[k, 1, 0] + table[k, 1, 2]
+            alarm = (table[k, 1, 1] + trust * FALSE_ALARM * table[k, 1].sum()) / (1 + trust)
+            table[k, 1] *= (table[k, 1].sum() - alarm) / kept
+            table[k, 1, 1] = alarm
         table /= table.sum(axis=2, keepdims=True)
         ratio = np.log(prior / (1 - prior)) + sum(np.log(table[k, 1, x[:, k]] / table[k, 0, x[:, k]]) for k in range(x.shape[1]))
         good = 1 / (1 + np.exp(-np.clip(ratio, -30, 30)))
