@@ -1,13 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds join training passages to test items, then Smith-Waterman scores them.
+"""Benchmark decontamination: n-gram seeds join training passages to test items, then Smith-Waterman scores them.
 
-Seeds are runs of SEED_WORDS words of the test items. One pass over all texts counts in how many documents each seed
-occurs; the rarer half of every item's seeds (at least one) is kept, so every item keeps seeds however often it was
-copied. A second pass finds the seeds in the texts, and each hit's passage of the document is aligned with the item by
-Smith-Waterman over words. The similarity is the best local score over the score of the whole item, so edited and
-paraphrased copies score in between. Passages of any number of documents are all aligned; nothing is capped.
+Seeds are all runs of SEED_WORDS words of the test items, with letters of every alphabet lower-cased. One pass finds
+them in the texts, and each hit's passage of the document is aligned with the item by Smith-Waterman over words. The
+similarity is the best local score over the score of the whole item, so edited and paraphrased copies score in between.
+No seed is left out, however common or rare: a copy is aligned if one run of SEED_WORDS words of it is as in the item.
+Passages of any number of documents are all aligned; nothing is capped.
 
-Both passes are map-side; the shuffle carries one count for each seed and task. The items are the broadcast side: they
-go in blocks of at most BLOCK_WORDS words, a pass over the texts each, so their size is bounded whatever the benchmark.
+The pass is map-side, without a shuffle. The items are the broadcast side: they go in blocks of at most BLOCK_WORDS
+words, a pass over the texts each, so their size is bounded whatever the benchmark.
 
 Cases: null or empty texts and items have no words and match nothing; an item of fewer words than a seed has one seed,
 all its words; very long texts are searched whole; repeated rows are separate rows; equal items match each; empty
@@ -21,10 +21,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from factloom.llm import licenses
 from factloom.llm.common import filter_texts, pick
-from factloom.llm.licenses import words_of
 
 SEED_WORDS = 4
 BLOCK_WORDS = 1 << 20
@@ -33,6 +32,11 @@ THRESHOLD = 0.5
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """Words as the licence scan has them, with all letters lower-cased and not only A-Z."""
+    return licenses.words_of(None if text is None else text.lower())
+
+
 def grams(ids: np.ndarray, n: int) -> np.ndarray:
     """64-bit hashes of the runs of n ids."""
     m = len(ids) - n + 1
@@ -62,22 +66,10 @@ class Items:
                 code.append(g)
                 size.append(np.full(len(g), n))
         self.item, self.at, self.code, self.size = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (item, at, code, size))
-        self.seeds = np.unique(self.code)
-        self.lengths = sorted(set(self.size.tolist()))
-
-    def rare(self, df: dict[int, int]) -> Items:
-        """Keeps the rarer half of every item's seeds, by the documents that hold them."""
-        counts = np.array([df.get(int(k), 0) for k in np.searchsorted(self.seeds, self.code)])
-        keep = np.zeros(len(self.code), bool)
-        for k in range(len(self.words)):
-            own = np.flatnonzero(self.item == k) if len(self.words) < 64 else np.arange(*np.searchsorted(self.item, [k, k + 1]))
-            if len(own):
-                keep[own[counts[own] <= np.median(counts[own])]] = True
-        self.item, self.at, self.code, self.size = (x[keep] for x in (self.item, self.at, self.code, self.size))
         order = np.argsort(self.code, kind="stable")
         self.item, self.at, self.code, self.size = (x[order] for x in (self.item, self.at, self.code, self.size))
         self.seeds = np.unique(self.code)
-        return self
+        self.lengths = sorted(set(self.size.tolist()))
 
     def numbers(self, text: str | None) -> np.ndarray:
         get = self.vocabulary.get
@@ -148,23 +140,6 @@ def align(items: Items, ids: np.ndarray) -> list[tuple[int, float, int, int]]:
     return out
 
 
-def seed_counts(docs: DataFrame, shared) -> dict[int, int]:
-    """In how many documents each seed occurs; as many numbers as a block has seeds."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items = shared.value
-        total = np.zeros(len(items.seeds), np.int64)
-        for batch in batches:
-            for text in batch["text"]:
-                codes = np.unique(items.hits(items.numbers(text))[1])
-                total[np.searchsorted(items.seeds, codes)] += 1
-        seen = np.flatnonzero(total)
-        yield pd.DataFrame({"seed": seen, "n": total[seen]})
-
-    counted = docs.select("text").mapInPandas(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-    return {r["seed"]: r["n"] for r in counted.collect()}
-
-
 def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """Blocks of items with at most BLOCK_WORDS words, unless one item alone has more."""
     block, words = [], 0
@@ -186,9 +161,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     spark, out = docs.sparkSession, None
     schema = "doc_id long, item_id long, similarity double, first_word long, end_word long"
     for block in item_blocks(pick(benchmark, item_id="item_id", text="text")):
-        everything = Items(block)
-        df = seed_counts(texts, spark.sparkContext.broadcast(everything))
-        shared = spark.sparkContext.broadcast(everything.rare(df))
+        shared = spark.sparkContext.broadcast(Items(block))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             items = shared.value
@@ -206,9 +179,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     """The rows of docs, as they are, that hold no test item to that similarity."""
     out, sc = docs, docs.sparkSession.sparkContext
     for block in item_blocks(pick(benchmark, item_id="item_id", text="text")):
-        everything = Items(block)
-        df = seed_counts(pick(docs, text="text"), sc.broadcast(everything))
-        shared = sc.broadcast(everything.rare(df))
+        shared = sc.broadcast(Items(block))
 
         def decide(shared=shared):
             items = shared.value

@@ -136,6 +136,19 @@ def test_leaks_are_found(spark, monkeypatch, block):
     assert {r[0] for r in clean.select("doc_id").collect()} == {i for i, _ in docs} - {i for i, _ in got}
 
 
+def test_edited_copies_without_or_beside_an_exact_one(spark):
+    """Every fifth word replaced breaks most seeds: whether no other text holds them or one does, the copy is found."""
+    rng = random.Random(6)
+    items = [(k, " ".join(f"{w}{k}x{rng.randrange(30)}" for w in prose(rng, 40).split())) for k in range(4)] + [(9, "Äpfel ÜBER Öl ÉTÉ")]
+    docs = [(k, " ".join("edited" if n % 5 == 4 else w for n, w in enumerate(t.split()))) for k, t in items[:4]]
+    docs += [(10, items[0][1]), (11, items[1][1]), (12, "und äpfel über öl été dazu")]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.find_leaks(frame, bench).collect()}
+    assert set(got) == {*((k, k) for k in range(4)), (10, 0), (11, 1), (12, 9)}
+    assert all(abs(got[k, k] - 0.7) < 0.02 for k in range(4)) and got[12, 9] == 1
+    assert decontaminate.drop_leaks(frame, bench).count() == 0
+
+
 def test_leaks_of_awkward_rows(spark, awkward, awkward_rows, empty):
     bench = spark.createDataFrame([(1, awkward_rows[0][1]), (2, "short text")], "item_id long, text string")
     got = sorted((r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(awkward, bench).collect())
