@@ -53,7 +53,7 @@ def op10_multi_index(spark, sf_dir):
 
 
 def op5_weak_labels(spark, sf_dir):
-    return weaklabels.classify(table(spark, sf_dir, "documents"))
+    return weaklabels.classify(table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels"))
 
 
 QUERIES = {

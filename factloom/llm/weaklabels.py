@@ -8,6 +8,10 @@ All votes count: patterns are aggregated over the whole input (at most 3^labelle
 scorer is fitted on a bounded sample, TRAIN_ROWS texts with the smallest hashes of the id in each class, of which only
 FEATURES numbers each are gathered. Then every whole text is scored map-side. The shuffles carry pattern counts only.
 
+Toxicity is learned where labels are given: a logistic scorer over the words' beginnings, which say a language's
+insults however they are inflected, is fitted on at most TOXIC_ROWS labelled texts of each class, taken by hashes over
+all languages. Labels of the held-out fold are never learned from. A word of a fixed list is toxic in any case.
+
 Cases: a null or empty text gets no votes but for its length, which calls it bad. Very long texts are read whole. Ties
 of hashes are broken by id. Repeated rows are scored each. If a class has no sample rows, the score is the posterior. Empty
 tables give empty results; other columns are not read.
@@ -16,6 +20,7 @@ tables give empty results; other columns are not read.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -24,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import cut, pick, utf8
+from factloom.llm.common import crc_mod, cut, pick, utf8
 
 FEATURES = 1024
 TRAIN_ROWS = 1024
@@ -33,6 +38,12 @@ EM_ROUNDS = 60
 FALSE_ALARM, TRUST = 0.01, 4.0
 EPOCHS = 300
 MEMO = 1 << 17
+#: Labelled texts of each class that toxicity is learned from, the fold of labels that is held out, the hashed
+#: beginnings of words, and how many of these the scorer has.
+TOXIC_ROWS = 2048
+FOLDS, HELD_FOLD = 7, 2
+STEMS, KEPT_STEMS = 1 << 20, 2048
+BEGINNINGS = (3, 4, 5, 6, 7)
 
 # Marks that prose rarely has, frequent words of four languages, and insults.
 MARKS = b"#$%&*|!{}<>=~^\\"
@@ -124,7 +135,7 @@ def features(text: str | None) -> np.ndarray:
 
 def fit(x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -> np.ndarray:
     """Weights and bias of a logistic scorer of soft labels, by Adam on the whole sample."""
-    x = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
+    x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1)
     w, m, v = (np.zeros(x.shape[1]) for _ in range(3))
     for k in range(1, epochs + 1):
         g = x.T @ (1 / (1 + np.exp(-x @ w)) - y) / len(x) + 1e-4 * w
@@ -134,8 +145,75 @@ def fit(x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -> np.ndarray:
     return w
 
 
-def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, votes, posterior, score, good (score at least one half), toxic and keep of every row."""
+def stems(word: str) -> tuple[int, ...]:
+    """Hashes of a word and its beginnings."""
+    w = word.strip(".,;:!?\"'()#$%&*|").lower()
+    return tuple({zlib.crc32(x.encode("utf-8", "surrogatepass")) % STEMS for x in (w[:k] for k in (*BEGINNINGS, len(w))) if x})
+
+
+def stem_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct hashes of the text's words and their beginnings, how often each occurs)."""
+    places: list[int] = []
+    for w, n in Counter((text or "").split()).items():
+        places += stems(w) * n
+    return np.unique(np.array(places, np.int64), return_counts=True)
+
+
+class Toxicity:
+    """A logistic scorer of log counts of the KEPT_STEMS beginnings of words that tell the classes apart best."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray):
+        at = np.concatenate([k for k, _ in rows])
+        row = np.repeat(np.arange(len(rows)), [len(k) for k, _ in rows])
+        value = np.log1p(np.concatenate([n for _, n in rows]).astype(float))
+        kinds, where = np.unique(at, return_inverse=True)
+        bad, fine = (np.bincount(where, value * (toxic[row] == c), len(kinds)) / max(1, (toxic == c).sum()) for c in (True, False))
+        spread = np.sqrt(np.bincount(where, value * value, len(kinds)) / len(rows)) + 0.05
+        self.stems = np.sort(kinds[np.argsort(-np.abs(bad - fine) / spread, kind="stable")[:KEPT_STEMS]])
+        x = np.zeros((len(rows), len(self.stems)))
+        place = np.minimum(np.searchsorted(self.stems, at), len(self.stems) - 1)
+        known = self.stems[place] == at
+        x[row[known], place[known]] = value[known]
+        self.weights = fit(x, toxic.astype(float))
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.place = {int(k): i for i, k in enumerate(self.stems)}
+
+    def score(self, text: str | None) -> float:
+        if len(self.known) > MEMO:
+            self.known.clear()
+        places: list[int] = []
+        for w in (text or "").split():
+            p = self.known.get(w)
+            if p is None:
+                p = self.known[w] = tuple(self.place[k] for k in stems(w) if k in self.place)
+            places += p
+        counts = np.bincount(np.array(places, np.int64), minlength=len(self.stems))
+        return float(1 / (1 + np.exp(-np.clip(np.log1p(counts) @ self.weights[:-1] + self.weights[-1], -30, 30))))
+
+
+def learn_toxicity(texts: DataFrame, labels: DataFrame) -> Toxicity | None:
+    """The scorer of a bounded sample of labelled texts outside the held-out fold; None where a class has none."""
+    told = pick(labels, doc_id="doc_id", toxic="toxic").where((crc_mod(F.col("doc_id"), FOLDS) != HELD_FOLD) & F.col("toxic").isin(0, 1))
+    told = cut(told.join(texts.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")))
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen = [told.where(F.col("toxic") == c).orderBy(*order).limit(TOXIC_ROWS) for c in (0, 1)]
+    wanted = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 x TOXIC_ROWS ids at most
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            got = [stem_counts(t) for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "at": [k.astype(np.int32).tobytes() for k, _ in got], "n": [n.astype(np.int32).tobytes() for _, n in got]})
+
+    sample = sorted(tuple(r) for r in texts.join(wanted, "doc_id").mapInPandas(measure, "doc_id long, toxic int, at binary, n binary").collect())
+    toxic = np.array([t == 1 for _, t, _, _ in sample], bool)
+    if not toxic.any() or toxic.all():
+        return None
+    return Toxicity([(np.frombuffer(bytes(k), np.int32), np.frombuffer(bytes(n), np.int32)) for _, _, k, n in sample], toxic)
+
+
+def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labels: DataFrame | None = None) -> DataFrame:
+    """doc_id, votes, posterior, score, good (score at least one half), toxic and keep of every row; labels (doc_id,
+    toxic 0 or 1) of some rows are what toxicity is learned from."""
     texts = pick(docs, doc_id=id_col, text=text_col)
 
     def cast(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -163,15 +241,15 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     weights = None
     if len(sample) and (y < 0.5).any() and (y >= 0.5).any():
         weights = fit(np.frombuffer(b"".join(bytes(b) for _, _, b in sample), np.float32).reshape(len(sample), -1), y)
-    shared = spark.sparkContext.broadcast((posterior, weights))
+    shared = spark.sparkContext.broadcast((posterior, weights, None if labels is None else learn_toxicity(texts, labels)))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        posterior, weights = shared.value
+        posterior, weights, learned = shared.value
         for batch in batches:
             got = [votes(t) for t in batch["text"]]
             p = [posterior[v] for v, _ in got]
             s = p if weights is None else [float(1 / (1 + np.exp(-np.clip(features(t) @ weights[:-1] + weights[-1], -30, 30)))) for t in batch["text"]]
-            toxic = [x for _, x in got]
+            toxic = [x or (learned is not None and learned.score(t) >= 0.5) for (_, x), t in zip(got, batch["text"], strict=True)]
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "votes": [",".join(map(str, v)) for v, _ in got], "posterior": p, "score": s, "good": [x >= 0.5 for x in s], "toxic": toxic, "keep": [x >= 0.5 and not t for x, t in zip(s, toxic, strict=True)]})
 
     return texts.mapInPandas(score, "doc_id long, votes string, posterior double, score double, good boolean, toxic boolean, keep boolean")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -43,6 +44,27 @@ def test_junk_and_prose_are_told_apart(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_toxicity_is_learned_from_labels_in_any_language(spark):
+    """Insults that no list holds, inflected in two languages; the held-out fold's labels say the opposite."""
+    rng = random.Random(7)
+    insult = {"de": "achlich", "fr": "réeux"}
+    rows, labels = [], []
+    for i in range(420):
+        lang, bad = ("de", "fr")[i % 2], i % 3 == 0
+        words = prose(rng, 60).split()
+        for _ in range(4 * bad):
+            words.insert(rng.randrange(len(words)), insult[lang] + rng.choice(["ung", "ment", "er", "on", "este"]))
+        held = zlib.crc32(str(i).encode()) % weaklabels.FOLDS == weaklabels.HELD_FOLD
+        rows.append((i, " ".join(words), bad, held))
+        labels.append((i, int(bad != held)))
+    docs = spark.createDataFrame([(i, t) for i, t, _, _ in rows], "doc_id long, text string")
+    told = spark.createDataFrame([*labels, (9999, 1), (None, 1), (3, None)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["toxic"] for r in weaklabels.classify(docs, labels=told).collect()}
+    assert sum(h for *_, h in rows) > 20
+    assert np.mean([got[i] == bad for i, _, bad, held in rows if held]) > 0.97
+    assert not any(r["toxic"] for r in weaklabels.classify(docs, labels=told.limit(0)).collect())
+
+
 def test_quality_rows(awkward, awkward_rows, empty):
     assert weaklabels.classify(awkward).count() == len(awkward_rows)
     assert weaklabels.classify(empty).count() == 0
