@@ -3,8 +3,9 @@
 Each half of the unit vectors has a codebook of its own (k-means on a bounded sample); the product of the two is a
 grid of cells, and every vector lives in the cell of its nearest pair of centroids. As a query, a vector visits cells
 in multi-sequence order (by the sum of its halves' distances) until the number of cells that the target recall needs:
-that number is measured, on at most CALIBRATE queries against all vectors, before the visits are made. Every pair met
-is verified by cosine in double precision.
+that number is measured before the visits are made, on the links of at most CALIBRATE queries with all vectors, and on
+copies of these queries moved to just the threshold, as far as a link can be: so there is evidence even where no query
+has a link. Every pair met is verified by cosine in double precision.
 
 The grid grows with the number of vectors, so that cells keep about CELL vectors. Residents and visitors of a cell
 meet in blocks, so a cell may hold any share of all vectors; a block sends on link counts and spanning links, never
@@ -119,8 +120,18 @@ def fit(nodes: DataFrame) -> MultiIndex | None:
     return MultiIndex(k_means(x[:, :half], k, 1), k_means(x[:, half:], k, 2) if x.shape[1] > half else np.zeros((1, 0)))
 
 
+def moved(x: np.ndarray, threshold: float) -> np.ndarray:
+    """Unit vectors at just the threshold's cosine from the rows of x, in random directions."""
+    side = np.random.default_rng(5).normal(size=x.shape)
+    side -= (side * x).sum(axis=1, keepdims=True) * x
+    length = np.sqrt((side * side).sum(axis=1, keepdims=True))
+    side = np.divide(side, length, out=np.zeros_like(side), where=length > 1e-9)  # one dimension has no side
+    return unit(threshold * x + max(0.0, 1 - threshold * threshold) ** 0.5 * side)
+
+
 def calibrate(nodes: DataFrame, shared, threshold: float) -> tuple[int, float]:
-    """(cells to visit, measured recall): the mean over queries of the share of true links met, against all vectors."""
+    """(cells to visit, measured recall): the mean over queries of the share of links met, where it is lower of true
+    links with all vectors and of links with moved copies."""
     queries = nodes.orderBy(F.xxhash64("v", F.lit(1)), "node").limit(CALIBRATE).select("node", "v").collect()
     index = shared.value
     q = unit(np.array([r["v"] for r in queries]))
@@ -148,10 +159,13 @@ def calibrate(nodes: DataFrame, shared, threshold: float) -> tuple[int, float]:
     table = np.zeros((len(q), MAX_VISITS + 1))
     for r in counts:
         table[r["q"], r["rank"]] = r["n"]
-    table = table[table.sum(axis=1) > 0]
-    if not len(table):
-        return MIN_VISITS, 1.0
-    recall = (np.cumsum(table, axis=1) / table.sum(axis=1, keepdims=True)).mean(axis=0)
+    near = moved(q, threshold)
+    e1, e2 = index.halves(near)
+    met = np.minimum(index.rank(d1, d2, index.home(e1, e2)), index.rank(e1, e2, home))
+    copies = np.zeros_like(table)
+    np.add.at(copies, (np.arange(len(q)), np.minimum(met, MAX_VISITS)), 1)
+    tables = [t[t.sum(axis=1) > 0] for t in (table, copies)]
+    recall = np.min([(np.cumsum(t, axis=1) / t.sum(axis=1, keepdims=True)).mean(axis=0) for t in tables if len(t)], axis=0)
     cells = int(np.searchsorted(recall[:MAX_VISITS], TARGET_RECALL)) + 1
     cells = max(MIN_VISITS, min(MAX_VISITS, cells))
     return cells, float(recall[cells - 1])

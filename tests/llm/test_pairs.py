@@ -183,6 +183,22 @@ def test_vectors_by_hand(spark, monkeypatch):
     assert multiindex.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_cells_are_calibrated_without_any_link(spark):
+    """No vector has a neighbour; copies at the threshold must be met all the same, at the recall that is told."""
+    rng = np.random.default_rng(8)
+    x = multiindex.unit(rng.normal(size=(1500, 64)))
+    assert (np.triu(x @ x.T, 1) < 0.95).all()
+    index = multiindex.MultiIndex(x[:70, :32], x[70:140, 32:])
+    nodes = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(x)], "node long, v array<double>")
+    cells, recall = multiindex.calibrate(nodes, spark.sparkContext.broadcast(index), 0.95)
+    side = rng.normal(size=x.shape)
+    side -= (side * x).sum(axis=1, keepdims=True) * x
+    near = 0.95 * x + (1 - 0.95**2) ** 0.5 * multiindex.unit(side)
+    d, e = index.halves(x), index.halves(near)
+    met = np.minimum(index.rank(*d, index.home(*e)), index.rank(*e, index.home(*d)))
+    assert (met < multiindex.MIN_VISITS).mean() < 0.97 and (met < cells).mean() > 0.98 and recall >= multiindex.TARGET_RECALL
+
+
 def test_traversal_order():
     rng = np.random.default_rng(4)
     index = multiindex.MultiIndex(rng.normal(size=(7, 2)), rng.normal(size=(5, 3)))
