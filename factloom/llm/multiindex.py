@@ -5,7 +5,8 @@ grid of cells, and every vector lives in the cell of its nearest pair of centroi
 in multi-sequence order (by the sum of its halves' distances) until the number of cells that the target recall needs:
 that number is measured before the visits are made, on the links of at most CALIBRATE queries with all vectors, and on
 copies of these queries moved to just the threshold, as far as a link can be: so there is evidence even where no query
-has a link. Every pair met is verified by cosine in double precision.
+has a link. The number goes as far as the whole grid, where every pair meets; below LEAST_RECALL the run fails, and the
+recall is logged. Every pair met is verified by cosine in double precision.
 
 The grid grows with the number of vectors, so that cells keep about CELL vectors. Residents and visitors of a cell
 meet in blocks, so a cell may hold any share of all vectors; a block sends on link counts and spanning links, never
@@ -18,6 +19,7 @@ An empty table gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,12 +32,12 @@ from factloom.llm.common import cut, pick
 from factloom.operators.graph import connected_components
 
 THRESHOLD = 0.95
-TARGET_RECALL = 0.995
+TARGET_RECALL, LEAST_RECALL = 0.995, 0.9
 SAMPLE = 8192
 CALIBRATE = 256
 CELL = 10
 MAX_CENTROIDS = 1024
-MIN_VISITS, MAX_VISITS = 8, 512
+MIN_VISITS = 8
 RESIDENTS, VISITORS = 1024, 4096
 
 
@@ -78,6 +80,9 @@ class MultiIndex:
         i j <= r, so only such pairs of ranks are merged."""
         o1, o2 = (np.argsort(d, axis=1, kind="stable")[:, :cells] for d in (d1, d2))
         i, j = np.nonzero(np.outer(np.arange(1, o1.shape[1] + 1), np.arange(1, o2.shape[1] + 1)) <= cells)
+        step = max(1, (1 << 23) // len(i))
+        if len(d1) > step:
+            return np.concatenate([self.visit(d1[k : k + step], d2[k : k + step], cells) for k in range(0, len(d1), step)])
         sums = np.take_along_axis(d1, o1, 1)[:, i] + np.take_along_axis(d2, o2, 1)[:, j]
         best = np.argsort(sums, axis=1, kind="stable")[:, :cells]
         return np.take_along_axis(o1, i[best], 1) * len(self.second) + np.take_along_axis(o2, j[best], 1)
@@ -129,6 +134,14 @@ def moved(x: np.ndarray, threshold: float) -> np.ndarray:
     return unit(threshold * x + max(0.0, 1 - threshold * threshold) ** 0.5 * side)
 
 
+def visit_bounds(grid: int) -> np.ndarray:
+    """Numbers of cells to choose from, each at most a tenth or one more than the one before, up to the whole grid."""
+    out = [min(MIN_VISITS, grid)]
+    while out[-1] < grid:
+        out.append(min(grid, max(out[-1] + 1, out[-1] * 11 // 10)))
+    return np.array(out)
+
+
 def calibrate(nodes: DataFrame, shared, threshold: float) -> tuple[int, float]:
     """(cells to visit, measured recall): the mean over queries of the share of links met, where it is lower of true
     links with all vectors and of links with moved copies."""
@@ -138,10 +151,12 @@ def calibrate(nodes: DataFrame, shared, threshold: float) -> tuple[int, float]:
     q_id = np.array([r["node"] for r in queries])
     d1, d2 = index.halves(q)
     home = index.home(d1, d2)
+    bounds = visit_bounds(len(index.first) * len(index.second))
+    column = lambda met: np.searchsorted(bounds, met + 1)  # the first bound that meets the rank
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = shared.value
-        table = np.zeros((len(q), MAX_VISITS + 1), np.int64)
+        table = np.zeros((len(q), len(bounds)), np.int64)
         for batch in batches:
             x = unit(np.stack(batch["v"].to_list()))
             a, b = np.nonzero(q @ x.T >= threshold)
@@ -151,24 +166,23 @@ def calibrate(nodes: DataFrame, shared, threshold: float) -> tuple[int, float]:
                 i, j = a[at : at + 4096], b[at : at + 4096]
                 e1, e2 = index.halves(x[j])
                 met = np.minimum(index.rank(d1[i], d2[i], index.home(e1, e2)), index.rank(e1, e2, home[i]))
-                np.add.at(table, (i, np.minimum(met, MAX_VISITS)), 1)
+                np.add.at(table, (i, column(met)), 1)
         i, j = np.nonzero(table)
         yield pd.DataFrame({"q": i, "rank": j, "n": table[i, j]})
 
     counts = nodes.select("node", "v").mapInPandas(run, "q long, rank long, n long").groupBy("q", "rank").agg(F.sum("n").alias("n")).collect()
-    table = np.zeros((len(q), MAX_VISITS + 1))
+    table = np.zeros((len(q), len(bounds)))
     for r in counts:
         table[r["q"], r["rank"]] = r["n"]
     near = moved(q, threshold)
     e1, e2 = index.halves(near)
     met = np.minimum(index.rank(d1, d2, index.home(e1, e2)), index.rank(e1, e2, home))
     copies = np.zeros_like(table)
-    np.add.at(copies, (np.arange(len(q)), np.minimum(met, MAX_VISITS)), 1)
+    np.add.at(copies, (np.arange(len(q)), column(met)), 1)
     tables = [t[t.sum(axis=1) > 0] for t in (table, copies)]
     recall = np.min([(np.cumsum(t, axis=1) / t.sum(axis=1, keepdims=True)).mean(axis=0) for t in tables if len(t)], axis=0)
-    cells = int(np.searchsorted(recall[:MAX_VISITS], TARGET_RECALL)) + 1
-    cells = max(MIN_VISITS, min(MAX_VISITS, cells))
-    return cells, float(recall[cells - 1])
+    k = min(int(np.searchsorted(recall, TARGET_RECALL)), len(bounds) - 1)
+    return int(bounds[k]), float(recall[k])
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -179,7 +193,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     if index is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     shared = vectors.sparkSession.sparkContext.broadcast(index)
-    cells, _ = calibrate(nodes, shared, threshold)
+    cells, recall = calibrate(nodes, shared, threshold)
+    logging.getLogger(__name__).info("%d cells visited, measured recall %.4f", cells, recall)
+    if recall < LEAST_RECALL:
+        raise RuntimeError(f"measured recall {recall:.4f} at {cells} cells is below {LEAST_RECALL}")
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = shared.value
@@ -218,11 +235,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
                 other = node[i] != node[j]
                 i, j = i[other], j[other]
                 # A pair that meets both ways counts where the lesser id visits.
-                visits = np.zeros((len(rows), cells), np.int64)
-                visits[here] = np.stack(rows["visits"].iloc[here].to_list())
+                visits = np.stack(rows["visits"].iloc[here].to_list())
+                seat = np.zeros(len(rows), np.int64)
+                seat[here] = np.arange(len(here))
                 back = np.zeros(len(i), bool)
-                for at in range(0, len(i), 65536):
-                    back[at : at + 65536] = (visits[j[at : at + 65536]] == home[i[at : at + 65536], None]).any(axis=1)
+                step = max(1, (1 << 23) // cells)
+                for at in range(0, len(i), step):
+                    back[at : at + step] = (visits[seat[j[at : at + step]]] == home[i[at : at + step], None]).any(axis=1)
                 once = ~back | (node[i] < node[j])
                 i, j = i[once], j[once]
                 ids, where = np.unique(node, return_inverse=True)

@@ -199,6 +199,19 @@ def test_cells_are_calibrated_without_any_link(spark):
     assert (met < multiindex.MIN_VISITS).mean() < 0.97 and (met < cells).mean() > 0.98 and recall >= multiindex.TARGET_RECALL
 
 
+def test_cells_go_on_until_the_recall_is_met(spark):
+    """A grid so fine that links lie thousands of cells apart: more than 512 cells are needed, and are visited."""
+    rng = np.random.default_rng(9)
+    x = multiindex.unit(rng.normal(size=(400, 2)))
+    line = np.linspace(-1, 1, 200)[:, None]
+    index = multiindex.MultiIndex(line, line)
+    nodes = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(x)], "node long, v array<double>")
+    cells, recall = multiindex.calibrate(nodes, spark.sparkContext.broadcast(index), 0.95)
+    assert 512 < cells <= 200 * 200 and recall >= multiindex.TARGET_RECALL
+    d1, d2 = index.halves(x[:20])
+    assert index.visit(d1, d2, cells).shape == (20, cells)
+
+
 def test_traversal_order():
     rng = np.random.default_rng(4)
     index = multiindex.MultiIndex(rng.normal(size=(7, 2)), rng.normal(size=(5, 3)))
