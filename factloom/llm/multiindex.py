@@ -1,31 +1,36 @@
 """Embedding near-duplicates by an inverted multi-index.
 
-Each half of the unit vectors has a codebook of its own (k-means on a bounded sample); the product of the two is a
+Vectors of each length have an index of their own, as no cosine joins two lengths; lengths of at most RESIDENTS vectors
+have one cell. Each half of the unit vectors has a codebook (k-means on a bounded sample); the product of the two is a
 grid of cells, and every vector lives in the cell of its nearest pair of centroids. As a query, a vector visits cells
 in multi-sequence order (by the sum of its halves' distances) until the number of cells that the target recall needs:
 that number is measured before the visits are made, on the links of at most CALIBRATE queries with all vectors, and on
 copies of these queries moved to just the threshold, as far as a link can be: so there is evidence even where no query
 has a link. The number goes as far as the whole grid, where every pair meets; below LEAST_RECALL the run fails, and the
-recall is logged. Every pair met is verified by cosine in double precision.
+least recall of all lengths is a column of the result. Every pair met is verified by cosine in double precision, after
+each vector is scaled by its largest component, so that norms neither overflow nor underflow.
 
 The grid grows with the number of vectors, so that cells keep about CELL vectors. Residents and visitors of a cell
 meet in blocks, so a cell may hold any share of all vectors; a block sends on link counts and spanning links, never
-all its pairs. Equal vectors are one node. Only codebooks and calibration queries, both bounded, are broadcast.
+all its pairs. Equal vectors are one node. Vectors travel in their own precision. Only codebooks and calibration
+queries, both bounded, are broadcast.
 
-Cases: vectors that are null, zero, empty, or hold null or non-finite components link with nothing; so do vectors of
-another length than the most common one (the least of these, where lengths tie). Repeated rows are separate vectors.
-An empty table gives an empty result. Other columns are not read.
+Cases: vectors that are null, zero, empty, or hold null or non-finite components link with nothing. Repeated rows and
+ids are separate vectors. A null id is the least of none: a component of null ids alone has a null component_id, and
+its rows are kept. A pair at exactly the threshold is linked. An empty table gives an empty result. Other columns are
+not read.
 """
 
 from __future__ import annotations
 
-import logging
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from factloom.llm.chosenpath import runs_of, spanning
 from factloom.llm.common import cut, pick
@@ -43,6 +48,7 @@ RESIDENTS, VISITORS = 1024, 4096
 
 def unit(vectors: np.ndarray) -> np.ndarray:
     v = vectors.astype(np.float64)
+    v = v / np.abs(v).max(axis=1, keepdims=True)
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
@@ -97,29 +103,25 @@ class MultiIndex:
         return out
 
 
-def _matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.float64).reshape(len(column), -1)
-
-
 def valid(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame]:
-    """(row_id, vec_id, node of every row; node, copies and raw vector bytes of distinct valid vectors)."""
+    """(row_id, vec_id and hash key of every row, the key null where the vector is not valid; node, size, copies, key
+    and vector of distinct valid vectors)."""
+    element = getattr(vectors.schema[vector_col].dataType, "elementType", None)
+    kind = "float" if isinstance(element, FloatType) else "double"
     raw = pick(vectors, vec_id=id_col, v=vector_col).withColumn("row_id", F.monotonically_increasing_id())
-    v = F.transform("v", lambda x: x.cast("double"))
+    v = F.transform("v", lambda x: x.cast(kind) + F.lit(0.0).cast(kind))  # no negative zeros
     fine = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: F.coalesce(~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf"))), F.lit(False))) & F.exists("v", lambda x: x != 0)
-    rows = cut(raw.select("row_id", "vec_id", F.when(F.coalesce(fine, F.lit(False)), v).alias("v")))
-    lengths = rows.where("v IS NOT NULL").groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
-    size = lengths[0]["size"] if lengths else 0
-    rows = rows.withColumn("v", F.when(F.size("v") == size, F.col("v")))
-    return rows, rows.where("v IS NOT NULL").groupBy("v").agg(F.min("row_id").alias("node"), F.count(F.lit(1)).alias("copies"))
-
-
-def fit(nodes: DataFrame) -> MultiIndex | None:
-    """Codebooks on the SAMPLE vectors with the smallest hashes."""
-    n = nodes.count()
-    if not n:
-        return None
+    rows = raw.select("row_id", "vec_id", F.when(F.coalesce(fine, F.lit(False)), v).alias("v"))
+    key = [F.when(F.col("v").isNotNull(), F.xxhash64("v", F.lit(k))).alias(f"k{k}") for k in (1, 2)]
+    rows = cut(rows.select("*", *key))
+    nodes = rows.where("v IS NOT NULL").groupBy("v").agg(F.min("row_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("k1").alias("k1"), F.first("k2").alias("k2"))
+    return rows.drop("v"), cut(nodes.withColumn("size", F.size("v")))
+
+
+def fit(nodes: DataFrame, n: int) -> MultiIndex:
+    """Codebooks on the SAMPLE vectors, of n of one length, with the smallest hashes."""
     sample = [r["v"] for r in nodes.orderBy(F.xxhash64("v"), "node").limit(SAMPLE).select("v").collect()]
-    x = unit(np.array(sample))
+    x = unit(np.array(sample, np.float64))
     k = int(min(MAX_CENTROIDS, max(1, round((n / CELL) ** 0.5)), len(x)))
     half = max(1, x.shape[1] // 2)
     return MultiIndex(k_means(x[:, :half], k, 1), k_means(x[:, half:], k, 2) if x.shape[1] > half else np.zeros((1, 0)))
@@ -147,7 +149,7 @@ def calibrate(nodes: DataFrame, shared, threshold: float) -> tuple[int, float]:
     links with all vectors and of links with moved copies."""
     queries = nodes.orderBy(F.xxhash64("v", F.lit(1)), "node").limit(CALIBRATE).select("node", "v").collect()
     index = shared.value
-    q = unit(np.array([r["v"] for r in queries]))
+    q = unit(np.array([r["v"] for r in queries], np.float64))
     q_id = np.array([r["node"] for r in queries])
     d1, d2 = index.halves(q)
     home = index.home(d1, d2)
@@ -186,37 +188,48 @@ def calibrate(nodes: DataFrame, shared, threshold: float) -> tuple[int, float]:
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id, n_links, component_id and kept of every row."""
-    rows, distinct = valid(vectors, id_col, vector_col)
-    nodes = cut(distinct)
-    index = fit(nodes)
-    if index is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    shared = vectors.sparkSession.sparkContext.broadcast(index)
-    cells, recall = calibrate(nodes, shared, threshold)
-    logging.getLogger(__name__).info("%d cells visited, measured recall %.4f", cells, recall)
-    if recall < LEAST_RECALL:
-        raise RuntimeError(f"measured recall {recall:.4f} at {cells} cells is below {LEAST_RECALL}")
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = shared.value
+    """vec_id, n_links, component_id, kept and recall (as measured, the same in each row) of every row."""
+    rows, nodes = valid(vectors, id_col, vector_col)
+    counts = {r["size"]: r["count"] for r in nodes.groupBy("size").count().collect()}  # a row for each length
+    large = sorted(size for size, n in counts.items() if n > RESIDENTS)
+    kind = np.float32 if dict(nodes.dtypes)["v"] == "array<float>" else np.float64
+    schema = "size int, node long, copies long, home long, visits array<long>, x binary"
+    sc, recall, places = vectors.sparkSession.sparkContext, 1.0, []
+    for size in large:
+        some = nodes.where(F.col("size") == size)
+        shared = sc.broadcast(fit(some, counts[size]))
+        cells, measured = calibrate(some, shared, threshold)
+        if measured < LEAST_RECALL:
+            raise RuntimeError(f"measured recall {measured:.4f} at {cells} cells is below {LEAST_RECALL}")
+        recall = min(recall, measured)
+
+        def place(batches: Iterator[pd.DataFrame], shared=shared, cells=cells) -> Iterator[pd.DataFrame]:
+            index = shared.value
+            for batch in batches:
+                for at in range(0, len(batch), 1024):
+                    some = batch[at : at + 1024]
+                    raw = np.stack(some["v"].to_list()).astype(kind)
+                    d1, d2 = index.halves(unit(raw))
+                    visits = index.visit(d1, d2, cells).astype(np.int64)
+                    yield pd.DataFrame({"size": some["size"], "node": some["node"], "copies": some["copies"], "home": index.home(d1, d2), "visits": list(visits), "x": [r.tobytes() for r in raw]})
+
+        places.append(some.mapInPandas(place, schema))
+
+    def alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 1024):
-                some = batch[at : at + 1024]
-                x = unit(np.stack(some["v"].to_list()))
-                d1, d2 = index.halves(x)
-                visits = index.visit(d1, d2, cells).astype(np.int64)
-                yield pd.DataFrame({"node": some["node"], "copies": some["copies"], "home": index.home(d1, d2), "visits": list(visits), "x": [r.tobytes() for r in x]})
-
-    placed = cut(nodes.mapInPandas(place, "node long, copies long, home long, visits array<long>, x binary"))
-    residents = placed.groupBy(F.col("home").alias("cell")).agg(F.ceil(F.count(F.lit(1)) / RESIDENTS).cast("int").alias("r_parts"))
-    visiting = placed.select("node", F.explode("visits").alias("cell")).groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / VISITORS).cast("int").alias("v_parts"))
-    parts = cut(residents.join(visiting, "cell"))
+            yield pd.DataFrame({"size": batch["size"], "node": batch["node"], "copies": batch["copies"], "home": 0, "visits": [[0]] * len(batch), "x": [np.asarray(v, kind).tobytes() for v in batch["v"]]})
+
+    places.append(nodes.where(~F.col("size").isin(large) if large else F.lit(True)).mapInPandas(alone, schema))
+    placed = cut(reduce(DataFrame.unionByName, places))
+    residents = placed.groupBy("size", F.col("home").alias("cell")).agg(F.ceil(F.count(F.lit(1)) / RESIDENTS).cast("int").alias("r_parts"))
+    visiting = placed.select("size", F.explode("visits").alias("cell")).groupBy("size", "cell").agg(F.ceil(F.count(F.lit(1)) / VISITORS).cast("int").alias("v_parts"))
+    seat = ["size", "cell"]
+    parts = cut(residents.join(visiting, seat))
     part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    live = placed.withColumnRenamed("home", "cell").join(parts, "cell").withColumn("r", part("r_parts")).withColumn("w", every("v_parts")).withColumn("home", F.col("cell"))
-    guests = placed.withColumn("cell", F.explode("visits")).join(parts, "cell").withColumn("w", part("v_parts")).withColumn("r", every("r_parts"))
-    block = F.xxhash64("cell", "r", "w").alias("block")
+    live = placed.withColumnRenamed("home", "cell").join(parts, seat).withColumn("r", part("r_parts")).withColumn("w", every("v_parts")).withColumn("home", F.col("cell"))
+    guests = placed.withColumn("cell", F.explode("visits")).join(parts, seat).withColumn("w", part("v_parts")).withColumn("r", every("r_parts"))
+    block = F.xxhash64("size", "cell", "r", "w").alias("block")
     none = F.array().cast("array<long>")
     meet = live.select(block, F.lit(0).alias("role"), "node", "copies", "home", "visits", "x").unionByName(guests.select(block, F.lit(1).alias("role"), "node", "copies", "home", none.alias("visits"), "x"))
 
@@ -228,7 +241,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
                 here, there = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
                 if not len(here) or not len(there):
                     continue
-                x = _matrix(rows["x"])
+                x = unit(np.frombuffer(b"".join(rows["x"]), kind).reshape(len(rows), -1))
                 node, copies, home = (rows[c].to_numpy() for c in ("node", "copies", "home"))
                 i, j = np.nonzero(x[there] @ x[here].T >= threshold)
                 i, j = there[i], here[j]
@@ -239,7 +252,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
                 seat = np.zeros(len(rows), np.int64)
                 seat[here] = np.arange(len(here))
                 back = np.zeros(len(i), bool)
-                step = max(1, (1 << 23) // cells)
+                step = max(1, (1 << 23) // visits.shape[1])
                 for at in range(0, len(i), step):
                     back[at : at + step] = (visits[seat[j[at : at + step]]] == home[i[at : at + step], None]).any(axis=1)
                 once = ~back | (node[i] < node[j])
@@ -257,9 +270,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     found = cut(meet.repartition("block").sortWithinPartitions("block").mapInPandas(compare, "a long, b long, n long"))
     links = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
     joined = connected_components(found)
-    known = nodes.join(links, "node", "left").join(joined, "node", "left")
-    known = known.select("v", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    full = rows.join(known, "v", "left").withColumn("component", F.coalesce("component", -1 - F.col("row_id")))
-    full = cut(full.select("row_id", "vec_id", "component", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+    known = nodes.drop("v").join(links, "node", "left").join(joined, "node", "left")
+    known = known.select("k1", "k2", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    full = rows.join(known, ["k1", "k2"], "left").withColumn("component", F.coalesce("component", -1 - F.col("row_id")))
+    full = cut(full.select("vec_id", "component", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
     heads = full.groupBy("component").agg(F.min("vec_id").alias("component_id"))
-    return full.join(heads, "component").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    return full.join(heads, "component").select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"), F.lit(recall).alias("recall"))
