@@ -4,22 +4,28 @@ Sets are the five-word shingles of lower-cased texts. A set's token at position
 comes first in the p-th of 128 hashed orders, so two sets share it with probability equal to their similarity. A run
 starts with one bucket of all sets; each bucket is split by CHOICES sampled positions (chosen by the bucket's path),
 a set going to one child a position, until buckets have at most BUCKET sets; those are compared by brute force on
-sketches. Runs are repeated until the bound on recall for pairs at the threshold reaches RECALL. A large bucket that a
-split leaves with CLUMP of its sets together holds near copies of one text, which no split will part; it is joined as a
-whole, as is one still large after MAX_DEPTH splits. So near copies do not multiply by paths. All this only proposes groups: every pair of texts inside a proposed
-group is then verified exactly on its shingle sets, in blocks, so no link is lost for the size of a bucket or group.
+sketches. As many runs as bring the bound on recall for pairs at the threshold to RECALL go on at once. A large bucket
+that a split leaves with CLUMP of its sets together holds near copies of one text, which no split will part; it is joined
+as a whole, as is one still large after MAX_DEPTH splits. So near copies do not multiply by paths. All this only proposes
+groups: every pair of texts inside a proposed group is then verified exactly on its shingle sets, in blocks, so no link is
+lost for the size of a bucket or group, and link counts are exact.
 
-Equal sets are one node, so copies are never paired. Large groups are verified in blocks of at most BLOCK sets and
-BLOCK_TOKENS shingles; only counts and spanning links leave a block. Texts are shuffled once, and only those of
-proposed groups; the other exchanges carry ids, paths and 256-byte sketches.
+Equal sets are one node, so copies are never paired, and large groups are verified in blocks of at most BLOCK sets and
+BLOCK_TOKENS shingles a side; only counts and spanning links leave a block. A group of n different near copies costs n x n
+comparisons and sends each of its texts to n / BLOCK blocks, as its links are counted one by one.
+
+Exchanges carry ids and paths; sketches once, and again of sets that share a bucket; and texts of proposed groups. Which
+texts these are is told by a Bloom filter of a fixed size (common.bit_filter), so that the others do not move. Where it
+is full, more texts move; none is lost.
 
 Cases: null and empty texts have the empty set; all of these are copies of each other. A text of fewer than five words
-has one shingle, all its words. Very long texts are shingled whole. Repeated rows are copies. An empty table gives an
-empty result. Other columns are not read.
+has one shingle, all its words. Very long texts are shingled whole. Repeated rows are copies. Ids may have any type; a null
+id comes after all others. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import cut, pick
+from factloom.llm.common import bit_filter, cut, in_filter, map_texts, pick
 from factloom.operators.graph import connected_components
 
 WORDS = 5
@@ -41,8 +47,8 @@ CLUMP = 0.6
 RECALL = 0.9999
 #: Sketches agree in at least this share for a pair to be proposed; at similarity 0.8 fewer than one pair in 50,000 agrees in less.
 PROPOSE = 0.65
-BLOCK = 2048
-BLOCK_TOKENS = 1 << 21
+BLOCK = 1024
+BLOCK_TOKENS = 1 << 20
 WORD_MEMO = 1 << 18
 
 _rng = np.random.default_rng(20240607)
@@ -89,17 +95,14 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """row_id, doc_id, set key (two numbers and its size) and sketch of rows of row_id, doc_id, text, text_hash."""
+    """doc_id, text_hash, set key (two numbers and its size) and sketch of rows of doc_id, text and text_hash."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 64):
-                some = batch[at : at + 64]
-                sets = [shingles(t) for t in some["text"]]
-                keys = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
-                yield pd.DataFrame({"doc_id": some["doc_id"].astype("Int64"), "text_hash": some["text_hash"], "hi": np.array([k >> 64 for k in keys], np.uint64).view(np.int64), "lo": np.array([k & (1 << 64) - 1 for k in keys], np.uint64).view(np.int64), "n": [len(s) for s in sets], "sketch": [s.tobytes() for s in sketches(sets)]})
+    def work(texts: list[str | None]) -> dict:
+        sets = [shingles(t) for t in texts]
+        keys = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
+        return {"hi": np.array([k >> 64 for k in keys], np.uint64).view(np.int64), "lo": np.array([k & (1 << 64) - 1 for k in keys], np.uint64).view(np.int64), "n": [len(s) for s in sets], "sketch": [s.tobytes() for s in sketches(sets)]}
 
-    return docs.mapInPandas(run, "doc_id long, text_hash long, hi long, lo long, n long, sketch binary")
+    return map_texts(docs, ["doc_id", "text_hash"], "hi long, lo long, n long, sketch binary", lambda: work, block=64)
 
 
 def survival(similarity: float, depth: int) -> float:
@@ -110,32 +113,37 @@ def survival(similarity: float, depth: int) -> float:
     return p
 
 
-def chosen_paths(nodes: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(rows of small buckets: path and node; links inside buckets that stay large) of rows of node and sketch."""
-    small = large = None
-    missed, run = 1.0, 0
-    while missed > 1 - RECALL:
-        level = nodes.select("node", "sketch", F.lit(run).cast("long").alias("path"), F.lit(None).cast("long").alias("from"))
-        for depth in range(1, MAX_DEPTH + 1):
-            split = level.withColumn("choice", F.explode(F.sequence(F.lit(1), F.lit(CHOICES))))
-            place = F.pmod(F.xxhash64("path", "choice"), F.lit(SKETCH)).cast("int")
-            split = split.select("node", F.xxhash64("path", "choice", F.substring("sketch", place * 2 + 1, F.lit(2))).alias("path"), "from")
-            split = cut(split)
-            sizes = split.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least"), F.max("from").alias("from")).where("size > 1")
-            sized = cut(split.drop("from").join(sizes, "path"))
-            leaves = sized.where(F.col("size") <= BUCKET).select("path", "node")
-            small = leaves if small is None else small.unionByName(leaves)
-            big = sized.where(F.col("size") > BUCKET)
-            clump = F.lit(True) if depth == MAX_DEPTH else F.coalesce(F.col("size") >= CLUMP * F.col("from"), F.lit(False))
-            stuck = big.where(clump).select(F.col("node").alias("a"), F.col("least").alias("b"))
-            large = stuck if large is None else large.unionByName(stuck)
-            rest = big.where(~clump)
-            if rest.isEmpty():
-                break
-            level = rest.select("node", "path", F.col("size").alias("from")).join(nodes, "node")
-        missed *= 1 - survival(threshold, depth)
-        run += 1
-    return small, large.distinct()
+def runs_needed(threshold: float) -> int:
+    """Runs after which a pair at the threshold was missed with probability 1 - RECALL at most."""
+    missed = 1 - survival(threshold, MAX_DEPTH)
+    return 1 if missed <= 0 else max(1, math.ceil(math.log(1 - RECALL) / math.log(missed)))
+
+
+def chosen_paths(nodes: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows of small buckets: path and node; links inside buckets that stay large; the nodes that share any bucket) of
+    rows of node and sketch."""
+    runs = F.explode(F.array(*[F.lit(k).cast("long") for k in range(runs_needed(threshold))]))
+    level = nodes.select("node", "sketch", runs.alias("path"), F.lit(None).cast("long").alias("from"))
+    small = large = live = None
+    for depth in range(1, MAX_DEPTH + 1):
+        split = level.withColumn("choice", F.explode(F.sequence(F.lit(1), F.lit(CHOICES))))
+        place = F.pmod(F.xxhash64("path", "choice"), F.lit(SKETCH)).cast("int")
+        split = cut(split.select("node", F.xxhash64("path", "choice", F.substring("sketch", place * 2 + 1, F.lit(2))).alias("path"), "from"))
+        sizes = split.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least"), F.max("from").alias("from")).where("size > 1")
+        sized = cut(split.drop("from").join(sizes, "path"))
+        if live is None:
+            live = cut(nodes.join(sized.select("node").distinct(), "node", "left_semi"))
+        leaves = sized.where(F.col("size") <= BUCKET).select("path", "node")
+        small = leaves if small is None else small.unionByName(leaves)
+        big = sized.where(F.col("size") > BUCKET)
+        clump = F.lit(True) if depth == MAX_DEPTH else F.coalesce(F.col("size") >= CLUMP * F.col("from"), F.lit(False))
+        stuck = big.where(clump).select(F.col("node").alias("a"), F.col("least").alias("b"))
+        large = stuck if large is None else large.unionByName(stuck)
+        rest = big.where(~clump)
+        if rest.isEmpty():
+            break
+        level = rest.select("node", "path", F.col("size").alias("from")).join(live, "node")
+    return small, large.distinct(), live
 
 
 def spanning(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -196,7 +204,7 @@ def propose(small: DataFrame, nodes: DataFrame) -> DataFrame:
             moved = np.flatnonzero(label != np.arange(len(path)))
             yield pd.DataFrame({"a": node[moved], "b": node[label[moved]]})
 
-    rows = small.distinct().join(nodes, "node").repartition("path").sortWithinPartitions("path")
+    rows = small.join(nodes, "node").repartition("path").sortWithinPartitions("path")
     return rows.select("path", "node", "sketch").mapInPandas(run, "a long, b long")
 
 
@@ -249,43 +257,58 @@ def verify(groups: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return groups.repartition("block").sortWithinPartitions("block").select("block", "side", "node", "copies", "text").mapInPandas(run, "a long, b long, links long")
 
 
+def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text, text_hash and key, a hash of the two that tell texts apart."""
+    texts = pick(docs, doc_id=id_col, text=text_col).withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return texts.withColumn("key", F.xxhash64("doc_id", "text_hash"))
+
+
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, class_id (the least doc_id that links and copies reach), n_links (other documents linked
-    directly, copies included) and kept (one row of each class) of every row."""
-    texts = pick(docs, doc_id=id_col, text=text_col).withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    directly, copies included), kept (one row of each class) and class_rows (rows of the class) of every row."""
+    texts = keyed_texts(docs, id_col, text_col)
     rows = cut(describe(texts).withColumn("row_id", F.monotonically_increasing_id()))
-    key = ["hi", "lo", "n"]
-    classes = cut(rows.groupBy(*key).agg(F.min("row_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("sketch").alias("sketch")))
-    nodes = classes.where("n > 0").select("node", "sketch")
-    small, large = chosen_paths(nodes, threshold)
-    groups = connected_components(propose(small, nodes).unionByName(large))
+    set_key = ["hi", "lo", "n"]
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "row_id")
+    classes = cut(rows.groupBy(*set_key).agg(F.min("row_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.min(first).alias("first"), F.first("sketch").alias("sketch")))
+    small, large, live = chosen_paths(classes.where("n > 0").select("node", "sketch"), threshold)
+    groups = connected_components(propose(small, live).unionByName(large))
 
-    sizes = groups.groupBy("component")
     sized = groups.join(classes.select("node", "n", "copies", "first"), "node")
     sizes = sized.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("parts"))
     placed = sized.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    placed = cut(placed.select("component", "node", "copies", "parts", "part", F.col("first.doc_id").alias("p_id"), F.col("first.text_hash").alias("p_hash")))
-    # One text of each set; then a part meets every part, itself included, in one block each.
-    whole = texts.join(placed, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("text_hash") == F.col("p_hash"))).dropDuplicates(["node"])
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    whole = whole.withColumn("other", other)
+    own = [F.col("first.doc_id").alias("p_id"), F.col("first.text_hash").alias("p_hash"), F.xxhash64("first.doc_id", "first.text_hash").alias("key")]
+    placed = cut(placed.select("component", "node", "copies", "parts", "part", *own))
+    # One text of each set, so that no other text moves but what the filter lets pass; then a part meets every part,
+    # itself included, in one block each.
+    wanted = in_filter(texts, "key", cut(bit_filter(placed, "key"))).where("in_filter").drop("in_filter")
+    same = F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("text_hash") == F.col("p_hash"))
+    whole = wanted.join(placed, "key").where(same).dropDuplicates(["key", "node"])
+    whole = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     block = F.xxhash64("component", F.least("part", "other"), F.greatest("part", "other"))
     checked = cut(verify(whole.select(block.alias("block"), (F.col("part") > F.col("other")).cast("int").alias("side"), "node", "copies", "text"), threshold))
 
     links = checked.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     joined = connected_components(checked.where("b IS NOT NULL").select("a", "b"))
-    labelled = classes.join(joined, "node", "left").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    labelled = cut(labelled.select(*key, "component", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    heads = labelled.groupBy("component").agg(F.min("first").alias("head"))
-    full = labelled.join(heads, "component").select(*key, "n_links", "head")
-    out = rows.select("doc_id", "text_hash", "row_id", *key).join(full, key)
-    return out.select("doc_id", "text_hash", F.col("head.doc_id").alias("class_id"), "n_links", (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_hash") == F.col("head.text_hash"))).alias("kept"))
+    labelled = classes.drop("sketch").join(joined, "node", "left").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = cut(labelled.select(*set_key, "component", "first", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    heads = labelled.groupBy("component").agg(F.min("first").alias("head"), F.sum("copies").alias("class_rows"))
+    full = labelled.join(heads, "component").select(*set_key, "n_links", "head", "class_rows")
+    out = rows.select("doc_id", "text_hash", "row_id", *set_key).join(full, set_key)
+    return out.select("doc_id", "text_hash", F.col("head.doc_id").alias("class_id"), "n_links", (F.col("row_id") == F.col("head.row_id")).alias("kept"), "class_rows")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row of docs, as it is, for each class of linked texts: that of the least doc_id."""
-    kept = jaccard_join(docs, threshold).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
+    """One row of docs, as it is, for each class of linked texts: one of the least doc_id. Rows that a Bloom filter
+    knows to be alone in their class stay where they are; only the others are shuffled to be told apart."""
+    found = cut(jaccard_join(docs, threshold).withColumn("key", F.xxhash64("doc_id", "text_hash")).select("key", "doc_id", "text_hash", "kept", "class_rows"))
+    bits = cut(bit_filter(found.where("class_rows > 1"), "key"))
+    kept = in_filter(found.where("kept"), "key", bits).where("in_filter").select("key", F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"))
     # Packed, so that no column of docs can clash with ours.
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own_hash"))
-    joined = packed.join(kept, F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_hash") == F.col("kept_hash")))
-    return joined.dropDuplicates(["kept_id", "kept_hash"]).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id"), text_hash.alias("own_hash"), F.xxhash64("doc_id", text_hash).alias("key"))
+    packed = in_filter(packed, "key", bits)
+    same = F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_hash") == F.col("kept_hash"))
+    told = packed.where("in_filter").join(kept, "key").where(same).dropDuplicates(["key", "kept_id", "kept_hash"])
+    both = packed.where("NOT in_filter").select("row").unionByName(told.select("row"))
+    return both.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
