@@ -3,17 +3,21 @@
 Base kinds are regular expressions with a check of each match. For the bootstrapping, every identifier-like token
 (letters, digits and underscores with a digit, 8 to 64 long) outside base matches is a candidate instance, and what
 stands before it on its line (a word and the marks after it) is its lexical pattern. Seed instances are tokens of
-well-known shapes. Patterns and instances form a graph that is scored in turns: a pattern by the share of its distinct
-instances' scores, an instance by the patterns that lead to it (noisy or). Patterns of high score and enough support
-then mark every candidate they lead to, whatever its shape.
+well-known shapes; they only start the search. Patterns and instances form a graph that is scored in turns: a pattern by
+the share of its distinct instances' scores, an instance by the patterns that lead to it (noisy or). A pattern of high
+score that MIN_SUPPORT sure instances stand behind, seeds or found by other patterns, marks every candidate it leads to,
+whatever its shape, so that these can lead to further patterns in the next turn, until a turn finds no new one.
 
 The texts are scanned once, in code generated by Spark; later steps see spans only. The graph is an aggregation by
 (pattern, instance) and so is small beside the texts; a hot pattern is joined as any other and split by skew handling.
+What is marked depends on a text alone, so redaction joins the marks of texts back by their hashes: only texts that hold
+a marked candidate, told by a Bloom filter of a fixed size, are shuffled.
 
 Regular expressions start at run boundaries and use possessive repeats, so that they are linear in the text's length
-and need no recursion; they match what the plain forms beside them match. Cases: a null text counts as empty. Very
-long texts are scanned whole. Repeated rows are scanned each (rows are told apart by position). Empty tables give empty
-results. Other columns are not read.
+and need no recursion; they match what the plain forms beside them match. Spans are summed up in two levels, and
+overlaps are found by one walk over sorted spans, so a text of many spans takes no square of them. Cases: a null text
+counts as empty. Very long texts are scanned whole. Repeated rows are scanned each (rows are told apart by position).
+Null ids stay null. Empty tables give empty results. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import cut, pick
+from factloom.llm.common import bit_filter, cut, in_filter, pick
 
 # The base patterns, in the order of the kinds.
 #   email  [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+
@@ -40,28 +44,65 @@ CANDIDATE = r"(?<![A-Za-z0-9_])(?=[A-Za-z_]{0,63}[0-9])[A-Za-z0-9_]{8,64}(?![A-Z
 PATTERN = r"([\p{L}]*[^\p{L}0-9\n]{1,4})$"
 # Shapes of seed instances: cloud access keys; hexadecimal secrets with letters and digits mixed.
 SEED = r"^(?:AKIA[0-9A-Z]{16}|(?=(?:[a-f]*[0-9]){4})(?=(?:[0-9]*[a-f]){4})[0-9a-f]{16,64})$"
-ROUNDS = 3
+#: Turns at most; a turn without a new pattern is the last.
+ROUNDS = 8
 SMOOTH = 2.0
-MIN_SEEDS = 3
+MIN_SUPPORT = 3
 MIN_SCORE = 0.5
-#: Patterns up to this many are listed in the plan when texts are redacted.
-MAX_INLINE = 1024
+#: Steps that are summed up together.
+CHUNK = 64
 
 SPAN = "array<struct<start:int,end:int,value:string,tail:string>>"
 
 
 def _spans(gaps: Column, found: Column) -> Column:
-    """Starts and ends, in code points, from the texts between matches and the matches."""
-    steps = F.zip_with(gaps, found, lambda a, b: F.struct(F.length(a).alias("gap"), b.alias("value"), F.right(a, F.lit(40)).alias("tail")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    """Starts and ends, in code points, from the texts between matches and the matches: the lengths of chunks of steps
+    are summed up first, then the steps inside each chunk."""
+    steps = F.zip_with(gaps, found, lambda a, b: F.struct(F.length(a).alias("gap"), F.coalesce(F.length(b), F.lit(0)).alias("size"), b.alias("value"), F.right(a, F.lit(40)).alias("tail")))
+
+    def in_chunks(steps):
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / CHUNK).cast("int")), lambda i: F.slice(steps, i * CHUNK + 1, F.lit(CHUNK)))
+
+    def starts(chunks):
+        lengths = F.transform(chunks, lambda chunk: F.aggregate(chunk, F.lit(0), lambda n, x: n + x["gap"] + x["size"]))
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(lengths, begin, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
 
     def merge(acc, x):
         first = acc["at"] + x["gap"]
-        last = first + F.coalesce(F.length(x["value"]), F.lit(0))
-        span = F.struct(first.alias("start"), last.alias("end"), x["value"].alias("value"), x["tail"].alias("tail"))
-        return F.struct(last.alias("at"), F.when(x["value"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).alias("out"))
+        span = F.struct(first.alias("start"), (first + x["size"]).alias("end"), x["value"].alias("value"), x["tail"].alias("tail"))
+        return F.struct((first + x["size"]).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+
+    inside = lambda chunk, at: F.aggregate(chunk, F.struct(at.alias("at"), F.array().cast(SPAN).alias("out")), merge, lambda acc: acc["out"])
+    spans = _let(_let(steps, in_chunks), lambda chunks: F.flatten(F.zip_with(chunks, starts(chunks), inside)))
+    return F.filter(spans, lambda x: x["value"].isNotNull())
+
+
+def _let(value: Column, then) -> Column:
+    """then(value), with the value computed once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _free(candidates: Column, taken: Column) -> Column:
+    """The candidates that overlap no taken span, by one walk over both in order: a candidate is hit by a span that
+    starts before its end and ends behind its start. Verdicts gather as characters, each written when the next
+    candidate comes."""
+    event = lambda kind: lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end"))
+    events = F.sort_array(F.concat(F.transform(taken, event(0)), F.transform(candidates, event(1))))
+    begin = F.struct(F.lit(0).alias("reach"), F.lit(0).alias("end"), F.lit("").alias("last"), F.lit("").alias("out"))
+
+    def walk(acc, x):
+        is_taken = x["kind"] == 0
+        return F.struct(
+            F.when(is_taken, F.greatest(acc["reach"], x["end"])).otherwise(acc["reach"]).alias("reach"),
+            F.when(is_taken, acc["end"]).otherwise(x["end"]).alias("end"),
+            F.when(is_taken, F.when((acc["last"] != "") & (x["start"] < acc["end"]), "0").otherwise(acc["last"])).otherwise(F.when(acc["reach"] > x["start"], "0").otherwise("1")).alias("last"),
+            F.when(is_taken, acc["out"]).otherwise(F.concat(acc["out"], acc["last"])).alias("out"),
+        )
 
-    return F.aggregate(steps, start, merge, lambda acc: acc["out"])
+    verdicts = F.aggregate(events, begin, walk, lambda acc: F.concat(acc["out"], acc["last"]))
+    told = F.zip_with(candidates, F.split(verdicts, ""), lambda c, v: F.struct(c.alias("c"), v.alias("v")))
+    return F.transform(F.filter(told, lambda x: x["v"] == "1"), lambda x: x["c"])
 
 
 def _with_matches(df: DataFrame, name: str, pattern: str, text: str = "text") -> DataFrame:
@@ -108,8 +149,8 @@ def _with_spans(df: DataFrame) -> DataFrame:
         df = df.withColumn(kind, F.filter(kind, ok))
     df = _with_matches(df, "candidate", CANDIDATE)
     taken = F.concat(*BASE)
-    free = F.filter("candidate", lambda c: ~F.exists(taken, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    df = df.withColumn("candidate", F.when(F.size("candidate") > 0, free).otherwise(F.col("candidate")))
+    free = F.when((F.size("candidate") > 0) & (F.size("_taken") > 0), _free(F.col("candidate"), F.col("_taken"))).otherwise(F.col("candidate"))
+    df = df.withColumn("_taken", taken).withColumn("candidate", free).drop("_taken")
     bare = lambda kind: F.transform(kind, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
     candidate = F.transform("candidate", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("instance"), F.lower(F.regexp_extract(x["tail"], PATTERN, 1)).alias("pattern")))
     return df.withColumns({k: bare(k) for k in BASE} | {"candidate": candidate})
@@ -122,17 +163,20 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def score_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """pattern and score of the patterns that mark identifiers, from rows of (pattern, instance)."""
+    """pattern, score and turn (of the last scoring) of the patterns that mark identifiers, from rows of (pattern,
+    instance)."""
     edges = cut(found.where(F.col("pattern") != "").groupBy("pattern", "instance").agg(F.count(F.lit(1)).alias("n")).withColumn("seed", F.col("instance").rlike(SEED).cast("double")))
-    scored = edges.withColumn("s", F.col("seed"))
-    patterns = None
-    for k in range(rounds):
-        patterns = scored.groupBy("pattern").agg((F.sum("s") / (F.count(F.lit(1)) + SMOOTH)).alias("p"), F.sum("seed").alias("seeds"))
-        patterns = cut(patterns.where((F.col("seeds") >= MIN_SEEDS) & (F.col("p") >= MIN_SCORE)))
-        if k < rounds - 1:
-            led = edges.join(patterns, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("p"), F.lit(0.999)))))).alias("q"))
-            scored = edges.join(led, "instance", "left").withColumn("s", F.greatest("seed", F.coalesce("q", F.lit(0.0)))).drop("q")
-    return patterns.select("pattern", F.col("p").alias("score"))
+    scored, before = edges.withColumn("s", F.col("seed")), 0
+    for turn in range(1, rounds + 1):
+        patterns = scored.groupBy("pattern").agg((F.sum("s") / (F.count(F.lit(1)) + SMOOTH)).alias("score"), F.count_if(F.col("s") >= MIN_SCORE).alias("sure"))
+        patterns = cut(patterns.where((F.col("sure") >= MIN_SUPPORT) & (F.col("score") >= MIN_SCORE)).select("pattern", "score", F.lit(turn).alias("turn")))
+        known = patterns.count()
+        if known == before:
+            break
+        before = known
+        led = edges.join(patterns, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("score"), F.lit(0.999)))))).alias("q"))
+        scored = edges.join(led, "instance", "left").withColumn("s", F.greatest("seed", F.coalesce("q", F.lit(0.0)))).drop("q")
+    return patterns
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -146,22 +190,21 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every span found in the text replaced by its kind in angle brackets; other columns and null texts as
-    they are. Overlapping spans become one, named after the first. One pass finds the patterns; a second applies them
-    where the text stands, so that texts are not shuffled."""
-    patterns = score_patterns(cut(base_spans(docs, "doc_id", text_col).where(F.size("candidate") > 0).select(F.explode("candidate").alias("c")).select("c.pattern", "c.instance")))
-    text = F.col("text")
-    work = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    work = _with_spans(work)
-    few = [r["pattern"] for r in patterns.select("pattern").orderBy("pattern").limit(MAX_INLINE + 1).collect()]
-    if len(few) <= MAX_INLINE:
-        led = F.filter("candidate", lambda c: c["pattern"].isin(few)) if few else F.array().cast("array<struct<start:int,end:int,instance:string,pattern:string>>")
-    else:  # too many to list in the plan: the rows' candidates are joined to them
-        work = work.withColumn("key", F.monotonically_increasing_id())
-        work = cut(work)
-        marked = work.select("key", F.explode("candidate").alias("c")).join(patterns.select("pattern"), F.col("c.pattern") == F.col("pattern")).groupBy("key").agg(F.collect_list("c").alias("led"))
-        work = work.join(marked, "key", "left")
-        led = F.coalesce("led", F.array().cast("array<struct<start:int,end:int,instance:string,pattern:string>>"))
-    kinds = {k: F.col(k) for k in BASE} | {"id": led}
+    they are. Overlapping spans become one, named after the first. One pass finds the patterns and the marks of each
+    text; a second applies them, where the text stands unless the filter says that it may have marks."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    keys = lambda t: [F.xxhash64(t).alias("key"), F.xxhash64(t, F.lit(1)).alias("key2")]
+    # Rows of one text are one row here.
+    found = _with_spans(docs.select(text.alias("text"))).where(F.size("candidate") > 0)
+    found = cut(found.select(*keys(F.col("text")), F.explode("candidate").alias("c")).select("key", "key2", "c.*").distinct())
+    marked = cut(found.join(score_patterns(found.select("pattern", "instance")).select("pattern"), "pattern").groupBy("key", "key2").agg(F.collect_list(F.struct("start", "end")).alias("led")))
+    work = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("text"), *keys(text))
+    work = in_filter(work, "key", cut(bit_filter(marked, "key")))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    plain = work.where("NOT in_filter").select("row", "text", none.alias("led"))
+    led = work.where("in_filter").join(marked, ["key", "key2"], "left").select("row", "text", F.coalesce("led", none).alias("led"))
+    work, text = _with_spans(plain.unionByName(led)), F.col("text")
+    kinds = {k: F.col(k) for k in BASE} | {"id": F.col("led")}
 
     def named(kind: str):
         return lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(kind).alias("kind"))
