@@ -10,7 +10,7 @@ The pass is map-side, without a shuffle. The items are the broadcast side: they
 words, a pass over the texts each, so their size is bounded whatever the benchmark.
 
 Cases: null or empty texts and items have no words and match nothing; an item of fewer words than a seed has one seed,
-all its words; very long texts are searched whole; repeated rows are separate rows; equal items match each; empty
+all its words; very long texts are searched whole; repeated rows are separate rows; equal items match each, and so do items without an id; empty
 tables give empty results; other columns are not read.
 """
 
@@ -19,8 +19,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
 from factloom.llm import licenses
 from factloom.llm.common import filter_texts, pick
@@ -143,7 +144,7 @@ def align(items: Items, ids: np.ndarray) -> list[tuple[int, float, int, int]]:
 def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """Blocks of items with at most BLOCK_WORDS words, unless one item alone has more."""
     block, words = [], 0
-    for r in benchmark.where("text IS NOT NULL AND item_id IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
+    for r in benchmark.where("text IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
         n = len(words_of(r["text"]))
         if block and words + n > BLOCK_WORDS:
             yield block
@@ -158,19 +159,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     """doc_id, item_id, similarity, first_word and end_word for each document and item whose alignment reaches the
     threshold."""
     texts = pick(docs, doc_id=id_col, text=text_col)
+    id_type, item_type = texts.schema["doc_id"].dataType, benchmark.schema["item_id"].dataType
+    schema = f"doc_id {id_type.simpleString()}, item_id {item_type.simpleString()}, similarity double, first_word long, end_word long"
     spark, out = docs.sparkSession, None
-    schema = "doc_id long, item_id long, similarity double, first_word long, end_word long"
     for block in item_blocks(pick(benchmark, item_id="item_id", text="text")):
         shared = spark.sparkContext.broadcast(Items(block))
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            items = shared.value
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            items, kind = shared.value, to_arrow_type(item_type)
             for batch in batches:
-                rows = [(i, items.ids[k], s, a, b) for i, t in zip(batch["doc_id"], batch["text"], strict=True) for k, s, a, b in align(items, items.numbers(t)) if s >= threshold]
-                frame = pd.DataFrame(rows, columns=["doc_id", "item_id", "similarity", "first_word", "end_word"])
-                yield frame.astype({"doc_id": "Int64", "item_id": "int64", "similarity": "float64", "first_word": "int64", "end_word": "int64"})
+                rows = [(r, items.ids[k], s, a, b) for r, t in enumerate(batch.column("text").to_pylist()) for k, s, a, b in align(items, items.numbers(t)) if s >= threshold]
+                row, item, similarity, first, end = zip(*rows, strict=True) if rows else ((),) * 5
+                found = [pa.array(item, kind), pa.array(similarity, pa.float64()), pa.array(first, pa.int64()), pa.array(end, pa.int64())]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row, pa.int64())), *found], names=["doc_id", "item_id", "similarity", "first_word", "end_word"])
 
-        found = texts.mapInPandas(run, schema)
+        found = texts.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], schema)
 

@@ -2,33 +2,33 @@
 
 The network (a byte table, a forward and a backward GRU of HIDDEN units, a softmax at every position) is trained in
 numpy by backpropagation through time with Adam, on the driver, on a bounded sample: windows of WINDOW bytes from at
-most TRAIN_ROWS labelled rows, those with the smallest hashes of the id, at most TRAIN_WINDOWS from each. Every byte of every
+most TRAIN_ROWS labelled rows, those with the smallest hashes of id and text, at most TRAIN_WINDOWS from each. Every byte of every
 text is then labelled: a text is cut into windows that overlap by WARM bytes on both sides, so that each position has
 its context, and a document's probabilities are the mean of those at positions of letters.
 
 Prediction is map-side: no shuffle; what is broadcast is the network (a few kB). Cases: a null text or one without
 letters is `und` with score 1. Very long texts are cut into windows, all of which count. Ties go to the first language
-in order. Repeated rows are predicted each. With no labelled training rows every text is `und` with score 0. Empty
+in order. Repeated rows are predicted each. A null id is outside the held-out fold. With no labelled training rows every text is `und` with score 0. Empty
 tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import crc_mod, filter_texts, pick, utf8
+from factloom.llm.common import crc_mod, filter_texts, map_texts, pick, utf8
 
 HIDDEN = 8
 WINDOW = 96
 WARM = 16
 TRAIN_ROWS = 2048
+#: Characters of each of these that are gathered.
+PIECE = 4096
 TRAIN_WINDOWS = 4
 STEPS = 240
 BATCH = 128
@@ -226,29 +226,33 @@ def predict_texts(model: BiGru | None, texts: list[str | None], block: int = 102
 
 
 def training_rows(docs: DataFrame) -> list[tuple[str, str]]:
-    """At most TRAIN_ROWS labelled rows outside the held-out third: those with the smallest hash of the id. Only ids
-    and labels are sorted; then a semi-join fetches their texts, of which 64 kB at most is kept for a window to be
-    drawn from."""
-    fold = docs.where((crc_mod(F.col("doc_id"), 3) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    chosen = fold.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-    start = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.greatest(F.lit(1), F.length("text") - 4096)).cast("int") + 1
-    rows = fold.join(F.broadcast(chosen.distinct()), "doc_id").select("doc_id", F.substring("text", start, F.lit(4096)).alias("text"), "lang").collect()
-    return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["lang"], r["text"]))]
+    """At most TRAIN_ROWS labelled rows outside the held-out third, repeated ones once: those with the smallest hashes of
+    id and text. Only hashes are sorted; then a semi-join fetches a piece of PIECE characters of each text, from which
+    windows are drawn."""
+    fold = docs.where(F.coalesce(crc_mod(F.col("doc_id"), 3) != 1, F.lit(True)) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    fold = fold.select("text", "lang", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("h2"))
+    chosen = fold.select("h", "h2").orderBy("h", "h2").limit(TRAIN_ROWS).distinct()
+    start = F.pmod(F.xxhash64("h", F.lit(3)), F.greatest(F.lit(1), F.length("text") - PIECE)).cast("int") + 1
+    pieces = fold.join(F.broadcast(chosen), ["h", "h2"]).select("h", "h2", F.substring("text", start, F.lit(PIECE)).alias("text"), "lang")
+    # A row for each chosen text, so TRAIN_ROWS at most, however often it occurs.
+    rows = pieces.groupBy("h", "h2").agg(F.min(F.struct("lang", "text")).alias("x")).select("h", "h2", "x.*").collect()
+    return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["h"], r["h2"]))]
 
 
 def identify(docs: DataFrame, model: BiGru | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score and n_letters-weighted shares of position labels of every row."""
+    """doc_id, lang_pred, score and position_shares (of each language among the labels of letters) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         network = shared.value
-        for batch in batches:
-            for at in range(0, len(batch), 1024):
-                some = batch[at : at + 1024]
-                got = predict_texts(network, list(some["text"]))
-                yield pd.DataFrame({"doc_id": some["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None), "lang_pred": [g[0] for g in got], "score": [g[1] for g in got], "position_shares": [g[2] for g in got]})
 
-    return pick(docs, doc_id=id_col, text=text_col).mapInPandas(run, "doc_id long, lang_pred string, score double, position_shares array<double>")
+        def work(texts: list[str | None]) -> dict:
+            got = predict_texts(network, texts)
+            return {"lang_pred": [g[0] for g in got], "score": [g[1] for g in got], "position_shares": [g[2] for g in got]}
+
+        return work
+
+    return map_texts(pick(docs, doc_id=id_col, text=text_col), ["doc_id"], "lang_pred string, score double, position_shares array<double>", make)
 
 
 def language_id(docs: DataFrame) -> DataFrame:

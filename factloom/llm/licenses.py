@@ -4,20 +4,18 @@ evaluates the and/or/with expression that follows a tag.
 Each text is read once, map-side, with no shuffle: the plan is a scan and one Python stage, whatever the keys' skew.
 
 Cases: a null or empty text has no words, null first and last word, empty labels and score 0. Very long texts are
-scanned whole. Repeated rows are scanned as separate rows. An empty table gives an empty result. Only the id and
+scanned whole. Prose behind a tag's expression, on its line, is not part of it. Repeated rows are scanned as separate rows. An empty table gives an empty result. Only the id and
 text columns are read, so other columns may have any names.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from factloom.llm.common import pick, utf8
+from factloom.llm.common import map_texts, pick, utf8
 
 # The base phrases and their labels.
 BASE_PHRASES = {
@@ -55,7 +53,7 @@ PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 #: Every byte to the byte that stands for it in a word, or to a space where it ends one.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expression string, freedom int"
+SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expression string, freedom int"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -63,6 +61,22 @@ def words_of(text: str | None) -> list[bytes]:
     return utf8(text).translate(WORD_BYTES).split()
 
 
+def tag_expression(line: str) -> str | None:
+    """The longest start of a tag's line that is an expression, as prose may follow it; None if there is none. Behind
+    the first name, words are names only if they look like a licence's: known, or with a digit or hyphen."""
+    tokens = [t.rstrip(".") or t for t in re.findall(r"[()]|[a-z0-9.+\-]+", line.lower())]
+    best, seen = None, False
+    for k, t in enumerate(tokens):
+        if t not in PRECEDENCE and t not in "()":
+            if seen and not (t in FREEDOM or re.search(r"[0-9-]", t)):
+                break
+            seen = True
+        start = " ".join(tokens[: k + 1])
+        if to_postfix(start):
+            best = start
+    return best
+
+
 def to_postfix(expression: str) -> list[str] | None:
     """Shunting-yard: an and/or/with expression in postfix order; None if it is malformed."""
     out: list[str] = []
@@ -126,7 +140,7 @@ def automaton(phrases: list[str]) -> ahocorasick.Automaton:
 
 
 def scan_text(text: str | None, machine: ahocorasick.Automaton) -> tuple:
-    """One row of SCHEMA without the id."""
+    """One row of SCHEMA."""
     words = words_of(text)
     if not words:
         return 0, 0, None, None, "", "", 0.0, None, None
@@ -152,9 +166,9 @@ def scan_text(text: str | None, machine: ahocorasick.Automaton) -> tuple:
     expression = freedom = None
     if tagged:
         for found in TAG_LINE.findall(utf8(text).lower()):
-            line = found.decode().strip()
-            postfix = to_postfix(line)
-            if postfix:
+            line = tag_expression(found.decode())
+            if line:
+                postfix = to_postfix(line)
                 names, free = evaluate(postfix)
                 labels |= names
                 doubt *= 0.01
@@ -165,16 +179,11 @@ def scan_text(text: str | None, machine: ahocorasick.Automaton) -> tuple:
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row of SCHEMA for each row of docs."""
+    """doc_id and the columns of SCHEMA for each row of docs."""
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         machine = automaton([*BASE_PHRASES, *NOTICE_PHRASES, TAG])
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
-        for batch in batches:
-            rows = [(i, *scan_text(t, machine)) for i, t in zip(batch["doc_id"], batch["text"], strict=True)]
-            out = pd.DataFrame(rows, columns=names)
-            for c in ("doc_id", "first_word", "last_word", "freedom"):
-                out[c] = out[c].astype("Int64")
-            yield out
-
-    return pick(docs, doc_id=id_col, text=text_col).mapInPandas(scan, SCHEMA)
+        return lambda texts: dict(zip(names, zip(*[scan_text(t, machine) for t in texts], strict=True), strict=True))
+
+    return map_texts(pick(docs, doc_id=id_col, text=text_col), ["doc_id"], SCHEMA, make)

@@ -20,14 +20,12 @@ import math
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from factloom.llm.common import pick
+from factloom.llm.common import map_texts, pick
 
 MARK = "▁"
 MARK_BYTES = MARK.encode()
@@ -211,25 +209,27 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """doc_id, ids, log_score and n_byte_pieces of every row."""
     vocabulary = _vocabulary(docs, path)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         model = _shared(vocabulary)
-        for batch in batches:
-            got = [model.encode(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "ids": [np.asarray(g[0], np.int32) for g in got], "log_score": [g[1] for g in got], "n_byte_pieces": [g[2] for g in got]})
 
-    return pick(docs, doc_id=id_col, text=text_col).mapInPandas(run, "doc_id long, ids array<int>, log_score double, n_byte_pieces long")
+        def work(texts: list[str | None]) -> dict:
+            got = [model.encode(t) for t in texts]
+            return {"ids": [np.asarray(g[0], np.int32) for g in got], "log_score": [g[1] for g in got], "n_byte_pieces": [g[2] for g in got]}
+
+        return work
+
+    return map_texts(pick(docs, doc_id=id_col, text=text_col), ["doc_id"], "ids array<int>, log_score double, n_byte_pieces long", make)
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """doc_id and text of rows of ids."""
     vocabulary = _vocabulary(encoded, path)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         model = _shared(vocabulary)
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text": [model.decode(i if i is not None else ()) for i in batch["ids"]]})
+        return lambda rows: {"text": [model.decode(i if i is not None else ()) for i in rows]}
 
-    return pick(encoded, doc_id=id_col, ids=ids_col).mapInPandas(run, "doc_id long, text string")
+    return map_texts(pick(encoded, doc_id=id_col, ids=ids_col), ["doc_id"], "text string", make, text_col="ids")
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -237,15 +237,17 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     little-endian 32-bit numbers) and whether the decoded text is the text itself."""
     vocabulary = _vocabulary(docs, path)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         model = _shared(vocabulary)
-        for batch in batches:
-            rows = []
-            for i, text in zip(batch["doc_id"], batch["text"], strict=True):
+
+        def work(texts: list[str | None]) -> dict:
+            out: dict[str, list] = {n: [] for n in ("n_pieces", "n_byte_pieces", "log_score", "ids_crc32", "decodes")}
+            for text in texts:
                 ids, score, n_bytes = model.encode(text)
-                rows.append((i, len(ids), n_bytes, score, zlib.crc32(array("i", ids).tobytes()), model.decode(ids) == (text or "")))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_pieces", "n_byte_pieces", "log_score", "ids_crc32", "decodes"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+                for n, v in zip(out, (len(ids), n_bytes, score, zlib.crc32(array("i", ids).tobytes()), model.decode(ids) == (text or "")), strict=True):
+                    out[n].append(v)
+            return out
+
+        return work
 
-    return pick(docs, doc_id=id_col, text=text_col).mapInPandas(run, "doc_id long, n_pieces long, n_byte_pieces long, log_score double, ids_crc32 long, decodes boolean")
+    return map_texts(pick(docs, doc_id=id_col, text=text_col), ["doc_id"], "n_pieces long, n_byte_pieces long, log_score double, ids_crc32 long, decodes boolean", make)

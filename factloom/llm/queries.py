@@ -29,7 +29,7 @@ def op4_sentencepiece(spark, sf_dir):
 
 def op6_license_scan(spark, sf_dir):
     out = licenses.scan_licenses(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "expression", "freedom")
 
 
 def op7_ctw(spark, sf_dir):

@@ -5,15 +5,15 @@ all vote patterns estimates how often each labeller is right on either class, wi
 its pattern labels each text, and these soft labels train a linear scorer over hashed features of the text.
 
 All votes count: patterns are aggregated over the whole input (at most 3^labellers of them reach the driver). The
-scorer is fitted on a bounded sample, TRAIN_ROWS texts with the smallest hashes of the id in each class, of which only
-FEATURES numbers each are gathered. Then every whole text is scored map-side. The shuffles carry pattern counts only.
+scorer is fitted on a bounded sample, TRAIN_ROWS texts with the smallest hashes of id and text in each class, repeated
+ones once, of which only FEATURES numbers each are gathered. Then every whole text is scored map-side. The shuffles carry pattern counts only.
 
 Toxicity is learned where labels are given: a logistic scorer over the words' beginnings, which say a language's
 insults however they are inflected, is fitted on at most TOXIC_ROWS labelled texts of each class, taken by hashes over
 all languages. Labels of the held-out fold are never learned from. A word of a fixed list is toxic in any case.
 
-Cases: a null or empty text gets no votes but for its length, which calls it bad. Very long texts are read whole. Ties
-of hashes are broken by id. Repeated rows are scored each. If a class has no sample rows, the score is the posterior. Empty
+Cases: a null or empty text gets no votes but for its length, which calls it bad. Very long texts are read whole. Repeated rows
+are scored each. A null id is an id like others. If a class has no sample rows, the score is the posterior. Empty
 tables give empty results; other columns are not read.
 """
 
@@ -21,15 +21,12 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
-from itertools import pairwise
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import crc_mod, cut, pick, utf8
+from factloom.llm.common import crc_mod, cut, map_texts, pick, utf8
 
 FEATURES = 1024
 TRAIN_ROWS = 1024
@@ -53,33 +50,97 @@ INSULTS = frozenset("pathetic scum moron idiot loser worthless clown trash disgu
 LABELLERS = ("marks", "shouting", "repeats", "lines", "length", "frequent", "vocabulary")
 
 
+class Lexicon(dict):
+    """Numbers of words, and arrays of what is known of each: whatever is read off a word is worked out once."""
+
+    def __init__(self, toxicity: Toxicity | None = None):
+        self.toxicity, self.size = toxicity, 0
+        width = len(BEGINNINGS) + 1
+        self.bare, self.shape, self.ending = (np.zeros(1024, np.int64) for _ in range(3))
+        self.frequent, self.insult, self.telling = (np.zeros(1024, bool) for _ in range(3))
+        self.places = np.zeros((1024, width), np.int64)
+        self.bares: dict[str, int] = {}
+
+    def __missing__(self, word: str) -> int:
+        k = self[word] = self.size
+        self.size += 1
+        if k == len(self.bare):
+            for name in ("bare", "shape", "ending", "frequent", "insult", "telling", "places"):
+                x = getattr(self, name)
+                setattr(self, name, np.concatenate([x, np.zeros_like(x)]))
+        bare = bare_word(word)
+        self.bare[k] = self.bares.setdefault(bare, len(self.bares))
+        self.frequent[k], self.insult[k] = bare in FREQUENT, bare in INSULTS
+        marks = ["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word]
+        shape = "".join(x for x, last in zip(marks, ["", *marks[:-1]], strict=True) if x != last)
+        self.shape[k], self.ending[k] = (2 + zlib.crc32(x.encode("utf-8", "surrogatepass")) % (FEATURES - 2) for x in ("s" + shape, "e" + word[-3:].lower()))
+        if self.toxicity is not None:
+            known = [self.toxicity.place[x] for x in stems(word) if x in self.toxicity.place]
+            self.places[k] = len(self.toxicity.stems)
+            self.places[k, : len(known)] = known
+            self.telling[k] = bool(known)
+        return k
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        if self.size > MEMO:
+            toxicity = self.toxicity
+            self.clear()
+            self.__init__(toxicity)
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
+def bare_word(word: str) -> str:
+    return word.strip(".,;:!?\"'()#$%&*|").lower()
+
+
+class Reading:
+    """What labellers and scorers need of a text."""
+
+    def __init__(self, text: str | None, lexicon: Lexicon):
+        self.data, self.lexicon = utf8(text), lexicon
+        self.ids = lexicon.numbers((text or "").split())
+        self.twins = int((self.ids[1:] == self.ids[:-1]).sum())
+
+    def votes(self) -> tuple[tuple[int, ...], bool]:
+        """((1 good, 0 bad, -1 nothing) of each labeller, whether an insult is a word of the text)."""
+        data, ids, lexicon = self.data, self.ids, self.lexicon
+        n, size = len(ids), max(1, len(data))
+
+        def vote(value: float, good: float, bad: float) -> int:
+            return 1 if value <= good else 0 if value >= bad else -1
+
+        marks = (len(data) - len(data.translate(None, MARKS))) / size
+        shouting = (len(data) - len(data.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))) / size
+        lines = [x for x in data.split(b"\n") if x]
+        twice = 1 - len(set(lines)) / max(1, len(lines))
+        common = int(lexicon.frequent[ids].sum()) / max(1, n)
+        long = n >= 20
+        return (
+            vote(marks, 0.01, 0.04),
+            vote(shouting, 0.06, 0.2),
+            vote(self.twins / max(1, n - 1), 0.02, 0.15) if n > 1 else -1,
+            0 if len(lines) > 3 and twice >= 0.5 else -1,
+            0 if n < 2 else -1,
+            0 if long and common < 0.03 else 1 if common >= 0.15 else -1,
+            0 if long and len(np.unique(lexicon.bare[ids])) < 0.1 * n**0.8 else -1,
+        ), bool(lexicon.insult[ids].any())
+
+    def features(self) -> np.ndarray:
+        """Hashed features: shares of words' shapes and endings, and of words that repeat the one before."""
+        out, n = np.zeros(FEATURES, np.float32), len(self.ids)
+        if not n:
+            out[1] = 1
+            return out
+        out += np.bincount(np.concatenate([self.lexicon.shape[self.ids], self.lexicon.ending[self.ids]]), minlength=FEATURES) / n
+        out[0] = self.twins / n
+        return np.sqrt(out)
+
+    def toxicity(self) -> float:
+        return self.lexicon.toxicity.score(self.lexicon.places[self.ids[self.lexicon.telling[self.ids]]])
+
+
 def votes(text: str | None) -> tuple[tuple[int, ...], bool]:
-    """((1 good, 0 bad, -1 nothing) of each labeller, whether an insult is a word of the text)."""
-    data = utf8(text)
-    words = (text or "").split()
-    n, size = len(words), max(1, len(data))
-
-    def vote(value: float, good: float, bad: float) -> int:
-        return 1 if value <= good else 0 if value >= bad else -1
-
-    marks = (len(data) - len(data.translate(None, MARKS))) / size
-    shouting = (len(data) - len(data.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))) / size
-    repeats = sum(a == b for a, b in pairwise(words)) / max(1, n - 1)
-    lines = [x for x in data.split(b"\n") if x]
-    twice = 1 - len(set(lines)) / max(1, len(lines))
-    bare = [w.strip(".,;:!?\"'()#$%&*|").lower() for w in words]
-    kinds = set(bare)
-    common = sum(w in FREQUENT for w in bare) / max(1, n)
-    long = n >= 20
-    return (
-        vote(marks, 0.01, 0.04),
-        vote(shouting, 0.06, 0.2),
-        vote(repeats, 0.02, 0.15) if n > 1 else -1,
-        0 if len(lines) > 3 and twice >= 0.5 else -1,
-        0 if n < 2 else -1,
-        0 if long and common < 0.03 else 1 if common >= 0.15 else -1,
-        0 if long and len(kinds) < 0.1 * n**0.8 else -1,
-    ), not kinds.isdisjoint(INSULTS)
+    return Reading(text, Lexicon()).votes()
 
 
 def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = EM_ROUNDS, trust: float = TRUST) -> tuple[dict[tuple[int, ...], float], np.ndarray]:
@@ -107,32 +168,6 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = EM_ROUND
     return {p: float(g) for (p, _), g in zip(patterns, good, strict=True)}, table
 
 
-_memo: dict[str, tuple[int, int]] = {}
-
-
-def features(text: str | None) -> np.ndarray:
-    """Hashed features: shares of words' shapes and endings, and of words that repeat the one before."""
-    words = (text or "").split()
-    out = np.zeros(FEATURES, np.float32)
-    if not words:
-        out[1] = 1
-        return out
-    if len(_memo) > MEMO:
-        _memo.clear()
-    places = []
-    for w in words:
-        p = _memo.get(w)
-        if p is None:
-            marks = ["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in w]
-            shape = "".join(k for k, last in zip(marks, ["", *marks[:-1]], strict=True) if k != last)
-            p = _memo[w] = tuple(2 + zlib.crc32(x.encode("utf-8", "surrogatepass")) % (FEATURES - 2) for x in ("s" + shape, "e" + w[-3:].lower()))
-        places += p
-    counts = np.bincount(places, minlength=FEATURES)
-    out += counts / len(words)
-    out[0] = sum(a == b for a, b in pairwise(words)) / len(words)
-    return np.sqrt(out)
-
-
 def fit(x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -> np.ndarray:
     """Weights and bias of a logistic scorer of soft labels, by Adam on the whole sample."""
     x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1)
@@ -147,7 +182,7 @@ def fit(x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -> np.ndarray:
 
 def stems(word: str) -> tuple[int, ...]:
     """Hashes of a word and its beginnings."""
-    w = word.strip(".,;:!?\"'()#$%&*|").lower()
+    w = bare_word(word)
     return tuple({zlib.crc32(x.encode("utf-8", "surrogatepass")) % STEMS for x in (w[:k] for k in (*BEGINNINGS, len(w))) if x})
 
 
@@ -175,81 +210,89 @@ class Toxicity:
         known = self.stems[place] == at
         x[row[known], place[known]] = value[known]
         self.weights = fit(x, toxic.astype(float))
-        self.known: dict[str, tuple[int, ...]] = {}
         self.place = {int(k): i for i, k in enumerate(self.stems)}
 
-    def score(self, text: str | None) -> float:
-        if len(self.known) > MEMO:
-            self.known.clear()
-        places: list[int] = []
-        for w in (text or "").split():
-            p = self.known.get(w)
-            if p is None:
-                p = self.known[w] = tuple(self.place[k] for k in stems(w) if k in self.place)
-            places += p
-        counts = np.bincount(np.array(places, np.int64), minlength=len(self.stems))
+    def score(self, places: np.ndarray) -> float:
+        """Of the places of a text's stems; the number of stems stands for none."""
+        counts = np.bincount(places.ravel(), minlength=len(self.stems) + 1)[:-1]
         return float(1 / (1 + np.exp(-np.clip(np.log1p(counts) @ self.weights[:-1] + self.weights[-1], -30, 30))))
 
 
+def sampled(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One row of texts for each of the wanted (h, h2): as many as these, however often a text occurs."""
+    return texts.join(F.broadcast(wanted), ["h", "h2"]).groupBy("h", "h2").agg(F.first("text").alias("text"))
+
+
 def learn_toxicity(texts: DataFrame, labels: DataFrame) -> Toxicity | None:
     """The scorer of a bounded sample of labelled texts outside the held-out fold; None where a class has none."""
     told = pick(labels, doc_id="doc_id", toxic="toxic").where((crc_mod(F.col("doc_id"), FOLDS) != HELD_FOLD) & F.col("toxic").isin(0, 1))
-    told = cut(told.join(texts.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = [told.where(F.col("toxic") == c).orderBy(*order).limit(TOXIC_ROWS) for c in (0, 1)]
-    wanted = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 x TOXIC_ROWS ids at most
-
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            got = [stem_counts(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "at": [k.astype(np.int32).tobytes() for k, _ in got], "n": [n.astype(np.int32).tobytes() for _, n in got]})
-
-    sample = sorted(tuple(r) for r in texts.join(wanted, "doc_id").mapInPandas(measure, "doc_id long, toxic int, at binary, n binary").collect())
-    toxic = np.array([t == 1 for _, t, _, _ in sample], bool)
+    told = told.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    told = cut(told.join(texts.select("doc_id", "h", "h2"), "doc_id").select("h", "h2", "toxic"))
+    chosen = [told.where(F.col("toxic") == c).orderBy("h", "h2").limit(TOXIC_ROWS) for c in (0, 1)]
+    wanted = cut(chosen[0].unionByName(chosen[1]).groupBy("h", "h2").agg(F.max("toxic").alias("toxic")))  # 2 x TOXIC_ROWS at most
+
+    def work(some: list[str | None]) -> dict:
+        got = [stem_counts(t) for t in some]
+        return {"at": [k.astype(np.int32).tobytes() for k, _ in got], "n": [n.astype(np.int32).tobytes() for _, n in got]}
+
+    measured = map_texts(sampled(texts, wanted.drop("toxic")), ["h", "h2"], "at binary, n binary", lambda: work)
+    sample = sorted(tuple(r) for r in measured.join(F.broadcast(wanted), ["h", "h2"]).select("h", "h2", "toxic", "at", "n").collect())
+    toxic = np.array([t == 1 for _, _, t, _, _ in sample], bool)
     if not toxic.any() or toxic.all():
         return None
-    return Toxicity([(np.frombuffer(bytes(k), np.int32), np.frombuffer(bytes(n), np.int32)) for _, _, k, n in sample], toxic)
+    return Toxicity([(np.frombuffer(bytes(k), np.int32), np.frombuffer(bytes(n), np.int32)) for *_, k, n in sample], toxic)
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labels: DataFrame | None = None) -> DataFrame:
     """doc_id, votes, posterior, score, good (score at least one half), toxic and keep of every row; labels (doc_id,
     toxic 0 or 1) of some rows are what toxicity is learned from."""
-    texts = pick(docs, doc_id=id_col, text=text_col)
+    texts = pick(docs, doc_id=id_col, text=text_col).withColumns({"h": F.xxhash64("doc_id"), "h2": F.xxhash64(F.coalesce("text", F.lit("")))})
 
-    def cast(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            got = [votes(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "votes": [list(v) for v, _ in got]})
+    def cast():
+        lexicon = Lexicon()
+        return lambda some: {"votes": [list(Reading(t, lexicon).votes()[0]) for t in some]}
 
-    voted = cut(texts.mapInPandas(cast, "doc_id long, votes array<int>"))
+    voted = cut(map_texts(texts, ["h", "h2"], "votes array<int>", cast))
     patterns = sorted((tuple(r["votes"]), r["n"]) for r in voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect())
     posterior, _ = estimate(patterns)
 
     bad = [list(p) for p, g in posterior.items() if g < 0.5]
-    spark = docs.sparkSession
     is_bad = F.exists(F.array(*[F.array(*map(F.lit, p)) for p in bad]), lambda p: p == F.col("votes")) if bad else F.lit(False)
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = [voted.where(c & F.col("doc_id").isNotNull()).select("doc_id").orderBy(*order).limit(TRAIN_ROWS) for c in (is_bad, ~is_bad)]
-    wanted = F.broadcast(chosen[0].unionByName(chosen[1]).distinct())  # 2 x TRAIN_ROWS ids at most
+    chosen = [voted.where(c).select("h", "h2").orderBy("h", "h2").limit(TRAIN_ROWS) for c in (is_bad, ~is_bad)]
+
+    def measure():
+        lexicon = Lexicon()
+
+        def work(some: list[str | None]) -> dict:
+            read = [Reading(t, lexicon) for t in some]
+            return {"votes": [list(r.votes()[0]) for r in read], "x": [r.features().tobytes() for r in read]}
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "votes": [list(votes(t)[0]) for t in batch["text"]], "x": [features(t).tobytes() for t in batch["text"]]})
+        return work
 
-    sample = sorted(tuple(r) for r in texts.join(wanted, "doc_id").mapInPandas(measure, "doc_id long, votes array<int>, x binary").collect())
-    y = np.array([posterior[tuple(v)] for _, v, _ in sample])
+    wanted = cut(chosen[0].unionByName(chosen[1]).distinct())  # 2 x TRAIN_ROWS at most
+    sample = sorted(tuple(r) for r in map_texts(sampled(texts, wanted), ["h", "h2"], "votes array<int>, x binary", measure).collect())
+    y = np.array([posterior[tuple(v)] for *_, v, _ in sample])
     weights = None
     if len(sample) and (y < 0.5).any() and (y >= 0.5).any():
-        weights = fit(np.frombuffer(b"".join(bytes(b) for _, _, b in sample), np.float32).reshape(len(sample), -1), y)
-    shared = spark.sparkContext.broadcast((posterior, weights, None if labels is None else learn_toxicity(texts, labels)))
+        weights = fit(np.frombuffer(b"".join(bytes(x) for *_, x in sample), np.float32).reshape(len(sample), -1), y)
+    shared = docs.sparkSession.sparkContext.broadcast((posterior, weights, None if labels is None else learn_toxicity(texts, labels)))
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score():
         posterior, weights, learned = shared.value
-        for batch in batches:
-            got = [votes(t) for t in batch["text"]]
-            p = [posterior[v] for v, _ in got]
-            s = p if weights is None else [float(1 / (1 + np.exp(-np.clip(features(t) @ weights[:-1] + weights[-1], -30, 30)))) for t in batch["text"]]
-            toxic = [x or (learned is not None and learned.score(t) >= 0.5) for (_, x), t in zip(got, batch["text"], strict=True)]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "votes": [",".join(map(str, v)) for v, _ in got], "posterior": p, "score": s, "good": [x >= 0.5 for x in s], "toxic": toxic, "keep": [x >= 0.5 and not t for x, t in zip(s, toxic, strict=True)]})
-
-    return texts.mapInPandas(score, "doc_id long, votes string, posterior double, score double, good boolean, toxic boolean, keep boolean")
+        lexicon = Lexicon(learned)
+
+        def work(some: list[str | None]) -> dict:
+            out: dict[str, list] = {n: [] for n in ("votes", "posterior", "score", "good", "toxic", "keep")}
+            for text in some:
+                read = Reading(text, lexicon)
+                v, insult = read.votes()
+                p = posterior[v]
+                s = p if weights is None else float(1 / (1 + np.exp(-np.clip(read.features() @ weights[:-1] + weights[-1], -30, 30))))
+                toxic = insult or (learned is not None and read.toxicity() >= 0.5)
+                for n, x in zip(out, (",".join(map(str, v)), p, s, s >= 0.5, toxic, s >= 0.5 and not toxic), strict=True):
+                    out[n].append(x)
+            return out
+
+        return work
+
+    return map_texts(texts, ["doc_id"], "votes string, posterior double, score double, good boolean, toxic boolean, keep boolean", score)
