@@ -1,63 +1,70 @@
 """Language-model scoring by context-tree weighting over bytes.
 
-Each byte is decomposed into eight binary decisions (a node of a tree of 255 bit prefixes). For every decision and every
-context of 0 to DEPTH preceding bytes, a Krichevsky-Trofimov estimate is kept, and context-tree weighting mixes the
-estimates of all depths: Pw = (Pe + product of the children's Pw) / 2. Given the training counts, the mixture's
-prediction along a context path is a0 KT0 + (1 - a0)(a1 KT1 + (1 - a1)(...)) with a = Pe / (2 Pw).
-
-Training is one count of (context, byte) codes: tasks count map-side, so the shuffle carries a row for each distinct
-code and task. The recursion runs by groups: a group of the two nearest context bytes has at most 2^16 codes, a group
-of the nearest byte at most 256 nodes, the root at most 256; none grows with the input. A scored position then is one
-look-up in the row of its context. The rows are broadcast in slices of at most SLICE_ROWS (64 MB each); a larger model
-is scored in as many passes over the texts, whose sums are added.
-
-The base score is an add-one unigram model of words. A token with at least 1/HEAVY of all training tokens is in a
-broadcast list (HEAVY tokens at most, by that definition); all other tokens are joined to their counts by shuffle,
-where none of them can have more than its 1/HEAVY of the training rows.
-
-Cases: a null or empty text is its end alone. Very long texts are scored whole. Repeated rows are scored each. With no
-training rows every byte decision has probability one half, and N and V are 0. Other columns are not read.
+A text is a row of symbols, its lower-cased bytes and an end, which is a symbol of its own. Each symbol is decomposed into
+binary decisions: whether the text ends, then the eight bits of a byte (256 decisions in all). For every decision and every
+context of 0 to DEPTH symbols before it, a Krichevsky-Trofimov estimate is kept, and context-tree weighting mixes the
+estimates of all depths: Pw = (Pe + product of the children's Pw) / 2. Given the training counts, the mixture's prediction
+along a context path is a0 KT0 + (1 - a0)(a1 KT1 + (1 - a1)(...)) with a = Pe / (2 Pw). The tree is kept whole, so the model
+grows with the input.
+
+A code is the DEPTH nearest symbols and the one they stand before, 9 bits each, the nearest highest; so the codes of a
+context are those that begin with it. The texts are read once and packed into bundles of about BUNDLE_BYTES: their
+compressed texts, and their distinct codes with training counts, dealt out by a hash of the four nearest symbols. Then
+
+1. each part merges its codes and sums its trees up to depth 4 (a context of depth 4 has at most 257^3 codes);
+2. parts by the two nearest symbols sum these up to depth 2, and the driver the rest: at most 257^2 contexts x 256 decisions;
+3. the mixture goes back down the same way, and each part answers every bundle with its codes' log10 probabilities;
+4. bundles score their texts by a look-up for each position.
+
+So all exchanges carry distinct codes of bundles and compressed texts, and nothing that grows is broadcast or collected.
+Codes that only held-out texts have count nothing, and so change no estimate. Tokens of the base score (an add-one unigram
+model of words) go the same way, dealt out by their own hash.
+
+Probabilities travel as 16-bit numbers in steps of 10^-4 (log10), so the score of a text is exact to that a position.
+
+Cases: a null or empty text is its end alone. Very long texts are scored whole. Repeated rows are scored each. A null id is
+trained on. With no training rows every decision has probability one half, and N and V are 0. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from factloom.llm.common import crc_mod, cut, pick, utf8
 
-DEPTH = 3
-SLICE_ROWS = 1 << 16
-HEAVY = 1 << 16
-HEAVY_LENGTH = 64
-FLUSH = 1 << 19
-KEY = ["key_id", "row_id"]
+DEPTH = 6
+SYMBOL = 9
+#: Bytes of text in a bundle, in one blob of texts, and in what is worked on at once.
+BUNDLE_BYTES, BLOB_BYTES, WORK_BYTES = 16 << 20, 4 << 20, 1 << 20
+#: Bytes of text for each part that codes are dealt to, and the least number of parts.
+PART_BYTES, LEAST_PARTS = 32 << 20, 64
+UPPER_PARTS = 32
+#: Steps of 1 / SCALE in which log10 probabilities travel.
+SCALE = 10_000
+MIX = np.uint64(0x9E3779B97F4A7C15)
+PACK = zstandard.ZstdCompressor(level=1)
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """Natural log of the gamma function for x > 0 (Stirling's series after a shift by 8)."""
-    shift = np.zeros_like(x)
+    shift = np.ones_like(x)
     for k in range(8):
-        shift += np.log(x + k)
+        shift *= x + k
     y = x + 8
     series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
-    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + series - shift
-
-
-def bit_counts(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(zeros, ones) of the 255 decisions, root first, from rows of 256 byte counts."""
-    zeros, ones = [], []
-    for level in range(8):
-        sums = counts.reshape(len(counts), 1 << level, 2, -1).sum(axis=3)
-        zeros.append(sums[:, :, 0])
-        ones.append(sums[:, :, 1])
-    return np.concatenate(zeros, axis=1).astype(float), np.concatenate(ones, axis=1).astype(float)
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + series - np.log(shift)
 
 
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -65,258 +72,376 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1) - math.log(math.pi)
 
 
-def weigh(counts: np.ndarray, log_children: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For nodes with these byte counts and sums of children's log Pw: (share a of the node's own estimate, its
-    prediction of a one, log Pw), each a row of 255 decisions."""
-    zeros, ones = bit_counts(counts)
-    own = log_kt(zeros, ones)
-    log_pw = np.logaddexp(own, log_children) - math.log(2)
-    return np.exp(own - math.log(2) - log_pw), (ones + 0.5) / (zeros + ones + 1), log_pw
+def codes_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(codes of each position of texts and of their ends, where each text's codes start)."""
+    raw = np.frombuffer(b"".join(b"\0" * DEPTH + t + b"\0" for t in texts), np.uint8).astype(np.uint64) + np.uint64(1)
+    sizes = np.array([len(t) + DEPTH + 1 for t in texts])
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    raw[(starts[:, None] + np.arange(DEPTH)).ravel()] = 0
+    raw[ends - 1] = 0
+    n = len(raw) - DEPTH
+    code = raw[DEPTH:].copy()
+    for k in range(DEPTH):  # the nearest symbol is the highest
+        code |= raw[k : k + n] << np.uint64(SYMBOL * (k + 1))
+    keep = np.ones(len(raw), bool)
+    keep[(starts[:, None] + np.arange(DEPTH)).ravel()] = False
+    return code[keep[DEPTH:]], starts - DEPTH * np.arange(len(texts))
 
 
-def byte_log10(one: np.ndarray) -> np.ndarray:
-    """log10 probability of the 256 bytes from rows of 255 decisions' probability of a one."""
-    total = np.zeros((len(one), 256))
-    first = 0
-    for level in range(8):
-        p = one[:, first : first + (1 << level)]
-        both = np.stack([np.log10(1 - p), np.log10(p)], axis=2).reshape(len(one), -1)
-        total += np.repeat(both, 256 >> (level + 1), axis=1)
-        first += 1 << level
-    return total
+def part_of(codes: np.ndarray, parts: int) -> np.ndarray:
+    """Parts by the four nearest symbols."""
+    near = (codes >> np.uint64(SYMBOL * (DEPTH - 3))) * MIX
+    return ((near ^ near >> np.uint64(32)) * MIX >> np.uint64(40)).astype(np.int64) % parts
 
 
-def codes_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(codes of context and byte for each position of lower-cased texts and their ends, where each text starts).
-    A code is b3 << 24 | b2 << 16 | b1 << 8 | byte, b1 the nearest; before a text stand zero bytes."""
-    joined = np.frombuffer(b"".join(b"\0\0\0" + t + b"\0" for t in texts), np.uint8).astype(np.uint32)
-    lengths = np.array([len(t) + 4 for t in texts])
-    codes = joined[:-3] << 24 | joined[1:-2] << 16 | joined[2:-1] << 8 | joined[3:]
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    keep = np.ones(len(codes) + 3, bool)
-    keep[(starts[1:, None] - np.arange(1, 4)).ravel()] = False
-    return codes[keep[: len(codes)]], starts - 3 * np.arange(len(texts))
-
-
-def count_codes(docs: DataFrame) -> DataFrame:
-    """code and n over all texts."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes, counts = np.empty(0, np.uint32), np.empty(0, np.int64)
-        for batch in batches:
-            texts = [utf8(t).lower() for t in batch["text"]]
-            for at in range(0, len(texts), 512):
-                new, n = np.unique(codes_of(texts[at : at + 512])[0], return_counts=True)
-                codes, where = np.unique(np.concatenate([codes, new]), return_inverse=True)
-                counts = np.bincount(where, np.concatenate([counts, n]), len(codes)).astype(np.int64)
-            if len(codes) > FLUSH:
-                yield pd.DataFrame({"code": codes.astype(np.int64), "n": counts})
-                codes, counts = codes[:0], counts[:0]
-        yield pd.DataFrame({"code": codes.astype(np.int64), "n": counts})
-
-    return docs.select("text").mapInPandas(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def _pack(rows: np.ndarray, kind) -> list[bytes]:
-    return [r.astype(kind).tobytes() for r in rows]
-
-
-def _unpack(column, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(column), kind).reshape(len(column), -1)
-
-
-def build_model(counts: DataFrame) -> DataFrame:
-    """A row for each node that training met and one for unseen deeper bytes below it: depth, context (b1 lowest) and
-    256 log10 probabilities as 32-bit floats."""
-
-    def deep(key, part: pd.DataFrame) -> pd.DataFrame:
-        near = int(key[0])  # b2 << 8 | b1
-        third, where = np.unique(part["code"].to_numpy() >> 24, return_inverse=True)
-        table = np.zeros((len(third), 256), np.int64)
-        table[where, part["code"].to_numpy() & 255] = part["n"].to_numpy()
-        zeros, ones = bit_counts(table)
-        leaf = (ones + 0.5) / (zeros + ones + 1)
-        total = table.sum(axis=0, keepdims=True)
-        own, kt, log_pw = weigh(total, log_kt(zeros, ones).sum(axis=0, keepdims=True))
-        mixed = np.concatenate([own * kt + (1 - own) * 0.5, own * kt + (1 - own) * leaf])
-        contexts = [-1, *(int(t) << 16 | (near & 255) | (near >> 8) << 8 for t in third)]
-        return pd.DataFrame({"b1": near & 255, "b2": near >> 8, "context": contexts, "one": _pack(mixed, np.float64), "counts": [total[0].tobytes(), *[None] * len(third)], "log_pw": [log_pw[0].tobytes(), *[None] * len(third)]})
-
-    nodes = cut(counts.withColumn("near", F.shiftright("code", 8).bitwiseAND(0xFFFF)).groupBy("near").applyInPandas(deep, "b1 int, b2 int, context long, one binary, counts binary, log_pw binary"))
-
-    def middle(part: pd.DataFrame) -> pd.DataFrame:
-        total = _unpack(part["counts"], np.int64).sum(axis=0, keepdims=True)
-        own, kt, log_pw = weigh(total, _unpack(part["log_pw"], np.float64).sum(axis=0, keepdims=True))
-        return pd.DataFrame({"b1": part["b1"][:1], "own": _pack(own, np.float64), "kt": _pack(kt, np.float64), "counts": _pack(total, np.int64), "log_pw": _pack(log_pw, np.float64)})
-
-    # At most 256 rows of about 8 kB reach the driver.
-    upper = nodes.where("context = -1").groupBy("b1").applyInPandas(middle, "b1 int, own binary, kt binary, counts binary, log_pw binary").toPandas()
-    if len(upper):
-        root_own, root_kt, _ = weigh(_unpack(upper["counts"], np.int64).sum(axis=0, keepdims=True), _unpack(upper["log_pw"], np.float64).sum(axis=0, keepdims=True))
-    else:
-        root_own, root_kt = np.full((1, 255), 0.5), np.full((1, 255), 0.5)
-    own = dict(zip(upper["b1"], _unpack(upper["own"], np.float64), strict=True)) if len(upper) else {}
-    kt = dict(zip(upper["b1"], _unpack(upper["kt"], np.float64), strict=True)) if len(upper) else {}
-    top = [(0, 0, byte_log10(root_own * root_kt + (1 - root_own) * 0.5)[0].astype(np.float32).tobytes())]
-    for b in own:
-        one = root_own * root_kt + (1 - root_own) * (own[b] * kt[b] + (1 - own[b]) * 0.5)
-        top.append((1, int(b), byte_log10(one)[0].astype(np.float32).tobytes()))
-
-    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                o, k = (np.stack([x[b] for b in batch["b1"]]) for x in (own, kt))
-                one = root_own * root_kt + (1 - root_own) * (o * k + (1 - o) * _unpack(batch["one"], np.float64))
-                whole = batch["context"] >= 0
-                yield pd.DataFrame({"depth": np.where(whole, 3, 2), "context": np.where(whole, batch["context"], batch["b2"] * 256 + batch["b1"]), "row": _pack(byte_log10(one), np.float32)})
-
-    rows = nodes.select("b1", "b2", "context", "one").mapInPandas(finish, "depth int, context long, row binary")
-    return rows.unionByName(counts.sparkSession.createDataFrame(top, "depth int, context long, row binary"))
-
-
-class Lookup:
-    """Scores positions by a slice of the model's rows; positions whose row is in another slice count as 0."""
-
-    def __init__(self, depths: np.ndarray, contexts: np.ndarray, rows: np.ndarray):
-        self.rows = np.concatenate([np.zeros((1, 256), np.float32), rows])
-        self.depths, self.contexts = depths, contexts
-        self.place = np.zeros((256, 256, 256), np.int32)  # b3, b2, b1
-
-    def put(self, owners: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
-        """owners: depth, context and place (0: in another slice) of every row, shallow ones first."""
-        for depth in range(4):
-            here = owners[0] == depth
-            c, at = owners[1][here], owners[2][here]
-            b1, b2, b3 = c & 255, c >> 8 & 255, c >> 16
-            if depth == 0:
-                self.place[:] = at[0] if len(at) else 0
-            elif depth == 1:
-                self.place[:, :, b1] = at
-            elif depth == 2:
-                self.place[:, b2, b1] = at
-            else:
-                self.place[b3, b2, b1] = at
-
-    def score(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        b1, b2, b3 = codes >> 8 & 255, codes >> 16 & 255, codes >> 24
-        values = self.rows[self.place[b3, b2, b1], codes & 255].astype(float)
-        return np.add.reduceat(values, starts)
-
-
-def model_scores(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """key_id, row_id, score (the model's log10 probability of the lower-cased text and its end) and n_bytes of each
-    distinct key of docs; rows with one key have one text."""
-    sc = docs.sparkSession.sparkContext
-    model = cut(model)
-    keys = model.select("depth", "context").orderBy("depth", "context").toPandas()  # 12 bytes for each row of the model
-    depths, contexts = keys["depth"].to_numpy(), keys["context"].to_numpy()
-    scored = None
-    for first in range(0, len(keys), SLICE_ROWS):
-        last = min(first + SLICE_ROWS, len(keys))
-        lo, hi = ((int(depths[k]) << 32) + int(contexts[k]) for k in (first, last - 1))
-        inside = model.where((F.shiftleft(F.col("depth").cast("long"), 32) + F.col("context")).between(lo, hi))
-        piece = inside.toPandas().sort_values(["depth", "context"])
-        place = np.zeros(len(keys), np.int32)
-        place[first:last] = np.arange(1, last - first + 1)
-        shared = sc.broadcast((depths, contexts, place, _unpack(piece["row"], np.float32)))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            depths, contexts, place, rows = shared.value
-            lookup = Lookup(depths, contexts, rows)
-            lookup.put((depths, contexts, place))
-            for batch in batches:
-                texts = [utf8(t).lower() for t in batch["text"]]
-                for k in range(0, len(texts), 512):
-                    yield pd.DataFrame({"key_id": batch["key_id"][k : k + 512], "row_id": batch["row_id"][k : k + 512], "score": lookup.score(*codes_of(texts[k : k + 512])), "n_bytes": [len(t) + 1 for t in texts[k : k + 512]]})
-
-        part = docs.select("key_id", "row_id", "text").mapInPandas(run, "key_id long, row_id long, score double, n_bytes long")
-        scored = part if scored is None else scored.unionByName(part)
-    slices = -(-len(keys) // SLICE_ROWS)
-    # A sum over slices, once for repeated rows.
-    return scored.groupBy(*KEY).agg((F.sum("score") * slices / F.count(F.lit(1))).alias("score"), F.max("n_bytes").alias("n_bytes"))
-
-
-def count_tokens(docs: DataFrame) -> DataFrame:
-    """token (bytes; null for the ends) and c over all lower-cased texts."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
-        for batch in batches:
-            for text in batch["text"]:
-                seen.update(utf8(text).lower().split())
-                seen[None] += 1
-                if len(seen) > FLUSH:
-                    yield pd.DataFrame({"token": list(seen), "c": list(seen.values())})
-                    seen.clear()
-        yield pd.DataFrame({"token": list(seen), "c": list(seen.values())})
-
-    return docs.select("text").mapInPandas(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
-
-
-def base_scores(docs: DataFrame, tokens: DataFrame) -> DataFrame:
-    """key_id, row_id, n_tokens, n_known, train_tokens and base_score of each distinct key of docs."""
-    tokens = cut(tokens)
-    whole = tokens.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    n_all, v_all = whole["n"] or 0, whole["v"]
-    under = n_all + v_all + 1
-    heavy = {None if r["token"] is None else bytes(r["token"]): r["c"] for r in tokens.where(F.col("token").isNull() | ((F.col("c") * HEAVY >= n_all) & (F.octet_length("token") <= HEAVY_LENGTH))).collect()}
-    shared = docs.sparkSession.sparkContext.broadcast({t: math.log10((c + 1) / under) for t, c in heavy.items()})
+def pack_codes(codes: np.ndarray) -> bytes:
+    """Sorted codes: their differences, byte by byte, compressed."""
+    steps = np.diff(codes, prepend=np.uint64(0))
+    return PACK.compress(steps.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def unpack_codes(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
+def pack(array: np.ndarray) -> bytes:
+    return PACK.compress(np.ascontiguousarray(array).tobytes())
+
+
+def unpack(data: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), kind)
+
+
+def decisions(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of each code's decisions, node of each decision, its bit), the decisions of all codes in a row."""
+    symbol = (codes & np.uint64((1 << SYMBOL) - 1)).astype(np.int64)
+    byte = symbol - 1
+    nodes, bits = np.zeros((len(codes), 9), np.int64), np.zeros((len(codes), 9), bool)
+    bits[:, 0] = symbol == 0
+    for level in range(8):
+        nodes[:, level + 1] = (1 << level) | byte >> (8 - level)
+        bits[:, level + 1] = byte >> (7 - level) & 1
+    live = np.ones((len(codes), 9), bool)
+    live[:, 1:] = symbol[:, None] > 0
+    return live.sum(axis=1), nodes[live], bits[live]
+
+
+class Level:
+    """The nodes of one depth: sorted keys (context and decision), counts, log Pw, share and estimate of each."""
+
+    def __init__(self, keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, children: np.ndarray | None):
+        self.keys, self.zeros, self.ones = keys, zeros, ones
+        own = log_kt(zeros, ones)
+        if children is None:  # the deepest
+            self.log_pw, self.share = own, np.ones(len(keys))
+        else:
+            self.log_pw = np.logaddexp(own, children) - math.log(2)
+            self.share = np.exp(own - math.log(2) - self.log_pw)
+        self.estimate = (ones + 0.5) / (zeros + ones + 1)
+
+    def up(self, symbols: int = 1) -> tuple[Level, np.ndarray]:
+        """(the parents' level, the place of each node's parent)."""
+        keys, where = np.unique((self.keys >> (8 + SYMBOL)) << 8 | self.keys & 255, return_inverse=True)
+        add = lambda x: np.bincount(where, x, len(keys))
+        return Level(keys, add(self.zeros), add(self.ones), add(self.log_pw)), where
+
+
+def merged(keys: list[np.ndarray], *values: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Distinct keys of several blobs and the sums of their values."""
+    every, where = np.unique(np.concatenate([np.empty(0, keys[0].dtype if keys else np.int64), *keys]), return_inverse=True)
+    return every, *(np.bincount(where, np.concatenate([np.empty(0), *v]), len(every)) for v in values)
+
+
+def deep_levels(codes: np.ndarray, counts: np.ndarray) -> tuple[list[Level], list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """(levels of depth DEPTH to 4, each node's parent below the last, decisions of each code, their place in the first
+    level, their bits)."""
+    n, node, bit = decisions(codes)
+    context = np.repeat((codes >> np.uint64(SYMBOL)).astype(np.int64), n)
+    keys, at = np.unique(context << 8 | node, return_inverse=True)
+    weight = np.repeat(counts, n).astype(float)
+    ones = np.bincount(at, weight * bit, len(keys))
+    levels, parents = [Level(keys, np.bincount(at, weight, len(keys)) - ones, ones, None)], []
+    for _ in range(DEPTH - 4):
+        level, where = levels[-1].up()
+        levels.append(level)
+        parents.append(where)
+    return levels, parents, n, at, bit
+
+
+def down(level: Level, mixed: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(mixture so far, weight left) behind a level, from those before it."""
+    return mixed + rest * level.share * level.estimate, rest * (1 - level.share)
+
+
+def answers(codes: np.ndarray, counts: np.ndarray, keys: np.ndarray, mixed: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """log10 probability of each code in steps of 1 / SCALE, given the mixture behind depth 4 for all nodes there."""
+    levels, parents, n, at, bit = deep_levels(codes, counts)
+    place = np.searchsorted(keys, levels[-1].keys)
+    mixed, rest = mixed[place], rest[place]
+    for level, where in zip(reversed(levels[:-1]), reversed(parents), strict=True):
+        mixed, rest = down(level, mixed[where], rest[where])
+    one = np.clip(mixed, 1e-300, 1)[at]
+    log = np.log10(np.where(bit, one, np.maximum(1 - one, 1e-300)))
+    total = np.add.reduceat(log, np.cumsum(n) - n) if len(n) else np.empty(0)
+    return np.maximum(np.rint(total * SCALE), -(1 << 15)).astype(np.int16)
+
+
+class Bundle:
+    """Texts on their way: what a task has read since the last bundle."""
+
+    def __init__(self, bundle: int, parts: int):
+        self.bundle, self.parts, self.size = bundle, parts, 0
+        self.batches: list[pa.RecordBatch] = []
+        self.codes: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.tokens: Counter = Counter()
+        self.others: set = set()
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        texts = [utf8(t).lower() for t in batch.column("text").to_pylist()]
+        held = batch.column("held_out").to_pylist()
+        for flag in (False, True):
+            some = [t for t, h in zip(texts, held, strict=True) if h == flag]
+            at = 0
+            while at < len(some):
+                to, size = at, 0
+                while to < len(some) and (to == at or size + len(some[to]) <= WORK_BYTES):
+                    size += len(some[to])
+                    to += 1
+                found = pa.array(codes_of(some[at:to])[0]).value_counts()
+                self.codes.append(found.field("values").to_numpy(zero_copy_only=False))
+                n = found.field("counts").to_numpy(zero_copy_only=False)
+                self.counts.append(np.zeros(len(n)) if flag else n.astype(float))
+                at = to
+            for t in some:
+                if flag:
+                    self.others.update(t.split())
+                else:
+                    self.tokens.update(t.split())
+                    self.tokens[b"\n"] += 1  # the end, as no token holds white space
+        self.size += sum(map(len, texts))
+        self.batches.append(batch)
+
+    def rows(self) -> Iterator[tuple]:
+        """(kind, part, bundle, keys, values) of texts, codes and tokens."""
+        held = [self.batches[0]] if self.batches else []
+        for batch in [*self.batches[1:], None]:
+            if batch is None or sum(b.nbytes for b in held) + batch.nbytes > BLOB_BYTES:
+                yield "texts", -1, self.bundle, PACK.compress(batches_to_bytes(held)), None
+                held = []
+            held.append(batch)
+        codes, counts = merged(self.codes, self.counts)
+        part = part_of(codes, self.parts)
+        order = np.argsort(part, kind="stable")
+        for some in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+            if len(some):
+                yield "codes", int(part[some[0]]), self.bundle, pack_codes(codes[some]), pack(counts[some].astype(np.int32))
+        dealt: dict[int, list[bytes]] = {}
+        for t in self.tokens.keys() | self.others:
+            dealt.setdefault(zlib.crc32(t) % self.parts, []).append(t)
+        for p, tokens in dealt.items():
+            yield "tokens", p, self.bundle, PACK.compress(b" ".join(tokens)), pack(np.array([self.tokens[t] for t in tokens], np.int64))
+
+
+def batches_to_bytes(batches: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema) as writer:
+        for b in batches:
+            writer.write_batch(b)
+    return sink.getvalue().to_pybytes()
+
+
+PACKED = "kind string, part int, bundle long, a binary, b binary"
+
+
+def bundles(docs: DataFrame, parts: int) -> DataFrame:
+    """The rows of bundles of docs (doc_id, held_out, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        names = [x.split()[0] for x in PACKED.split(", ")]
+        kinds = [pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+        open_bundle = Bundle(first, parts)
+
+        def out(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+            held, size = [], 0
+            for row in rows:
+                held.append(row)
+                size += len(row[3])
+                if size > BLOB_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+                    held, size = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
         for batch in batches:
-            keys, ids, light, counts, totals, sums, hits = [], [], [], [], [], [], []
-
-            def put(key, i, token, n, total, value, hit, keys=keys, ids=ids, light=light, counts=counts, totals=totals, sums=sums, hits=hits):
-                keys.append(key)
-                ids.append(i)
-                light.append(token)
-                counts.append(n)
-                totals.append(total)
-                sums.append(value)
-                hits.append(hit)
-
-            for key, i, text in zip(batch["key_id"], batch["row_id"], batch["text"], strict=True):
-                found = utf8(text).lower().split()
-                value, hit, rest = 0.0, 0, Counter()
-                for token, n in [*Counter(found).items(), (None, 1)]:
-                    weight = known.get(token)
-                    if weight is not None:
-                        value += n * weight
-                        hit += n
-                    elif token is None:  # no training rows
-                        value += -math.log10(under)
-                    else:
-                        rest[token] = n
-                put(key, i, None, 0, len(found) + 1, value, hit)
-                for token, n in rest.items():
-                    put(key, i, token, n, 0, 0.0, 0)
-            yield pd.DataFrame({"key_id": keys, "row_id": ids, "token": light, "k": counts, "n_tokens": totals, "value": sums, "hits": hits})
-
-    parts = docs.select("key_id", "row_id", "text").mapInPandas(run, "key_id long, row_id long, token binary, k long, n_tokens long, value double, hits long")
-    # Rows without a token are sums already; a random token keeps them out of one partition of the join.
-    parts = parts.withColumn("own", F.col("token").isNull()).withColumn("token", F.coalesce("token", F.concat(F.lit("\n").cast("binary"), F.col("row_id").cast("string").cast("binary"))))
-    joined = parts.join(tokens.where(F.col("token").isNotNull()), "token", "left")
-    c = F.coalesce(F.col("c"), F.lit(0))
-    times = F.count_if("own")  # repeated rows
-    whole = lambda x: (F.sum(x) / times).cast("long")
-    return joined.groupBy(*KEY).agg(
-        whole(F.col("n_tokens")).alias("n_tokens"),
-        whole(F.col("hits") + F.when(c > 0, F.col("k")).otherwise(0)).alias("n_known"),
-        F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.sum(F.col("value") + F.when(F.col("own"), 0.0).otherwise(F.col("k") * F.log10((c + 1) / under))) / times).alias("base_score"),
-    )
+            for at in range(0, batch.num_rows, 64):
+                some = batch.slice(at, 64)
+                open_bundle.add(some)
+                if open_bundle.size > BUNDLE_BYTES:
+                    yield from out(open_bundle.rows())
+                    open_bundle = Bundle(open_bundle.bundle + 1, parts)
+        if open_bundle.batches:
+            yield from out(open_bundle.rows())
+
+    return docs.mapInArrow(run, PACKED)
+
+
+def tree_tops(packed: DataFrame, parts: int) -> tuple[DataFrame, int, int]:
+    """(part, keys, mixed and rest behind depth 4 for the nodes of each part; training tokens; distinct ones)."""
+    spark = packed.sparkSession
+
+    def low(rows: pd.DataFrame) -> pd.DataFrame:
+        """Level 4 of a part's codes, dealt to upper parts; and the part's token sums."""
+        out = []
+        part = int(rows["part"].iloc[0])
+        some = rows[rows["kind"] == "codes"]
+        if len(some):
+            codes, counts = merged([unpack_codes(x) for x in some["a"]], [unpack(x, np.int32) for x in some["b"]])
+            level = deep_levels(codes, counts)[0][-1]
+            upper = (level.keys >> (8 + 2 * SYMBOL)) * 40503 % UPPER_PARTS
+            for u in np.unique(upper):
+                here = upper == u
+                out.append((int(u), part, pack(level.keys[here]), pack(np.stack([level.zeros[here], level.ones[here], level.log_pw[here]])), 0, 0))
+        counts = token_counts(rows[rows["kind"] == "tokens"])
+        out.append((-1, part, None, None, sum(counts.values()), sum(c > 0 for c in counts.values())))
+        return pd.DataFrame(out, columns=["upper", "part", "keys", "sums", "n", "v"])
+
+    lows = cut(packed.where("kind <> 'texts'").groupBy("part").applyInPandas(low, "upper int, part int, keys binary, sums binary, n long, v long"))
+    whole = lows.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+
+    def levels_of(rows: pd.DataFrame) -> tuple[list[Level], list[np.ndarray]]:
+        sums = [unpack(x, np.float64).reshape(3, -1) for x in rows["sums"]]
+        keys, zeros, ones, log_pw = merged([unpack(x, np.int64) for x in rows["keys"]], *[[s[k] for s in sums] for k in range(3)])
+        fourth = Level(keys, zeros, ones, np.zeros(len(keys)))
+        fourth.log_pw = log_pw
+        fourth.share = np.exp(log_kt(zeros, ones) - math.log(2) - log_pw)
+        third, to_third = fourth.up()
+        second, to_second = third.up()
+        return [fourth, third, second], [to_third, to_second]
+
+    def middle(rows: pd.DataFrame) -> pd.DataFrame:
+        second = levels_of(rows)[0][-1]
+        return pd.DataFrame({"upper": [rows["upper"].iloc[0]], "keys": [pack(second.keys)], "sums": [pack(np.stack([second.zeros, second.ones, second.log_pw]))]})
+
+    upper = lows.where("upper >= 0")
+    # At most 257^2 contexts x 256 decisions, whatever the input.
+    seconds = upper.groupBy("upper").applyInPandas(middle, "upper int, keys binary, sums binary").collect()
+    given = []
+    if seconds:
+        sums = [unpack(r["sums"], np.float64).reshape(3, -1) for r in seconds]
+        keys, zeros, ones, log_pw = merged([unpack(r["keys"], np.int64) for r in seconds], *[[s[k] for s in sums] for k in range(3)])
+        second = Level(keys, zeros, ones, np.zeros(len(keys)))
+        second.log_pw, second.share = log_pw, np.exp(log_kt(zeros, ones) - math.log(2) - log_pw)
+        first, to_first = second.up()
+        root, to_root = first.up()
+        mixed, rest = down(root, np.zeros(len(root.keys)), np.ones(len(root.keys)))
+        mixed, rest = down(first, mixed[to_root], rest[to_root])
+        mixed, rest = down(second, mixed[to_first], rest[to_first])
+        for r in seconds:
+            own = unpack(r["keys"], np.int64)
+            at = np.searchsorted(keys, own)
+            given.append((r["upper"], -1, bytearray(pack(own)), bytearray(pack(np.stack([mixed[at], rest[at]])))))
+    behind = spark.createDataFrame(given, "upper int, part int, keys binary, sums binary")
+
+    def spread(rows: pd.DataFrame) -> pd.DataFrame:
+        """The mixture behind depth 4, back to the parts."""
+        mine = rows[rows["part"] >= 0]
+        (fourth, third, _), (to_third, to_second) = levels_of(mine)
+        mixed, rest = unpack(rows[rows["part"] < 0]["sums"].iloc[0], np.float64).reshape(2, -1)
+        mixed, rest = down(third, mixed[to_second], rest[to_second])
+        mixed, rest = down(fourth, mixed[to_third], rest[to_third])
+        out = []
+        for part, keys in zip(mine["part"], mine["keys"], strict=True):
+            own = unpack(keys, np.int64)
+            at = np.searchsorted(fourth.keys, own)
+            out.append((part, pack(own), pack(np.stack([mixed[at], rest[at]]))))
+        return pd.DataFrame(out, columns=["part", "keys", "sums"])
+
+    both = upper.select("upper", "part", "keys", "sums").unionByName(behind)
+    return cut(both.groupBy("upper").applyInPandas(spread, "part int, keys binary, sums binary")), whole["n"] or 0, whole["v"] or 0
+
+
+def token_counts(rows: pd.DataFrame) -> Counter:
+    counts: Counter = Counter()
+    for a, b in zip(rows["a"], rows["b"], strict=True):
+        for t, n in zip(zstandard.decompress(a).split(b" "), unpack(b, np.int64).tolist(), strict=True):
+            counts[t] += n
+    return counts
+
+
+def answered(packed: DataFrame, tops: DataFrame) -> DataFrame:
+    """For each bundle and part: its codes with their log10 probabilities, and its tokens with their counts."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        some, top = rows[rows["kind"] == "codes"], rows[rows["kind"] == "tops"]
+        if len(some):
+            each = [unpack_codes(x) for x in some["a"]]
+            codes, counts = merged(each, [unpack(x, np.int32) for x in some["b"]])
+            sums = [unpack(x, np.float64).reshape(2, -1) for x in top["b"]]
+            keys, mixed, rest = merged([unpack(x, np.int64) for x in top["a"]], [s[0] for s in sums], [s[1] for s in sums])
+            values = answers(codes, counts, keys, mixed, rest)
+            for bundle, packed_codes, own in zip(some["bundle"], some["a"], each, strict=True):
+                out.append(("codes", bundle, packed_codes, pack(values[np.searchsorted(codes, own)])))
+        some = rows[rows["kind"] == "tokens"]
+        counts = token_counts(some)
+        for bundle, tokens in zip(some["bundle"], some["a"], strict=True):
+            out.append(("tokens", bundle, tokens, pack(np.array([counts[t] for t in zstandard.decompress(tokens).split(b" ")], np.int64))))
+        return pd.DataFrame(out, columns=["kind", "bundle", "a", "b"])
+
+    asked = packed.where("kind <> 'texts'").unionByName(tops.select(F.lit("tops").alias("kind"), "part", F.lit(-1).cast("long").alias("bundle"), F.col("keys").alias("a"), F.col("sums").alias("b")))
+    return asked.groupBy("part").applyInPandas(run, "kind string, bundle long, a binary, b binary")
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every row; learns
     from the rows whose crc32(id as text) mod folds is not held_fold."""
     rows = pick(docs, doc_id=id_col, text=text_col)
-    # The id and a hash of the text tell rows apart in every pass, in whatever order a pass reads them.
-    rows = rows.withColumns({"key_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "row_id": F.xxhash64(F.coalesce("text", F.lit("")))})
-    held = crc_mod(F.col("doc_id"), folds) == held_fold
-    train = rows.where(~F.coalesce(held, F.lit(False)))
-    base = base_scores(rows, count_tokens(train))
-    model = model_scores(rows, build_model(cut(count_codes(train))))
-    out = rows.select(*KEY, "doc_id", F.coalesce(held, F.lit(False)).alias("held_out")).join(base.join(model, KEY), KEY)
-    return out.withColumn("bits_per_byte", -F.col("score") / math.log10(2) / F.col("n_bytes")).drop(*KEY, "n_bytes")
+    rows = rows.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), folds) == held_fold, F.lit(False)).alias("held_out"), "text")
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    parts = max(LEAST_PARTS, size // PART_BYTES)
+    packed = cut(bundles(rows, parts))
+    tops, n_all, v_all = tree_tops(packed, parts)
+    under = n_all + v_all + 1
+    id_type = rows.schema["doc_id"].dataType
+    schema = f"doc_id {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+
+    def score(rows: pd.DataFrame) -> pa.Table:
+        some = rows[rows["kind"] == "codes"]
+        codes = np.concatenate([np.empty(0, np.uint64), *[unpack_codes(x) for x in some["a"]]])
+        values = np.concatenate([np.empty(0, np.int16), *[unpack(x, np.int16) for x in some["b"]]]).astype(float) / SCALE
+        index = pd.Index(codes)
+        known: dict[bytes, tuple[float, bool]] = {}
+        some = rows[rows["kind"] == "tokens"]
+        for a, b in zip(some["a"], some["b"], strict=True):
+            for t, c in zip(zstandard.decompress(a).split(b" "), unpack(b, np.int64).tolist(), strict=True):
+                known[t] = (math.log10((c + 1) / under), c > 0)
+        end = known.get(b"\n", (math.log10(1 / under), False))
+        tables = []
+        for blob in rows[rows["kind"] == "texts"]["a"]:
+            for batch in pa.ipc.open_stream(zstandard.decompress(blob)):
+                texts = [utf8(t).lower() for t in batch.column("text").to_pylist()]
+                found, starts = codes_of(texts)
+                score = np.add.reduceat(values[index.get_indexer(found)], starts)
+                tokens = [[known[w] for w in t.split()] for t in texts]
+                columns = {
+                    "n_tokens": [len(t) + 1 for t in tokens],
+                    "n_known": [sum(k for _, k in t) + end[1] for t in tokens],
+                    "train_tokens": [n_all] * len(texts),
+                    "base_score": [sum(x for x, _ in t) + end[0] for t in tokens],
+                    "score": score,
+                    "bits_per_byte": -score / math.log10(2) / np.array([len(t) + 1 for t in texts]),
+                }
+                arrays = [batch.column("doc_id"), batch.column("held_out"), *(pa.array(v, pa.float64() if "score" in c or c == "bits_per_byte" else pa.int64()) for c, v in columns.items())]
+                tables.append(pa.Table.from_arrays(arrays, names=["doc_id", "held_out", *columns]))
+        return pa.concat_tables(tables)
+
+    def run(table: pa.Table) -> pa.Table:
+        out = score(table.to_pandas())
+        return out.set_column(0, "doc_id", out.column("doc_id").cast(to_arrow_type(id_type)))
+
+    texts = packed.where("kind = 'texts'").select("kind", "bundle", "a", "b")
+    return texts.unionByName(answered(packed, tops)).groupBy("bundle").applyInArrow(run, schema)

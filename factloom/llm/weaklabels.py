@@ -34,7 +34,7 @@ EM_ROUNDS = 60
 #: Labellers are built to object rarely to good texts: this rate is believed with TRUST times the weight of the data.
 FALSE_ALARM, TRUST = 0.01, 4.0
 EPOCHS = 300
-MEMO = 1 << 17
+MEMO = 1 << 18
 #: Labelled texts of each class that toxicity is learned from, the fold of labels that is held out, the hashed
 #: beginnings of words, and how many of these the scorer has.
 TOXIC_ROWS = 2048
@@ -53,13 +53,14 @@ LABELLERS = ("marks", "shouting", "repeats", "lines", "length", "frequent", "voc
 class Lexicon(dict):
     """Numbers of words, and arrays of what is known of each: whatever is read off a word is worked out once."""
 
-    def __init__(self, toxicity: Toxicity | None = None):
-        self.toxicity, self.size = toxicity, 0
+    def __init__(self, toxicity: Toxicity | None = None, voting_only: bool = False):
+        self.toxicity, self.voting_only, self.size = toxicity, voting_only, 0
         width = len(BEGINNINGS) + 1
         self.bare, self.shape, self.ending = (np.zeros(1024, np.int64) for _ in range(3))
         self.frequent, self.insult, self.telling = (np.zeros(1024, bool) for _ in range(3))
         self.places = np.zeros((1024, width), np.int64)
         self.bares: dict[str, int] = {}
+        self.marks: dict[str, int] = {}
 
     def __missing__(self, word: str) -> int:
         k = self[word] = self.size
@@ -71,22 +72,40 @@ class Lexicon(dict):
         bare = bare_word(word)
         self.bare[k] = self.bares.setdefault(bare, len(self.bares))
         self.frequent[k], self.insult[k] = bare in FREQUENT, bare in INSULTS
-        marks = ["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word]
-        shape = "".join(x for x, last in zip(marks, ["", *marks[:-1]], strict=True) if x != last)
-        self.shape[k], self.ending[k] = (2 + zlib.crc32(x.encode("utf-8", "surrogatepass")) % (FEATURES - 2) for x in ("s" + shape, "e" + word[-3:].lower()))
+        if self.voting_only:
+            return k
+        self.shape[k], self.ending[k] = self.hashed("s" + word_shape(word)), self.hashed("e" + word[-3:].lower())
         if self.toxicity is not None:
             known = [self.toxicity.place[x] for x in stems(word) if x in self.toxicity.place]
-            self.places[k] = len(self.toxicity.stems)
-            self.places[k, : len(known)] = known
-            self.telling[k] = bool(known)
+            if known:
+                self.places[k] = len(self.toxicity.stems)
+                self.places[k, : len(known)] = known
+                self.telling[k] = True
+        return k
+
+    def hashed(self, mark: str) -> int:
+        """The feature of a shape or an ending."""
+        k = self.marks.get(mark)
+        if k is None:
+            k = self.marks[mark] = 2 + zlib.crc32(mark.encode("utf-8", "surrogatepass")) % (FEATURES - 2)
         return k
 
     def numbers(self, words: list[str]) -> np.ndarray:
         if self.size > MEMO:
-            toxicity = self.toxicity
             self.clear()
-            self.__init__(toxicity)
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+            self.__init__(self.toxicity, self.voting_only)
+        return np.array([self[w] for w in words], np.int64)
+
+
+def word_shape(word: str) -> str:
+    """A for capitals, a for other letters, 0 for digits and other characters as they are, runs as one."""
+    if word.isalpha():
+        if word.islower():
+            return "a"
+        if word[0].isupper() and (len(word) == 1 or word[1:].islower()):
+            return "A" if len(word) == 1 else "Aa"
+    marks = ["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word]
+    return "".join(x for x, last in zip(marks, ["", *marks[:-1]], strict=True) if x != last)
 
 
 def bare_word(word: str) -> str:
@@ -249,7 +268,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     texts = pick(docs, doc_id=id_col, text=text_col).withColumns({"h": F.xxhash64("doc_id"), "h2": F.xxhash64(F.coalesce("text", F.lit("")))})
 
     def cast():
-        lexicon = Lexicon()
+        lexicon = Lexicon(voting_only=True)
         return lambda some: {"votes": [list(Reading(t, lexicon).votes()[0]) for t in some]}
 
     voted = cut(map_texts(texts, ["h", "h2"], "votes array<int>", cast))
