@@ -47,14 +47,14 @@ from factloom.llm.common import crc_mod, cut, pick, utf8
 DEPTH = 6
 SYMBOL = 9
 #: Bytes of text in a bundle, in one blob of texts, and in what is worked on at once.
-BUNDLE_BYTES, BLOB_BYTES, WORK_BYTES = 16 << 20, 4 << 20, 1 << 20
+BUNDLE_BYTES, BLOB_BYTES, WORK_BYTES = 12 << 20, 4 << 20, 1 << 19
 #: Bytes of text for each part that codes are dealt to, and the least number of parts.
 PART_BYTES, LEAST_PARTS = 32 << 20, 64
 UPPER_PARTS = 32
 #: Steps of 1 / SCALE in which log10 probabilities travel.
 SCALE = 10_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
-PACK = zstandard.ZstdCompressor(level=1)
+PACK = zstandard.ZstdCompressor(level=3)
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -107,11 +107,20 @@ def unpack_codes(data: bytes) -> np.ndarray:
 
 
 def pack(array: np.ndarray) -> bytes:
-    return PACK.compress(np.ascontiguousarray(array).tobytes())
+    """Numbers, byte by byte, compressed."""
+    return PACK.compress(np.ascontiguousarray(array).view(np.uint8).reshape(-1, array.itemsize).T.tobytes())
 
 
 def unpack(data: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), kind)
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order and how often each occurs; sorts in place."""
+    codes.sort()
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.empty(0, np.int64)
+    return codes[first], np.diff(first, append=len(codes))
 
 
 def decisions(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -194,8 +203,7 @@ class Bundle:
     def __init__(self, bundle: int, parts: int):
         self.bundle, self.parts, self.size = bundle, parts, 0
         self.batches: list[pa.RecordBatch] = []
-        self.codes: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
+        self.codes: dict[bool, list[np.ndarray]] = {False: [], True: []}
         self.tokens: Counter = Counter()
         self.others: set = set()
 
@@ -204,17 +212,7 @@ class Bundle:
         held = batch.column("held_out").to_pylist()
         for flag in (False, True):
             some = [t for t, h in zip(texts, held, strict=True) if h == flag]
-            at = 0
-            while at < len(some):
-                to, size = at, 0
-                while to < len(some) and (to == at or size + len(some[to]) <= WORK_BYTES):
-                    size += len(some[to])
-                    to += 1
-                found = pa.array(codes_of(some[at:to])[0]).value_counts()
-                self.codes.append(found.field("values").to_numpy(zero_copy_only=False))
-                n = found.field("counts").to_numpy(zero_copy_only=False)
-                self.counts.append(np.zeros(len(n)) if flag else n.astype(float))
-                at = to
+            self.codes[flag] += [codes_of(part)[0] for part in in_pieces(some)]
             for t in some:
                 if flag:
                     self.others.update(t.split())
@@ -232,19 +230,43 @@ class Bundle:
                 yield "texts", -1, self.bundle, PACK.compress(batches_to_bytes(held)), None
                 held = []
             held.append(batch)
-        codes, counts = merged(self.codes, self.counts)
+        self.batches = []
+        each = []
+        for flag in (False, True):
+            each.append(counted(np.concatenate([np.empty(0, np.uint64), *self.codes[flag]])))
+            self.codes[flag] = []
+        unseen = np.setdiff1d(each[1][0], each[0][0], assume_unique=True)
+        codes = np.concatenate([each[0][0], unseen])
+        counts = np.concatenate([each[0][1], np.zeros(len(unseen), np.int64)]).astype(np.int32)
         part = part_of(codes, self.parts)
-        order = np.argsort(part, kind="stable")
+        order = np.lexsort((codes, part))
         for some in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
             if len(some):
-                yield "codes", int(part[some[0]]), self.bundle, pack_codes(codes[some]), pack(counts[some].astype(np.int32))
-        dealt: dict[int, list[bytes]] = {}
-        for t in self.tokens.keys() | self.others:
-            dealt.setdefault(zlib.crc32(t) % self.parts, []).append(t)
-        for p, tokens in dealt.items():
+                yield "codes", int(part[some[0]]), self.bundle, pack_codes(codes[some]), pack(counts[some])
+        for p, tokens in dealt_tokens(self.tokens.keys() | self.others, self.parts).items():
             yield "tokens", p, self.bundle, PACK.compress(b" ".join(tokens)), pack(np.array([self.tokens[t] for t in tokens], np.int64))
 
 
+def in_pieces(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Runs of texts of about WORK_BYTES."""
+    at = 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and (to == at or size + len(texts[to]) <= WORK_BYTES):
+            size += len(texts[to])
+            to += 1
+        yield texts[at:to]
+        at = to
+
+
+def dealt_tokens(tokens: set, parts: int) -> dict[int, list[bytes]]:
+    """Tokens in order by part."""
+    dealt: dict[int, list[bytes]] = {}
+    for t in sorted(tokens):
+        dealt.setdefault(zlib.crc32(t) % parts, []).append(t)
+    return dealt
+
+
 def batches_to_bytes(batches: list[pa.RecordBatch]) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batches[0].schema) as writer:
@@ -424,8 +446,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         for blob in rows[rows["kind"] == "texts"]["a"]:
             for batch in pa.ipc.open_stream(zstandard.decompress(blob)):
                 texts = [utf8(t).lower() for t in batch.column("text").to_pylist()]
-                found, starts = codes_of(texts)
-                score = np.add.reduceat(values[index.get_indexer(found)], starts)
+                score = np.concatenate([np.add.reduceat(values[index.get_indexer(found)], starts) for found, starts in map(codes_of, in_pieces(texts))])
                 tokens = [[known[w] for w in t.split()] for t in texts]
                 columns = {
                     "n_tokens": [len(t) + 1 for t in tokens],
