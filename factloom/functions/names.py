@@ -11,87 +11,121 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _closing(text: str, opening: int) -> int:
-    """Where the bracket at opening closes, or -1. The > of -> closes nothing."""
-    level = 0
-    for at in range(opening, len(text)):
-        if text[at] == "<":
-            level += 1
-        elif text[at] == ">" and text[at - 1] != "-":
-            level -= 1
-            if not level:
-                return at
-    return -1
+class Group(list):
+    """The parts between a `<` and its `>`: texts and groups. A group at the end of a text may lack its `>`."""
+
+    closed = False
+
+    def __str__(self) -> str:
+        return "<" + "".join(map(str, self)) + (">" if self.closed else "")
+
+
+def parsed(text: str) -> Group:
+    """A text as parts outside angle brackets and groups inside them, the one parser of all functions below. An arrow
+    is text, and a `>` that closes nothing is a part of its own."""
+    open_groups = [Group()]
+    for token in re.split("(->|[<>])", text):
+        if token == "<":
+            open_groups.append(Group())
+            open_groups[-2].append(open_groups[-1])
+        elif token == ">" and len(open_groups) > 1:
+            open_groups.pop().closed = True
+        elif token:
+            open_groups[-1].append(token)
+    return open_groups[0]
+
+
+def _outside(parts: list) -> str:
+    """What stands outside groups, path separators that meet there as one."""
+    return "".join(p for p in parts if isinstance(p, str) and p != ">").replace("::::", "::")
 
 
 def bare_path(path: str) -> str:
     """The path without its <..> groups: `a::B<C>::d` is `a::B::d`."""
-    kept, level, before = [], 0, ""
-    for c in path:
-        if c == "<":
-            level += 1
-        elif c == ">" and before != "-":
-            level = max(0, level - 1)
-        elif not level:
-            kept.append(c)
-        before = c
-    return "".join(kept).replace("::::", "::")
+    return _outside(parsed(path))
+
+
+def _without_turbofish(parts: list) -> str:
+    out = ""
+    for part in parts:
+        if not isinstance(part, Group):
+            out += part
+        elif out.endswith("::"):
+            out = out[:-2]
+        else:
+            out += "<" + _without_turbofish(part) + (">" if part.closed else "")
+    return out
 
 
 def generic_item(name: str) -> str:
     """The item that an instance's name names: `::<..>` groups go, `<A as T>` stays."""
-    while (at := name.find("::<")) >= 0:
-        end = _closing(name, at + 2)
-        rest = name[end + 1 :] if end >= 0 else ""
-        head = name[:at]
-        tail = generic_item(rest)
-        return head + tail
-    return name
+    return _without_turbofish(parsed(name))
 
 
 def method_by_type(path: str) -> str:
     """`<T as Trait>::m` is `T::m`, without generic arguments; other paths just lose those."""
-    if path.startswith("<") and (end := _closing(path, 0)) > 0 and path[end + 1 : end + 3] == "::":
-        inside, level = path[1:end], 0
-        for at, c in enumerate(inside):
-            level += (c == "<") - (c == ">" and inside[at - 1 : at] != "-")
-            if not level and inside.startswith(" as ", at):
-                return bare_path(inside[:at]) + "::" + bare_path(path[end + 3 :])
-    return bare_path(path)
+    parts = parsed(path)
+    if len(parts) > 1 and isinstance(parts[0], Group) and parts[0].closed and str(parts[1]).startswith("::"):
+        for k, part in enumerate(parts[0]):
+            if isinstance(part, str) and " as " in part:
+                owner = [*parts[0][:k], part.partition(" as ")[0]]
+                return _outside(owner) + "::" + _outside([parts[1][2:], *parts[2:]])
+    return _outside(parts)
 
 
-_BIT = re.compile(r"typenum::uint::UInt<typenum::U(\d+), typenum::bit::B([01])>")
+# The names of type-level binary numbers.
+BITS, END, NUMBER = "typenum::uint::UInt", "typenum::uint::UTerm", "typenum::U"
+_NUMBER_AND_BIT = re.compile(r"typenum::U(\d+), typenum::bit::B([01])")
 
 
-def folded_integers(text: str) -> str:
-    """Nested type-level binary numbers by their values: `UInt<UInt<UTerm, B1>, B0>` is `U2`."""
-    text, found = text.replace("typenum::uint::UTerm", "typenum::U0"), 1
-    while found:
-        text, found = _BIT.subn(lambda m: f"typenum::U{2 * int(m[1]) + int(m[2])}", text)
-    return text
+def _folded(parts: list) -> str:
+    out = ""
+    for part in parts:
+        if isinstance(part, str):
+            out += part.replace(END, NUMBER + "0")
+            continue
+        inside = _folded(part)
+        bit = _NUMBER_AND_BIT.fullmatch(inside) if part.closed and out.endswith(BITS) else None
+        out = f"{out[: -len(BITS)]}{NUMBER}{2 * int(bit[1]) + int(bit[2])}" if bit else out + "<" + inside + (">" if part.closed else "")
+    return out
 
 
-def _arguments(text: str) -> list[str]:
-    parts, level, start = [], 0, 0
-    for at, c in enumerate(text):
-        level += (c in "<([{") - (c in ">)]}" and not (c == ">" and text[at - 1 : at] == "-"))
-        if c == "," and not level:
-            parts.append(text[start:at].strip())
-            start = at + 1
-    return [*parts, text[start:].strip()]
+def folded_integers(text: str) -> str:
+    """Nested type-level binary numbers by their values: `UInt<UInt<UTerm, B1>, B0>` is `U2`."""
+    return _folded(parsed(text)) if "typenum::" in text else text
+
+
+def _with_sorted_bindings(parts: list) -> str:
+    out = ""
+    for part in parts:
+        if not isinstance(part, Group):
+            out += part
+        elif not part.closed:
+            out += str(part)
+        else:
+            arguments, depth = [""], 0
+            for piece in part:
+                if isinstance(piece, Group):
+                    arguments[-1] += _with_sorted_bindings([piece])
+                    continue
+                for c in piece:
+                    depth += (c in "([{") - (c in ")]}")
+                    if c == "," and depth == 0:
+                        arguments.append("")
+                    else:
+                        arguments[-1] += c
+            arguments = [a.strip() for a in arguments]
+            named = [re.match(r"\w+ = ", a) is not None for a in arguments]
+            first = named.index(True) if True in named else len(arguments)
+            if all(named[first:]):
+                arguments = arguments[:first] + sorted(arguments[first:])
+            out += "<" + ", ".join(arguments) + ">"
+    return out
 
 
 def sorted_bindings(text: str) -> str:
     """Trailing `Name = type` bindings of every argument list in order, inside out."""
-    at = text.find("<")
-    if at < 0 or (end := _closing(text, at)) < 0:
-        return text
-    parts = [sorted_bindings(a) for a in _arguments(text[at + 1 : end])]
-    named = [bool(re.match(r"\w+ = ", a)) for a in parts]
-    first = named.index(True) if True in named else len(parts)
-    if all(named[first:]):
-        parts[first:] = sorted(parts[first:])
-    return f"{text[:at]}<{', '.join(parts)}>{sorted_bindings(text[end + 1 :])}"
+    return _with_sorted_bindings(parsed(text))
 
 
 def _udf(f):
@@ -168,6 +202,7 @@ def context_text(*parts: Column) -> Column:
 
 def renumbered(sentence: Column, n: Column) -> Column:
     """The sentence of a member of a set for a set of n members."""
+    # The sentences.
     one_of = r"^algorithm one of \d+ (that .*)$"
     lone_args = r"^algorithm one of \d+ that may reach the call: ((?:(?!, ).)* in the arguments)$"
     lone_far = r"^algorithm one of \d+ that may reach the call from other functions: ((?:(?!, ).)*)$"

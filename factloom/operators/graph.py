@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from factloom.session import cut
 
 
+COMPACT_ROUNDS = 8
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node and component (the least node that links reach) of every node that an edge names.
 
@@ -50,8 +53,11 @@ def fixpoint(seed: DataFrame, step, key: list[str], max_rounds: int | None = Non
         fresh = cut(fresh.select(*seen.columns))
         if rounds == max_rounds:
             return seen, fresh
-        seen = cut(seen.unionByName(fresh))
+        # Only what is new is written; the parts are written together now and then, so that plans stay short.
+        seen = seen.unionByName(fresh)
         frontier, rounds = fresh, rounds + 1
+        if rounds % COMPACT_ROUNDS == 0:
+            seen = cut(seen)
     return seen, frontier
 
 
@@ -228,3 +234,70 @@ def reaching_definitions(flow: DataFrame, gen: DataFrame, kill: DataFrame) -> Da
         return passed.join(step_to, passed["block"] == step_to["f_block"]).select(F.col("f_next").alias("block"), "def")
 
     return fixpoint(made, step, ["block", "def"])[0]
+
+
+def bounded_walk(roots: DataFrame, edges: DataFrame, most: int, node: str = "node", a: str = "a", b: str = "b") -> tuple[DataFrame, bool]:
+    """(nodes with the round they were reached in, whether the walk was cut): after a round that brings the nodes above
+    `most`, the walk ends, and says so if anything was left to visit."""
+    live = _edges(edges, a, b)
+    seen = cut(roots.select(F.col(node).alias("node")).distinct().withColumn("round", F.lit(0)))
+    frontier, rounds, total = seen, 0, seen.count()
+    while not frontier.isEmpty():
+        fresh = frontier.join(live, frontier["node"] == live["e_from"]).select(F.col("e_to").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
+        fresh = cut(fresh.withColumn("round", F.lit(rounds + 1)))
+        if total > most:
+            return seen, not fresh.isEmpty()
+        seen, frontier, rounds = seen.unionByName(fresh), fresh, rounds + 1
+        total += fresh.count()
+    return seen, False
+
+
+def roots_of(items: DataFrame, is_library: bool = False) -> DataFrame:
+    """The items a walk starts from, with the least reason: the entry function, what reports its end, what the linker
+    keeps, and for a library its public functions."""
+    reasons = [("entry", F.col("is_main")), ("report", F.col("is_report")), ("linked", F.col("is_exported"))] + ([("public", F.col("is_public"))] if is_library else [])
+    chain = None
+    for name, holds in reasons:
+        chain = F.when(holds, name) if chain is None else chain.when(holds, name)
+    return items.withColumn("reason", chain).where("reason IS NOT NULL")
+
+
+def uncalled(pending: DataFrame, edges: DataFrame, walked: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """node: what only waiting edges lead to. From their ends the edges are followed, but never into walked nodes."""
+    live = _edges(edges, a, b).join(walked.select(F.col("node").alias("e_to")), "e_to", "left_anti")
+    start = pending.select("node").distinct().join(walked.select("node"), "node", "left_anti")
+    return fixpoint(start, lambda f: f.join(live, f["node"] == live["e_from"]).select(F.col("e_to").alias("node")), ["node"])[0]
+
+
+def shifted_attribution(calls: DataFrame, callers: DataFrame, plumbing: DataFrame) -> DataFrame:
+    """call, callee and anchor: calls(callee, caller) that plumbing makes are attributed to the callers outside it that
+    lead there, through plumbing only. callers(callee, caller) are the call edges, plumbing(node) the code in between."""
+    through = plumbing.select(F.col("node").alias("caller")).distinct()
+    start = calls.join(through, "caller", "left_semi").select("callee", F.col("caller").alias("at")).distinct()
+    up = cut(callers.select(F.col("callee").alias("at"), F.col("caller").alias("next")).distinct())
+    inside = fixpoint(start, lambda f: f.join(up, "at").select("callee", F.col("next").alias("at")).join(through.select(F.col("caller").alias("at")), "at", "left_semi"), ["callee", "at"])[0]
+    return inside.join(up, "at").select("callee", F.col("next").alias("anchor")).distinct().join(through.select(F.col("caller").alias("anchor")), "anchor", "left_anti")
+
+
+def resolved_parameters(given: DataFrame, handed: DataFrame, bounds: DataFrame) -> DataFrame:
+    """key, types and open of parameters. given(key, type) are the types calls give, handed(key, from_key) parameters
+    that callers hand on, bounds(key, types, open) what a bound allows. A parameter is all its calls give and what those
+    handed on are; one that anything open reaches is open; a cycle adds nothing. Parameters with no type at all and no
+    bound are open."""
+    types = given.select("key", "type").union(bounds.select("key", F.explode("types").alias("type")))
+    back = handed.select(F.col("from_key").alias("a"), F.col("key").alias("b"))
+    every = fixpoint(types.distinct(), lambda f: f.join(back, f["key"] == back["a"]).select(F.col("b").alias("key"), "type"), ["key", "type"])[0]
+    keys = types.select("key").union(handed.select("key")).union(handed.select("from_key")).distinct()
+    rootless = keys.join(types.select("key").union(handed.select("key")).distinct(), "key", "left_anti")
+    seeds = bounds.where("open").select("key").union(rootless).distinct()
+    opened = fixpoint(seeds, lambda f: f.join(back, f["key"] == back["a"]).select(F.col("b").alias("key")), ["key"])[0]
+    told = every.groupBy("key").agg(F.array_sort(F.collect_set("type")).alias("types"))
+    return keys.join(told, "key", "left").join(opened.withColumn("open", F.lit(True)), "key", "left").select("key", F.coalesce("types", F.array().cast("array<string>")).alias("types"), F.coalesce("open", F.lit(False)).alias("open"))
+
+
+def prefix_kills(kills: DataFrame, defs: DataFrame) -> DataFrame:
+    """(killer, killed) of definitions: a strong one ends those of the same variable whose path its own begins. The
+    paths' beginnings are exploded, so the join is by equality."""
+    starts = F.transform(F.sequence(F.lit(0), F.size("path")), lambda n: F.slice("path", F.lit(1), n))
+    below = defs.select(F.col("def").alias("killed"), "var", F.explode(starts).alias("path"))
+    return kills.where("strong").select(F.col("def").alias("killer"), "var", "path").join(below, ["var", "path"]).where("killer <> killed").select("killer", "killed")

@@ -17,17 +17,19 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def first_match(rows: DataFrame, rules: DataFrame, key: list[str], equal: list[tuple[str, str]], condition: Column, order: str = "ord", how: str = "inner") -> DataFrame:
-    """Each row with the first rule, by order, that agrees on the equal columns and meets the condition.
+    """Each row with the first rule, by order, that agrees on the equal columns and meets the condition; the key, which
+    may be null, tells rows apart.
 
     The equalities keep the plan a hash join with the condition as its residual. One aggregation by the key picks the
-    first rule without sorting the rules of a row.
+    first rule and keeps the row, so neither side is read again.
     """
     on = reduce(lambda x, y: x & y, [rows[a] == rules[b] for a, b in equal], condition) if equal else condition
-    matched = rows.join(small(rules), on)
     rest = [c for c in rules.columns if c != order]
-    best = matched.groupBy(*key).agg(F.min_by(F.struct(*[rules[c].alias(c) for c in rest], rules[order].alias(order)), rules[order]).alias("_rule"))
-    fields = best.select(*key, *[F.col("_rule")[c].alias(c) for c in [*rest, order]])
-    return rows.join(fields, key, how)
+    matched = rows.join(small(rules), on, how)
+    rule = F.min_by(F.struct(*[rules[c].alias(c) for c in rest], rules[order].alias(order)), rules[order])
+    others = [c for c in rows.columns if c not in key]
+    best = matched.groupBy(*[rows[k] for k in key]).agg(rule.alias("_rule"), *[F.first(rows[c]).alias(c) for c in others])
+    return best.select(*rows.columns, *[F.col("_rule")[c].alias(c) for c in [*rest, order]])
 
 
 def first_literal_match(rows: DataFrame, column: str, patterns: list[tuple[str, str]], out: str = "match") -> DataFrame:
@@ -43,16 +45,17 @@ def first_literal_match(rows: DataFrame, column: str, patterns: list[tuple[str,
 def longest_prefix(rows: DataFrame, column: str, prefixes: DataFrame, prefix: str, separator: str = "/", how: str = "left") -> DataFrame:
     """Each row with the prefix row whose prefix is the longest that the column starts with, at separators.
 
-    The column's ancestors are exploded and joined by equality, so the plan is a hash join however many prefixes there
-    are; ties cannot occur, as equal prefixes are one row (the least).
+    The ancestors of the column's distinct values are exploded and joined by equality, so the plan is a hash join however
+    many prefixes there are; ties cannot occur, as equal prefixes are one row (the least).
     """
-    parts = F.split(F.col(column), F.lit(separator), -1)
-    keyed = rows.withColumn("_row", F.monotonically_increasing_id())
-    ancestors = keyed.select("_row", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), separator))).alias("_prefix"))
+    values = rows.select(F.col(column).alias("_value")).where("_value IS NOT NULL").distinct()
+    parts = F.split("_value", F.lit(separator), -1)
+    ancestors = values.select("_value", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), separator))).alias("_prefix"))
     rest = [c for c in prefixes.columns if c != prefix]
-    unique = prefixes.groupBy(prefix).agg(*[F.min(c).alias(c) for c in rest])
-    best = ancestors.join(unique, ancestors["_prefix"] == unique[prefix]).groupBy("_row").agg(F.max_by(F.struct(prefix, *rest), F.length(prefix)).alias("_best"))
-    return keyed.join(best.select("_row", *[F.col("_best")[c].alias(c) for c in [prefix, *rest]]), "_row", how).drop("_row")
+    unique = small(prefixes.groupBy(prefix).agg(*[F.min(c).alias(c) for c in rest]))
+    best = ancestors.join(unique, ancestors["_prefix"] == unique[prefix]).groupBy("_value").agg(F.max_by(F.struct(prefix, *rest), F.length(prefix)).alias("_best"))
+    found = best.select("_value", *[F.col("_best")[c].alias(c) for c in [prefix, *rest]])
+    return rows.join(found, rows[column] == found["_value"], how).drop("_value")
 
 
 def longest_literal_prefix(rows: DataFrame, column: str, prefixes: list[tuple[str, str]], out: str = "match") -> DataFrame:
@@ -67,13 +70,13 @@ def longest_literal_prefix(rows: DataFrame, column: str, prefixes: list[tuple[st
 def disjunctive_first(rows: DataFrame, rules: DataFrame, key: list[str], arms: list[list[tuple[str, str]]], order: str = "ord", how: str = "inner") -> DataFrame:
     """Each row with the first rule that agrees with it on all pairs of any arm. Every arm is an equi-join of its own."""
     hinted, rest = small(rules), [c for c in rules.columns if c != order]
-    found = None
-    for arm in arms:
-        on = reduce(lambda x, y: x & y, [rows[a] == rules[b] for a, b in arm])
-        one = rows.join(hinted, on).select(*[rows[k] for k in key], F.struct(rules[order].alias(order), *[rules[c].alias(c) for c in rest]).alias("_rule"))
-        found = one if found is None else found.unionByName(one)
-    best = found.groupBy(*key).agg(F.min("_rule").alias("_rule"))
-    return rows.join(best.select(*key, *[F.col("_rule")[c].alias(c) for c in [order, *rest]]), key, how)
+    others = [c for c in rows.columns if c not in key]
+    rule = F.struct(rules[order].alias(order), *[rules[c].alias(c) for c in rest])
+    arms_found = [rows.join(hinted, reduce(lambda x, y: x & y, [rows[a] == rules[b] for a, b in arm])).select(*[rows[c] for c in rows.columns], rule.alias("_rule")) for arm in arms]
+    if how == "left":
+        arms_found.append(rows.withColumn("_rule", F.lit(None).cast(arms_found[0].schema["_rule"].dataType)))
+    best = reduce(DataFrame.unionByName, arms_found).groupBy(*key).agg(F.min("_rule").alias("_rule"), *[F.first(c).alias(c) for c in others])
+    return best.select(*rows.columns, *[F.col("_rule")[c].alias(c) for c in [order, *rest]])
 
 
 def anti_with_reason(rows: DataFrame, cited: DataFrame, key: list[str], reasons: list[tuple[str, Column]], otherwise: str = "uncovered", out: str = "reason") -> DataFrame:

@@ -63,6 +63,15 @@ def capped_set(value: Column, most: int, marker: str) -> Column:
     return F.when(F.size(values) > most, F.concat(F.slice(values, 1, most), F.array(F.lit(marker)))).otherwise(values)
 
 
+def capped_rows(rows: DataFrame, key: list[str], value: str, most: int, marker: str) -> DataFrame:
+    """key and value, an array: at most so many distinct values of each key in order, then the marker. Values past the
+    cap are cut before and after the shuffle, so no task gathers a hot key's values."""
+    n = F.row_number().over(Window.partitionBy(*key).orderBy(value))
+    told = rows.select(*key, value).where(F.col(value).isNotNull()).distinct().withColumn("_n", n).where(F.col("_n") <= most + 1)
+    capped = F.when(F.col("_n") > most, marker).otherwise(F.col(value))
+    return told.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", capped.alias("v")))), lambda x: x["v"]).alias(value))
+
+
 def precision_recall(rows: DataFrame, truth: Column, found: Column, by: list[str] = ()) -> DataFrame:
     """Counts and ratios to three decimals; a ratio over nothing is null."""
     both, either = F.count_if(truth & found), lambda c: F.count_if(c)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.operators import graph
 from factloom.operators.graph import connected_components
 from factloom.session import cut
 
@@ -86,3 +87,28 @@ def settle(members: DataFrame, answers: DataFrame, key: list[str]) -> DataFrame:
     """members(key, found) narrowed to complete answers; an incomplete answer changes nothing, and nothing is added."""
     told = answers.select(*key, F.col("found").alias("_told"), "complete")
     return members.join(told, key, "left").withColumn("found", F.when(F.col("complete"), F.array_intersect("found", "_told")).otherwise(F.col("found"))).drop("_told", "complete")
+
+
+def collapsed(addr: DataFrame, copies: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(addr, copies, representatives: v and rep) with the variables of each cycle of copies as one: they hold the same
+    objects, so a cycle is solved once."""
+    reps = graph.strong_components(copies.select(F.col("src").alias("a"), F.col("dst").alias("b"))).select(F.col("node").alias("v"), F.col("component").alias("rep"))
+    named = lambda df, c: df.join(reps.select(F.col("v").alias(c), F.col("rep").alias("_r")), c, "left").withColumn(c, F.coalesce("_r", c)).drop("_r")
+    fewer = named(named(copies.select("dst", "src"), "dst"), "src").where("dst <> src").distinct()
+    return named(addr.select("v", "o"), "v").distinct(), fewer, reps
+
+
+def cloned(copies: DataFrame, calls: DataFrame, library: DataFrame) -> DataFrame:
+    """copies(body, dst, src) of library bodies once for each calling context, calls(context, body), as variables
+    `context/variable`; other bodies keep theirs. A library body that nothing calls has no copy."""
+    shared = copies.join(library.select("body").distinct(), "body", "left_semi").join(calls.select("context", "body").distinct(), "body")
+    name = lambda c: F.concat_ws("/", F.col("context").cast("string"), F.col(c)).alias(c)
+    own = copies.join(library.select("body").distinct(), "body", "left_anti").select("dst", "src")
+    return own.unionByName(shared.select(name("dst"), name("src")))
+
+
+def havocked(locations: DataFrame, havoc: DataFrame, smashed: DataFrame) -> DataFrame:
+    """locations(object, offset) that havoc(object, lo, size) reaches; all of an object whose parts are one (smashed)."""
+    ranges = havoc.where("size > 0").join(smashed.select("object").distinct().withColumn("_all", F.lit(True)), "object", "left")
+    inside = F.coalesce(F.col("_all"), F.lit(False)) | ((F.col("offset") >= F.col("lo")) & (F.col("offset") < F.col("lo") + F.col("size")))
+    return locations.join(ranges, "object").where(inside).select("object", "offset").distinct()

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.operators.joins import small
 from factloom.session import cut
 
 NODE = "root_id long, node_id long, parent_id long, slot string, ord long, depth long, kind string, name string, krate string, field long, owner string, value string, zero boolean"
@@ -91,7 +92,7 @@ def match_types(nodes: DataFrame, entries: DataFrame) -> DataFrame:
     any) of type nodes that entries(crate, name, ord) describe by crate and last path part."""
     last = F.element_at(F.split("name", "::"), -1)
     typed = nodes.where("kind = 'Adt'").select("root_id", "node_id", F.col("krate").alias("crate"), last.alias("name"))
-    hit = cut(typed.join(F.broadcast(entries.select("crate", "name", "ord")), ["crate", "name"]).groupBy("root_id", "node_id").agg(F.min("ord").alias("ord")))
+    hit = cut(typed.join(small(entries.select("crate", "name", "ord")), ["crate", "name"]).groupBy("root_id", "node_id").agg(F.min("ord").alias("ord")))
     up = nodes.select("root_id", F.col("node_id").alias("at"), F.col("parent_id").alias("next"))
     live = hit.select("root_id", "node_id", "ord").join(nodes.select("root_id", "node_id", F.col("parent_id").alias("at")), ["root_id", "node_id"])
     done = live.where("at IS NULL").select("root_id", "node_id", "ord", F.lit(None).cast("long").alias("outer"))
@@ -160,7 +161,7 @@ def search_values(roots: DataFrame, nodes: DataFrame, semantics: DataFrame, para
     returns(callee, root_id) give. What no rule covers, and what lies beyond `most` rounds, is a gap with its reason.
     Nodes seen before end without a gap: cycles add nothing and cut nothing.
     """
-    nodes = cut(nodes)
+    nodes, semantics = cut(nodes), small(semantics)
     kids = nodes.select("root_id", F.col("parent_id").alias("p_id"), F.col("node_id").alias("k_id"), "slot", "ord")
     about = nodes.select("root_id", "node_id", "kind", "name", "field", "owner")
     frontier = roots.select("start", "root_id", F.lit(0).cast("long").alias("node_id"), F.lit("here").alias("via"))
@@ -173,7 +174,7 @@ def search_values(roots: DataFrame, nodes: DataFrame, semantics: DataFrame, para
         found.append(here.where("kind = 'Data'").select("start", F.col("name").alias("found"), "via"))
         gaps.append(here.where("kind IN ('Truncated', 'Unknown')").select("start", F.concat(F.lower("kind"), F.lit(" value")).alias("reason")))
         within = here.where("kind IN ('Any', 'All', 'Set')").join(kids, (here["root_id"] == kids["root_id"]) & (here["node_id"] == kids["p_id"])).select("start", here["root_id"], F.col("k_id").alias("node_id"), "via")
-        calls = here.where("kind IN ('Call', 'Through', 'Written')").join(F.broadcast(semantics), here["name"] == semantics["callee"], "left")
+        calls = here.where("kind IN ('Call', 'Through', 'Written')").join(semantics, here["name"] == semantics["callee"], "left")
         followed = calls.where("slots IS NOT NULL").select("start", calls["root_id"], "node_id", "via", F.explode("slots").alias("want"))
         args = followed.join(kids, (followed["root_id"] == kids["root_id"]) & (followed["node_id"] == kids["p_id"]) & (kids["ord"] == followed["want"]) & (kids["slot"] == "arg")).select("start", followed["root_id"], F.col("k_id").alias("node_id"), "via")
         own = calls.where("slots IS NULL").select("start", "via", F.col("name").alias("callee")).join(returns.select("callee", F.col("root_id").alias("to")), "callee", "left")
@@ -210,6 +211,8 @@ def classify_provenance(roots: DataFrame, nodes: DataFrame, sources: DataFrame,
     passes(callee, slots) are as those arguments; other calls are computed; parameters are as callers' arguments, and
     `parameter` without any; deeper than `most` is unknown."""
     nodes = cut(nodes)
+    sources = small(sources.select(F.col("callee").alias("name"), F.col("class").alias("source")))
+    passes = small(passes.select(F.col("callee").alias("name"), "slots"))
     kids = nodes.select("root_id", F.col("parent_id").alias("p_id"), F.col("node_id").alias("k_id"), "slot", "ord")
     about = nodes.select("root_id", "node_id", "kind", "name", "field", "owner", "value")
     seen = cut(roots.select("start", "root_id", F.lit(0).cast("long").alias("node_id")))
@@ -217,7 +220,7 @@ def classify_provenance(roots: DataFrame, nodes: DataFrame, sources: DataFrame,
     for _ in range(most):
         if frontier.isEmpty():
             break
-        here = frontier.join(about, ["root_id", "node_id"]).join(F.broadcast(sources.select(F.col("callee").alias("name"), F.col("class").alias("source"))), "name", "left").join(F.broadcast(passes.select(F.col("callee").alias("name"), "slots")), "name", "left")
+        here = frontier.join(about, ["root_id", "node_id"]).join(sources, "name", "left").join(passes, "name", "left")
         here = cut(here)
         call = F.col("kind").isin("Call", "Through", "Written")
         label = F.when((F.col("kind") == "Const") & (F.col("value") == ""), "absent").when(F.col("kind").isin("Const", "Data"), "hard-coded").when(call & F.col("source").isNotNull(), F.col("source")).when(call & F.col("slots").isNull(), "computed").when(F.col("kind").isin("Unknown", "Truncated"), "unknown")

@@ -36,7 +36,7 @@ def occurrences(facts: DataFrame, kb: dict[str, DataFrame]) -> DataFrame:
     types = cut(types)
     flat = cut(trees.flatten_types(types.select("root_id", "type")))
     typed = kb["type"].select("crate", "name", "asset", *[F.col(c) if c in kb["type"].columns else F.lit(None).cast("string").alias(c) for c in ("primitive", "functions", "material")], "ord")
-    matched = trees.match_types(flat, typed).join(types.select("root_id", "site"), "root_id").join(F.broadcast(typed.drop("crate", "name")), "ord")
+    matched = trees.match_types(flat, typed).join(types.select("root_id", "site"), "root_id").join(joins.small(typed.drop("crate", "name")), "ord")
     by_type = rest.join(matched.select("site", "asset", "primitive", "functions", "material", "ord", F.when(F.col("outer").isNull(), "instantiation").otherwise("component").alias("how")), "site")
     cols = ["asset", "primitive", "material", "file", "line", "offset", F.col("path").alias("symbol"), "how", "tier", "functions", "artifacts", F.col("owner_path").alias("item")]
     out = by_fn.select(*cols).unionByName(by_static.select(*cols)).unionByName(by_type.select(*cols))

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.operators.joins import small
+
 FACTS_VERSION = 37  # fixed value: the only version of the facts that is understood
 
 CRATE = "STRUCT<name:STRING,stable_id:STRING>"
@@ -33,7 +35,7 @@ def read_facts(spark: SparkSession, path: str, units: DataFrame | None = None) -
     if units is not None:
         # The check reads the units' side, so that it cannot run before other builds' files are left out.
         wanted = units.select(F.col("unit").alias("_build")).distinct()
-        facts = facts.join(F.broadcast(wanted), F.concat("unit", F.lit("")) == F.col("_build"))
+        facts = facts.join(small(wanted), F.concat("unit", F.lit("")) == F.col("_build"))
         build = F.col("_build")
     wrong = F.raise_error(F.concat(F.lit("facts version "), F.coalesce(F.col("facts_version").cast("string"), F.lit("missing")), F.lit(f", not {FACTS_VERSION}, in "), build)).cast("int")
     return facts.withColumn("facts_version", F.when(F.col("facts_version").eqNullSafe(FACTS_VERSION), F.col("facts_version")).otherwise(wrong)).drop("_build")

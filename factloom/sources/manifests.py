@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.templates import semver_covers
 from factloom.operators import graph
+from factloom.operators.joins import small
 from factloom.operators.verify import source_lines
 
 METADATA = "packages ARRAY<STRUCT<id:STRING,name:STRING,version:STRING,manifest_path:STRING,source:STRING,links:STRING,categories:ARRAY<STRING>,keywords:ARRAY<STRING>,features:MAP<STRING,ARRAY<STRING>>,targets:ARRAY<STRUCT<kind:ARRAY<STRING>,name:STRING>>,dependencies:ARRAY<STRUCT<name:STRING,rename:STRING,kind:STRING,optional:BOOLEAN,target:STRING>>>>, workspace_members ARRAY<STRING>, workspace_root STRING, target_directory STRING, resolve STRUCT<nodes:ARRAY<STRUCT<id:STRING,features:ARRAY<STRING>,deps:ARRAY<STRUCT<name:STRING,pkg:STRING,dep_kinds:ARRAY<STRUCT<kind:STRING,target:STRING>>>>>>>"
@@ -168,7 +169,7 @@ def knowledge_errors(kb: dict[str, DataFrame], families: list[str] | None = None
 
 def supported(pkgs: DataFrame, crates: DataFrame) -> DataFrame:
     """Packages in the knowledge base's version ranges that are not local."""
-    joined = pkgs.where("NOT local").join(F.broadcast(crates.select(F.col("package").alias("name"), "versions", "role")), "name")
+    joined = pkgs.where("NOT local").join(small(crates.select(F.col("package").alias("name"), "versions", "role")), "name")
     return joined.where(F.col("versions").isNull() | semver_covers("versions", "version"))
 
 
