@@ -127,7 +127,7 @@ def parts_of(outer: DataFrame, parts: DataFrame) -> DataFrame:
     raw = F.element_at("values", F.col("source"))
     value = F.when(F.col("scale").isNull(), raw).otherwise((raw.try_cast("long") * F.col("scale")).cast("string"))
     hole = F.concat(F.lit("{"), F.col("param"), F.lit("}"))
-    filled = F.when(value.isNull(), F.rtrim(F.substring_index("template", hole, 1), F.lit("-"))).otherwise(F.replace(F.col("template"), hole, value))
+    filled = F.when(value.isNull(), F.regexp_replace(F.split_part(F.col("template"), hole, F.lit(1)), "-$", "")).otherwise(F.replace(F.col("template"), hole, value))
     return hit.select("name", filled.alias("part"), (value.isNull() & F.contains(F.col("template"), hole)).alias("open")).distinct()
 
 

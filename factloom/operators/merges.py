@@ -34,6 +34,16 @@ def split_uses(uses: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(uses, lambda u: F.split(u, " or ")))))
 
 
+def where_every(rows: DataFrame, key: list[str], holds: Column) -> DataFrame:
+    """key and n, the number of rows, of the keys all of whose rows meet the condition."""
+    return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.bool_and(holds).alias("_every")).where("_every").drop("_every")
+
+
+def first_of_priority(value: Column, *conditions: Column) -> Column:
+    """The greatest value of the rows that meet the first condition that any row meets."""
+    return F.coalesce(*[F.max(F.when(c, value)) for c in conditions])
+
+
 def first_filled(*arrays: Column) -> Column:
     """The first array that has elements; an empty one if none has."""
     return F.coalesce(*[F.when(F.size(a) > 0, a) for a in arrays], F.array().cast("array<string>"))
@@ -120,3 +130,20 @@ def islands(ranges: DataFrame, key: list[str], lo: str, hi: str) -> DataFrame:
     before = F.max(hi).over(w.rowsBetween(Window.unboundedPreceding, -1))
     starts = ranges.withColumn("_new", (before.isNull() | (F.col(lo) > before)).cast("int"))
     return starts.withColumn("_run", F.sum("_new").over(w)).groupBy(*key, "_run").agg(F.min(lo).alias(lo), F.max(hi).alias(hi), F.count(F.lit(1)).alias("n_ranges")).drop("_run")
+
+
+def numbered(rows: DataFrame, order: list[str], out: str = "ord") -> DataFrame:
+    """rows with their place, from 0, in an order of the whole: rows are sorted in ranges, and each range adds the number
+    of rows that earlier ranges hold, so no task sees all rows."""
+    from factloom.session import cut
+
+    ranged = cut(rows.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    counts = ranged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect()  # a row a partition
+    starts, total = [], 0
+    for r in counts:
+        starts.append((r["_part"], total))
+        total += r["n"]
+    offsets = rows.sparkSession.createDataFrame(starts, "_part long, _start long")
+    inside = F.col("_at").bitwiseAND((1 << 33) - 1)
+    return ranged.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(out, F.col("_start") + inside).drop("_at", "_part", "_start")

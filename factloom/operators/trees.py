@@ -235,3 +235,8 @@ def classify_provenance(roots: DataFrame, nodes: DataFrame, sources: DataFrame,
     left = frontier.select("start", F.lit("unknown").alias("class"))
     out = left if out is None else out.unionByName(left)
     return out.groupBy("start").agg(F.array_join(F.array_sort(F.collect_set("class")), ",").alias("classes"))
+
+
+def object_leaves(rows: DataFrame, keep: list[str], column: str) -> DataFrame:
+    """keep, key and value: a row for each field of a JSON object; none for what is no object."""
+    return rows.select(*keep, F.explode(F.from_json(column, "map<string,string>")).alias("key", "value"))

@@ -111,8 +111,7 @@ def prefer_reachable(spark, sf_dir):
 
 @query("SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING bool_and(l_returnflag = 'R')")
 def all_quantifier(spark, sf_dir):
-    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("l_returnflag") == "R").alias("every"))
-    return lines.where("every").drop("every")
+    return merges.where_every(read(spark, sf_dir, "lineitem"), ["l_orderkey"], F.col("l_returnflag") == "R")
 
 
 @query("SELECT l_orderkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_suppkey) = 1")
@@ -125,8 +124,7 @@ SELECT o_custkey, coalesce(max(CASE WHEN o_orderstatus = 'F' AND o_orderpriority
   max(CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderkey END), max(o_orderkey)) AS chosen FROM orders GROUP BY o_custkey""")
 def priority_coalesce(spark, sf_dir):
     done, urgent = F.col("o_orderstatus") == "F", F.col("o_orderpriority") == "1-URGENT"
-    pick = lambda c: F.max(F.when(c, F.col("o_orderkey")))
-    return read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.coalesce(pick(done & urgent), pick(done), pick(urgent), F.max("o_orderkey")).alias("chosen"))
+    return read(spark, sf_dir, "orders").groupBy("o_custkey").agg(merges.first_of_priority(F.col("o_orderkey"), done & urgent, done, urgent, F.lit(True)).alias("chosen"))
 
 
 @query("""
@@ -167,12 +165,12 @@ def multi_source_reach(spark, sf_dir):
 
 
 @query(f"""
-WITH RECURSIVE {HALVING}, s AS (SELECT p_partkey AS node, p_size AS label FROM part WHERE p_partkey % 7 = 3),
+WITH RECURSIVE {HALVING}, s AS (SELECT p_partkey AS node, p_size AS label FROM part),
 w(node, label, hops) AS (SELECT node, label, CAST(0 AS BIGINT) FROM s UNION SELECT e.b, w.label, w.hops + 1 FROM w JOIN e ON e.a = w.node),
 m AS (SELECT node, min((label, hops)) AS t FROM w GROUP BY node)
 SELECT node, t[1] AS label, t[2] AS hops FROM m""")
 def label_bfs(spark, sf_dir):
-    seeds = read(spark, sf_dir, "part").where("p_partkey % 7 = 3").select(F.col("p_partkey").alias("node"), F.col("p_size").alias("label"))
+    seeds = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_size").alias("label"))
     return graph.label_bfs(seeds, halving(spark, sf_dir)).select("node", "label", "hops")
 
 
@@ -186,13 +184,12 @@ def lattice_fixpoint(spark, sf_dir):
 
 
 @query("""
-WITH RECURSIVE x AS (SELECT DISTINCT l_orderkey * 2 AS a, l_partkey * 2 + 1 AS b FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-02-01'),
-e AS (SELECT a, b FROM x UNION SELECT b, a FROM x),
-w(node, c) AS (SELECT a, a FROM e UNION SELECT e.b, w.c FROM w JOIN e ON e.a = w.node)
-SELECT node, min(c) AS component FROM w GROUP BY node""")
+WITH RECURSIVE x AS (SELECT DISTINCT l_orderkey * 2 AS a, l_partkey * 2 + 1 AS b FROM lineitem), e AS (SELECT a, b FROM x UNION ALL SELECT b, a FROM x),
+w(node, component) USING KEY (node) AS (SELECT a, min(least(a, b)) FROM e GROUP BY a
+  UNION SELECT e.b, min(w.component) FROM w JOIN e ON e.a = w.node JOIN recurring.w AS r ON r.node = e.b WHERE w.component < r.component GROUP BY e.b)
+SELECT node, component FROM w""")
 def components(spark, sf_dir):
-    lines = read(spark, sf_dir, "lineitem").where("l_shipdate < TIMESTAMP '1995-02-01'")
-    return graph.connected_components(lines.selectExpr("l_orderkey * 2 AS a", "l_partkey * 2 + 1 AS b"))
+    return graph.connected_components(read(spark, sf_dir, "lineitem").selectExpr("l_orderkey * 2 AS a", "l_partkey * 2 + 1 AS b"))
 
 
 @query(f"""
@@ -213,13 +210,15 @@ def chain_reconstruction(spark, sf_dir):
 
 
 @query("""
-WITH RECURSIVE y AS (SELECT DISTINCT user_id % 300 AS a, event_id * 7919 % 300 AS b FROM events WHERE event_type = 'purchase'),
+WITH RECURSIVE y AS (SELECT DISTINCT e.user_id AS a, n.user_id AS b FROM events e JOIN events n ON n.event_id = e.event_id + 1 WHERE e.event_type = 'purchase' AND n.event_type = 'purchase'),
 w(a, b) AS (SELECT a, b FROM y UNION SELECT w.a, y.b FROM w JOIN y ON w.b = y.a), n AS (SELECT a AS node FROM y UNION SELECT b FROM y),
 c AS (SELECT w.a AS node, min(w.b) AS low FROM w JOIN w v ON v.a = w.b AND v.b = w.a GROUP BY w.a)
 SELECT node, least(node, coalesce(low, node)) AS component FROM n LEFT JOIN c USING (node)""")
 def strong_components(spark, sf_dir):
-    edges = read(spark, sf_dir, "events").where("event_type = 'purchase'").selectExpr("user_id % 300 AS a", "event_id * 7919 % 300 AS b")
-    return graph.strong_components(edges.distinct())
+    """Users who buy right after one another."""
+    buys = read(spark, sf_dir, "events").where("event_type = 'purchase'")
+    after = buys.select((F.col("event_id") - 1).alias("event_id"), F.col("user_id").alias("b"))
+    return graph.strong_components(buys.select("event_id", F.col("user_id").alias("a")).join(after, "event_id").select("a", "b").distinct())
 
 
 @query("""
@@ -278,7 +277,7 @@ def two_way_diff(spark, sf_dir):
 SELECT event_type, key, count(*) AS n, sum(CAST(json_extract_string(props, '$."' || key || '"') AS BIGINT))::BIGINT AS total
 FROM (SELECT event_type, props, unnest(json_keys(props)) AS key FROM events) GROUP BY event_type, key""")
 def json_tree_leaves(spark, sf_dir):
-    leaves = read(spark, sf_dir, "events").select("event_type", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
+    leaves = trees.object_leaves(read(spark, sf_dir, "events"), ["event_type"], "props")
     return leaves.groupBy("event_type", "key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("long")).alias("total"))
 
 
@@ -318,13 +317,16 @@ def position_mutation(spark, sf_dir):
     return verify.mutation_test(cited, cited, ["l_orderkey", "l_linenumber"], shifts)
 
 
+RANGES = [">=0.9, <0.11", "0.3", "~0.5.10", "=0.7", "*", ">0.20, <=0.30", "nonsense"]
+
+
 @query("""
-SELECT p_partkey, v >= '0.9' AND v < '0.b' AS covered FROM (
-  SELECT p_partkey, CASE WHEN p_size < 10 THEN '0.' || p_size WHEN p_size = 10 THEN '0.a' ELSE '0.b' END AS v FROM part)""")
+SELECT p_partkey, p_partkey % 7 AS which, CASE p_partkey % 7 WHEN 0 THEN p_size IN (9, 10) WHEN 1 THEN p_size = 3 WHEN 2 THEN p_size = 5 AND p_partkey >= 10 WHEN 3 THEN p_size = 7 WHEN 4 THEN true WHEN 5 THEN p_size BETWEEN 21 AND 30 ELSE false END AS covered FROM part""")
 def version_cover(spark, sf_dir):
-    """Versions 0.<size>.<key>, every third a pre-release, in the range >=0.9, <0.11."""
+    """Versions 0.<size>.<key>, every third a pre-release, in seven ranges by key."""
     version = F.concat(F.lit("0."), F.col("p_size").cast("string"), F.lit("."), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 3 == 0, "-rc.1").otherwise(""))
-    return read(spark, sf_dir, "part").select("p_partkey", templates.semver_covers(F.lit(">=0.9, <0.11"), version).alias("covered"))
+    range_ = F.get(F.array(*[F.lit(r) for r in RANGES]), (F.col("p_partkey") % 7).cast("int"))
+    return read(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 7).alias("which"), templates.semver_covers(range_, version).alias("covered"))
 
 
 @query("SELECT p_partkey, upper(regexp_replace(p_name || '_' || p_brand, '[\\s_]', '', 'g')) AS label FROM part")
@@ -332,12 +334,21 @@ def label_normalise(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", names.normal_label(F.concat("p_name", F.lit("_"), "p_brand")).alias("label"))
 
 
-@query("SELECT p_partkey, 'a::B::m' || p_partkey AS path, 'B::m' || p_partkey AS method FROM part")
+@query("""
+WITH w AS (SELECT p_partkey, [p_type, 'B' || p_size % 5, 'C' || p_size % 3] AS w FROM part)
+SELECT p_partkey, w[1] || '::' || w[2] || '::m' || p_partkey AS path, w[2] || '::m' || p_partkey AS method, '<' || w[1] || ' as ' || w[3] || '<' || w[2] || '>>::m' || p_partkey AS item,
+  CASE WHEN p_partkey % 2 = 0 THEN w[1] || '<' || w[2] || ', A = ' || w[3] || ', B = x>' ELSE w[1] || '<A = ' || w[3] || ', B = ' || w[2] || '<C = 1, D = 2>>' END AS bound, w[1] || '<typenum::U' || p_partkey % 4 || '>' AS folded FROM w""")
 def strip_generics(spark, sf_dir):
     key = F.col("p_partkey").cast("string")
-    path = F.concat(F.lit("a::B::<fn(C) -> D<E>>::m"), key)
-    impl = F.concat(F.lit("<B<X> as Tr<Y<Z>>>::m"), key)
-    return read(spark, sf_dir, "part").select("p_partkey", names.strip_generics(path).alias("path"), names.by_type(impl).alias("method"))
+    first, second, third = F.col("p_type"), F.concat(F.lit("B"), (F.col("p_size") % 5).cast("string")), F.concat(F.lit("C"), (F.col("p_size") % 3).cast("string"))
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    path = text(first, "::<fn(", third, ") -> Vec<", second, ">>::", second, "<", third, ">::m", key)
+    impl = text("<", second, "<", first, "> as Tr<fn() -> ", third, ">>::m", key)
+    item = text("<", first, " as ", third, "<", second, ">>::m", key, "::<", second, "<", third, ">>")
+    bound = F.when(F.col("p_partkey") % 2 == 0, text(first, "<", second, ", B = x, A = ", third, ">")).otherwise(text(first, "<B = ", second, "<D = 2, C = 1>, A = ", third, ">"))
+    bit = lambda n: F.when(F.col("p_partkey") / n % 2 >= 1, "typenum::bit::B1").otherwise("typenum::bit::B0")
+    number = text(first, "<typenum::uint::UInt<typenum::uint::UInt<typenum::uint::UTerm, ", bit(2), ">, ", bit(1), ">>")
+    return read(spark, sf_dir, "part").select("p_partkey", names.strip_generics(path).alias("path"), names.by_type(impl).alias("method"), names.instance_base(item).alias("item"), names.canonical(bound).alias("bound"), names.typenum_folded(number).alias("folded"))
 
 
 @query("""
@@ -382,43 +393,47 @@ def capped_values(spark, sf_dir):
 
 
 @query("""
-SELECT DISTINCT o_orderkey, c_custkey FROM orders JOIN customer ON c_nationkey = o_custkey % 25
-AND (c_mktsegment = CASE o_orderstatus WHEN 'F' THEN 'BUILDING' WHEN 'O' THEN 'MACHINERY' ELSE 'FURNITURE' END OR c_mktsegment = 'HOUSEHOLD') AND c_acctbal > 9500""")
+SELECT o_orderkey, segment FROM orders JOIN (SELECT DISTINCT c_nationkey, c_mktsegment AS segment FROM customer) ON c_nationkey = o_custkey % 25
+AND (segment = CASE o_orderstatus WHEN 'F' THEN 'BUILDING' WHEN 'O' THEN 'MACHINERY' ELSE 'FURNITURE' END OR segment = 'HOUSEHOLD')""")
 def dispatch_join(spark, sf_dir):
     sig = F.when(F.col("o_orderstatus") == "F", "BUILDING").when(F.col("o_orderstatus") == "O", "MACHINERY").otherwise("FURNITURE")
     calls = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 25).cast("int").alias("trait"), sig.alias("sig"))
-    types = read(spark, sf_dir, "customer").where("c_acctbal > 9500").select(F.col("c_nationkey").alias("trait"), F.when(F.col("c_mktsegment") == "HOUSEHOLD", "*").otherwise(F.col("c_mktsegment")).alias("sig"), "c_custkey")
-    return joins.dispatch(calls, types).select("o_orderkey", "c_custkey").distinct()
+    types = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("trait"), F.when(F.col("c_mktsegment") == "HOUSEHOLD", "*").otherwise(F.col("c_mktsegment")).alias("sig"), F.col("c_mktsegment").alias("segment")).distinct()
+    return joins.dispatch(calls, types).select("o_orderkey", "segment")
 
 
 @query(f"""
-WITH RECURSIVE {HALVING}, s AS (SELECT p_partkey AS node FROM part WHERE p_partkey % 50 = 7),
+WITH RECURSIVE {HALVING}, s AS (SELECT p_partkey AS node FROM part),
 w(node, cur, n) AS (SELECT node, node, 0 FROM s UNION ALL SELECT w.node, e.b, w.n + 1 FROM w JOIN e ON e.a = w.cur WHERE w.n < 8 AND NOT EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = w.cur AND p.p_size < 10))
 SELECT node AS call, p_type AS entry, n AS hops FROM w JOIN part ON p_partkey = cur WHERE p_size < 10""")
 def constructor_chain(spark, sf_dir):
     part = read(spark, sf_dir, "part")
-    starts = part.where("p_partkey % 50 = 7").select(F.col("p_partkey").alias("call"))
+    starts = part.select(F.col("p_partkey").alias("call"))
     entries = part.where("p_size < 10").select(F.col("p_partkey").alias("call"), F.col("p_type").alias("entry"))
     return joins.constructor_chain(starts, halving(spark, sf_dir).toDF("call", "receiver"), entries)
 
 
 @query("""
-WITH RECURSIVE f AS (SELECT DISTINCT user_id % 200 AS block, (user_id * 5 + 1) % 200 AS nxt FROM events UNION SELECT DISTINCT user_id % 200, event_id % 200 FROM events WHERE event_type = 'purchase'),
-g AS (SELECT DISTINCT user_id % 200 AS block, event_type AS def FROM events WHERE user_id % 11 = 0), k AS (SELECT DISTINCT user_id % 200 AS block, event_type AS def FROM events WHERE user_id % 4 = 0),
+WITH RECURSIVE f AS (SELECT DISTINCT e.user_id AS block, n.user_id AS nxt FROM events e JOIN events n ON n.event_id = e.event_id + 1 WHERE e.event_type <> 'purchase'),
+g AS (SELECT DISTINCT user_id AS block, 'd' || user_id AS def FROM events WHERE event_type = 'error'), k AS (SELECT DISTINCT a.user_id AS block, 'd' || b.user_id AS def FROM events a JOIN events b ON b.event_id = a.event_id * 2 WHERE a.event_type = 'click'),
 w(block, def) AS (SELECT f.nxt, g.def FROM g JOIN f ON f.block = g.block UNION SELECT f.nxt, w.def FROM w JOIN f ON f.block = w.block WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.block = w.block AND k.def = w.def))
 SELECT block, def FROM w""")
 def reaching_definitions(spark, sf_dir):
+    """Users are blocks, each event but a purchase leads to the next event's user; errors define, clicks kill."""
     events = read(spark, sf_dir, "events")
-    flow = events.selectExpr("user_id % 200 AS block", "(user_id * 5 + 1) % 200 AS next").union(events.where("event_type = 'purchase'").selectExpr("user_id % 200", "event_id % 200"))
-    pick = lambda c: events.where(c).selectExpr("user_id % 200 AS block", "event_type AS def")
-    return graph.reaching_definitions(flow, pick("user_id % 11 = 0"), pick("user_id % 4 = 0"))
+    user = lambda shift: events.select(shift.alias("event_id"), F.col("user_id").alias("other"))
+    flow = events.where("event_type <> 'purchase'").join(user(F.col("event_id") - 1), "event_id").select(F.col("user_id").alias("block"), F.col("other").alias("next"))
+    name = lambda c: F.concat(F.lit("d"), F.col(c).cast("string")).alias("def")
+    gen = events.where("event_type = 'error'").select(F.col("user_id").alias("block"), name("user_id"))
+    kill = events.where("event_type = 'click'").select((F.col("event_id") * 2).alias("event_id"), "user_id").join(user(F.col("event_id")), "event_id").select(F.col("user_id").alias("block"), name("other"))
+    return graph.reaching_definitions(flow, gen, kill)
 
 
 @query("""
-WITH RECURSIVE a AS (SELECT DISTINCT o_custkey AS v, o_orderstatus AS o FROM orders WHERE o_orderpriority = '1-URGENT'), c AS (SELECT c_custkey // 2 AS dst, c_custkey AS src FROM customer),
+WITH RECURSIVE a AS (SELECT DISTINCT o_custkey AS v, o_orderstatus AS o FROM orders), c AS (SELECT c_custkey // 2 AS dst, c_custkey AS src FROM customer),
 w(v, o) AS (SELECT v, o FROM a UNION SELECT c.dst, w.o FROM w JOIN c ON c.src = w.v) SELECT v, o FROM w""")
 def points_to_copies(spark, sf_dir):
-    addr = read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("v"), F.col("o_orderstatus").alias("o"))
+    addr = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("v"), F.col("o_orderstatus").alias("o"))
     copies = read(spark, sf_dir, "customer").selectExpr("c_custkey div 2 AS dst", "c_custkey AS src")
     # Objects and variables are texts here, as an object can be a variable of the solver.
     text = lambda df: df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
@@ -449,7 +464,15 @@ def streaming_matches(spark, sf_dir):
     return spark.read.parquet(f"{folder}/{name}").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey * 2 AS b FROM part WHERE p_partkey > 0), g AS (SELECT p_partkey AS a, p_partkey * 3 AS b, p_type AS key FROM part WHERE p_partkey > 0), u AS (SELECT p_partkey AS node, p_type AS key FROM part WHERE p_size = 1),
+w(node, key) USING KEY (node, key) AS (SELECT x, '' FROM (VALUES (1::BIGINT), (3), (5), (7)) v(x)
+  UNION SELECT node, key FROM (
+    SELECT e.b AS node, '' AS key FROM recurring.w r JOIN e ON e.a = r.node AND r.key = '' UNION
+    SELECT g.b, '' FROM recurring.w r JOIN g ON g.a = r.node AND r.key = '' JOIN recurring.w o ON o.key = g.key UNION
+    SELECT -1, u.key FROM recurring.w r JOIN u ON u.node = r.node AND r.key = '') n
+  WHERE EXISTS (SELECT 1 FROM w) AND NOT EXISTS (SELECT 1 FROM recurring.w k WHERE k.node = n.node AND k.key = n.key))
+SELECT node FROM w WHERE key = ''""")
 def guarded_walk(spark, sf_dir):
     """Doubling edges are open; tripling edges open once a reached part of size 1 has their type."""
     part = read(spark, sf_dir, "part")
@@ -459,7 +482,12 @@ def guarded_walk(spark, sf_dir):
     return graph.guarded_walk(spark.range(1, 8, 2).toDF("node"), edges, guarded, uses)
 
 
-@query()
+@query("""
+WITH RECURSIVE own AS (SELECT p_partkey AS node, CASE WHEN p_size > 45 THEN 0 WHEN p_size > 40 THEN 1 WHEN p_size < 5 THEN 2 END AS r FROM part),
+c AS (SELECT p_partkey // 2 AS a, p_partkey AS b FROM part WHERE p_partkey > 0 UNION SELECT p_partkey // 3, p_partkey FROM part WHERE p_partkey > 0),
+w(node, open, r) USING KEY (node) AS (SELECT node, r IS NULL, coalesce(r, CASE WHEN node IN (SELECT b FROM c) THEN 0 ELSE 2 END) FROM own
+  UNION SELECT o.node, o.open, max(w.r) FROM w JOIN c ON c.a = w.node JOIN recurring.w o ON o.node = c.b WHERE o.open AND w.r > o.r GROUP BY o.node, o.open)
+SELECT node, ['algorithm', 'package', 'none'][r + 1] AS owner FROM w""")
 def all_paths_owner(spark, sf_dir):
     """Parts run on behalf of the strictest of their callers in the halving forest and its double."""
     part = read(spark, sf_dir, "part")
@@ -469,14 +497,17 @@ def all_paths_owner(spark, sf_dir):
     return graph.all_paths_owner(own, calls)
 
 
-@query()
+@query("""
+WITH s AS (SELECT o_custkey, o_orderstatus AS f FROM orders), e AS (SELECT event_id, event_type, user_id FROM events),
+f AS (SELECT event_id, f FROM e JOIN s ON o_custkey = user_id WHERE event_type IN ('purchase', 'click', 'view') UNION SELECT event_id, event_type FROM e WHERE event_type = 'purchase')
+SELECT event_id AS start, coalesce((SELECT string_agg(DISTINCT f, ',' ORDER BY f) FROM f WHERE f.event_id = e.event_id), '') AS found, CASE WHEN event_type IN ('purchase', 'click', 'view') THEN '' ELSE 'call not modelled: ' || event_type END AS gaps FROM e""")
 def value_search(spark, sf_dir):
     """Values of events: purchases name their descriptor, others pass on a parameter that the user's orders give."""
     events = read(spark, sf_dir, "events").select("event_id", "event_type", "user_id")
     data = F.concat(F.lit('{"Any":[{"Data":{"def":{"path":"'), "event_type", F.lit('","krate":{"name":"k"}}}},{"Param":{"index":0,"owner":"'), F.col("user_id").cast("string"), F.lit('"}}]}'))
     call = F.concat(F.lit('{"Call":{"callee":"'), "event_type", F.lit('","krate":"k","args":[{"Param":{"index":0,"owner":"'), F.col("user_id").cast("string"), F.lit('"}}]}}'))
     values = events.select(F.col("event_id").alias("root_id"), F.when(F.col("event_type") == "purchase", data).otherwise(call).alias("origin"))
-    orders = read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select((-1 - F.col("o_orderkey")).alias("root_id"), F.col("o_custkey").cast("string").alias("owner"), F.lit(0).cast("long").alias("ord"), F.concat(F.lit('{"Data":{"def":{"path":"'), "o_orderstatus", F.lit('","krate":{"name":"k"}}}}')).alias("origin"))
+    orders = read(spark, sf_dir, "orders").select((-1 - F.col("o_orderkey")).alias("root_id"), F.col("o_custkey").cast("string").alias("owner"), F.lit(0).cast("long").alias("ord"), F.concat(F.lit('{"Data":{"def":{"path":"'), "o_orderstatus", F.lit('","krate":{"name":"k"}}}}')).alias("origin"))
     nodes = trees.flatten_origins(values.unionByName(orders.select("root_id", "origin")))
     semantics = local(spark, [("click",), ("view",)], "callee string").withColumn("slots", F.array(F.lit(0).cast("long")))
     none = spark.createDataFrame([], "name string, field long, root_id long, callee string")
