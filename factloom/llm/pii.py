@@ -6,7 +6,7 @@ stands before it on its line (a word and the marks after it) is its lexical patt
 well-known shapes; they only start the search. Patterns and instances form a graph that is scored in turns: a pattern by
 the share of its distinct instances' scores, an instance by the patterns that lead to it (noisy or). A pattern of high
 score that MIN_SUPPORT sure instances stand behind, seeds or found by other patterns, marks every candidate it leads to,
-whatever its shape, so that these can lead to further patterns in the next turn, until a turn finds no new one.
+whatever its shape, so that these can lead to further patterns in the next turn, until scores settle.
 
 The texts are scanned once, in code generated by Spark; later steps see spans only. The graph is an aggregation by
 (pattern, instance) and so is small beside the texts; a hot pattern is joined as any other and split by skew handling.
@@ -44,8 +44,8 @@ CANDIDATE = r"(?<![A-Za-z0-9_])(?=[A-Za-z_]{0,63}[0-9])[A-Za-z0-9_]{8,64}(?![A-Z
 PATTERN = r"([\p{L}]*[^\p{L}0-9\n]{1,4})$"
 # Shapes of seed instances: cloud access keys; hexadecimal secrets with letters and digits mixed.
 SEED = r"^(?:AKIA[0-9A-Z]{16}|(?=(?:[a-f]*[0-9]){4})(?=(?:[0-9]*[a-f]){4})[0-9a-f]{16,64})$"
-#: Turns at most; a turn without a new pattern is the last.
-ROUNDS = 8
+#: Turns at most; one that changes the sum of all scores by less than SETTLED is the last.
+ROUNDS, SETTLED = 8, 0.01
 SMOOTH = 2.0
 MIN_SUPPORT = 3
 MIN_SCORE = 0.5
@@ -166,14 +166,14 @@ def score_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """pattern, score and turn (of the last scoring) of the patterns that mark identifiers, from rows of (pattern,
     instance)."""
     edges = cut(found.where(F.col("pattern") != "").groupBy("pattern", "instance").agg(F.count(F.lit(1)).alias("n")).withColumn("seed", F.col("instance").rlike(SEED).cast("double")))
-    scored, before = edges.withColumn("s", F.col("seed")), 0
+    scored, before = edges.withColumn("s", F.col("seed")), -1.0
     for turn in range(1, rounds + 1):
         patterns = scored.groupBy("pattern").agg((F.sum("s") / (F.count(F.lit(1)) + SMOOTH)).alias("score"), F.count_if(F.col("s") >= MIN_SCORE).alias("sure"))
         patterns = cut(patterns.where((F.col("sure") >= MIN_SUPPORT) & (F.col("score") >= MIN_SCORE)).select("pattern", "score", F.lit(turn).alias("turn")))
-        known = patterns.count()
-        if known == before:
+        total = patterns.agg(F.sum("score")).first()[0] or 0.0
+        if abs(total - before) < SETTLED:
             break
-        before = known
+        before = total
         led = edges.join(patterns, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("score"), F.lit(0.999)))))).alias("q"))
         scored = edges.join(led, "instance", "left").withColumn("s", F.greatest("seed", F.coalesce("q", F.lit(0.0)))).drop("q")
     return patterns

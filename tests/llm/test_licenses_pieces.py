@@ -41,6 +41,15 @@ def test_malformed_expressions(bad):
     assert licenses.to_postfix(bad) is None
 
 
+@pytest.mark.parametrize(("line", "expression"), [("MIT OR Apache-2.0 this file is free", "mit or apache-2.0"), ("MIT.", "mit"), ("MIT and this file", "mit"), ("(MIT OR ISC) AND GPL-2.0 or so", "( mit or isc ) and gpl-2.0"), ("AND", None), ("", None), ("x", "x"), ("GPL-2.0 WITH Classpath-exception-2.0", "gpl-2.0 with classpath-exception-2.0")])
+def test_tags_before_prose(line, expression):
+    assert licenses.tag_expression(line) == expression
+    if expression:
+        machine = licenses.automaton([*licenses.BASE_PHRASES, *licenses.NOTICE_PHRASES, licenses.TAG])
+        labels = licenses.scan_text(f"SPDX-License-Identifier: {line}\nmore", machine)[5].split(",")
+        assert set(re.findall(r"[a-z0-9.-]+", re.sub(r"with \S+", "", expression))) - {"or", "and"} == set(labels)
+
+
 def test_license_rows(awkward, awkward_rows, empty):
     got = sorted((tuple(r)[:6] for r in licenses.scan_licenses(awkward).collect()), key=str)
     assert got == sorted(((r[0], *by_hand(r[1])) for r in awkward_rows), key=str)

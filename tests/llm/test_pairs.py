@@ -1,5 +1,6 @@
 """op3, op8 and op10: against all pairs by brute force."""
 
+import collections
 import itertools
 import random
 
@@ -68,6 +69,40 @@ def test_links_and_classes(spark, monkeypatch, bucket, block):
     assert all(r["kept"] == (r["class_id"] == i) for i, r in got.items())
 
 
+def test_recall_on_many_texts(spark):
+    """2,000 texts, many of them at similarities about the threshold, against all pairs by an inverted index."""
+    texts = corpus(11, 2000, False)
+    got = joined(spark, texts)
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    holders = collections.defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            holders[x].append(i)
+    linked = {i: set() for i in texts}
+    for i, s in sets.items():
+        common = collections.Counter(j for x in s for j in holders[x] if j < i)
+        for j, n in common.items():
+            if n >= 0.8 * (len(s) + len(sets[j]) - n) - 1e-9:
+                linked[i].add(j)
+                linked[j].add(i)
+    want = sum(map(len, linked.values()))
+    found = sum(r["n_links"] for r in got.values())
+    assert 0.99 * want <= found <= want and want > 500
+    head, _ = groups_by_hand(list(texts), linked)
+    assert np.mean([got[i]["class_id"] == head[i] for i in texts]) > 0.99
+
+
+def test_one_row_of_each_class_is_kept(spark):
+    """Repeated ids with one text, and rows without an id: one row each."""
+    rows = [(1, "a b c d e f")] * 3 + [(None, "g h i j k l")] * 2 + [(None, "a b c d e f"), (7, "alone here now and then")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, key string")
+    got = chosenpath.jaccard_join(docs).collect()
+    assert sum(r["kept"] for r in got) == 3
+    assert sorted((r["class_rows"], r["n_links"]) for r in got) == [(1, 0)] + [(2, 1)] * 2 + [(4, 3)] * 4
+    assert sorted(map(str, chosenpath.keep_one(docs).collect())) == sorted(map(str, docs.distinct().where("doc_id IS NOT NULL OR text LIKE 'g%'").collect()))
+    assert chosenpath.jaccard_join(docs.selectExpr("concat('k', doc_id) AS doc_id", "text")).where("kept").count() == 3
+
+
 def test_join_of_awkward_rows(awkward, awkward_rows, empty):
     got = [(r["doc_id"], r["class_id"], r["n_links"]) for r in chosenpath.jaccard_join(awkward).collect()]
     assert len(got) == len(awkward_rows)
@@ -149,6 +184,15 @@ def test_edited_copies_without_or_beside_an_exact_one(spark):
     assert decontaminate.drop_leaks(frame, bench).count() == 0
 
 
+def test_items_without_an_id_and_ids_of_text(spark):
+    rng = random.Random(3)
+    item = prose(rng, 30)
+    docs = spark.createDataFrame([("a", prose(rng, 20) + " " + item), ("b", prose(rng, 50))], "doc_id string, text string")
+    bench = spark.createDataFrame([(None, item), ("q", None)], "item_id string, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench).collect()] == [("a", None)]
+    assert [r["doc_id"] for r in decontaminate.drop_leaks(docs, bench).collect()] == ["b"]
+
+
 def test_leaks_of_awkward_rows(spark, awkward, awkward_rows, empty):
     bench = spark.createDataFrame([(1, awkward_rows[0][1]), (2, "short text")], "item_id long, text string")
     got = sorted((r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(awkward, bench).collect())
@@ -183,6 +227,27 @@ def test_vectors_by_hand(spark, monkeypatch):
     assert multiindex.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_extreme_mixed_and_repeated_vectors(spark):
+    rows = [(1, [1e200, 2e200]), (2, [1e200, 2.0001e200]), (3, [1e-200, 5e-200]), (4, [5e-200, 1e-200]), (5, [1.0, 2.0, 3.0]), (6, [1.0, 2.0, 3.01]), (6, [1.0, 2.0, 3.01]), (None, [7.0, 0.0, 7.0]), (8, [5e-324, 0.0]), (9, [0.0, -0.0]), (10, [1e308, -1e308])]
+    frame = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, component string")
+    got = multiindex.near_duplicates(frame).collect()
+    told = sorted(((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in got))
+    near = lambda a, b: np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)
+    assert near([1, 2], [1, 5]) > 0.95 > near([1, 2], [5, 1])
+    assert told == [(0, 0, 0, True), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 1, 4, True), (5, 2, 5, True), (6, 2, 5, False), (6, 2, 5, False), (8, 1, 4, False), (9, 0, 9, True), (10, 0, 10, True)]
+    assert {r["recall"] for r in got} == {1.0}
+
+
+def test_rare_links_are_found_at_a_measured_recall(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(3000, 32))
+    x[1::300] = x[::300] + 0.12 * rng.normal(size=(10, 32))
+    frame = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = multiindex.near_duplicates(frame).collect()
+    assert {r["vec_id"] for r in got if r["n_links"]} == {k for a in range(0, 3000, 300) for k in (a, a + 1)}
+    assert all(r["recall"] >= multiindex.LEAST_RECALL for r in got)
+
+
 def test_cells_are_calibrated_without_any_link(spark):
     """No vector has a neighbour; copies at the threshold must be met all the same, at the recall that is told."""
     rng = np.random.default_rng(8)

@@ -1,6 +1,7 @@
 """op5, op9 and the pipeline: against simulated labellers, plain regular expressions, and stages by brute force."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -8,7 +9,8 @@ import zlib
 import numpy as np
 import pytest
 
-from factloom.llm import pii, weaklabels
+from factloom.llm import pieces, pii, weaklabels
+from factloom.llm.queries import TOKENIZERS
 
 from .conftest import prose
 
@@ -65,6 +67,14 @@ def test_toxicity_is_learned_from_labels_in_any_language(spark):
     assert not any(r["toxic"] for r in weaklabels.classify(docs, labels=told.limit(0)).collect())
 
 
+def test_samples_are_bounded_whatever_repeats(spark, monkeypatch):
+    monkeypatch.setattr(weaklabels, "TRAIN_ROWS", 5)
+    docs = spark.range(300).selectExpr("CAST(1 AS BIGINT) AS doc_id", "IF(id % 2 = 0, 'the of and la el de und', '$$$ ### &&& $$$ ###') AS text")
+    got = weaklabels.classify(docs).collect()
+    assert len(got) == 300 and len({(r["score"], r["votes"]) for r in got}) == 2
+    assert weaklabels.classify(docs.selectExpr("'k' AS doc_id", "text")).count() == 300
+
+
 def test_quality_rows(awkward, awkward_rows, empty):
     assert weaklabels.classify(awkward).count() == len(awkward_rows)
     assert weaklabels.classify(empty).count() == 0
@@ -118,14 +128,66 @@ def test_bootstrapping_finds_unseen_identifiers(spark):
     assert texts[12][start:end] == "hunter2hunter2"
 
 
-@pytest.mark.parametrize("inline", [1024, 0])
-def test_redaction(spark, awkward, monkeypatch, inline):
-    monkeypatch.setattr(pii, "MAX_INLINE", inline)
+def hops(n):
+    """Tokens of known shape behind `password=`; the same tokens behind `login:`, which then leads to others; and a
+    pattern that only those lead to."""
+    rng = random.Random(9)
+    seeds = ["".join(rng.choice("0123456789abcdef") for _ in range(32)) for _ in range(n)]
+    plain = [f"ZZ{rng.randrange(10**6):06d}QQ" for _ in range(n)]
+    texts = [f"{prose(rng, 3)} password={t} x" for t in seeds] + [f"login: {t}" for t in seeds] + [f"login: {t}" for t in plain[:6]]
+    return texts + [f"badge {t} y" for t in plain[:6]] + ["badge AB12345678CD", "other AB99345678CD", "other AB99345678CE"], seeds, plain
+
+
+def walk_by_hand(texts):
+    """Marked instances by the turns of the docstring, over plain dictionaries."""
+    edges = {}
+    for t in texts:
+        for m in re.finditer(r"(?<![A-Za-z0-9_])(?=[A-Za-z_]{0,63}[0-9])[A-Za-z0-9_]{8,64}(?![A-Za-z0-9_])", t):
+            p = re.search(r"([^\W\d_]*[^A-Za-z0-9\n]{1,4})$", t[: m.start()])
+            if p:
+                edges.setdefault(p[1].lower(), set()).add(m[0])
+    seed = {x: float(bool(re.match(r"[0-9a-f]{32}$", x))) for s in edges.values() for x in s}
+    score, good, before = dict(seed), {}, -1.0
+    for _ in range(pii.ROUNDS):
+        now = {p: sum(score[x] for x in s) / (len(s) + pii.SMOOTH) for p, s in edges.items()}
+        now = {p: v for p, v in now.items() if v >= pii.MIN_SCORE and sum(score[x] >= pii.MIN_SCORE for x in edges[p]) >= pii.MIN_SUPPORT}
+        good = now
+        if abs(sum(now.values()) - before) < pii.SETTLED:
+            break
+        before = sum(now.values())
+        score = {x: max(seed[x], 1 - np.prod([1 - min(0.999, v) for p, v in good.items() if x in edges[p]])) for x in seed}
+    return {x for p in good for x in edges[p]}
+
+
+def test_bootstrapping_goes_on_from_what_it_found(spark):
+    texts, seeds, plain = hops(8)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = set()
+    for r in pii.digest(pii.find_personal_data(docs)).collect():
+        for span in filter(None, r["spans"].split(",")):
+            kind, a, b = span.split(":")
+            assert kind == "id"
+            got.add(texts[r["doc_id"]][int(a) : int(b)])
+    assert got == walk_by_hand(texts)
+    assert got == {*seeds, *plain[:6], "AB12345678CD"}
+
+
+def test_many_spans_in_one_text(spark):
+    text = " ".join(f"a{k}@b.c key{k:06d} 1.2.3.{k % 250}" for k in range(700))
+    r = pii.find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [text[s["start"] : s["end"]] for s in r["email"]] == [f"a{k}@b.c" for k in range(700)] and len(r["ip"]) == 700
+    found = pii.base_spans(spark.createDataFrame([(1, "x@12345678.de 12345678a 1.2.3.4 ab345678")], "doc_id long, text string")).first()["candidate"]
+    assert [c["instance"] for c in found] == ["12345678a", "ab345678"]
+
+
+def test_redaction(spark, awkward):
     texts = [*identified(12), "mail é\U0001f600 a@b.c or +49 170 1234567, 1.2.3.4"]
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, email string")
     got = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
     assert got[15] == "mail é\U0001f600 <email> or <phone>, <ip>"
     assert all("password=<id>" in got[i] for i in range(13)) and got[13] == texts[13]
+    twice = pii.redact(docs.union(docs)).collect()
+    assert sorted(r["text"] for r in twice) == sorted([*got.values(), *got.values()])
     out = pii.redact(awkward)
     assert out.columns == awkward.columns
     assert sorted(map(str, out.collect())) == sorted(map(str, awkward.collect()))
@@ -165,3 +227,7 @@ def test_pipeline_by_stages(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_copies", "decontamination", "personal_data", "sentence_pieces"]
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in got.select("doc_id").collect()} == set(fourth)
+    path = f"{TOKENIZERS}/piece_bpe_32k.model"
+    if os.path.exists(path):  # the last stage's pieces decode to what it was given
+        back = {r["doc_id"]: r["text"] for r in pieces.decode(got, path).collect()}
+        assert back == {i: t or "" for i, t in fourth.items()}
