@@ -8,22 +8,28 @@ from pyspark.sql import functions as F
 from factloom.functions import names, templates
 
 
-@pytest.mark.parametrize(("path", "bare"), [("Map<I, fn(A) -> B>::next", "Map::next"), ("a::B::<C>::d", "a::B::d"), ("plain", "plain"), ("fn() -> X", "fn() -> X"), ("", "")])
+@pytest.mark.parametrize(("path", "bare"), [("Queue<T, fn(K) -> V>::pop", "Queue::pop"), ("io::Ring::<4>::tick", "io::Ring::tick"), ("word", "word"), ("fn() -> Y", "fn() -> Y"), ("", ""), ("x::Y<open", "x::Y"), ("x>::y", "x::y")])
 def test_bare_path(path, bare):
     assert names.bare_path(path) == bare
 
 
-@pytest.mark.parametrize(("name", "item"), [("app::pass::<app::A>", "app::pass"), ("<A as Tr>::m::<T>::{closure#0}", "<A as Tr>::m::{closure#0}"), ("x::<A<B>>::y::<C>", "x::y")])
+@pytest.mark.parametrize(("name", "item"), [("zoo::feed::<zoo::Cat>", "zoo::feed"), ("<Cat as Pet>::hug::<u8>::{closure#2}", "<Cat as Pet>::hug::{closure#2}"), ("q::<W<E>>::r::<T>", "q::r"), ("<Cat<q::<W>> as Pet>::hug", "<Cat<q> as Pet>::hug"), ("plain", "plain")])
 def test_generic_item(name, item):
     assert names.generic_item(name) == item
 
 
-def test_other_names():
-    assert names.method_by_type("<Uniform<X> as From<Range<X>>>::from") == "Uniform::from"
-    assert names.method_by_type("<T>::m") == "::m"
-    two = "typenum::uint::UInt<typenum::uint::UInt<typenum::uint::UTerm, typenum::bit::B1>, typenum::bit::B0>"
-    assert names.folded_integers(two) == "typenum::U2"
-    assert names.sorted_bindings("dyn S<R, Z = A, B = C<Q = 1, P = 2>>") == "dyn S<R, B = C<P = 2, Q = 1>, Z = A>"
+@pytest.mark.parametrize(("path", "method"), [("<Die<Six> as Into<Cup<Die>>>::into", "Die::into"), ("<Die>::m", "::m"), ("<fn(A) -> B as Call<A>>::call::<C>", "fn(A) -> B::call"), ("io::Cup<Die>::put", "io::Cup::put")])
+def test_method_by_type(path, method):
+    assert names.method_by_type(path) == method
+
+
+def test_type_numbers_and_bindings():
+    bits = lambda *bs: "typenum::uint::UTerm" if not bs else f"typenum::uint::UInt<{bits(*bs[:-1])}, typenum::bit::B{bs[-1]}>"
+    for n in (0, 1, 5, 12):
+        assert names.folded_integers(f"Buf<{bits(*map(int, format(n, 'b')) if n else ())}, u8>") == f"Buf<typenum::U{n}, u8>"
+    assert names.folded_integers("a -> B<C>") == "a -> B<C>"
+    assert names.sorted_bindings("dyn Flow<In, Out = u8, Err = E<Y = 2, X = 1>>") == "dyn Flow<In, Err = E<X = 1, Y = 2>, Out = u8>"
+    assert names.sorted_bindings("f<(B = 1, A), K = fn(x, y<Z = 1, W = 2>) -> q>") == "f<(B = 1, A), K = fn(x, y<W = 2, Z = 1>) -> q>"
 
 
 FULL, USUAL = "AES-{key}-GCM[-{tag}-{nonce}]", {"tag": "128", "nonce": "96"}
