@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import names
-from factloom.operators import graph, joins, merges, trees
+from factloom.operators import graph, joins, knowledge, merges, trees
 from factloom.session import cut
 from factloom.sources import facts as model
 
@@ -43,6 +43,20 @@ def occurrences(facts: DataFrame, kb: dict[str, DataFrame]) -> DataFrame:
     return out.withColumn("function", F.coalesce(F.from_json("functions", "array<string>"), F.array().cast("array<string>"))).drop("functions")
 
 
+def unknown_calls(facts: DataFrame, kb: dict[str, DataFrame], found: DataFrame) -> DataFrame:
+    """asset (`unknown` and the operation's primitive), file, line, offset, symbol and reason of the calls that an
+    `operation` entry names and nothing else does: the operation is seen, but not its algorithm."""
+    sites = model.sites(facts).where("kind = 'call'").withColumn("bare", names.strip_generics("path"))
+    place = ["file", "line", "offset"]
+    calls = sites.select(*place, F.col("path").alias("symbol"), "crate", "bare").distinct()
+    table = kb["operation"]
+    listed = F.from_json("crates", "array<string>") if "crates" in table.columns else F.array("crate")
+    entries = table.select(listed.alias("crates"), F.col("path").alias("pattern"), F.col("primitive") if "primitive" in table.columns else F.lit(None).cast("string").alias("primitive"), "ord")
+    known = knowledge.in_listed_crates(calls, entries, [*place, "symbol"], "crate", "bare")
+    left = joins.anti_with_reason(known, found.select(*place), place, [("pointer", F.col("symbol").contains("dyn "))], otherwise="no algorithm named")
+    return left.select(F.concat_ws(" ", F.lit("unknown"), "primitive").alias("asset"), *place, "symbol", "reason")
+
+
 def assets(found: DataFrame) -> DataFrame:
     """Occurrences merged by place, then grouped into assets: tier is the stronger, uses are those of reachable rows if
     there are any."""

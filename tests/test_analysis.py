@@ -125,6 +125,9 @@ def test_assets_from_facts(spark, facts):
         ("SHA-256|hash|", "present", 1, "src/main.rs:9:4", "digest"),
         ("x25519|key-agree|", "reachable", 1, "src/main.rs:3:4", "keyderive"),
     ]
+    more = manifests.read_knowledge(spark, KB + '[[operation]]\ncrates = ["other", "x25519"]\npath = "nothing$|x25519$"\nprimitive = "kdf"\n')
+    unknown = analysis.unknown_calls(facts, more, found).collect()
+    assert [(r["asset"], r["line"], r["symbol"], r["reason"]) for r in unknown] == [("unknown kdf", 11, "other::nothing", "no algorithm named")]
     covered = analysis.coverage(model.boundary_edges(facts), found)
     assert sorted((r["line"], r["verdict"]) for r in covered.collect()) == [(3, "cited"), (20, "on behalf of another"), (21, "uncovered")]
     assert analysis.boundary_lines(covered).first()[0].split("\t")[:2] == ["src/main.rs:3:4", "cited"]
