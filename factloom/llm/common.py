@@ -42,7 +42,7 @@ def crc_of(value) -> int:
     return zlib.crc32(str(value).encode())
 
 
-def filter_texts(df: DataFrame, decide: Callable[[], Callable[[list[str | None]], list[bool]]], text_col: str = "text", block: int = 1024) -> DataFrame:
+def filter_texts(df: DataFrame, decide: Callable[[], Callable[[list[str | None]], list[bool]]], text_col: str = "text", block: int = 512) -> DataFrame:
     """The rows of df whose text is decided to stay, as they are, with no shuffle. decide() is called once a task and
     gives the function that decides on a block of texts."""
 
@@ -52,11 +52,12 @@ def filter_texts(df: DataFrame, decide: Callable[[], Callable[[list[str | None]]
             for at in range(0, batch.num_rows, block):
                 some = batch.slice(at, block)
                 yield some.filter(pa.array(keep(some.column(text_col).to_pylist()), pa.bool_()))
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, df.schema)
 
 
-def map_texts(df: DataFrame, keep: list[str], fields: str, make: Callable[[], Callable[[list[str | None]], dict]], text_col: str = "text", block: int = 1024) -> DataFrame:
+def map_texts(df: DataFrame, keep: list[str], fields: str, make: Callable[[], Callable[[list[str | None]], dict]], text_col: str = "text", block: int = 512) -> DataFrame:
     """The columns `keep` of df as they are, whatever their types, and the columns `fields` (DDL) that a function of a
     block of texts gives by name. make() is called once a task and gives the function; nothing is shuffled."""
     added = StructType.fromDDL(fields)
@@ -71,6 +72,7 @@ def map_texts(df: DataFrame, keep: list[str], fields: str, make: Callable[[], Ca
                 got = work(some.column(text_col).to_pylist())
                 columns = [some.column(c) for c in keep] + [pa.array(got[n], t) for n, t in types]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *(n for n, _ in types)])
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
