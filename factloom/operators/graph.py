@@ -99,15 +99,19 @@ def label_bfs(seeds: DataFrame, edges: DataFrame, node: str = "node", label: str
     on such a path; null at seeds)."""
     live = _edges(edges, a, b)
     best = seeds.groupBy(F.col(node).alias("node")).agg(F.min(F.struct(F.col(label).alias("label"), F.lit(0).cast("long").alias("hops"), F.lit(None).cast(dict(seeds.dtypes)[node]).alias("parent"))).alias("s"))
-    best = cut(best)
-    frontier = best
+    state = frontier = cut(best)
+    rounds = 0
     while not frontier.isEmpty():
         sent = frontier.join(live, frontier["node"] == live["e_from"]).groupBy(F.col("e_to").alias("node")).agg(F.min(F.struct(F.col("s.label").alias("label"), (F.col("s.hops") + 1).alias("hops"), frontier["node"].alias("parent"))).alias("t"))
-        both = cut(best.join(sent, "node", "full"))
+        known = state.join(sent.select("node"), "node", "left_semi").groupBy("node").agg(F.min("s").alias("s"))
         better = F.col("s").isNull() | (F.struct("t.label", "t.hops") < F.struct("s.label", "s.hops"))
-        frontier = both.where(F.col("t").isNotNull() & better).select("node", F.col("t").alias("s"))
-        best = both.select("node", F.when(F.col("t").isNotNull() & better, F.col("t")).otherwise(F.col("s")).alias("s"))
-    return best.select(F.col("node").alias(node), F.col("s.label").alias(label), F.col("s.hops").alias("hops"), F.col("s.parent").alias("parent"))
+        frontier = cut(sent.join(known, "node", "left").where(better).select("node", F.col("t").alias("s")))
+        # Only what is better is written; the least of a node's states is its own.
+        state, rounds = state.unionByName(frontier), rounds + 1
+        if rounds % COMPACT_ROUNDS == 0:
+            state = cut(state.groupBy("node").agg(F.min("s").alias("s")))
+    state = state.groupBy("node").agg(F.min("s").alias("s"))
+    return state.select(F.col("node").alias(node), F.col("s.label").alias(label), F.col("s.hops").alias("hops"), F.col("s.parent").alias("parent"))
 
 
 def chains(parents: DataFrame, node: str = "node", parent: str = "parent", most: int | None = None) -> DataFrame:
@@ -132,15 +136,18 @@ def lattice_fixpoint(levels: DataFrame, edges: DataFrame, node: str = "node", le
     """node and level, where a node's level is the greatest of its own and those that edges a -> b bring it, each at
     most ceiling."""
     live = _edges(edges, a, b)
-    state = cut(levels.groupBy(F.col(node).alias("node")).agg(F.max(level).alias("level")))
-    frontier = state
+    state = frontier = cut(levels.groupBy(F.col(node).alias("node")).agg(F.max(level).alias("level")))
+    rounds = 0
     while not frontier.isEmpty():
         sent = F.col("level") if ceiling is None else F.least(F.col("level"), F.lit(ceiling))
         brought = frontier.join(live, frontier["node"] == live["e_from"]).groupBy(F.col("e_to").alias("node")).agg(F.max(sent).alias("brought"))
-        both = cut(state.join(brought, "node", "left"))
-        frontier = both.where("brought > level").select("node", F.col("brought").alias("level"))
-        state = both.select("node", F.greatest("level", F.coalesce("brought", "level")).alias("level"))
-    return state.toDF(node, level)
+        known = state.join(brought.select("node"), "node", "left_semi").groupBy("node").agg(F.max("level").alias("level"))
+        frontier = cut(brought.join(known, "node").where("brought > level").select("node", F.col("brought").alias("level")))
+        # Only what rises is written; the greatest of a node's levels is its own.
+        state, rounds = state.unionByName(frontier), rounds + 1
+        if rounds % COMPACT_ROUNDS == 0:
+            state = cut(state.groupBy("node").agg(F.max("level").alias("level")))
+    return state.groupBy("node").agg(F.max("level").alias("level")).toDF(node, level)
 
 
 def reduce_graph(edges: DataFrame, kept: DataFrame, a: str = "a", b: str = "b", node: str = "node") -> DataFrame:
