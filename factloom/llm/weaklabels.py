@@ -190,7 +190,8 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = EM_ROUND
 def fit(x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -> np.ndarray:
     """Weights and bias of a logistic scorer of soft labels, by Adam on the whole sample."""
     x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1)
-    w, m, v = (np.zeros(x.shape[1]) for _ in range(3))
+    y = y.astype(x.dtype)  # one precision throughout, so that nothing of the sample's size is converted
+    w, m, v = (np.zeros(x.shape[1], x.dtype) for _ in range(3))
     for k in range(1, epochs + 1):
         g = x.T @ (1 / (1 + np.exp(-x @ w)) - y) / len(x) + 1e-4 * w
         m += 0.1 * (g - m)
@@ -224,7 +225,7 @@ class Toxicity:
         bad, fine = (np.bincount(where, value * (toxic[row] == c), len(kinds)) / max(1, (toxic == c).sum()) for c in (True, False))
         spread = np.sqrt(np.bincount(where, value * value, len(kinds)) / len(rows)) + 0.05
         self.stems = np.sort(kinds[np.argsort(-np.abs(bad - fine) / spread, kind="stable")[:KEPT_STEMS]])
-        x = np.zeros((len(rows), len(self.stems)))
+        x = np.zeros((len(rows), len(self.stems)), np.float32)
         place = np.minimum(np.searchsorted(self.stems, at), len(self.stems) - 1)
         known = self.stems[place] == at
         x[row[known], place[known]] = value[known]
