@@ -54,6 +54,8 @@ UPPER_PARTS = 32
 #: Steps of 1 / SCALE in which log10 probabilities travel.
 SCALE = 10_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: The end of a text as a token: no other holds white space.
+END = b"\n"
 PACK = zstandard.ZstdCompressor(level=3)
 
 
@@ -218,7 +220,7 @@ class Bundle:
                     self.others.update(t.split())
                 else:
                     self.tokens.update(t.split())
-                    self.tokens[b"\n"] += 1  # the end, as no token holds white space
+                    self.tokens[END] += 1
         self.size += sum(map(len, texts))
         self.batches.append(batch)
 
@@ -238,12 +240,11 @@ class Bundle:
         unseen = np.setdiff1d(each[1][0], each[0][0], assume_unique=True)
         codes = np.concatenate([each[0][0], unseen])
         counts = np.concatenate([each[0][1], np.zeros(len(unseen), np.int64)]).astype(np.int32)
-        part = part_of(codes, self.parts)
-        order = np.lexsort((codes, part))
+        order, part = dealt_order(codes, self.parts)
         for some in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
             if len(some):
                 yield "codes", int(part[some[0]]), self.bundle, pack_codes(codes[some]), pack(counts[some])
-        for p, tokens in dealt_tokens(self.tokens.keys() | self.others, self.parts).items():
+        for p, tokens in dealt_tokens(self.tokens.keys() | self.others | {END}, self.parts).items():
             yield "tokens", p, self.bundle, PACK.compress(b" ".join(tokens)), pack(np.array([self.tokens[t] for t in tokens], np.int64))
 
 
@@ -259,6 +260,12 @@ def in_pieces(texts: list[bytes]) -> Iterator[list[bytes]]:
         at = to
 
 
+def dealt_order(codes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the order of distinct codes by part and code, the part of each)."""
+    part = part_of(codes, parts)
+    return np.lexsort((codes, part)), part
+
+
 def dealt_tokens(tokens: set, parts: int) -> dict[int, list[bytes]]:
     """Tokens in order by part."""
     dealt: dict[int, list[bytes]] = {}
@@ -395,10 +402,11 @@ def token_counts(rows: pd.DataFrame) -> Counter:
 
 
 def answered(packed: DataFrame, tops: DataFrame) -> DataFrame:
-    """For each bundle and part: its codes with their log10 probabilities, and its tokens with their counts."""
+    """For each bundle and part the log10 probabilities of its codes and the counts of its tokens, in their order: the
+    bundle knows which these are."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out, part = [], str(rows["part"].iloc[0]).encode()
         some, top = rows[rows["kind"] == "codes"], rows[rows["kind"] == "tops"]
         if len(some):
             each = [unpack_codes(x) for x in some["a"]]
@@ -406,12 +414,12 @@ def answered(packed: DataFrame, tops: DataFrame) -> DataFrame:
             sums = [unpack(x, np.float64).reshape(2, -1) for x in top["b"]]
             keys, mixed, rest = merged([unpack(x, np.int64) for x in top["a"]], [s[0] for s in sums], [s[1] for s in sums])
             values = answers(codes, counts, keys, mixed, rest)
-            for bundle, packed_codes, own in zip(some["bundle"], some["a"], each, strict=True):
-                out.append(("codes", bundle, packed_codes, pack(values[np.searchsorted(codes, own)])))
+            for bundle, own in zip(some["bundle"], each, strict=True):
+                out.append(("codes", bundle, part, pack(values[np.searchsorted(codes, own)])))
         some = rows[rows["kind"] == "tokens"]
         counts = token_counts(some)
         for bundle, tokens in zip(some["bundle"], some["a"], strict=True):
-            out.append(("tokens", bundle, tokens, pack(np.array([counts[t] for t in zstandard.decompress(tokens).split(b" ")], np.int64))))
+            out.append(("tokens", bundle, part, pack(np.array([counts[t] for t in zstandard.decompress(tokens).split(b" ")], np.int64))))
         return pd.DataFrame(out, columns=["kind", "bundle", "a", "b"])
 
     asked = packed.where("kind <> 'texts'").unionByName(tops.select(F.lit("tops").alias("kind"), "part", F.lit(-1).cast("long").alias("bundle"), F.col("keys").alias("a"), F.col("sums").alias("b")))
@@ -432,21 +440,23 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     schema = f"doc_id {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
     def score(rows: pd.DataFrame) -> pa.Table:
-        some = rows[rows["kind"] == "codes"]
-        codes = np.concatenate([np.empty(0, np.uint64), *[unpack_codes(x) for x in some["a"]]])
-        values = np.concatenate([np.empty(0, np.int16), *[unpack(x, np.int16) for x in some["b"]]]).astype(float) / SCALE
-        index = pd.Index(codes)
+        told = {kind: {int(a): b for a, b in zip(some["a"], some["b"], strict=True)} for kind, some in rows[rows["kind"] != "texts"].groupby("kind")}
+        batches = [(batch, [utf8(t).lower() for t in batch.column("text").to_pylist()]) for blob in rows[rows["kind"] == "texts"]["a"] for batch in pa.ipc.open_stream(zstandard.decompress(blob))]
+        codes = counted(np.concatenate([codes_of(piece)[0] for _, texts in batches for piece in in_pieces(texts)]))[0]
+        order, _ = dealt_order(codes, parts)
+        index = pd.Index(codes[order])
+        values = np.concatenate([unpack(b, np.int16) for _, b in sorted(told["codes"].items())]).astype(np.float32) / SCALE
+        if len(values) != len(index):
+            raise RuntimeError(f"{len(index)} codes have {len(values)} answers")
         known: dict[bytes, tuple[float, bool]] = {}
-        some = rows[rows["kind"] == "tokens"]
-        for a, b in zip(some["a"], some["b"], strict=True):
-            for t, c in zip(zstandard.decompress(a).split(b" "), unpack(b, np.int64).tolist(), strict=True):
+        for part, tokens in dealt_tokens({w for _, texts in batches for t in texts for w in t.split()} | {END}, parts).items():
+            for t, c in zip(tokens, unpack(told["tokens"][part], np.int64).tolist(), strict=True):
                 known[t] = (math.log10((c + 1) / under), c > 0)
-        end = known.get(b"\n", (math.log10(1 / under), False))
+        end = known[END]
         tables = []
-        for blob in rows[rows["kind"] == "texts"]["a"]:
-            for batch in pa.ipc.open_stream(zstandard.decompress(blob)):
-                texts = [utf8(t).lower() for t in batch.column("text").to_pylist()]
-                score = np.concatenate([np.add.reduceat(values[index.get_indexer(found)], starts) for found, starts in map(codes_of, in_pieces(texts))])
+        for batch, texts in batches:
+            if texts:
+                score = np.concatenate([np.add.reduceat(values[index.get_indexer(found)].astype(float), starts) for found, starts in map(codes_of, in_pieces(texts))])
                 tokens = [[known[w] for w in t.split()] for t in texts]
                 columns = {
                     "n_tokens": [len(t) + 1 for t in tokens],
