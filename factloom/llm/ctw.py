@@ -31,7 +31,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -97,6 +97,31 @@ def part_of(codes: np.ndarray, parts: int) -> np.ndarray:
     return ((near ^ near >> np.uint64(32)) * MIX >> np.uint64(40)).astype(np.int64) % parts
 
 
+def ranked(runs: Iterable[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct codes of all runs in order, and the place among them of each code of each run. Runs are sorted one by
+    one, as a run fits into a processor's cache and all of them do not."""
+    own, places = [], []
+    for codes in runs:
+        order = np.argsort(codes)
+        codes = codes[order]
+        first = np.ones(len(codes), bool)
+        np.not_equal(codes[1:], codes[:-1], out=first[1:])
+        place = np.empty(len(codes), np.int32)
+        place[order] = np.cumsum(first, dtype=np.int32) - 1
+        own.append(codes[first])
+        places.append(place)
+    every = counted(np.concatenate([np.empty(0, np.uint64), *own]))[0]
+    return every, [np.searchsorted(every, o).astype(np.int32)[p] for o, p in zip(own, places, strict=True)]
+
+
+class Numbers(dict):
+    """Numbers of tokens, in the order in which they are met."""
+
+    def __missing__(self, token: bytes) -> int:
+        k = self[token] = len(self)
+        return k
+
+
 def pack_codes(codes: np.ndarray) -> bytes:
     """Sorted codes: their differences, byte by byte, compressed."""
     steps = np.diff(codes, prepend=np.uint64(0))
@@ -240,6 +265,8 @@ class Bundle:
         unseen = np.setdiff1d(each[1][0], each[0][0], assume_unique=True)
         codes = np.concatenate([each[0][0], unseen])
         counts = np.concatenate([each[0][1], np.zeros(len(unseen), np.int64)]).astype(np.int32)
+        both = np.argsort(codes, kind="stable")  # two runs in order, merged
+        codes, counts = codes[both], counts[both]
         order, part = dealt_order(codes, self.parts)
         for some in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
             if len(some):
@@ -261,9 +288,9 @@ def in_pieces(texts: list[bytes]) -> Iterator[list[bytes]]:
 
 
 def dealt_order(codes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(the order of distinct codes by part and code, the part of each)."""
+    """(the order by part and code of distinct codes that stand in order, the part of each)."""
     part = part_of(codes, parts)
-    return np.lexsort((codes, part)), part
+    return np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable"), part
 
 
 def dealt_tokens(tokens: set, parts: int) -> dict[int, list[bytes]]:
@@ -442,27 +469,43 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     def score(rows: pd.DataFrame) -> pa.Table:
         told = {kind: {int(a): b for a, b in zip(some["a"], some["b"], strict=True)} for kind, some in rows[rows["kind"] != "texts"].groupby("kind")}
         batches = [(batch, [utf8(t).lower() for t in batch.column("text").to_pylist()]) for blob in rows[rows["kind"] == "texts"]["a"] for batch in pa.ipc.open_stream(zstandard.decompress(blob))]
-        codes = counted(np.concatenate([codes_of(piece)[0] for _, texts in batches for piece in in_pieces(texts)]))[0]
+        # Each text is read once: the codes of its pieces, and the numbers of its tokens.
+        starts: list[np.ndarray] = []
+
+        def runs() -> Iterator[np.ndarray]:
+            for _, texts in batches:
+                found, first, n = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+                for codes, at in map(codes_of, in_pieces(texts)):
+                    found.append(codes)
+                    first.append(at + n)
+                    n += len(codes)
+                starts.append(np.concatenate(first))
+                yield np.concatenate(found)
+
+        codes, places = ranked(runs())
         order, _ = dealt_order(codes, parts)
-        index = pd.Index(codes[order])
-        values = np.concatenate([unpack(b, np.int16) for _, b in sorted(told["codes"].items())]).astype(np.float32) / SCALE
-        if len(values) != len(index):
-            raise RuntimeError(f"{len(index)} codes have {len(values)} answers")
-        known: dict[bytes, tuple[float, bool]] = {}
-        for part, tokens in dealt_tokens({w for _, texts in batches for t in texts for w in t.split()} | {END}, parts).items():
-            for t, c in zip(tokens, unpack(told["tokens"][part], np.int64).tolist(), strict=True):
-                known[t] = (math.log10((c + 1) / under), c > 0)
-        end = known[END]
+        given = np.concatenate([unpack(b, np.int16) for _, b in sorted(told["codes"].items())]).astype(np.float32) / SCALE
+        if len(given) != len(codes):
+            raise RuntimeError(f"{len(codes)} codes have {len(given)} answers")
+        values = np.empty(len(codes), np.float32)
+        values[order] = given
+        numbers = Numbers()
+        end = numbers[END]
+        tokens_of = [[np.fromiter(map(numbers.__getitem__, t.split()), np.int32) for t in texts] for _, texts in batches]
+        counts = np.zeros(len(numbers), np.int64)
+        for part, tokens in dealt_tokens(numbers.keys(), parts).items():
+            counts[[numbers[t] for t in tokens]] = unpack(told["tokens"][part], np.int64)
+        seen = counts > 0
+        logs = [math.log10((c + 1) / under) for c in counts.tolist()]
         tables = []
-        for batch, texts in batches:
+        for (batch, texts), place, first, tokens in zip(batches, places, starts, tokens_of, strict=True):
             if texts:
-                score = np.concatenate([np.add.reduceat(values[index.get_indexer(found)].astype(float), starts) for found, starts in map(codes_of, in_pieces(texts))])
-                tokens = [[known[w] for w in t.split()] for t in texts]
+                score = np.add.reduceat(values[place].astype(float), first)
                 columns = {
                     "n_tokens": [len(t) + 1 for t in tokens],
-                    "n_known": [sum(k for _, k in t) + end[1] for t in tokens],
+                    "n_known": [int(np.count_nonzero(seen[t])) + int(seen[end]) for t in tokens],
                     "train_tokens": [n_all] * len(texts),
-                    "base_score": [sum(x for x, _ in t) + end[0] for t in tokens],
+                    "base_score": [sum(map(logs.__getitem__, t.tolist())) + logs[end] for t in tokens],
                     "score": score,
                     "bits_per_byte": -score / math.log10(2) / np.array([len(t) + 1 for t in texts]),
                 }

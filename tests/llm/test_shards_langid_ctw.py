@@ -243,3 +243,14 @@ def test_training_rows_are_bounded_whatever_repeats(spark, monkeypatch):
     assert len(langid.training_rows(docs)) <= 10
     named = langid.identify(docs.selectExpr("concat('k', doc_id) AS doc_id", "text"), None)
     assert dict(named.dtypes)["doc_id"] == "string" and named.count() == 400
+
+
+def test_ctw_codes_are_ranked_run_by_run():
+    rng = np.random.default_rng(5)
+    runs = [rng.integers(0, 1 << 62, n, dtype=np.uint64) >> np.uint64(s) for n, s in ((0, 0), (1, 0), (5000, 54), (5000, 50), (64, 0))]
+    codes, places = ctw.ranked(runs)
+    want, where = np.unique(np.concatenate(runs), return_inverse=True)
+    assert (codes == want).all() and (np.concatenate(places) == where).all() and [len(p) for p in places] == [len(r) for r in runs]
+    order, part = ctw.dealt_order(codes, 7)
+    assert (order == np.lexsort((codes, part))).all()
+    assert len(ctw.ranked([])[0]) == 0
