@@ -54,21 +54,22 @@ WORD_MEMO = 1 << 18
 _rng = np.random.default_rng(20240607)
 MULTIPLY = _rng.integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _rng.integers(0, 1 << 63, SKETCH, dtype=np.uint64)
-_memo: dict[str, int] = {}
 
 
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the runs of so many words."""
+def shingles(text: str | None, words: int = WORDS, memo: dict[str, int] | None = None) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the runs of so many words. The memo of words is the task's own, so that a worker
+    keeps nothing of it for what it does next."""
+    memo = {} if memo is None else memo
     found = text.lower().split() if text else []
     if not found:
         return np.empty(0, np.uint64)
-    if len(_memo) > WORD_MEMO:
-        _memo.clear()
+    if len(memo) > WORD_MEMO:
+        memo.clear()
     ids = []
     for w in found:
-        h = _memo.get(w)
+        h = memo.get(w)
         if h is None:
-            h = _memo[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+            h = memo[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
         ids.append(h)
     h = np.array(ids, np.uint64)
     n = max(1, len(h) - words + 1)
@@ -97,12 +98,17 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
 def describe(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, set key (two numbers and its size) and sketch of rows of doc_id, text and text_hash."""
 
-    def work(texts: list[str | None]) -> dict:
-        sets = [shingles(t) for t in texts]
-        keys = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
-        return {"hi": np.array([k >> 64 for k in keys], np.uint64).view(np.int64), "lo": np.array([k & (1 << 64) - 1 for k in keys], np.uint64).view(np.int64), "n": [len(s) for s in sets], "sketch": [s.tobytes() for s in sketches(sets)]}
+    def make():
+        memo: dict[str, int] = {}
 
-    return map_texts(docs, ["doc_id", "text_hash"], "hi long, lo long, n long, sketch binary", lambda: work, block=64)
+        def work(texts: list[str | None]) -> dict:
+            sets = [shingles(t, memo=memo) for t in texts]
+            keys = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
+            return {"hi": np.array([k >> 64 for k in keys], np.uint64).view(np.int64), "lo": np.array([k & (1 << 64) - 1 for k in keys], np.uint64).view(np.int64), "n": [len(s) for s in sets], "sketch": [s.tobytes() for s in sketches(sets)]}
+
+        return work
+
+    return map_texts(docs, ["doc_id", "text_hash"], "hi long, lo long, n long, sketch binary", make, block=64)
 
 
 def survival(similarity: float, depth: int) -> float:
@@ -212,8 +218,8 @@ def verify(groups: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """a, b and links: spanning links (b not null) and counts of linked documents (b null) of rows of block, side,
     node, copies and text. Pairs are those of side 0 with side 1, or all pairs where a block has side 0 only."""
 
-    def compare(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        sets = [shingles(t) for t in rows["text"]]
+    def compare(rows: pd.DataFrame, memo: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        sets = [shingles(t, memo=memo) for t in rows["text"]]
         side = rows["side"].to_numpy()
         sizes = np.array([len(s) for s in sets])
         order = np.argsort(sizes, kind="stable")
@@ -242,11 +248,12 @@ def verify(groups: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         return np.concatenate([none, *found_a]), np.concatenate([none, *found_b])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo: dict[str, int] = {}
         for rows in runs_of(batches, "block", 1024):
             out = []
             for _, block in rows.groupby("block", sort=False):
                 node, copies = block["node"].to_numpy(), block["copies"].to_numpy()
-                a, b = compare(block)
+                a, b = compare(block, memo)
                 links = np.bincount(a, copies[b], len(node)) + np.bincount(b, copies[a], len(node))
                 label = spanning(len(node), a, b)
                 some, moved = np.flatnonzero(links), np.flatnonzero(label != np.arange(len(node)))

@@ -286,3 +286,14 @@ def test_traversal_order():
         got = index.visit(d1, d2, cells)
         assert np.allclose(np.take_along_axis(whole, got, 1), np.sort(whole, axis=1)[:, :cells])
         assert (index.rank(d1, d2, got[:, -1]) == cells - 1).all()
+
+
+def test_words_are_not_kept_between_tasks(awkward_rows):
+    def words_kept():
+        return sum(len(v) for v in vars(chosenpath).values() if isinstance(v, dict) and "changed" in v)
+
+    memo: dict[str, int] = {}
+    texts = [r[1] for r in awkward_rows]
+    plain, shared = [chosenpath.shingles(t) for t in texts], [chosenpath.shingles(t, memo=memo) for t in texts]
+    assert all((a == b).all() for a, b in zip(plain, shared, strict=True)) and "changed" in memo
+    assert words_kept() == 0
