@@ -19,8 +19,11 @@ tables give empty results; other columns are not read.
 
 from __future__ import annotations
 
+import itertools
+import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -47,83 +50,110 @@ MARKS = b"#$%&*|!{}<>=~^\\"
 FREQUENT = frozenset("the of and to in is that it for as with on be at by this de la el en que los del las un una y se por con der die das und ist ein nicht von zu den mit le les des et est dans du une pour".split())
 INSULTS = frozenset("pathetic scum moron idiot loser worthless clown trash disgusting stupid".split())
 
+#: Characters that are no part of a bare word. Characters of texts whose words are looked up together, one text at least.
+AROUND = ".,;:!?\"'()#$%&*|"
+TOGETHER = 1 << 20
+
 LABELLERS = ("marks", "shouting", "repeats", "lines", "length", "frequent", "vocabulary")
 
 
+class Classes(dict):
+    """A for capitals, a for other letters, 0 for digits; other characters as they are. By code points, for str.translate."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        mark = self[code] = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
+        return mark
+
+
+CLASSES = Classes()
+RUNS = re.compile(r"([^\n])\1+")
+
+
 class Lexicon(dict):
-    """Numbers of words, and arrays of what is known of each: whatever is read off a word is worked out once."""
+    """Numbers of words, and arrays of what is known of each word and each bare word. Whatever is read off a word is
+    worked out once, for all new words of some texts together: joined by line ends, which no word holds."""
 
     def __init__(self, toxicity: Toxicity | None = None, voting_only: bool = False):
-        self.toxicity, self.voting_only, self.size = toxicity, voting_only, 0
-        width = len(BEGINNINGS) + 1
-        self.bare, self.shape, self.ending = (np.zeros(1024, np.int64) for _ in range(3))
-        self.frequent, self.insult, self.telling = (np.zeros(1024, bool) for _ in range(3))
-        self.places = np.zeros((1024, width), np.int64)
+        self.toxicity, self.voting_only = toxicity, voting_only
+        if toxicity is not None:
+            self.place = np.full(STEMS + 1, len(toxicity.stems), np.int32)
+            self.place[toxicity.stems] = np.arange(len(toxicity.stems))
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
         self.bares: dict[str, int] = {}
         self.marks: dict[str, int] = {}
-
-    def __missing__(self, word: str) -> int:
-        k = self[word] = self.size
-        self.size += 1
-        if k == len(self.bare):
-            for name in ("bare", "shape", "ending", "frequent", "insult", "telling", "places"):
-                x = getattr(self, name)
-                setattr(self, name, np.concatenate([x, np.zeros_like(x)]))
-        bare = bare_word(word)
-        self.bare[k] = self.bares.setdefault(bare, len(self.bares))
-        self.frequent[k], self.insult[k] = bare in FREQUENT, bare in INSULTS
+        self.bare, self.shape, self.ending = (np.zeros(0, np.int64) for _ in range(3))  # of words
+        self.frequent, self.insult, self.telling = (np.zeros(0, bool) for _ in range(3))  # of bare words
+        self.places = np.zeros((0, len(BEGINNINGS) + 1), np.int32)
+
+    def learn(self, words: set[str]) -> None:
+        """Numbers the words that are new; forgets all others first if they became too many."""
+        new = [w for w in words if w not in self]
+        if len(self) + len(new) > MEMO:
+            self.forget()
+            new = list(words)
+        if not new:
+            return
+        self.update(zip(new, range(len(self), len(self) + len(new)), strict=True))
+        known = len(self.bares)
+        stripped = "\n".join([w.strip(AROUND) for w in new]).lower().split("\n")
+        self._add("bare", np.array([self.bares.setdefault(b, len(self.bares)) for b in stripped], np.int64))
+        bares = list(itertools.islice(self.bares, known, None))
+        self._add("frequent", np.array([b in FREQUENT for b in bares], bool))
+        self._add("insult", np.array([b in INSULTS for b in bares], bool))
         if self.voting_only:
-            return k
-        self.shape[k], self.ending[k] = self.hashed("s" + word_shape(word)), self.hashed("e" + word[-3:].lower())
+            return
+        self._add("shape", self.hashed("s", word_shapes(new)))
+        self._add("ending", self.hashed("e", "\n".join([w[-3:] for w in new]).lower().split("\n")))
         if self.toxicity is not None:
-            known = [self.toxicity.place[x] for x in stems(word) if x in self.toxicity.place]
-            if known:
-                self.places[k] = len(self.toxicity.stems)
-                self.places[k, : len(known)] = known
-                self.telling[k] = True
-        return k
-
-    def hashed(self, mark: str) -> int:
-        """The feature of a shape or an ending."""
-        k = self.marks.get(mark)
-        if k is None:
-            k = self.marks[mark] = 2 + zlib.crc32(mark.encode("utf-8", "surrogatepass")) % (FEATURES - 2)
-        return k
-
-    def numbers(self, words: list[str]) -> np.ndarray:
-        if self.size > MEMO:
-            self.clear()
-            self.__init__(self.toxicity, self.voting_only)
-        return np.array([self[w] for w in words], np.int64)
-
-
-def word_shape(word: str) -> str:
+            places = np.sort(self.place[stem_table(bares)], axis=1)
+            places[:, 1:][places[:, 1:] == places[:, :-1]] = len(self.toxicity.stems)  # each stem of a word counts once
+            self._add("places", places)
+            self._add("telling", (places < len(self.toxicity.stems)).any(axis=1))
+
+    def _add(self, name: str, more: np.ndarray) -> None:
+        setattr(self, name, np.concatenate([getattr(self, name), more]))
+
+    def hashed(self, kind: str, texts: list[str]) -> np.ndarray:
+        """The features of shapes or endings."""
+        marks, out = self.marks, []
+        for mark in texts:
+            k = marks.get(kind + mark)
+            if k is None:
+                k = marks[kind + mark] = 2 + zlib.crc32((kind + mark).encode("utf-8", "surrogatepass")) % (FEATURES - 2)
+            out.append(k)
+        return np.array(out, np.int64)
+
+
+def word_shapes(words: list[str]) -> list[str]:
     """A for capitals, a for other letters, 0 for digits and other characters as they are, runs as one."""
-    if word.isalpha():
-        if word.islower():
-            return "a"
-        if word[0].isupper() and (len(word) == 1 or word[1:].islower()):
-            return "A" if len(word) == 1 else "Aa"
-    marks = ["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word]
-    return "".join(x for x, last in zip(marks, ["", *marks[:-1]], strict=True) if x != last)
+    text = "\n".join(words).translate(CLASSES)
+    for mark in "aA0":  # runs of these are shortened by plain replacement, most at once
+        while mark * 2 in text:
+            text = text.replace(mark * 4, mark).replace(mark * 2, mark)
+    return RUNS.sub(r"\1", text).split("\n")
 
 
 def bare_word(word: str) -> str:
-    return word.strip(".,;:!?\"'()#$%&*|").lower()
+    return word.strip(AROUND).lower()
 
 
 class Reading:
     """What labellers and scorers need of a text."""
 
-    def __init__(self, text: str | None, lexicon: Lexicon):
+    def __init__(self, text: str | None, words: list[str], lexicon: Lexicon):
         self.data, self.lexicon = utf8(text), lexicon
-        self.ids = lexicon.numbers((text or "").split())
+        self.ids = np.fromiter(map(lexicon.__getitem__, words), np.int64, len(words))
+        self.bare = lexicon.bare[self.ids]
         self.twins = int((self.ids[1:] == self.ids[:-1]).sum())
 
     def votes(self) -> tuple[tuple[int, ...], bool]:
         """((1 good, 0 bad, -1 nothing) of each labeller, whether an insult is a word of the text)."""
-        data, ids, lexicon = self.data, self.ids, self.lexicon
-        n, size = len(ids), max(1, len(data))
+        data, bare, lexicon = self.data, self.bare, self.lexicon
+        n, size = len(bare), max(1, len(data))
 
         def vote(value: float, good: float, bad: float) -> int:
             return 1 if value <= good else 0 if value >= bad else -1
@@ -132,8 +162,11 @@ class Reading:
         shouting = (len(data) - len(data.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))) / size
         lines = [x for x in data.split(b"\n") if x]
         twice = 1 - len(set(lines)) / max(1, len(lines))
-        common = int(lexicon.frequent[ids].sum()) / max(1, n)
+        common = int(lexicon.frequent[bare].sum()) / max(1, n)
         long = n >= 20
+        few = 0.1 * n**0.8
+        # The first words mostly have so many different ones that the others need not be counted.
+        poor = long and len(set(bare[: 4 * int(few) + 4].tolist())) < few and len(np.unique(bare)) < few
         return (
             vote(marks, 0.01, 0.04),
             vote(shouting, 0.06, 0.2),
@@ -141,8 +174,8 @@ class Reading:
             0 if len(lines) > 3 and twice >= 0.5 else -1,
             0 if n < 2 else -1,
             0 if long and common < 0.03 else 1 if common >= 0.15 else -1,
-            0 if long and len(np.unique(lexicon.bare[ids])) < 0.1 * n**0.8 else -1,
-        ), bool(lexicon.insult[ids].any())
+            0 if poor else -1,
+        ), bool(lexicon.insult[bare].any())
 
     def features(self) -> np.ndarray:
         """Hashed features: shares of words' shapes and endings, and of words that repeat the one before."""
@@ -155,11 +188,26 @@ class Reading:
         return np.sqrt(out)
 
     def toxicity(self) -> float:
-        return self.lexicon.toxicity.score(self.lexicon.places[self.ids[self.lexicon.telling[self.ids]]])
+        return self.lexicon.toxicity.score(self.lexicon.places[self.bare[self.lexicon.telling[self.bare]]])
+
+
+def readings(texts: list[str | None], lexicon: Lexicon) -> Iterator[Reading]:
+    """Readings of texts in order. The lexicon may forget words between them, so each is to be used before the next."""
+    at = 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and (to == at or size + len(texts[to] or "") <= TOGETHER):
+            size += len(texts[to] or "")
+            to += 1
+        words = [(t or "").split() for t in texts[at:to]]
+        lexicon.learn(set().union(*words))
+        for text, own in zip(texts[at:to], words, strict=True):
+            yield Reading(text, own, lexicon)
+        at = to
 
 
 def votes(text: str | None) -> tuple[tuple[int, ...], bool]:
-    return Reading(text, Lexicon()).votes()
+    return next(readings([text], Lexicon(voting_only=True))).votes()
 
 
 def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = EM_ROUNDS, trust: float = TRUST) -> tuple[dict[tuple[int, ...], float], np.ndarray]:
@@ -206,6 +254,50 @@ def stems(word: str) -> tuple[int, ...]:
     return tuple({zlib.crc32(x.encode("utf-8", "surrogatepass")) % STEMS for x in (w[:k] for k in (*BEGINNINGS, len(w))) if x})
 
 
+def _crc_table() -> np.ndarray:
+    c = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        c = (c >> 1) ^ (c & 1) * np.uint32(0xEDB88320)
+    return c
+
+
+CRC = _crc_table()
+
+
+def stem_table(bares: list[str], longest: int = 64) -> np.ndarray:
+    """The stems of bare words, a row of len(BEGINNINGS) + 1 hashes each, some of them equal; STEMS, which
+    no hash is, of the empty word. CRC-32 is carried on byte by byte for all words at once; those over `longest` bytes go by themselves."""
+    data = np.frombuffer("\n".join([*bares, ""]).encode("utf-8", "surrogatepass"), np.uint8)
+    ends = np.flatnonzero(data == 10)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    sizes = ends - starts
+    order = np.argsort(-sizes, kind="stable")
+    starts, sizes = starts[order], sizes[order]
+    long = int(np.searchsorted(-sizes, -longest))  # words before this one have more bytes
+    starts, sizes = starts[long:], sizes[long:]
+    crc, letters = np.full(len(sizes), 0xFFFFFFFF, np.uint32), np.zeros(len(sizes), np.int64)
+    out = np.zeros((len(sizes), len(BEGINNINGS) + 1), np.uint32)
+    for j in range(int(sizes[0]) if len(sizes) else 0):
+        n = int(np.searchsorted(-sizes, -j))  # words of more than j bytes
+        b, c = data[starts[:n] + j], crc[:n]
+        begins = (b & 0xC0) != 0x80  # a character, so the ones before it are whole
+        letters[:n] += begins
+        if j >= BEGINNINGS[0]:
+            for k, length in enumerate(BEGINNINGS):
+                now = np.flatnonzero(begins & (letters[:n] == length + 1))
+                out[now, k] = c[now]
+        crc[:n] = CRC[(c ^ b) & 0xFF] ^ (c >> 8)
+    out[:, -1] = crc
+    for k, length in enumerate(BEGINNINGS):
+        out[:, k] = np.where(letters > length, out[:, k], crc)
+    table = np.empty((len(bares), out.shape[1]), np.int64)
+    table[order[long:]] = np.where(sizes[:, None] > 0, (out ^ np.uint32(0xFFFFFFFF)) % STEMS, STEMS)
+    for row in order[:long]:
+        own = stems(bares[row])
+        table[row] = [*own, *[own[0]] * (out.shape[1] - len(own))]
+    return table
+
+
 def stem_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(distinct hashes of the text's words and their beginnings, how often each occurs)."""
     places: list[int] = []
@@ -270,7 +362,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     def cast():
         lexicon = Lexicon(voting_only=True)
-        return lambda some: {"votes": [list(Reading(t, lexicon).votes()[0]) for t in some]}
+        return lambda some: {"votes": [list(r.votes()[0]) for r in readings(some, lexicon)]}
 
     voted = cut(map_texts(texts, ["h", "h2"], "votes array<int>", cast))
     patterns = sorted((tuple(r["votes"]), r["n"]) for r in voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect())
@@ -284,8 +376,8 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         lexicon = Lexicon()
 
         def work(some: list[str | None]) -> dict:
-            read = [Reading(t, lexicon) for t in some]
-            return {"votes": [list(r.votes()[0]) for r in read], "x": [r.features().tobytes() for r in read]}
+            read = [(list(r.votes()[0]), r.features().tobytes()) for r in readings(some, lexicon)]
+            return {"votes": [v for v, _ in read], "x": [x for _, x in read]}
 
         return work
 
@@ -303,8 +395,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
         def work(some: list[str | None]) -> dict:
             out: dict[str, list] = {n: [] for n in ("votes", "posterior", "score", "good", "toxic", "keep")}
-            for text in some:
-                read = Reading(text, lexicon)
+            for read in readings(some, lexicon):
                 v, insult = read.votes()
                 p = posterior[v]
                 s = p if weights is None else float(1 / (1 + np.exp(-np.clip(read.features() @ weights[:-1] + weights[-1], -30, 30))))

@@ -1,9 +1,11 @@
 """op5, op9 and the pipeline: against simulated labellers, plain regular expressions, and stages by brute force."""
 
 import hashlib
+import itertools
 import os
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -80,6 +82,44 @@ def test_quality_rows(awkward, awkward_rows, empty):
     assert weaklabels.classify(empty).count() == 0
 
 
+def test_words_are_read_together():
+    """What is known of words is what each word gives by itself, whichever words are read with it or were forgotten."""
+    texts = ["Das ist ΣΑΣ, ΟΔΟΣ. ***", None, "", "!!! x", "Straße İSTANBUL stupid! " + "é" * 70, "a1B2 漢字 naïve-Été " * 5, "the of THE Ab aB ---"]
+    words = sorted({w for t in texts for w in (t or "").split()})
+    marks = ["".join(k for k, _ in itertools.groupby("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in w)) for w in words]
+    assert weaklabels.word_shapes(words) == marks
+    bares = [weaklabels.bare_word(w) for w in words]
+    assert [set(row.tolist()) - {weaklabels.STEMS} for row in weaklabels.stem_table(bares)] == [set(weaklabels.stems(b)) for b in bares]
+
+    def read(together: bool, lexicon):
+        return [(r.votes(), r.features().tobytes()) for some in ([texts] if together else [[t] for t in texts]) for r in weaklabels.readings(some, lexicon)]
+
+    alone = [x for t in texts for x in [(r.votes(), r.features().tobytes()) for r in weaklabels.readings([t], weaklabels.Lexicon())]]
+    assert read(True, weaklabels.Lexicon()) == alone
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(weaklabels, "MEMO", 3)
+        patch.setattr(weaklabels, "TOGETHER", 30)
+        assert read(True, weaklabels.Lexicon()) == alone and read(False, weaklabels.Lexicon()) == alone
+
+
+def test_new_words_cost_few_calls():
+    """A new word costs no call of a function of its own; each cost more than ten, which was most of operator 5's time."""
+    text, calls = " ".join(f"w{k}x{k}" for k in range(2000)), 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event == "call"
+
+    lexicon = weaklabels.Lexicon(weaklabels.Toxicity([weaklabels.stem_counts(t) for t in ("stupid", "fine")], np.array([True, False])))
+    sys.setprofile(count)
+    try:
+        for read in weaklabels.readings([text], lexicon):
+            read.votes(), read.features(), read.toxicity()
+    finally:
+        sys.setprofile(None)
+    assert calls < 1000
+
+
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
