@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 
 from factloom.session import checkpoint_dir, cut
 
-__all__ = ["bit_filter", "checkpoint_dir", "crc_mod", "cut", "filter_texts", "in_filter", "map_texts", "pick", "table", "utf8"]
+__all__ = ["bit_filter", "checkpoint_dir", "crc_mod", "cut", "filter_texts", "in_filter", "kept", "map_texts", "pick", "table", "utf8"]
 
 #: Words of 64 bits that a key filter has at most: 8 MB of bits.
 FILTER_WORDS = 1 << 20
@@ -42,11 +42,27 @@ def crc_of(value) -> int:
     return zlib.crc32(str(value).encode())
 
 
+_KEPT: dict[str, dict] = {}
+
+
+def kept(module: str) -> dict:
+    """What a Python worker keeps for the tasks of a module. It goes when a task of another module runs in the worker, so
+    that no stage has the memory of those before it."""
+    return _KEPT.setdefault(module, {})
+
+
+def keep_only(module: str) -> None:
+    """Drops what is kept for other modules than this."""
+    for name in [m for m in _KEPT if m != module]:
+        del _KEPT[name]
+
+
 def filter_texts(df: DataFrame, decide: Callable[[], Callable[[list[str | None]], list[bool]]], text_col: str = "text", block: int = 512) -> DataFrame:
     """The rows of df whose text is decided to stay, as they are, with no shuffle. decide() is called once a task and
     gives the function that decides on a block of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only(decide.__module__)
         keep = decide()
         for batch in batches:
             for at in range(0, batch.num_rows, block):
@@ -65,6 +81,7 @@ def map_texts(df: DataFrame, keep: list[str], fields: str, make: Callable[[], Ca
     types = [(f.name, to_arrow_type(f.dataType)) for f in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only(make.__module__)
         work = make()
         for batch in batches:
             for at in range(0, batch.num_rows, block):

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from factloom.llm.common import map_texts, pick
+from factloom.llm.common import kept, map_texts, pick
 
 MARK = "▁"
 MARK_BYTES = MARK.encode()
@@ -114,13 +114,15 @@ class Unigram:
         self.bytes_of = frozenset(by_byte)
         # Characters of no piece stand alone on every path, so they end chunks too.
         alone = "".join(c for c in "\n\t\r" if not any(c.encode() in p for p in pieces))
-        self.chunk = re.compile(f"[{alone}]|{MARK}*[^{MARK}{alone}]+|{MARK}+" if alone else f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.memo: dict[str, tuple[tuple[int, ...], float, int]] = {}
-        self.older: dict[str, tuple[tuple[int, ...], float, int]] = {}
-
-    def best(self, chunk: str) -> tuple[tuple[int, ...], float, int]:
-        """(ids, log score, byte pieces) of the best path through a chunk."""
-        data = chunk.encode("utf-8", "surrogatepass")
+        # In chunks, spaces stand for markers, with which a chunk would take two bytes a character instead of one.
+        self.chunk = re.compile(f"[{alone}]| *[^ {alone}]+| +" if alone else " *[^ ]+| +")
+        self.memo: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
+
+    def best(self, chunk: str) -> tuple:
+        """(byte pieces, log score, id, id, ...) of the best path through a chunk: one flat tuple, as a worker remembers
+        hundreds of thousands of them."""
+        data = chunk.replace(" ", MARK).encode("utf-8", "surrogatepass")
         n, base, check, value, scores = len(data), self.trie.base, self.trie.check, self.trie.value, self.scores
         best = [-math.inf] * (n + 1)
         back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
@@ -153,7 +155,7 @@ class Unigram:
                 n_bytes += at - start
                 ids.extend(self.by_byte[b] for b in reversed(data[start:at]))
             at = start
-        return tuple(reversed(ids)), best[n], n_bytes
+        return n_bytes, best[n], *reversed(ids)
 
     def encode(self, text: str | None) -> tuple[list[int], float, int]:
         """(ids, log score, byte pieces) of a whole text."""
@@ -166,8 +168,8 @@ class Unigram:
                 ids += [self.by_byte[b] for b in MARK_BYTES]
                 n_bytes += 3
                 score += 3 * self.fallback
-            marked = part.replace(" ", MARK) if k else MARK + part.replace(" ", MARK)
-            for chunk in self.chunk.findall(marked) if self.split else [marked]:
+            spaced = part if k else " " + part
+            for chunk in self.chunk.findall(spaced) if self.split else [spaced]:
                 found = memo.get(chunk)
                 if found is None:
                     found = self.older.get(chunk) or self.best(chunk)
@@ -176,9 +178,9 @@ class Unigram:
                             self.older = memo
                             memo = self.memo = {}
                         memo[chunk] = found
-                ids += found[0]
+                n_bytes += found[0]
                 score += found[1]
-                n_bytes += found[2]
+                ids += found[2:]
         return ids, score, n_bytes
 
     def decode(self, ids) -> str:
@@ -187,16 +189,13 @@ class Unigram:
         return b"".join([out[i] for i in ids])[1:].decode("utf-8", "surrogatepass")
 
 
-_LOADED: dict[int, Unigram] = {}
-
-
 def _shared(broadcast) -> Unigram:
-    """One Unigram in each Python worker, kept between its tasks."""
-    key = broadcast.value[3]
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Unigram(*broadcast.value[:3])
-    return _LOADED[key]
+    """One Unigram in each Python worker, kept between its tasks of this module."""
+    key, loaded = broadcast.value[3], kept(__name__)
+    if key not in loaded:
+        loaded.clear()
+        loaded[key] = Unigram(*broadcast.value[:3])
+    return loaded[key]
 
 
 def _vocabulary(docs: DataFrame, path: str):

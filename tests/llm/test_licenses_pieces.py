@@ -1,14 +1,20 @@
 """op6 and op4: against brute force over words, and exact round trips."""
 
+import gc
+import math
 import os
 import random
 import re
+import sys
+import types
+import weakref
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from factloom.llm import licenses, pieces
+from factloom.llm import common, licenses, pieces
 from factloom.llm.queries import TOKENIZERS
 
 MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
@@ -107,6 +113,38 @@ def test_memo_generations_change_nothing(model, monkeypatch):
     assert [model.encode(t) for t in texts] == before
 
 
+@needs_model
+def test_remembered_chunks_are_small(model, monkeypatch):
+    monkeypatch.setattr(model, "memo", {})
+    monkeypatch.setattr(model, "older", {})
+    rng = random.Random(3)
+    model.encode(" ".join("".join(rng.choice("etaoinshr") for _ in range(8)) for _ in range(2000)))
+
+    def size(x):
+        return sys.getsizeof(x) + (sum(map(size, x)) if isinstance(x, tuple) else 0) if not isinstance(x, int) else 0
+
+    assert len(model.memo) > 1900
+    assert sum(size(k) + size(v) for k, v in model.memo.items()) / len(model.memo) < 190
+
+
+def test_worker_keeps_nothing_for_other_stages():
+    """What a worker keeps for encoding stays between its tasks and goes when it does something else."""
+
+    class Frame:
+        schema = None
+
+        def mapInArrow(self, run, schema):
+            return lambda: [b.num_rows for b in run(iter([pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["a"]})]))]
+
+    vocabulary = types.SimpleNamespace(value=([b"a", *[b""] * 256], [-1.0, *[-math.inf] * 256], list(range(1, 257)), 7))
+    left = weakref.ref(pieces._shared(vocabulary))
+    gc.collect()
+    assert left() is pieces._shared(vocabulary)
+    assert common.filter_texts(Frame(), lambda: lambda texts: [True for _ in texts])() == [1]
+    gc.collect()
+    assert left() is None
+
+
 @needs_model
 def test_piece_rows(awkward, awkward_rows, empty):
     got = pieces.round_trip(awkward, MODEL).collect()
