@@ -50,6 +50,8 @@ PROPOSE = 0.65
 BLOCK = 1024
 BLOCK_TOKENS = 1 << 20
 WORD_MEMO = 1 << 18
+#: Bytes of a sketch over those of a row of a node and a path.
+ROWS_WIDE = 16
 
 _rng = np.random.default_rng(20240607)
 MULTIPLY = _rng.integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -131,12 +133,15 @@ def chosen_paths(nodes: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFr
     runs = F.explode(F.array(*[F.lit(k).cast("long") for k in range(runs_needed(threshold))]))
     level = nodes.select("node", "sketch", runs.alias("path"), F.lit(None).cast("long").alias("from"))
     small = large = live = None
+    # Rows of a level's children; a split below the first reads all of live, of wide rows.
+    count = nodes.count()
+    most = count * runs_needed(threshold) * CHOICES
     for depth in range(1, MAX_DEPTH + 1):
         split = level.withColumn("choice", F.explode(F.sequence(F.lit(1), F.lit(CHOICES))))
         place = F.pmod(F.xxhash64("path", "choice"), F.lit(SKETCH)).cast("int")
-        split = cut(split.select("node", F.xxhash64("path", "choice", F.substring("sketch", place * 2 + 1, F.lit(2))).alias("path"), "from"))
+        split = cut(split.select("node", F.xxhash64("path", "choice", F.substring("sketch", place * 2 + 1, F.lit(2))).alias("path"), "from"), max(most, count * ROWS_WIDE))
         sizes = split.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least"), F.max("from").alias("from")).where("size > 1")
-        sized = cut(split.drop("from").join(sizes, "path"))
+        sized = cut(split.drop("from").join(sizes, "path"), most)
         if live is None:
             live = cut(nodes.join(sized.select("node").distinct(), "node", "left_semi"))
         leaves = sized.where(F.col("size") <= BUCKET).select("path", "node")
@@ -146,7 +151,8 @@ def chosen_paths(nodes: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFr
         stuck = big.where(clump).select(F.col("node").alias("a"), F.col("least").alias("b"))
         large = stuck if large is None else large.unionByName(stuck)
         rest = big.where(~clump)
-        if rest.isEmpty():
+        most = rest.count() * CHOICES
+        if not most:
             break
         level = rest.select("node", "path", F.col("size").alias("from")).join(live, "node")
     return small, large.distinct(), live
@@ -279,16 +285,17 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "row_id")
     classes = cut(rows.groupBy(*set_key).agg(F.min("row_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.min(first).alias("first"), F.first("sketch").alias("sketch")))
     small, large, live = chosen_paths(classes.where("n > 0").select("node", "sketch"), threshold)
-    groups = connected_components(propose(small, live).unionByName(large))
+    groups = connected_components(propose(small, live).unionByName(large), most=small.count() + large.count())
 
+    n_classes = classes.count()
     sized = groups.join(classes.select("node", "n", "copies", "first"), "node")
     sizes = sized.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("parts"))
     placed = sized.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     own = [F.col("first.doc_id").alias("p_id"), F.col("first.text_hash").alias("p_hash"), F.xxhash64("first.doc_id", "first.text_hash").alias("key")]
-    placed = cut(placed.select("component", "node", "copies", "parts", "part", *own))
+    placed = cut(placed.select("component", "node", "copies", "parts", "part", *own), n_classes)
     # One text of each set, so that no other text moves but what the filter lets pass; then a part meets every part,
     # itself included, in one block each.
-    wanted = in_filter(texts, "key", cut(bit_filter(placed, "key"))).where("in_filter").drop("in_filter")
+    wanted = in_filter(texts, "key", cut(bit_filter(placed, "key"), n_classes)).where("in_filter").drop("in_filter")
     same = F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("text_hash") == F.col("p_hash"))
     whole = wanted.join(placed, "key").where(same).dropDuplicates(["key", "node"])
     whole = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -296,9 +303,10 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     checked = cut(verify(whole.select(block.alias("block"), (F.col("part") > F.col("other")).cast("int").alias("side"), "node", "copies", "text"), threshold))
 
     links = checked.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    joined = connected_components(checked.where("b IS NOT NULL").select("a", "b"))
+    spans = checked.where("b IS NOT NULL").select("a", "b")
+    joined = connected_components(spans, most=spans.count())
     labelled = classes.drop("sketch").join(joined, "node", "left").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    labelled = cut(labelled.select(*set_key, "component", "first", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    labelled = cut(labelled.select(*set_key, "component", "first", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), n_classes)
     heads = labelled.groupBy("component").agg(F.min("first").alias("head"), F.sum("copies").alias("class_rows"))
     full = labelled.join(heads, "component").select(*set_key, "n_links", "head", "class_rows")
     out = rows.select("doc_id", "text_hash", "row_id", *set_key).join(full, set_key)

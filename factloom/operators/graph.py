@@ -15,31 +15,33 @@ from factloom.session import cut
 COMPACT_ROUNDS = 8
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most: int | None = None) -> DataFrame:
     """node and component (the least node that links reach) of every node that an edge names.
 
     Each round, every node points to its least neighbour, pointers are followed to their ends by doubling, and edges
-    are contracted to these ends. Self-loops name their node; null ends are dropped.
+    are contracted to these ends. Self-loops name their node; null ends are dropped. most: edges that there are at most,
+    where that is known.
     """
     ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    live = cut(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    labels = cut(live.select(F.col("a").alias("node")).union(live.select("b")).distinct().withColumn("component", F.col("node")))
+    live = cut(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), most)
+    nodes = 2 * live.count()
+    labels = cut(live.select(F.col("a").alias("node")).union(live.select("b")).distinct().withColumn("component", F.col("node")), nodes)
     live = live.where("a < b")
-    while not live.isEmpty():
+    while n := live.count():
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        points = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("to")).select(F.col("a").alias("from"), "to"))
+        points = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("to")).select(F.col("a").alias("from"), "to"), 2 * n)
         while True:
             onward = points.select(F.col("from").alias("via"), F.col("to").alias("end"))
-            further = cut(points.join(onward, points["to"] == onward["via"]).select("from", F.col("end").alias("to"), (F.col("end") != F.col("to")).alias("moved")))
+            further = cut(points.join(onward, points["to"] == onward["via"]).select("from", F.col("end").alias("to"), (F.col("end") != F.col("to")).alias("moved")), 2 * n)
             moved = not further.where("moved").isEmpty()
             points = further.select("from", "to")
             if not moved:
                 break
         first = points.toDF("a", "a_to")
         second = points.toDF("b", "b_to")
-        live = cut(live.join(first, "a").join(second, "b").where("a_to <> b_to").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct())
+        live = cut(live.join(first, "a").join(second, "b").where("a_to <> b_to").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct(), n)
         ends = points.toDF("component", "to")
-        labels = cut(labels.join(ends, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+        labels = cut(labels.join(ends, "component", "left").select("node", F.coalesce("to", "component").alias("component")), nodes)
     return labels
 
 

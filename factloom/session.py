@@ -43,7 +43,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder and cut its lineage."""
+#: Rows of a checkpoint to a file, where it is known how many there are at most.
+FILE_ROWS = 1 << 14
+
+
+def cut(df: DataFrame, most: int | None = None) -> DataFrame:
+    """Materialise df in the shared checkpoint folder and cut its lineage.
+
+    most: rows at most of df and of each table that its last stage reads, where that is known: it is then written in no
+    more files than these need, whatever the number of shuffle partitions. Each file costs processes for its permissions where Hadoop's native library is
+    missing, and until such a process has begun it counts as much memory as its JVM.
+    """
     checkpoint_dir(df.sparkSession)
+    if most is not None:
+        df = df.coalesce(max(1, -(-most // FILE_ROWS)))
     return df.checkpoint(eager=True)

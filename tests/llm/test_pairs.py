@@ -7,7 +7,9 @@ import random
 import numpy as np
 import pytest
 
+from factloom import session
 from factloom.llm import chosenpath, decontaminate, multiindex
+from factloom.operators import graph
 
 from .conftest import prose
 
@@ -297,3 +299,31 @@ def test_words_are_not_kept_between_tasks(awkward_rows):
     plain, shared = [chosenpath.shingles(t) for t in texts], [chosenpath.shingles(t, memo=memo) for t in texts]
     assert all((a == b).all() for a, b in zip(plain, shared, strict=True)) and "changed" in memo
     assert words_kept() == 0
+
+
+def test_files_of_a_join_follow_its_rows(spark, monkeypatch):
+    """Few rows are written in few files, however many shuffle partitions there are; in many small files, with the same result."""
+    held, parts = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}, []
+
+    def counted(*given, **named):
+        parts.append((out := session.cut(*given, **named)).rdd.getNumPartitions())
+        return out
+
+    before = {k: spark.conf.get(k) for k in held}
+    for module in (chosenpath, graph):
+        monkeypatch.setattr(module, "cut", counted)
+    texts = corpus(5, 120, True)
+    head, links = jaccard_by_hand(texts)
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        for rows in (1 << 14, 50):
+            monkeypatch.setattr(session, "FILE_ROWS", rows, raising=False)
+            parts.clear()
+            got = joined(spark, texts)
+            assert {i: (r["class_id"], r["n_links"]) for i, r in got.items()} == {i: (head[i], links[i]) for i in texts}
+            assert len(parts) > 12 and (rows == 50 or sum(parts) <= 4 * 40 + len(parts))
+        assert sum(parts) > 4 * 40
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
