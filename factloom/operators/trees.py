@@ -7,6 +7,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from factloom.operators.joins import small
 from factloom.session import cut
 
 NODE = "root_id long, node_id long, parent_id long, slot string, ord long, depth long, kind string, name string, krate string, field long, owner string, value string, zero boolean"
+ARROW = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
 # The fields of a value that hold values.
 CHILDREN = ("base", "value", "pointer", "fed")
 TYPE_NODE = "root_id long, node_id long, parent_id long, ord long, depth long, kind string, name string, krate string, number string"
@@ -41,14 +43,14 @@ def _origin_rows(root_id: int, tree) -> Iterator[tuple]:
 def flatten_origins(values: DataFrame) -> DataFrame:
     """A row of NODE for each node of values(root_id, origin as JSON), map-side and without recursion."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in NODE.split(", ")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = [c.split() for c in NODE.split(", ")]
         for batch in batches:
-            rows = [r for i, o in zip(batch["root_id"], batch["origin"], strict=True) if o is not None for r in _origin_rows(i, json.loads(o) if o[:1] in '{["' else o)]
-            out = pd.DataFrame(rows, columns=columns)
-            yield out.astype({"parent_id": "Int64", "field": "Int64"})
+            rows = [r for i, o in zip(*(c.to_pylist() for c in batch.columns), strict=True) if o is not None for r in _origin_rows(i, json.loads(o) if o[:1] in '{["' else o)]
+            arrays = zip(*rows) if rows else [()] * len(columns)
+            yield pa.RecordBatch.from_arrays([pa.array(a, ARROW[t]) for a, (_, t) in zip(arrays, columns, strict=True)], [c for c, _ in columns])
 
-    return values.select("root_id", "origin").mapInPandas(run, NODE)
+    return values.select("root_id", "origin").mapInArrow(run, NODE)
 
 
 def _type_rows(root_id: int, tree) -> Iterator[tuple]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from factloom.functions import names, templates
 from factloom.operators import flows, joins, merges, trees, verify
 from factloom.plans.catalog import local, query, read
+from factloom.session import spread
 
 
 def _text(column: str):
@@ -24,7 +25,7 @@ def _unit(name) -> object:
 
 def _order_trees(spark, sf_dir):
     """Tuples of status and priority for finished orders, any of two for pending ones, a plain value for open ones."""
-    orders = read(spark, sf_dir, "orders")
+    orders = spread(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), "o_orderkey")
     pair = lambda a, b: _json('{"Tuple":[', _unit(a), ",", _unit(b), "]}")
     own = pair(F.col("o_orderstatus"), F.col("o_orderpriority"))
     origin = F.when(F.col("o_orderstatus") == "F", own).when(F.col("o_orderstatus") == "P", _json('{"Any":[', own, ',{"All":[', pair(F.lit("x"), _text("o_custkey")), "]}]}")).otherwise(_unit(F.col("o_orderstatus")))
@@ -37,7 +38,7 @@ def tuple_projection(spark, sf_dir):
     values = _order_trees(spark, sf_dir)
     nodes = trees.flatten_origins(values)
     found, gaps = flows.tuple_element(values.select(F.col("root_id").alias("start"), "root_id"), nodes, 1)
-    named = found.join(nodes.select("root_id", "node_id", F.col("name").alias("element")), ["root_id", "node_id"]).select("start", "element")
+    named = found.select("start", F.col("name").alias("element"))
     return named.withColumn("reason", F.lit(None).cast("string")).unionByName(gaps.select("start", F.lit(None).cast("string").alias("element"), "reason"))
 
 
@@ -49,7 +50,7 @@ def error_side(spark, sf_dir):
     kind = F.col("event_type")
     err = _json('{"Any":[{"Err":[', _unit(_json("e", _text("user_id"))), ']},{"Set":[{"Err":[', _unit(F.lit("both")), "]}]}]}")
     origin = F.when(kind == "error", err).when(kind == "click", _json('{"MapErr":[', _unit(_json("m", _text("user_id"))), "]}")).when(kind == "view", _unit(F.lit("v"))).otherwise(_json('{"Ok":[', _unit(F.lit("o")), "]}"))
-    values = read(spark, sf_dir, "events").select(F.col("event_id").alias("root_id"), origin.alias("origin"))
+    values = spread(read(spark, sf_dir, "events").select("event_id", "event_type", "user_id"), "event_id").select(F.col("event_id").alias("root_id"), origin.alias("origin"))
     found, gaps = flows.error_side(values.select(F.col("root_id").alias("start"), "root_id"), trees.flatten_origins(values))
     nothing = F.lit(None).cast("string")
     return found.select("start", "found", nothing.alias("reason")).unionByName(gaps.select("start", nothing.alias("found"), "reason"))
@@ -60,7 +61,7 @@ def input_dependence(spark, sf_dir):
     """Clicks and views hold an input deep inside."""
     leaf = F.when(F.col("event_type").isin("click", "view"), '{"Input":{"path":"argv"}}').otherwise('{"Unit":{"path":"none"}}')
     origin = _json('{"Any":[', _unit(F.col("event_type")), ',{"Tuple":[{"All":[', leaf, "]}]}]}")
-    values = read(spark, sf_dir, "events").select(F.col("event_id").alias("root_id"), origin.alias("origin"))
+    values = spread(read(spark, sf_dir, "events").select("event_id", "event_type"), "event_id").select(F.col("event_id").alias("root_id"), origin.alias("origin"))
     return flows.depends_on_input(values.select(F.col("root_id").alias("start"), "root_id"), trees.flatten_origins(values), ["Input"])
 
 

@@ -58,3 +58,12 @@ def cut(df: DataFrame, most: int | None = None) -> DataFrame:
     if most is not None:
         df = df.coalesce(max(1, -(-most // FILE_ROWS)))
     return df.checkpoint(eager=True)
+
+
+#: Rows of a table to a task, where what is made of a row costs more than to send it.
+TASK_ROWS = 1 << 16
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows of a table dealt by keys to as many tasks as they need, whatever the number and size of its files."""
+    return rows.repartition(max(1, -(-rows.count() // TASK_ROWS)), *keys)
