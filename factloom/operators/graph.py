@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.session import cut
+from factloom.session import cut, settled
 
 
 COMPACT_ROUNDS = 8
@@ -48,23 +48,23 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most: int
 def fixpoint(seed: DataFrame, step, key: list[str], max_rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(all rows, the rows cut off by max_rounds) of a semi-naive iteration: step(frontier) derives rows with the
     seed's columns, and those whose key is new are the next frontier. Cycles end by the seen set."""
-    seen = cut(seed.dropDuplicates(key))
+    seen = settled(seed.dropDuplicates(key))
     frontier, rounds = seen, 0
     while not frontier.isEmpty():
-        fresh = step(frontier).dropDuplicates(key).join(seen.select(*key), key, "left_anti")
-        fresh = cut(fresh.select(*seen.columns))
+        fresh = step(frontier).dropDuplicates(key).join(seen.select(*key).hint("merge"), key, "left_anti")
+        fresh = settled(fresh.select(*seen.columns))
         if rounds == max_rounds:
             return seen, fresh
         # Only what is new is written; the parts are written together now and then, so that plans stay short.
         seen = seen.unionByName(fresh)
         frontier, rounds = fresh, rounds + 1
         if rounds % COMPACT_ROUNDS == 0:
-            seen = cut(seen)
+            seen = settled(seen)
     return seen, frontier
 
 
 def _edges(edges: DataFrame, a: str, b: str) -> DataFrame:
-    return cut(edges.select(F.col(a).alias("e_from"), F.col(b).alias("e_to")).where("e_from IS NOT NULL AND e_to IS NOT NULL").distinct())
+    return settled(edges.select(F.col(a).alias("e_from"), F.col(b).alias("e_to")).where("e_from IS NOT NULL AND e_to IS NOT NULL").distinct())
 
 
 def closure(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int | None = None) -> DataFrame:
@@ -89,7 +89,7 @@ def reach(seeds: DataFrame, edges: DataFrame, source: str = "source", node: str
     start = seeds.select(F.col(source).alias("source"), F.col(node).alias("node"))
     reached, _ = fixpoint(start, step, ["source", "node"])
     while late is not None:
-        more = cut(late(reached).select("source", "node").join(reached, ["source", "node"], "left_anti"))
+        more = settled(late(reached).select("source", "node").join(reached, ["source", "node"], "left_anti"))
         if more.isEmpty():
             break
         reached, _ = fixpoint(reached.unionByName(more), step, ["source", "node"])
@@ -101,33 +101,33 @@ def label_bfs(seeds: DataFrame, edges: DataFrame, node: str = "node", label: str
     on such a path; null at seeds)."""
     live = _edges(edges, a, b)
     best = seeds.groupBy(F.col(node).alias("node")).agg(F.min(F.struct(F.col(label).alias("label"), F.lit(0).cast("long").alias("hops"), F.lit(None).cast(dict(seeds.dtypes)[node]).alias("parent"))).alias("s"))
-    state = frontier = cut(best)
+    state = frontier = settled(best)
     rounds = 0
     while not frontier.isEmpty():
         sent = frontier.join(live, frontier["node"] == live["e_from"]).groupBy(F.col("e_to").alias("node")).agg(F.min(F.struct(F.col("s.label").alias("label"), (F.col("s.hops") + 1).alias("hops"), frontier["node"].alias("parent"))).alias("t"))
-        known = state.join(sent.select("node"), "node", "left_semi").groupBy("node").agg(F.min("s").alias("s"))
+        known = state.join(sent.select("node").hint("merge"), "node", "left_semi").groupBy("node").agg(F.min("s").alias("s"))
         better = F.col("s").isNull() | (F.struct("t.label", "t.hops") < F.struct("s.label", "s.hops"))
-        frontier = cut(sent.join(known, "node", "left").where(better).select("node", F.col("t").alias("s")))
+        frontier = settled(sent.join(known.hint("merge"), "node", "left").where(better).select("node", F.col("t").alias("s")))
         # Only what is better is written; the least of a node's states is its own.
         state, rounds = state.unionByName(frontier), rounds + 1
         if rounds % COMPACT_ROUNDS == 0:
-            state = cut(state.groupBy("node").agg(F.min("s").alias("s")))
+            state = settled(state.groupBy("node").agg(F.min("s").alias("s")))
     state = state.groupBy("node").agg(F.min("s").alias("s"))
     return state.select(F.col("node").alias(node), F.col("s.label").alias(label), F.col("s.hops").alias("hops"), F.col("s.parent").alias("parent"))
 
 
 def chains(parents: DataFrame, node: str = "node", parent: str = "parent", most: int | None = None) -> DataFrame:
     """node and chain (from the node by its parents to a root), at most `most` steps long."""
-    up = cut(parents.select(F.col(node).alias("p_node"), F.col(parent).alias("p_parent")))
+    up = settled(parents.select(F.col(node).alias("p_node"), F.col(parent).alias("p_parent")))
     live = up.select(F.col("p_node").alias("node"), F.col("p_parent").alias("next"), F.array("p_node").alias("chain"))
     done, rounds = live.where("next IS NULL"), 1
-    live = cut(live.where("next IS NOT NULL"))
+    live = settled(live.where("next IS NOT NULL"))
     while not live.isEmpty():
         if most is not None and rounds >= most:
             return done.unionByName(live).select(F.col("node").alias(node), "chain")
         moved = live.join(up, live["next"] == up["p_node"], "left")
         moved = moved.select("node", F.when(F.array_contains("chain", F.col("p_parent")), None).otherwise(F.col("p_parent")).alias("on"), F.concat("chain", F.array("next")).alias("chain"))
-        moved = cut(moved.withColumnRenamed("on", "next"))
+        moved = settled(moved.withColumnRenamed("on", "next"))
         done = done.unionByName(moved.where("next IS NULL"))
         live = moved.where("next IS NOT NULL")
         rounds += 1
@@ -138,24 +138,24 @@ def lattice_fixpoint(levels: DataFrame, edges: DataFrame, node: str = "node", le
     """node and level, where a node's level is the greatest of its own and those that edges a -> b bring it, each at
     most ceiling."""
     live = _edges(edges, a, b)
-    state = frontier = cut(levels.groupBy(F.col(node).alias("node")).agg(F.max(level).alias("level")))
+    state = frontier = settled(levels.groupBy(F.col(node).alias("node")).agg(F.max(level).alias("level")))
     rounds = 0
     while not frontier.isEmpty():
         sent = F.col("level") if ceiling is None else F.least(F.col("level"), F.lit(ceiling))
         brought = frontier.join(live, frontier["node"] == live["e_from"]).groupBy(F.col("e_to").alias("node")).agg(F.max(sent).alias("brought"))
-        known = state.join(brought.select("node"), "node", "left_semi").groupBy("node").agg(F.max("level").alias("level"))
-        frontier = cut(brought.join(known, "node").where("brought > level").select("node", F.col("brought").alias("level")))
+        known = state.join(brought.select("node").hint("merge"), "node", "left_semi").groupBy("node").agg(F.max("level").alias("level"))
+        frontier = settled(brought.join(known.hint("merge"), "node").where("brought > level").select("node", F.col("brought").alias("level")))
         # Only what rises is written; the greatest of a node's levels is its own.
         state, rounds = state.unionByName(frontier), rounds + 1
         if rounds % COMPACT_ROUNDS == 0:
-            state = cut(state.groupBy("node").agg(F.max("level").alias("level")))
+            state = settled(state.groupBy("node").agg(F.max("level").alias("level")))
     return state.groupBy("node").agg(F.max("level").alias("level")).toDF(node, level)
 
 
 def reduce_graph(edges: DataFrame, kept: DataFrame, a: str = "a", b: str = "b", node: str = "node") -> DataFrame:
     """Edges between kept nodes, where a path through dropped nodes alone counts as an edge."""
     live = _edges(edges, a, b)
-    keep = cut(kept.select(F.col(node).alias("k_node")).distinct())
+    keep = settled(kept.select(F.col(node).alias("k_node")).distinct())
     start = live.join(keep, live["e_from"] == keep["k_node"], "left_semi").select(F.col("e_from").alias("a"), F.col("e_to").alias("b"))
 
     def step(frontier):
@@ -173,21 +173,21 @@ def strong_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame
     colour are one component. These leave, and the rest goes round again.
     """
     live = _edges(edges, a, b)
-    nodes = cut(live.select(F.col("e_from").alias("node")).union(live.select("e_to")).distinct())
+    nodes = settled(live.select(F.col("e_from").alias("node")).union(live.select("e_to")).distinct())
     done = None
     while not nodes.isEmpty():
         colour = lattice_fixpoint(nodes.select("node", F.col("node").alias("level")), live, a="e_from", b="e_to")
-        colour = cut(colour.toDF("node", "colour"))
+        colour = settled(colour.toDF("node", "colour"))
         left, right = colour.toDF("e_from", "c_from"), colour.toDF("e_to", "c_to")
         inside = live.join(left, "e_from").join(right, "e_to").where("c_from = c_to")
         back = inside.select(F.col("e_to").alias("x"), F.col("e_from").alias("y"))
         roots = colour.where("node = colour").select(F.col("colour").alias("source"), "node")
-        members = cut(reach(roots, back, a="x", b="y"))
+        members = settled(reach(roots, back, a="x", b="y"))
         least = members.groupBy("source").agg(F.min("node").alias("component"))
         found = members.join(least, "source").select("node", "component")
         done = found if done is None else done.unionByName(found)
-        nodes = cut(nodes.join(members.select("node"), "node", "left_anti"))
-        live = cut(live.join(nodes, live["e_from"] == nodes["node"], "left_semi").join(nodes.withColumnRenamed("node", "n2"), F.col("e_to") == F.col("n2"), "left_semi"))
+        nodes = settled(nodes.join(members.select("node"), "node", "left_anti"))
+        live = settled(live.join(nodes, live["e_from"] == nodes["node"], "left_semi").join(nodes.withColumnRenamed("node", "n2"), F.col("e_to") == F.col("n2"), "left_semi"))
     return done if done is not None else nodes.withColumn("component", F.col("node"))
 
 
@@ -195,21 +195,21 @@ def guarded_walk(roots: DataFrame, edges: DataFrame, guarded: DataFrame, uses: D
     """Nodes reached from roots(node) over edges(a, b) and over guarded(a, b, key); a guarded edge opens once its key
     is used by any reached node, as uses(node, key) lists."""
     plain = _edges(edges, "a", "b")
-    gates = cut(guarded.select(F.col("a").alias("e_from"), F.col("b").alias("e_to"), F.col("key").alias("g_key")).distinct())
-    reached = cut(roots.select("node").distinct())
-    open_keys = cut(reached.join(uses, "node").select("key").distinct())
+    gates = settled(guarded.select(F.col("a").alias("e_from"), F.col("b").alias("e_to"), F.col("key").alias("g_key")).distinct())
+    reached = settled(roots.select("node").distinct())
+    open_keys = settled(reached.join(uses, "node").select("key").distinct())
     while True:
         live = plain.unionByName(gates.join(open_keys, gates["g_key"] == open_keys["key"], "left_semi").select("e_from", "e_to"))
-        live = cut(live.distinct())
+        live = settled(live.distinct())
 
         def step(frontier, live=live):
             return frontier.join(live, frontier["node"] == live["e_from"]).select(F.col("e_to").alias("node"))
 
         reached, _ = fixpoint(reached, step, ["node"])
-        fresh = cut(reached.join(uses, "node").select("key").distinct().join(open_keys, "key", "left_anti"))
+        fresh = settled(reached.join(uses, "node").select("key").distinct().join(open_keys, "key", "left_anti"))
         if fresh.isEmpty():
             return reached
-        open_keys = cut(open_keys.unionByName(fresh))
+        open_keys = settled(open_keys.unionByName(fresh))
 
 
 def all_paths_owner(own: DataFrame, calls: DataFrame, node: str = "node", cls: str = "cls", caller: str = "a", callee: str = "b", order: tuple[str, ...] = ("algorithm", "package", "none"), inherits: str = "inherit") -> DataFrame:
@@ -220,11 +220,11 @@ def all_paths_owner(own: DataFrame, calls: DataFrame, node: str = "node", cls: s
     live = _edges(calls, caller, callee)
     called = live.select(F.col("e_to").alias("node")).distinct().withColumn("called", F.lit(True))
     state = own.select(F.col(node).alias("node"), F.col(cls).alias("cls")).join(called, "node", "left")
-    state = cut(state.select("node", (F.col("cls") == inherits).alias("open"), F.when(F.col("cls") != inherits, rank[F.col("cls")]).when(F.col("called"), 0).otherwise(len(order) - 1).alias("r")))
+    state = settled(state.select("node", (F.col("cls") == inherits).alias("open"), F.when(F.col("cls") != inherits, rank[F.col("cls")]).when(F.col("called"), 0).otherwise(len(order) - 1).alias("r")))
     while True:
         seen = state.select(F.col("node").alias("e_from"), F.col("r").alias("from_r"))
         brought = live.join(seen, "e_from").groupBy(F.col("e_to").alias("node")).agg(F.max("from_r").alias("brought"))
-        new = cut(state.join(brought, "node", "left").select("node", "open", F.when(F.col("open"), F.greatest("r", F.coalesce("brought", "r"))).otherwise(F.col("r")).alias("r"), F.col("r").alias("was")))
+        new = settled(state.join(brought, "node", "left").select("node", "open", F.when(F.col("open"), F.greatest("r", F.coalesce("brought", "r"))).otherwise(F.col("r")).alias("r"), F.col("r").alias("was")))
         state = new.select("node", "open", "r")
         if new.where("r <> was").isEmpty():
             names = F.array(*[F.lit(c) for c in order])
@@ -234,8 +234,8 @@ def all_paths_owner(own: DataFrame, calls: DataFrame, node: str = "node", cls: s
 def reaching_definitions(flow: DataFrame, gen: DataFrame, kill: DataFrame) -> DataFrame:
     """(block, def) of definitions that reach a block's start: a forward may-analysis over flow(block, next),
     gen(block, def) and kill(block, def), where out = (in - kill) + gen."""
-    step_to = cut(flow.select(F.col("block").alias("f_block"), F.col("next").alias("f_next")).distinct())
-    killed = cut(kill.select(F.col("block").alias("k_block"), F.col("def").alias("k_def")).distinct())
+    step_to = settled(flow.select(F.col("block").alias("f_block"), F.col("next").alias("f_next")).distinct())
+    killed = settled(kill.select(F.col("block").alias("k_block"), F.col("def").alias("k_def")).distinct())
     made = gen.join(step_to, gen["block"] == step_to["f_block"]).select(F.col("f_next").alias("block"), "def")
 
     def step(frontier):
@@ -249,11 +249,11 @@ def bounded_walk(roots: DataFrame, edges: DataFrame, most: int, node: str = "nod
     """(nodes with the round they were reached in, whether the walk was cut): after a round that brings the nodes above
     `most`, the walk ends, and says so if anything was left to visit."""
     live = _edges(edges, a, b)
-    seen = cut(roots.select(F.col(node).alias("node")).distinct().withColumn("round", F.lit(0)))
+    seen = settled(roots.select(F.col(node).alias("node")).distinct().withColumn("round", F.lit(0)))
     frontier, rounds, total = seen, 0, seen.count()
     while not frontier.isEmpty():
         fresh = frontier.join(live, frontier["node"] == live["e_from"]).select(F.col("e_to").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        fresh = cut(fresh.withColumn("round", F.lit(rounds + 1)))
+        fresh = settled(fresh.withColumn("round", F.lit(rounds + 1)))
         if total > most:
             return seen, not fresh.isEmpty()
         seen, frontier, rounds = seen.unionByName(fresh), fresh, rounds + 1
@@ -281,9 +281,9 @@ def uncalled(pending: DataFrame, edges: DataFrame, walked: DataFrame, a: str = "
 def shifted_attribution(calls: DataFrame, callers: DataFrame, plumbing: DataFrame) -> DataFrame:
     """call, callee and anchor: calls(callee, caller) that plumbing makes are attributed to the callers outside it that
     lead there, through plumbing only. callers(callee, caller) are the call edges, plumbing(node) the code in between."""
-    through = plumbing.select(F.col("node").alias("caller")).distinct()
+    through = settled(plumbing.select(F.col("node").alias("caller")).distinct())
     start = calls.join(through, "caller", "left_semi").select("callee", F.col("caller").alias("at")).distinct()
-    up = cut(callers.select(F.col("callee").alias("at"), F.col("caller").alias("next")).distinct())
+    up = settled(callers.select(F.col("callee").alias("at"), F.col("caller").alias("next")).distinct())
     inside = fixpoint(start, lambda f: f.join(up, "at").select("callee", F.col("next").alias("at")).join(through.select(F.col("caller").alias("at")), "at", "left_semi"), ["callee", "at"])[0]
     return inside.join(up, "at").select("callee", F.col("next").alias("anchor")).distinct().join(through.select(F.col("caller").alias("anchor")), "anchor", "left_anti")
 
@@ -293,9 +293,10 @@ def resolved_parameters(given: DataFrame, handed: DataFrame, bounds: DataFrame)
     that callers hand on, bounds(key, types, open) what a bound allows. A parameter is all its calls give and what those
     handed on are; one that anything open reaches is open; a cycle adds nothing. Parameters with no type at all and no
     bound are open."""
-    types = given.select("key", "type").union(bounds.select("key", F.explode("types").alias("type")))
+    types = settled(given.select("key", "type").union(bounds.select("key", F.explode("types").alias("type"))).distinct())
+    handed = settled(handed.select("key", "from_key").distinct())
     back = handed.select(F.col("from_key").alias("a"), F.col("key").alias("b"))
-    every = fixpoint(types.distinct(), lambda f: f.join(back, f["key"] == back["a"]).select(F.col("b").alias("key"), "type"), ["key", "type"])[0]
+    every = fixpoint(types, lambda f: f.join(back, f["key"] == back["a"]).select(F.col("b").alias("key"), "type"), ["key", "type"])[0]
     keys = types.select("key").union(handed.select("key")).union(handed.select("from_key")).distinct()
     rootless = keys.join(types.select("key").union(handed.select("key")).distinct(), "key", "left_anti")
     seeds = bounds.where("open").select("key").union(rootless).distinct()

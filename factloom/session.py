@@ -60,6 +60,19 @@ def cut(df: DataFrame, most: int | None = None) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """cut, for what a loop joins in each round: by exchange and merge, never by sending it to all tasks.
+
+    A checkpoint keeps the size that was estimated for its plan. Estimates start from the bytes of compressed files and
+    shrink with every column left out, so tables of millions of rows pass for small and are broadcast, once a round.
+    """
+    df = cut(df)
+    spark, scan = df.sparkSession, df._jdf.queryExecution().analyzed()
+    nothing = spark._jvm.scala.Option.empty()
+    plain = scan.copy(scan.output(), scan.rdd(), scan.outputPartitioning(), scan.outputOrdering(), scan.isStreaming(), scan.stream(), spark._jsparkSession, nothing, nothing)
+    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, plain), spark).hint("merge")
+
+
 #: Rows of a table to a task, where what is made of a row costs more than to send it.
 TASK_ROWS = 1 << 16
 

@@ -5,7 +5,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from factloom.operators import flows, trees
+from factloom.operators import flows, graph, trees
+from factloom.session import settled
 
 
 def rows(df, *cols):
@@ -66,3 +67,18 @@ def test_walk_against_plain_python(spark):
     values = {i: value(0) for i in range(200)}
     got = flows.follow(spark.createDataFrame([(i, i) for i in values], "start long, root_id long"), origin_nodes(spark, values), flows.PLUMBING)
     assert rows(got.select("start", "kind", "name").distinct()) == sorted((i, *e) for i, v in values.items() for e in ends(v))
+
+
+def test_loops_never_broadcast_by_an_estimate(spark):
+    n = 3000  # the estimates of these are far below the limit of a broadcast
+    up = spark.range(1, n).selectExpr("id AS callee", "id div 2 AS caller")
+    plumbing = spark.range(0, n, 3).select(F.col("id").alias("node"))
+    moved = graph.shifted_attribution(up, up, plumbing)
+    given, bounds = spark.range(0, n, 7).selectExpr("id AS key", "string(id % 5) AS type"), spark.range(0, n, 11).selectExpr("id AS key", "array('b') AS types", "true AS open")
+    told = graph.resolved_parameters(given, up.toDF("key", "from_key"), bounds)
+    kept = graph.reduce_graph(up, plumbing, "callee", "caller")
+    for df in (moved, told, kept):
+        assert "Broadcast" not in plan(df)
+    assert told.count() == n
+    own = settled(spark.range(5).toDF("a"))
+    assert "SortMergeJoin" in plan(own.where("a > 1").join(spark.range(9).toDF("a"), "a")) and rows(own.where("a > 1")) == [(2,), (3,), (4,)]
