@@ -82,3 +82,19 @@ def test_loops_never_broadcast_by_an_estimate(spark):
     assert told.count() == n
     own = settled(spark.range(5).toDF("a"))
     assert "SortMergeJoin" in plan(own.where("a > 1").join(spark.range(9).toDF("a"), "a")) and rows(own.where("a > 1")) == [(2,), (3,), (4,)]
+
+
+def test_reaching_definitions_in_words_against_plain_python(spark):
+    rng = random.Random(7)
+    flow = {(rng.randrange(40), rng.randrange(40)) for _ in range(90)}
+    gen = {(b, f"d{b}-{k}") for b in range(40) for k in range(rng.randrange(5))}
+    names = sorted({d for _, d in gen})
+    kill = {(rng.randrange(40), rng.choice(names)) for _ in range(300)} | {(1, "never made")}
+    into, before = set(), None
+    while into != before:
+        before = set(into)
+        into |= {(n, d) for b, n in flow for g, d in gen if g == b} | {(n, d) for b, n in flow for i, d in before if i == b and (b, d) not in kill}
+    frame = lambda x, s: spark.createDataFrame(sorted(x), s)
+    got = graph.reaching_definitions(frame(flow, "block long, next long"), frame(gen, "block long, def string"), frame(kill, "block long, def string"))
+    assert len(names) > 64 and rows(got) == sorted(into)
+    assert "getbit" in plan(got)
