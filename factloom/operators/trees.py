@@ -8,11 +8,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.operators.joins import small
-from factloom.session import cut
+from factloom.session import cut, settled
 
 NODE = "root_id long, node_id long, parent_id long, slot string, ord long, depth long, kind string, name string, krate string, field long, owner string, value string, zero boolean"
 ARROW = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
@@ -124,9 +124,10 @@ def tree_size(nodes: DataFrame, limit: int) -> DataFrame:
 
 def cap_depth(nodes: DataFrame, depth: int) -> DataFrame:
     """nodes no deeper than depth; those at depth that had children become `Truncated`."""
-    parents = nodes.where(F.col("depth") == depth + 1).select("root_id", F.col("parent_id").alias("node_id")).distinct().withColumn("_cut", F.lit(True))
-    kept = nodes.where(F.col("depth") <= depth).join(parents, ["root_id", "node_id"], "left")
-    return kept.withColumn("kind", F.when(F.col("_cut"), "Truncated").otherwise(F.col("kind"))).drop("_cut").select(*nodes.columns)
+    at = F.when(F.col("depth") > depth, F.col("parent_id")).otherwise(F.col("node_id"))
+    has_kids = F.max(F.col("depth") > depth).over(Window.partitionBy("root_id", "_at"))
+    kept = nodes.where(F.col("depth") <= depth + 1).withColumn("_at", at).withColumn("_cut", has_kids).where(F.col("depth") <= depth)
+    return kept.withColumn("kind", F.when(F.col("_cut"), "Truncated").otherwise(F.col("kind"))).select(*nodes.columns)
 
 
 def own_params(nodes: DataFrame, owner: str) -> DataFrame:
@@ -142,16 +143,16 @@ def descriptors(nodes: DataFrame) -> DataFrame:
 def substitute(nodes: DataFrame, arguments: DataFrame, graft: DataFrame) -> DataFrame:
     """nodes with each `Param` n of arguments(root_id, ord, arg_root) replaced by the tree of that root in graft.
     Grafted nodes get ids from their parameter's id and their own, so they stay unique in their tree."""
-    holes = nodes.where("kind = 'Param'").join(arguments, (nodes["root_id"] == arguments["root_id"]) & (nodes["field"] == arguments["ord"])).select(nodes["root_id"], "node_id", "parent_id", "slot", nodes["ord"], "depth", "arg_root")
     width = F.lit(1 << 20)
-    g = graft.select(*[F.col(c).alias(f"g_{c}") for c in graft.columns])
-    joined = holes.join(g, holes["arg_root"] == g["g_root_id"])
+    given = arguments.select(F.col("root_id").alias("a_root"), F.col("ord").alias("a_ord"), "arg_root", F.lit(True).alias("_hole"))
+    g = small(graft.select(*[F.col(c).alias(f"g_{c}") for c in graft.columns]))
+    # One pass of the nodes; arguments, which can be as many, are exchanged and never broadcast by an estimate.
+    holes = nodes.join(given.hint("merge"), (F.col("kind") == "Param") & (F.col("root_id") == F.col("a_root")) & (F.col("field") == F.col("a_ord")), "left")
+    joined = holes.join(g, F.col("arg_root") == F.col("g_root_id"), "left").where("_hole IS NULL OR g_root_id IS NOT NULL")
     new_id = lambda c: (F.col("node_id") + 1) * width + F.col(c)
     root = F.col("g_parent_id").isNull()
     own = {"root_id": F.col("root_id"), "node_id": F.when(root, F.col("node_id")).otherwise(new_id("g_node_id")), "parent_id": F.when(root, F.col("parent_id")).when(F.col("g_parent_id") == 0, F.col("node_id")).otherwise(new_id("g_parent_id")), "slot": F.when(root, F.col("slot")).otherwise(F.col("g_slot")), "ord": F.when(root, F.col("ord")).otherwise(F.col("g_ord")), "depth": F.col("depth") + F.col("g_depth")}
-    grafted = joined.select(*[own.get(c, F.col(f"g_{c}")).alias(c) for c in nodes.columns])
-    rest = nodes.join(holes.select("root_id", "node_id"), ["root_id", "node_id"], "left_anti")
-    return rest.select(*nodes.columns).unionByName(grafted)
+    return joined.select(*[F.when(F.col("_hole").isNull(), F.col(c)).otherwise(own.get(c, F.col(f"g_{c}"))).alias(c) for c in nodes.columns])
 
 
 def search_values(roots: DataFrame, nodes: DataFrame, semantics: DataFrame, params: DataFrame, fields: DataFrame, returns: DataFrame, most: int = 24) -> tuple[DataFrame, DataFrame]:
@@ -163,33 +164,33 @@ def search_values(roots: DataFrame, nodes: DataFrame, semantics: DataFrame, para
     returns(callee, root_id) give. What no rule covers, and what lies beyond `most` rounds, is a gap with its reason.
     Nodes seen before end without a gap: cycles add nothing and cut nothing.
     """
-    nodes, semantics = cut(nodes), small(semantics)
+    nodes, semantics = settled(nodes), small(semantics)
     kids = nodes.select("root_id", F.col("parent_id").alias("p_id"), F.col("node_id").alias("k_id"), "slot", "ord")
     about = nodes.select("root_id", "node_id", "kind", "name", "field", "owner")
     frontier = roots.select("start", "root_id", F.lit(0).cast("long").alias("node_id"), F.lit("here").alias("via"))
-    seen = cut(frontier.dropDuplicates(["start", "root_id", "node_id"]))
+    seen = settled(frontier.dropDuplicates(["start", "root_id", "node_id"]))
     frontier, found, gaps = seen, [], []
     for _ in range(most):
         if frontier.isEmpty():
             break
-        here = cut(frontier.join(about, ["root_id", "node_id"]))
+        here = settled(frontier.join(about, ["root_id", "node_id"]))
         found.append(here.where("kind = 'Data'").select("start", F.col("name").alias("found"), "via"))
         gaps.append(here.where("kind IN ('Truncated', 'Unknown')").select("start", F.concat(F.lower("kind"), F.lit(" value")).alias("reason")))
         within = here.where("kind IN ('Any', 'All', 'Set')").join(kids, (here["root_id"] == kids["root_id"]) & (here["node_id"] == kids["p_id"])).select("start", here["root_id"], F.col("k_id").alias("node_id"), "via")
         calls = here.where("kind IN ('Call', 'Through', 'Written')").join(semantics, here["name"] == semantics["callee"], "left")
         followed = calls.where("slots IS NOT NULL").select("start", calls["root_id"], "node_id", "via", F.explode("slots").alias("want"))
         args = followed.join(kids, (followed["root_id"] == kids["root_id"]) & (followed["node_id"] == kids["p_id"]) & (kids["ord"] == followed["want"]) & (kids["slot"] == "arg")).select("start", followed["root_id"], F.col("k_id").alias("node_id"), "via")
-        own = calls.where("slots IS NULL").select("start", "via", F.col("name").alias("callee")).join(returns.select("callee", F.col("root_id").alias("to")), "callee", "left")
+        own = calls.where("slots IS NULL").select("start", "via", F.col("name").alias("callee")).join(returns.select("callee", F.col("root_id").alias("to")).hint("merge"), "callee", "left")
         gaps.append(own.where("to IS NULL").select("start", F.concat(F.lit("call not modelled: "), F.coalesce("callee", F.lit("?"))).alias("reason")))
-        given = here.where("kind = 'Param'").join(params.select(F.col("owner").alias("p_owner"), F.col("ord").alias("p_ord"), F.col("root_id").alias("to")), (F.col("owner") == F.col("p_owner")) & (F.col("field") == F.col("p_ord")), "left")
+        given = here.where("kind = 'Param'").join(params.select(F.col("owner").alias("p_owner"), F.col("ord").alias("p_ord"), F.col("root_id").alias("to")).hint("merge"), (F.col("owner") == F.col("p_owner")) & (F.col("field") == F.col("p_ord")), "left")
         gaps.append(given.where("to IS NULL").select("start", F.concat(F.lit("parameter of "), F.coalesce("owner", F.lit("?")), F.lit(" without callers")).alias("reason")))
-        stored = here.where("kind = 'Field'").join(fields.select(F.col("name").alias("f_name"), F.col("field").alias("f_field"), F.col("root_id").alias("to")), (F.col("name") == F.col("f_name")) & (F.col("field") == F.col("f_field")), "left")
+        stored = here.where("kind = 'Field'").join(fields.select(F.col("name").alias("f_name"), F.col("field").alias("f_field"), F.col("root_id").alias("to")).hint("merge"), (F.col("name") == F.col("f_name")) & (F.col("field") == F.col("f_field")), "left")
         gaps.append(stored.where("to IS NULL").select("start", F.concat(F.lit("field of "), F.coalesce("name", F.lit("?")), F.lit(" without stores")).alias("reason")))
         over = lambda df, route: df.where("to IS NOT NULL").select("start", F.col("to").alias("root_id"), F.lit(0).cast("long").alias("node_id"), F.lit(route).alias("via"))
         nxt = within.unionByName(args).unionByName(over(own, "returned")).unionByName(over(given, "argument")).unionByName(over(stored, "stored"))
         nxt = nxt.dropDuplicates(["start", "root_id", "node_id"]).join(seen.select("start", "root_id", "node_id"), ["start", "root_id", "node_id"], "left_anti")
-        frontier = cut(nxt.select("start", "root_id", "node_id", "via"))
-        seen = cut(seen.unionByName(frontier))
+        frontier = settled(nxt.select("start", "root_id", "node_id", "via"))
+        seen = settled(seen.unionByName(frontier))
     gaps.append(frontier.select("start", F.lit("cut").alias("reason")))
     rank = F.create_map(*[x for k, v in enumerate(("here", "argument", "returned", "stored")) for x in (F.lit(v), F.lit(k))])
     every = found[0] if found else frontier.select("start", F.lit(None).cast("string").alias("found"), "via").limit(0)
@@ -212,28 +213,28 @@ def classify_provenance(roots: DataFrame, nodes: DataFrame, sources: DataFrame,
     and statics are hard-coded (an empty one is absent); calls of sources(callee, class) have that class; calls of
     passes(callee, slots) are as those arguments; other calls are computed; parameters are as callers' arguments, and
     `parameter` without any; deeper than `most` is unknown."""
-    nodes = cut(nodes)
+    nodes = settled(nodes)
     sources = small(sources.select(F.col("callee").alias("name"), F.col("class").alias("source")))
     passes = small(passes.select(F.col("callee").alias("name"), "slots"))
     kids = nodes.select("root_id", F.col("parent_id").alias("p_id"), F.col("node_id").alias("k_id"), "slot", "ord")
     about = nodes.select("root_id", "node_id", "kind", "name", "field", "owner", "value")
-    seen = cut(roots.select("start", "root_id", F.lit(0).cast("long").alias("node_id")))
+    seen = settled(roots.select("start", "root_id", F.lit(0).cast("long").alias("node_id")))
     frontier, out = seen, None
     for _ in range(most):
         if frontier.isEmpty():
             break
         here = frontier.join(about, ["root_id", "node_id"]).join(sources, "name", "left").join(passes, "name", "left")
-        here = cut(here)
+        here = settled(here)
         call = F.col("kind").isin("Call", "Through", "Written")
         label = F.when((F.col("kind") == "Const") & (F.col("value") == ""), "absent").when(F.col("kind").isin("Const", "Data"), "hard-coded").when(call & F.col("source").isNotNull(), F.col("source")).when(call & F.col("slots").isNull(), "computed").when(F.col("kind").isin("Unknown", "Truncated"), "unknown")
-        given = here.where("kind = 'Param'").join(params.select(F.col("owner").alias("p_owner"), F.col("ord").alias("p_ord"), F.col("root_id").alias("to")), (F.col("owner") == F.col("p_owner")) & (F.col("field") == F.col("p_ord")), "left")
+        given = here.where("kind = 'Param'").join(params.select(F.col("owner").alias("p_owner"), F.col("ord").alias("p_ord"), F.col("root_id").alias("to")).hint("merge"), (F.col("owner") == F.col("p_owner")) & (F.col("field") == F.col("p_ord")), "left")
         done = here.select("start", label.alias("class")).where("class IS NOT NULL").unionByName(given.where("to IS NULL").select("start", F.lit("parameter").alias("class")))
         out = done if out is None else out.unionByName(done)
         down = here.where(F.col("kind").isin("Any", "All", "Set", "Field") | (call & F.col("source").isNull() & F.col("slots").isNotNull()))
         inner = down.join(kids, (down["root_id"] == kids["root_id"]) & (down["node_id"] == kids["p_id"]) & (F.col("slots").isNull() | F.array_contains("slots", kids["ord"]))).select("start", down["root_id"], F.col("k_id").alias("node_id"))
         nxt = inner.unionByName(given.where("to IS NOT NULL").select("start", F.col("to").alias("root_id"), F.lit(0).cast("long").alias("node_id")))
-        frontier = cut(nxt.distinct().join(seen, ["start", "root_id", "node_id"], "left_anti"))
-        seen = cut(seen.unionByName(frontier))
+        frontier = settled(nxt.distinct().join(seen, ["start", "root_id", "node_id"], "left_anti"))
+        seen = settled(seen.unionByName(frontier))
     left = frontier.select("start", F.lit("unknown").alias("class"))
     out = left if out is None else out.unionByName(left)
     return out.groupBy("start").agg(F.array_join(F.array_sort(F.collect_set("class")), ",").alias("classes"))

@@ -182,7 +182,7 @@ def owned_parameters(spark, sf_dir):
 @query("SELECT o_orderkey AS root_id, unnest(['Any', 'Data', 'Data']) AS kind, unnest([NULL, o_orderstatus, 's' || (o_custkey % 7)]) AS name FROM orders")
 def substituted_trees(spark, sf_dir):
     """Parameter 0 of each order's value is the supplier tree of its customer's key modulo 7."""
-    orders = read(spark, sf_dir, "orders")
+    orders = spread(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "o_orderkey")
     origin = _json('{"Any":[', _unit(F.col("o_orderstatus")), ',{"Param":{"index":0}}]}')
     nodes = trees.flatten_origins(orders.select(F.col("o_orderkey").alias("root_id"), origin.alias("origin")))
     arguments = orders.select(F.col("o_orderkey").alias("root_id"), F.lit(0).cast("long").alias("ord"), (F.col("o_custkey") % 7).alias("arg_root"))
