@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from factloom import session
-from factloom.operators import flows, graph, trees
+from factloom.operators import flows, graph, joins, trees
 from factloom.plans import catalog
 from factloom.session import settled
 
@@ -151,3 +151,27 @@ def test_users_without_orders_leave_no_gap(spark, tmp_path):
     spark.createDataFrame([(5, 7, "F")], "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
     got = catalog.QUERIES["value_search"](spark, str(tmp_path))
     assert rows(got) == [(1, "F,purchase", ""), (2, "", ""), (3, "F", ""), (4, "", "call not modelled: error")]
+
+
+def test_products_of_hot_keys_are_dealt_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(joins, "TASK_PAIRS", 1000)
+    left = spark.range(200).selectExpr("id AS x", "IF(id % 50 = 0, NULL, IF(id < 150, 1, id)) AS k", "string(id) AS t")
+    right = spark.range(90).selectExpr("IF(id % 30 = 0, NULL, IF(id < 60, 1, id * 2)) AS k", "id AS y")
+    whole = left.join(right, ["k"])
+    paired = joins.product(left, right, ["k"], few=0)
+    assert rows(paired, "k", "x", "t", "y") == rows(whole, "k", "x", "t", "y")
+    assert plan(paired).count("Generate explode") == 2 and paired.rdd.getNumPartitions() == -(-whole.count() // 1000)
+    sizes = paired.groupBy(F.spark_partition_id()).count().select("count").collect()
+    assert max(r[0] for r in sizes) < whole.count() / 3
+    assert rows(joins.product(left, right, ["k"]), "k", "x", "t", "y") == rows(whole, "k", "x", "t", "y")
+
+
+def test_pointer_targets_without_distinct_pairs(spark, monkeypatch):
+    monkeypatch.setattr(joins, "FEW_PAIRS", 0)
+    calls = spark.createDataFrame([(1, 2, "s"), (2, 2, "s"), (3, 1, "*"), (4, 2, "*"), (5, 2, "s"), (5, 1, "s"), (5, 2, "*"), (6, 2, None), (2, 2, "s")], "call long, arity int, sig string")
+    functions = spark.createDataFrame([("f", 2, "s"), ("g", 2, "*"), ("g", 2, "s"), ("g", 2, "u"), ("h", 1, "q"), ("h", 1, "r"), ("i", 2, "u"), ("i", 2, "s"), ("f", 1, "s"), ("n", 2, None)], "function string, arity int, sig string")
+    named = spark.createDataFrame([(1, "f")], "call long, function string")
+    c, f = [tuple(r) for r in calls.collect()], [tuple(r) for r in functions.collect()]
+    fit = {(a, g, True) for a, n, s in c for g, m, t in f if a != 1 and n == m and ((s and s == t) or (s and t == "*") or s == "*")}
+    assert rows(joins.pointer_targets(calls, named, functions)) == sorted(fit | {(1, "f", False)})
